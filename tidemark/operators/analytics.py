@@ -28,6 +28,16 @@ def scope_user(df: DataFrame, user_id: str | None) -> DataFrame:
     return df if user_id is None else df.where(F.col("user_id") == F.lit(user_id))
 
 
+def scope_user_frame(df: DataFrame, viewers: DataFrame, viewer_col: str = "user_id") -> DataFrame:
+    """B1 for many viewers at once: each viewer sees exactly its own rows.
+
+    ``viewers`` holds one row per viewer; the policy is an equi join on the
+    owner column, adding the ``viewer`` column.
+    """
+    v = viewers.select(F.col(viewer_col).alias("viewer")).distinct()
+    return df.join(v, df["user_id"] == v["viewer"], "inner")
+
+
 def _arch() -> Column:
     return F.col("archived") == F.lit(True)
 
