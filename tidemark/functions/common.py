@@ -28,21 +28,22 @@ def days_before(as_of, days: int) -> Column:
     return ts_lit(as_of) - F.make_dt_interval(F.lit(int(days)))
 
 
-def seconds_between(start: str | Column, end: str | Column) -> Column:
-    """Whole seconds from start to end (EXTRACT(EPOCH FROM end - start))."""
+def micros_between(start: str | Column, end: str | Column) -> Column:
+    """Exact microseconds from start to end (EXTRACT(EPOCH FROM end - start) * 1e6)."""
     s = start if isinstance(start, Column) else F.col(start)
     e = end if isinstance(end, Column) else F.col(end)
-    return F.timestamp_diff("SECOND", s, e)
+    return F.timestamp_diff("MICROSECOND", s, e)
 
 
-def avg_seconds_as(secs: Column, unit_seconds: float) -> Column:
-    """Mean of ``secs`` in the given unit; NULL when there are no values.
+def avg_micros_as(micros: Column, unit_seconds: float) -> Column:
+    """Mean of ``micros`` expressed in a unit of ``unit_seconds``; NULL without values.
 
-    The seconds are summed exactly as integers and divided once as doubles,
-    so the result does not depend on the order partial sums are merged in.
+    The microseconds are summed exactly as integers and divided once as
+    doubles, so the result does not depend on the order partial sums are
+    merged in (and fractional seconds are kept, as EXTRACT(EPOCH) does).
     """
-    n = F.count(secs)
-    return F.when(n > 0, F.sum(secs).cast("double") / (n * F.lit(float(unit_seconds))))
+    n = F.count(micros)
+    return F.when(n > 0, F.sum(micros).cast("double") / (n * F.lit(float(unit_seconds) * 1e6)))
 
 
 def round_decimal2(x: Column) -> Column:

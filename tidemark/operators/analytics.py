@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import (
-    avg_seconds_as, days_before, js_math_round_percent, percent, round_decimal2,
-    seconds_between, ts_lit,
+    avg_micros_as, days_before, js_math_round_percent, percent, round_decimal2,
+    micros_between, ts_lit,
 )
 from tidemark.operators.joins import with_project_name
 
@@ -47,7 +47,7 @@ def _ai() -> Column:
 
 
 def _completion_secs() -> Column:
-    return F.when(_arch(), seconds_between("created_at", "updated_at"))
+    return F.when(_arch(), micros_between("created_at", "updated_at"))
 
 
 # --------------------------------------------------------------------------
@@ -69,7 +69,7 @@ def user_analytics_scalars(tasks: DataFrame, user_id: str | None = None) -> Data
            .agg(F.count("*").alias("total_tasks"),
                 F.count_if(_arch()).alias("completed_tasks"),
                 F.count_if(_ai()).alias("ai_enhanced_count"),
-                avg_seconds_as(secs, DAY).alias("average_completion_time_days")))
+                avg_micros_as(secs, DAY).alias("average_completion_time_days")))
     return agg.select(
         "user_id", "total_tasks", "completed_tasks",
         percent(F.col("completed_tasks"), F.col("total_tasks")).alias("completion_rate"),
@@ -108,7 +108,7 @@ def tasks_by_project(tasks: DataFrame, projects: DataFrame, user_id: str | None
 def avg_completion_days(tasks: DataFrame, user_id: str | None = None) -> DataFrame:
     """Mean days from creation to last update of archived tasks (NULL if none)."""
     return (scope_user(tasks, user_id).groupBy("user_id")
-            .agg(avg_seconds_as(_completion_secs(), DAY).alias("average_completion_time_days")))
+            .agg(avg_micros_as(_completion_secs(), DAY).alias("average_completion_time_days")))
 
 
 def productivity_trend(tasks: DataFrame, *, as_of=None, days: int = 30,
@@ -171,10 +171,10 @@ def daily_completions(tasks: DataFrame, *, as_of=None, days_back: int = 30,
                       user_id: str | None = None) -> DataFrame:
     """Archived tasks by day of last update within ``days_back`` days."""
     t = scope_user(tasks, user_id).where(_arch() & (F.col("updated_at") >= days_before(as_of, days_back)))
-    secs = seconds_between("created_at", "updated_at")
+    secs = micros_between("created_at", "updated_at")
     return (t.groupBy("user_id", F.to_date("updated_at").alias("date"))
             .agg(F.count("*").alias("completed"),
-                 avg_seconds_as(secs, HOUR).alias("avg_completion_time_hours"),
+                 avg_micros_as(secs, HOUR).alias("avg_completion_time_hours"),
                  F.count_if(_ai()).alias("ai_enhanced_completed")))
 
 
@@ -186,7 +186,7 @@ def project_performance(tasks: DataFrame, projects: DataFrame, *, as_of=None, da
                           projects, coalesce_unknown=coalesce_unknown)
     return (t.groupBy("user_id", "project_name")
             .agg(F.count("*").alias("_n"), F.count_if(_arch()).alias("_done"),
-                 avg_seconds_as(_completion_secs(), HOUR).alias("avg_completion_time"))
+                 avg_micros_as(_completion_secs(), HOUR).alias("avg_completion_time"))
             .select("user_id", "project_name",
                     percent(F.col("_done"), F.col("_n"), zero_when_empty=False).alias("completion_rate"),
                     "avg_completion_time"))
@@ -311,7 +311,7 @@ def user_statistics(tasks: DataFrame) -> DataFrame:
                  F.count_if(_arch()).alias("completed_tasks"),
                  F.count_if(_ai()).alias("ai_enhanced_tasks"),
                  F.countDistinct("project_id").alias("active_projects"),
-                 avg_seconds_as(_completion_secs(), DAY).alias("avg_completion_days"),
+                 avg_micros_as(_completion_secs(), DAY).alias("avg_completion_days"),
                  F.max("created_at").alias("last_task_created"),
                  F.max(F.when(_arch(), F.col("updated_at"))).alias("last_task_completed")))
 
@@ -328,7 +328,7 @@ def productivity_analytics(tasks: DataFrame, *, as_of=None, days: int = 90) -> D
                  F.count_if(_arch()).alias("tasks_completed"),
                  F.count_if(_ai()).alias("ai_tasks_created"),
                  F.count_if(_ai() & _arch()).alias("ai_tasks_completed"),
-                 avg_seconds_as(_completion_secs(), HOUR).alias("avg_completion_hours"),
+                 avg_micros_as(_completion_secs(), HOUR).alias("avg_completion_hours"),
                  F.mode("priority", True).alias("most_common_priority"))
             .orderBy("user_id", F.col("date").desc()))
 

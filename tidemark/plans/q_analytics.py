@@ -8,7 +8,7 @@ from tidemark.plans.registry import REPORT_AS_OF, register
 from tidemark.sources.tables import load_views
 
 NOW = f"timestamp '{REPORT_AS_OF}'"
-SECS = "date_diff('second', created_at, updated_at)"
+SECS = "date_diff('microsecond', created_at, updated_at)"
 
 
 def pct_sql(num: str, den: str, zero: bool = True) -> str:
@@ -47,7 +47,7 @@ select user_id, total_tasks, completed_tasks,
 from (select user_id, count(*) as total_tasks,
              count(*) filter (where archived) as completed_tasks,
              count(*) filter (where ai_enhanced) as ai_n,
-             {avg_sql(ARCH_SECS, 86400.0)} as average_completion_time_days
+             {avg_sql(ARCH_SECS, 86400000000.0)} as average_completion_time_days
       from tasks group by user_id) s"""
 
 
@@ -93,7 +93,7 @@ def q_tasks_by_project(spark, sf):
 
 
 @register("avg_completion_days", with_views(f"""
-select user_id, {avg_sql(ARCH_SECS, 86400.0)} as average_completion_time_days
+select user_id, {avg_sql(ARCH_SECS, 86400000000.0)} as average_completion_time_days
 from tasks group by user_id"""))
 def q_avg_completion_days(spark, sf):
     t, _ = _views(spark, sf)
@@ -112,7 +112,7 @@ def q_productivity_trend(spark, sf):
 
 @register("daily_completions", with_views(f"""
 select user_id, cast(updated_at as date) as date, count(*) as completed,
-       {avg_sql(SECS, 3600.0)} as avg_completion_time_hours,
+       {avg_sql(SECS, 3600000000.0)} as avg_completion_time_hours,
        count(*) filter (where ai_enhanced) as ai_enhanced_completed
 from tasks where archived and updated_at >= {NOW} - interval 30 day
 group by user_id, cast(updated_at as date)"""))
@@ -124,7 +124,7 @@ def q_daily_completions(spark, sf):
 _PERF = f"""
 select t.user_id, {{name}} as project_name,
        {pct_sql('count(*) filter (where t.archived)', 'count(*)', zero=False)} as completion_rate,
-       {avg_sql("case when t.archived then date_diff('second', t.created_at, t.updated_at) end", 3600.0)}
+       {avg_sql("case when t.archived then date_diff('microsecond', t.created_at, t.updated_at) end", 3600000000.0)}
          as avg_completion_time
 from tasks t left join projects p on t.project_id = p.id
 where t.created_at >= {NOW} - interval 30 day
@@ -231,7 +231,7 @@ select user_id, count(*) as total_tasks,
        count(*) filter (where archived) as completed_tasks,
        count(*) filter (where ai_enhanced) as ai_enhanced_tasks,
        count(distinct project_id) as active_projects,
-       {avg_sql(ARCH_SECS, 86400.0)} as avg_completion_days,
+       {avg_sql(ARCH_SECS, 86400000000.0)} as avg_completion_days,
        max(created_at) as last_task_created,
        max(case when archived then updated_at end) as last_task_completed
 from tasks group by user_id"""))
@@ -246,7 +246,7 @@ select g.*, m.most_common_priority from (
          count(*) filter (where archived) as tasks_completed,
          count(*) filter (where ai_enhanced) as ai_tasks_created,
          count(*) filter (where ai_enhanced and archived) as ai_tasks_completed,
-         {avg_sql(ARCH_SECS, 3600.0)} as avg_completion_hours
+         {avg_sql(ARCH_SECS, 3600000000.0)} as avg_completion_hours
   from tasks where created_at >= {NOW} - interval 90 day
   group by user_id, cast(created_at as date)) g
 left join (

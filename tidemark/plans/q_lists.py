@@ -329,8 +329,8 @@ def q_projects_ordered(spark, sf):
 select user_id, row_number() over (partition by user_id order by date) as pos, date, completed,
        avg_completion_time_hours, ai_enhanced_completed
 from (select user_id, cast(updated_at as date) as date, count(*) as completed,
-             case when count(*) > 0 then cast(sum(date_diff('second', created_at, updated_at)) as double)
-                  / (cast(count(*) as double) * 3600.0::double) end as avg_completion_time_hours,
+             case when count(*) > 0 then cast(sum(date_diff('microsecond', created_at, updated_at)) as double)
+                  / (cast(count(*) as double) * 3600000000.0::double) end as avg_completion_time_hours,
              count(*) filter (where ai_enhanced) as ai_enhanced_completed
       from tasks where archived and updated_at >= timestamp '{REPORT_AS_OF}' - interval 30 day
       group by user_id, cast(updated_at as date)) d"""))

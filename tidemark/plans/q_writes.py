@@ -274,8 +274,8 @@ def q_user_change_stream(spark, sf):
 select user_id, count(*) as total_tasks, count(*) filter (where archived) as completed_tasks,
        count(*) filter (where ai_enhanced) as ai_enhanced_tasks, count(distinct project_id) as active_projects,
        case when count(case when archived then 1 end) > 0 then
-         cast(sum(case when archived then date_diff('second', created_at, updated_at) end) as double)
-         / (cast(count(case when archived then 1 end) as double) * 86400.0::double) end as avg_completion_days,
+         cast(sum(case when archived then date_diff('microsecond', created_at, updated_at) end) as double)
+         / (cast(count(case when archived then 1 end) as double) * 86400000000.0::double) end as avg_completion_days,
        max(created_at) as last_task_created, max(case when archived then updated_at end) as last_task_completed
 from tasks group by user_id"""))
 def q_mv_user_statistics(spark, sf):

@@ -1,10 +1,71 @@
-"""Stored aggregates and change-feed jobs (A11, J8 and the stream drivers)."""
+"""Change-feed streams and stateful jobs.
+
+Sources are Structured Streaming reads of the event log; each job is
+``readStream -> transformations -> writeStream`` with a checkpoint in the
+session's shared checkpoint folder, so a restarted job resumes where it
+stopped. Jobs that must update stored tables (live lists, postings,
+statistics) use ``foreachBatch``: every micro-batch is applied as a
+set-based batch job over the touched keys only.
+
+The response cache (J6) needs an ordered fold per key; in streaming it is
+``applyInPandasWithState`` with one timestamp of state per key, and in
+batch the fold runs per independent segment (see ``ttl_dedup``).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
+
+from tidemark.functions.rules import CACHE_TTL_SECONDS
 from tidemark.operators.analytics import user_statistics
+from tidemark.operators.lists import task_list
+from tidemark.operators.mutations import change_feed_from_events
+from tidemark.operators.search import search_postings
+from tidemark.session import ensure_checkpoint_dir
+
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The event log as a stream (A9 source): the parquet file(s) named events*.parquet."""
+    r = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
+
+
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9/J5 source: the task change feed as a stream."""
+    return change_feed_from_events(read_event_stream(spark, sf_dir))
+
+
+def run_to_completion(stream: DataFrame, batch_fn, name: str) -> None:
+    """Run a ``foreachBatch`` job over everything available now, then stop."""
+    spark = stream.sparkSession
+    q = (stream.writeStream.foreachBatch(batch_fn)
+         .option("checkpointLocation", scratch_path(spark, name + "-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def refresh_user_statistics(tasks: DataFrame, path: str) -> DataFrame:
@@ -16,3 +77,187 @@ def refresh_user_statistics(tasks: DataFrame, path: str) -> DataFrame:
     spark = tasks.sparkSession
     user_statistics(tasks).repartition("user_id").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def apply_updates(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """Apply the latest UPDATE of each task in ``changes`` (archived flag, updated_at)."""
+    upd = changes.where(F.col("operation") == "UPDATE")
+    last = (upd.groupBy(F.col("task_id").alias("_tid"))
+            .agg(F.max_by(F.struct("archived", "ts"), F.struct("ts", "event_id")).alias("_l")))
+    j = snapshot.join(last, snapshot["id"] == last["_tid"], "left")
+    hit = F.col("_tid").isNotNull()
+    return j.select(*[F.when(hit, F.col("_l.archived")).otherwise(F.col(c)).alias(c) if c == "archived"
+                      else F.when(hit, F.col("_l.ts")).otherwise(F.col(c)).alias(c) if c == "updated_at"
+                      else F.col(c) for c in snapshot.columns])
+
+
+def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str, **filters) -> DataFrame:
+    """Keep a filtered task list current from the change stream.
+
+    Each micro-batch applies its changes to the stored snapshot (a new
+    version folder per batch; the last one is the current list) and
+    recomputes the list with ``task_list(**filters)``.
+    """
+    state = {"snapshot": scratch_path(spark, "live-snapshot")}
+    tasks.write.mode("overwrite").parquet(state["snapshot"] + "/v0")
+    state["version"] = f"{state['snapshot']}/v0"
+
+    def batch(changes: DataFrame, epoch: int) -> None:
+        snap = spark.read.parquet(state["version"])
+        nxt = f"{state['snapshot']}/v{epoch + 1}"
+        apply_updates(snap, changes).write.mode("overwrite").parquet(nxt)
+        state["version"] = nxt
+        task_list(spark.read.parquet(nxt), order=False, **filters).write.mode("overwrite").parquet(out_path)
+
+    run_to_completion(change_stream(spark, sf_dir), batch, "live-list")
+    return spark.read.parquet(out_path)
+
+
+def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str) -> DataFrame:
+    """Re-index the tasks touched by each micro-batch (postings replaced per task)."""
+    search_postings(tasks).write.mode("overwrite").parquet(out_path + "/v0")
+    state = {"version": out_path + "/v0"}
+
+    def batch(changes: DataFrame, epoch: int) -> None:
+        touched = changes.select(F.col("task_id").alias("id")).distinct()
+        fresh = search_postings(tasks.join(touched, "id"))
+        old = spark.read.parquet(state["version"]).join(touched, "id", "left_anti")
+        nxt = f"{out_path}/v{epoch + 1}"
+        old.unionByName(fresh).write.mode("overwrite").parquet(nxt)
+        state["version"] = nxt
+
+    run_to_completion(change_stream(spark, sf_dir), batch, "search-vector")
+    return spark.read.parquet(state["version"])
+
+
+def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str) -> DataFrame:
+    """Keep the stored statistics current; each batch recomputes only the touched users.
+
+    Archive flips and maxima are not insert-only, so touched users are
+    recomputed from their current rows rather than incremented.
+    """
+    snap_root = scratch_path(spark, "stats-snapshot")
+    tasks.write.mode("overwrite").parquet(snap_root + "/v0")
+    user_statistics(tasks).write.mode("overwrite").parquet(out_path + "/v0")
+    state = {"snap": snap_root + "/v0", "stats": out_path + "/v0"}
+
+    def batch(changes: DataFrame, epoch: int) -> None:
+        snap = apply_updates(spark.read.parquet(state["snap"]), changes)
+        nsnap = f"{snap_root}/v{epoch + 1}"
+        snap.write.mode("overwrite").parquet(nsnap)
+        snap = spark.read.parquet(nsnap)
+        ids = changes.where(F.col("operation") == "UPDATE").select(F.col("task_id").alias("id")).distinct()
+        users = snap.join(ids, "id").select("user_id").distinct()
+        fresh = user_statistics(snap.join(users, "user_id"))
+        kept = spark.read.parquet(state["stats"]).join(users, "user_id", "left_anti")
+        nstats = f"{out_path}/v{epoch + 1}"
+        kept.unionByName(fresh).write.mode("overwrite").parquet(nstats)
+        state.update(snap=nsnap, stats=nstats)
+
+    run_to_completion(change_stream(spark, sf_dir), batch, "stats")
+    return spark.read.parquet(state["stats"])
+
+
+# --------------------------------------------------------------------------
+# Response cache with a fixed time-to-live
+# --------------------------------------------------------------------------
+
+TTL_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("key", T.StringType()),
+                        T.StructField("is_miss", T.BooleanType())])
+
+
+def _fold(ts_us: np.ndarray, ttl_us: int, last_miss: int | None) -> tuple[np.ndarray, int | None]:
+    """Sequential cache fold over sorted times: a miss starts a new TTL window."""
+    out = np.zeros(len(ts_us), dtype=bool)
+    m = last_miss
+    for i, t in enumerate(ts_us):
+        if m is None or t - m >= ttl_us:
+            m = int(t)
+            out[i] = True
+    return out, m
+
+
+def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "event_id",
+              ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+    """J6 (batch): mark each request as a cache miss or hit.
+
+    A request whose key was answered less than ``ttl_seconds`` after the
+    *first* (missing) request of the current window is a hit; hits do not
+    extend the window; the first request at or after it expires is a new
+    miss. Order is (ts, id).
+
+    Exact split into independent parts: time is cut into buckets of one TTL.
+    If bucket b-1 of a key holds no request, every earlier request is more
+    than a TTL before bucket b, so the first request of b is a miss whatever
+    came before. Runs of consecutive non-empty buckets are therefore
+    independent segments; the fold runs per (key, segment) with
+    ``applyInPandas``. Segment ids come from per-bucket summaries (a few
+    rows per key and TTL of time), not from the requests themselves.
+    """
+    ttl_us = int(ttl_seconds * 1_000_000)
+    us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts_col))
+    ev = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("string").alias("key"),
+                       us.alias("ts_us")).withColumn("bucket", F.floor(F.col("ts_us") / F.lit(ttl_us)))
+    w = Window.partitionBy("key").orderBy("bucket")
+    buckets = ev.groupBy("key", "bucket").agg(F.count("*").alias("_n"))
+    starts = F.when(F.lag("bucket").over(w).isNull() | (F.lag("bucket").over(w) < F.col("bucket") - 1), 1).otherwise(0)
+    segs = (buckets.withColumn("_start", starts)
+            .withColumn("segment", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .select("key", "bucket", "segment"))
+    tagged = ev.join(segs, ["key", "bucket"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive sorted by (key, segment, ts, id); state is carried across batches
+        cur, last = None, None
+        for pdf in batches:
+            keys = pdf["key"].to_numpy()
+            segs_ = pdf["segment"].to_numpy(np.int64)
+            ts = pdf["ts_us"].to_numpy(np.int64)
+            miss = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                g = (keys[i], segs_[i])
+                if g != cur:
+                    cur, last = g, None
+                if last is None or ts[i] - last >= ttl_us:
+                    last = int(ts[i])
+                    miss[i] = True
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": keys, "is_miss": miss})
+
+    ordered = (tagged.repartition("key", "segment")
+               .sortWithinPartitions("key", "segment", "ts_us", "event_id"))
+    return ordered.mapInPandas(fold, TTL_OUT)
+
+
+TTL_STATE = T.StructType([T.StructField("last_miss_us", T.LongType())])
+
+
+def ttl_dedup_stream(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "event_id",
+                     ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+    """J6 (stream): the same fold with one timestamp of state per key.
+
+    Requests must arrive in time order per key across micro-batches (a log
+    stream); within a batch they are sorted.
+    """
+    ttl_us = int(ttl_seconds * 1_000_000)
+    us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts_col))
+    ev = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("string").alias("key"), us.alias("ts_us"))
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="mergesort")
+        last = state.get[0] if state.exists else None
+        miss, last = _fold(pdf["ts_us"].to_numpy(np.int64), ttl_us, last)
+        state.update((last,))
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(), "is_miss": miss})
+
+    return ev.groupBy("key").applyInPandasWithState(step, TTL_OUT, TTL_STATE, "append", "NoTimeout")
+
+
+def ttl_dedup_streaming_run(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+    """Run the streaming cache fold over the event log into a parquet sink and read it back."""
+    out = scratch_path(spark, "ttl-out")
+    stream = ttl_dedup_stream(read_event_stream(spark, sf_dir), key)
+    q = (stream.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ttl-ckpt"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(TTL_OUT).parquet(out)
