@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
 from tidemark.functions.text import js_collapse_ws, js_trim, replace_first
+from tidemark.session import spread
 
 
 def _contains_any(low: Column, words: list[str]) -> Column:
@@ -154,7 +155,7 @@ def with_smart_parse(df: DataFrame, text_col: str, out: str = "parsed") -> DataF
     small: the quick rule is looked up by index in a literal array rather
     than repeated per prefix.
     """
-    d = df.withColumn("_sp_t", js_trim(F.col(text_col)))
+    d = spread(df).withColumn("_sp_t", js_trim(F.col(text_col)))
     t = F.col("_sp_t")
     d = d.select("*", extract_date(t).alias("_sp_dt"), extract_time(t).alias("_sp_tm"),
                  extract_people(t).alias("_sp_pp"), infer_category(t).alias("_sp_cat"),

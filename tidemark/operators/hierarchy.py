@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
+CHECKPOINT_EVERY = 4
+
+
+def _materialize(df: DataFrame, level: int) -> DataFrame:
+    """Keep a level: cached for the next join; every few levels a reliable
+    checkpoint cuts the lineage so a lost executor re-runs few levels."""
+    if level % CHECKPOINT_EVERY == 0:
+        return df.checkpoint()
+    return df.persist()
+
 
 def _edges(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("parent_task_id").isNotNull()).select("id", "parent_task_id")
@@ -39,11 +49,14 @@ def descendants(tasks: DataFrame, seeds: DataFrame, max_levels: int = 10_000) ->
         nxt = (edges.join(frontier.select(F.col("id").alias("parent_task_id")), "parent_task_id")
                .select("id").distinct()
                .join(visited, "id", "left_anti")
-               .withColumn("level", F.lit(level)).checkpoint())
+               .withColumn("level", F.lit(level)))
+        nxt = _materialize(nxt, level)
         if nxt.isEmpty():
             break
         reached.append(nxt)
         visited = visited.unionByName(nxt.select("id"))
+        if level % CHECKPOINT_EVERY == 0:
+            visited = visited.checkpoint()
         frontier = nxt
     out = reached[0]
     for r in reached[1:]:
@@ -78,11 +91,14 @@ def state_cascade(tasks: DataFrame, changes: DataFrame, state_col: str = "archiv
                .select("id", "new_state")
                .join(visited, "id", "left_anti")
                .dropDuplicates(["id"])
-               .withColumn("level", F.lit(level)).checkpoint())
+               .withColumn("level", F.lit(level)))
+        nxt = _materialize(nxt, level)
         if nxt.isEmpty():
             break
         reached.append(nxt)
         visited = visited.unionByName(nxt.select("id"))
+        if level % CHECKPOINT_EVERY == 0:
+            visited = visited.checkpoint()
         frontier = nxt.select("id", "new_state")
     out = reached[0]
     for r in reached[1:]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import with_project_name
 from tidemark.operators.lists import top_n
+from tidemark.session import spread
 
 # English stop words (the common Snowball list), in its order.
 STOP_WORDS = [
@@ -69,10 +70,10 @@ def stem(w: Column) -> Column:
             .otherwise(w))
 
 
-def tokens(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
+def tokens(df: DataFrame, text: Column, keys: list[str], spread_rows: bool = True) -> DataFrame:
     """(keys, pos, lexeme): positions count all tokens; stop words are dropped after."""
     stops = F.array(*[F.lit(s) for s in STOP_WORDS])
-    t = df.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
+    t = (spread(df) if spread_rows else df).select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     return (t.where(~F.array_contains(stops, F.col("tok")))
             .select(*keys, (F.col("pos") + 1).alias("pos"), stem(F.col("tok")).alias("lexeme")))
 
@@ -87,19 +88,29 @@ def search_postings(tasks: DataFrame, keys: list[str] | None = None) -> DataFram
 def query_terms(queries: DataFrame, query_col: str = "query", keys: list[str] | None = None) -> DataFrame:
     """Distinct normalised terms of each query (an all-stop-word query has none)."""
     keys = keys or ["user_id"]
-    return tokens(queries, F.col(query_col), keys).select(*keys, "lexeme").distinct()
+    return tokens(queries, F.col(query_col), keys, spread_rows=False).select(*keys, "lexeme").distinct()
 
 
-def search_match(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Documents of the querying user containing every query term."""
+def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Positions of query terms in the querying user's documents: (keys, id, lexeme, pos, n_terms).
+
+    The query side (terms with their count per query) is bounded by the
+    query texts and broadcast; the documents are tokenized once.
+    """
     keys = keys or ["user_id"]
     terms = query_terms(queries, keys=keys)
-    n_terms = terms.groupBy(*keys).agg(F.count("*").alias("n_terms"))
+    qt = terms.join(terms.groupBy(*keys).agg(F.count("*").alias("n_terms")), keys)
     toks = tokens(tasks, document(tasks), [*keys, "id"])
-    hits = toks.join(F.broadcast(terms), [*keys, "lexeme"])
-    found = hits.groupBy(*keys, "id").agg(F.countDistinct("lexeme").alias("n_found"))
-    return (found.join(F.broadcast(n_terms), keys).where(F.col("n_found") == F.col("n_terms"))
-            .select(*keys, "id", "n_terms"))
+    return toks.join(F.broadcast(qt), [*keys, "lexeme"])
+
+
+def search_match(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
+                 occ: DataFrame | None = None) -> DataFrame:
+    """Documents of the querying user containing every query term."""
+    keys = keys or ["user_id"]
+    occ = occurrences(tasks, queries, keys) if occ is None else occ
+    return (occ.groupBy(*keys, "id", "n_terms").agg(F.countDistinct("lexeme").alias("n_found"))
+            .where(F.col("n_found") == F.col("n_terms")).select(*keys, "id", "n_terms"))
 
 
 def _word_distance(d: Column) -> Column:
@@ -115,11 +126,9 @@ def search_rank(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = N
     position pairs of different terms, wd(d) = 1/(1.005 + 0.05 exp(d/1.5 - 2)).
     """
     keys = keys or ["user_id"]
-    m = search_match(tasks, queries, keys)
-    terms = query_terms(queries, keys=keys)
-    toks = tokens(tasks, document(tasks), [*keys, "id"])
-    occ = (toks.join(F.broadcast(terms), [*keys, "lexeme"])
-           .join(m.select(*keys, "id", "n_terms"), [*keys, "id"]))
+    occ_all = occurrences(tasks, queries, keys)
+    m = search_match(tasks, queries, keys, occ=occ_all)
+    occ = occ_all.join(m.select(*keys, "id"), [*keys, "id"], "left_semi")
     # single term: n positions -> sum 1/k^2 in a fixed order
     single = (occ.where(F.col("n_terms") == 1).groupBy(*keys, "id").agg(F.count("*").alias("n"))
               .select(*keys, "id", (F.lit(WEIGHT) * F.aggregate(

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions import enrich as E
 from tidemark.functions import rules as R
 from tidemark.functions.text import js_trim
+from tidemark.session import spread
 
 
 def smart_parse(df: DataFrame, text_col: str = "task", out: str = "parsed") -> DataFrame:
@@ -36,6 +37,7 @@ def smart_parse_flat(df: DataFrame, text_col: str = "task", key: str = "id") ->
 
 def breakdown(df: DataFrame, text_col: str = "task", key: str = "id") -> DataFrame:
     """H12 + H13: one row per step: (key, step, task, priority, estimated_time, total)."""
+    df = spread(df)
     t = js_trim(F.col(text_col))
     steps = df.select(key, E.breakdown_steps(t).alias("_s"), E.breakdown_total_time(t).alias("total_estimated_time"),
                       F.when(E.breakdown_key(t).isNull(), F.lit(R.GENERIC_BREAKDOWN_NOTE)).alias("suggestion"))
@@ -55,6 +57,7 @@ def prioritize(tasks: DataFrame, text_col: str = "task", title_col: str | None =
 
 def suggestions(df: DataFrame, text_col: str = "task", key: str = "id") -> DataFrame:
     """H15 long form: (key, category, kind, pos, text) for suggestions and related actions."""
+    df = spread(df)
     t = js_trim(F.col(text_col))
     base = df.select(key, F.coalesce(E.suggestion_topic(t), F.lit(R.DEFAULT_CATEGORY)).alias("category"),
                      E.contextual_suggestions(t).alias("_sug"))

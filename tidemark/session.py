@@ -56,3 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             conf_dir = os.path.join(wh, "_tidemark_checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def spread(df):
+    """Give CPU-heavy row-wise work at least one partition per core.
+
+    A large table already arrives in many file splits and is returned as is;
+    a small input that lands in one or two splits (one row group) is spread
+    round-robin so the expression work runs on every core.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
