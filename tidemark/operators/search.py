@@ -8,12 +8,14 @@ are not reduced.
 
 Plan shape: the postings (doc, lexeme, position) are built with
 ``regexp_extract_all`` + ``posexplode`` (no UDF). Query terms are tiny and
-bounded by the query text, so they are broadcast. Matching is a join on
-(user, lexeme) followed by a distinct-term count per document. Relevance
-needs position pairs of different query terms; only pairs at most 100
-tokens apart weigh anything (farther pairs weigh 1e-16, which does not
-change a REAL), so pairs are found with a band join on (doc, position
-bucket) instead of all position pairs of a document. Top-k per user uses
+bounded by the query text, so they are broadcast. The occurrences of query
+terms are then gathered per document in one shuffle (they come from a
+single row, so the per-document list is bounded by that row's text), and
+matching (all terms present) and relevance are expressions over that
+list. Relevance needs position pairs of different query terms; only pairs
+at most 100 tokens apart weigh anything (farther pairs weigh 1e-16, which
+does not change a REAL), so each occurrence is paired with at most the next
+100 occurrences instead of all pairs. Top-k per user uses
 ``row_number() <= k``, which Spark limits per map task before the shuffle.
 """
 
@@ -104,13 +106,25 @@ def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = N
     return toks.join(F.broadcast(qt), [*keys, "lexeme"])
 
 
-def search_match(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
-                 occ: DataFrame | None = None) -> DataFrame:
+def doc_hits(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per matching document: (keys, id, n_terms, n_pos, occs).
+
+    One shuffle by document: the occurrences of query terms in a document
+    come from that one row, so gathering them per document is bounded by
+    the row's own text. ``occs`` is sorted by position.
+    """
+    keys = keys or ["user_id"]
+    occ = occurrences(tasks, queries, keys)
+    per_doc = occ.groupBy(*keys, "id").agg(
+        F.max("n_terms").alias("n_terms"), F.size(F.collect_set("lexeme")).alias("n_found"),
+        F.count("*").alias("n_pos"), F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("occs"))
+    return per_doc.where(F.col("n_found") == F.col("n_terms")).drop("n_found")
+
+
+def search_match(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Documents of the querying user containing every query term."""
     keys = keys or ["user_id"]
-    occ = occurrences(tasks, queries, keys) if occ is None else occ
-    return (occ.groupBy(*keys, "id", "n_terms").agg(F.countDistinct("lexeme").alias("n_found"))
-            .where(F.col("n_found") == F.col("n_terms")).select(*keys, "id", "n_terms"))
+    return doc_hits(tasks, queries, keys).select(*keys, "id", "n_terms")
 
 
 def _word_distance(d: Column) -> Column:
@@ -118,39 +132,41 @@ def _word_distance(d: Column) -> Column:
         F.lit(1.0) / (F.lit(1.005) + F.lit(0.05) * F.exp(d / F.lit(1.5) - F.lit(2.0))))
 
 
-def search_rank(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """I4: relevance of each matching document (REAL, as the default ranking).
+def rank_expr(n_terms: Column, n_pos: Column, occs: Column) -> Column:
+    """Relevance (REAL) from the sorted occurrences of the query terms in one document.
 
     One distinct term: 0.1 * sum_{k=1..n} 1/k^2 / 1.64493406685 over its n
     positions. Several: 1 - prod(1 - sqrt(0.1 * 0.1 * wd(dist))) over the
     position pairs of different terms, wd(d) = 1/(1.005 + 0.05 exp(d/1.5 - 2)).
+    Positions are distinct and sorted, so every partner within MAX_DIST of
+    element i lies in the next MAX_DIST elements: the pair scan is bounded
+    by MAX_DIST per occurrence. Farther pairs weigh 1e-16, which leaves a
+    REAL unchanged, and are skipped.
     """
+    single = F.lit(WEIGHT) * F.aggregate(
+        F.sequence(F.lit(1), n_pos.cast("int")), F.lit(0.0),
+        lambda acc, k: acc + F.lit(1.0) / (k * k).cast("double")) / F.lit(ZETA2)
+
+    def near_sum(acc, i):
+        me = F.element_at(occs, i)
+        nxt = F.filter(F.slice(occs, i + 1, MAX_DIST),
+                       lambda o: (o["lexeme"] != me["lexeme"]) & (o["pos"] - me["pos"] <= MAX_DIST))
+        part = F.aggregate(nxt, F.lit(0.0), lambda a, o: a + F.log1p(
+            -F.sqrt(F.lit(WEIGHT * WEIGHT) * _word_distance((o["pos"] - me["pos"]).cast("double")))))
+        return acc + part
+
+    log_keep = F.aggregate(F.sequence(F.lit(1), F.size(occs)), F.lit(0.0), near_sum)
+    multi = F.when(log_keep < 0, F.lit(1.0) - F.exp(log_keep))
+    r = F.when(n_terms == 1, single).otherwise(multi)
+    r = F.coalesce(r, F.lit(EMPTY_RANK))
+    return F.when(r <= 0, F.lit(EMPTY_RANK)).otherwise(r).cast("float")
+
+
+def search_rank(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """I4: relevance of each matching document (REAL, as the default ranking)."""
     keys = keys or ["user_id"]
-    occ_all = occurrences(tasks, queries, keys)
-    m = search_match(tasks, queries, keys, occ=occ_all)
-    occ = occ_all.join(m.select(*keys, "id"), [*keys, "id"], "left_semi")
-    # single term: n positions -> sum 1/k^2 in a fixed order
-    single = (occ.where(F.col("n_terms") == 1).groupBy(*keys, "id").agg(F.count("*").alias("n"))
-              .select(*keys, "id", (F.lit(WEIGHT) * F.aggregate(
-                  F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0),
-                  lambda acc, k: acc + F.lit(1.0) / (k * k).cast("double")) / F.lit(ZETA2)).alias("_r")))
-    # several terms: band join of positions of different terms within MAX_DIST
-    multi = occ.where(F.col("n_terms") > 1).select(*keys, "id", "lexeme", "pos")
-    a = multi.withColumn("_b", F.floor(F.col("pos") / MAX_DIST))
-    b = (multi.withColumn("_b", F.explode(F.array(
-        F.floor(F.col("pos") / MAX_DIST) - 1, F.floor(F.col("pos") / MAX_DIST), F.floor(F.col("pos") / MAX_DIST) + 1)))
-        .select(*keys, "id", F.col("lexeme").alias("lexeme_b"), F.col("pos").alias("pos_b"), "_b"))
-    pairs = (a.join(b, [*keys, "id", "_b"])
-             .where((F.col("lexeme") < F.col("lexeme_b")) & (F.abs(F.col("pos") - F.col("pos_b")) <= MAX_DIST)))
-    d = F.abs(F.col("pos") - F.col("pos_b")).cast("double")
-    curw = F.sqrt(F.lit(WEIGHT * WEIGHT) * _word_distance(d))
-    multi_rank = (pairs.groupBy(*keys, "id").agg(F.sum(F.log1p(-curw)).alias("_s"))
-                  .select(*keys, "id", (F.lit(1.0) - F.exp("_s")).alias("_r")))
-    ranked = single.unionByName(multi_rank)
-    all_m = m.select(*keys, "id").join(ranked, [*keys, "id"], "left")
-    r = F.coalesce(F.col("_r"), F.lit(EMPTY_RANK))
-    return all_m.select(*keys, "id", F.when(r <= 0, F.lit(EMPTY_RANK)).otherwise(r).cast("float")
-                        .alias("relevance_score"))
+    h = doc_hits(tasks, queries, keys)
+    return h.select(*keys, "id", rank_expr(F.col("n_terms"), F.col("n_pos"), F.col("occs")).alias("relevance_score"))
 
 
 def search_tasks(tasks: DataFrame, projects: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
