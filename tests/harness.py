@@ -59,15 +59,29 @@ def _rows(cols, records):
     return sorted(out, key=repr)
 
 
+_SPARK_T = {"bigint": "i64", "int": "i32", "smallint": "i16", "tinyint": "i8", "double": "f64", "float": "f32",
+            "string": "str", "boolean": "bool", "timestamp_ntz": "ts", "timestamp": "ts", "date": "date"}
+_DUCK_T = {"BIGINT": "i64", "INTEGER": "i32", "SMALLINT": "i16", "TINYINT": "i8", "DOUBLE": "f64", "FLOAT": "f32",
+           "VARCHAR": "str", "BOOLEAN": "bool", "TIMESTAMP": "ts", "DATE": "date"}
+
+
+def _norm_type(t: str, table: dict) -> str:
+    t = str(t)
+    if t.lower().startswith("decimal"):
+        return t.lower().replace(" ", "")
+    return table.get(t, table.get(t.upper(), t))
+
+
 def spark_rows(df):
     cols = df.columns
-    return cols, [tuple(r) for r in df.collect()]
+    types = {f.name: _norm_type(f.dataType.simpleString(), _SPARK_T) for f in df.schema.fields}
+    return cols, [tuple(r) for r in df.collect()], types
 
 
 def duck_rows(con, sql):
-    cur = con.execute(sql)
-    cols = [d[0] for d in cur.description]
-    return cols, cur.fetchall()
+    rel = con.sql(sql)
+    types = {n: _norm_type(t, _DUCK_T) for n, t in zip(rel.columns, rel.types)}
+    return list(rel.columns), rel.fetchall(), types
 
 
 def compare(scols, srows, dcols, drows):
@@ -87,13 +101,16 @@ def check(spark, name, sf_dir, con=None):
     from tidemark.plans.registry import load_all
     q = load_all()[name]
     t0 = time.time()
-    scols, srows = spark_rows(q.build(spark, sf_dir))
+    scols, srows, stypes = spark_rows(q.build(spark, sf_dir))
     t1 = time.time()
     if q.oracle is None:
         return None, f"rows-only: {len(srows)} rows ({t1 - t0:.1f}s)"
     con = con or duck(sf_dir)
-    dcols, drows = duck_rows(con, q.oracle)
+    dcols, drows, dtypes = duck_rows(con, q.oracle)
     ok, msg = compare(scols, srows, dcols, drows)
+    tdiff = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes) if stypes.get(c) != dtypes.get(c)}
+    if ok and tdiff:
+        ok, msg = False, f"column types differ (spark, duck): {tdiff}"
     return ok, f"{msg} (spark {t1 - t0:.1f}s, duck {time.time() - t1:.1f}s)"
 
 

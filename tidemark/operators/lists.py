@@ -272,7 +272,7 @@ def editable_text(edits: DataFrame, text_col: str = "new_text") -> DataFrame:
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """First ``n`` rows of each group in ``order`` with their rank (1-based)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= n)
 
 
 def last_messages(conv: DataFrame, n: int = 10) -> DataFrame:
@@ -303,4 +303,4 @@ def ordered_list_long(df: DataFrame, keys: list[str], order_cols: list[str],
     packed = (df.groupBy(*keys)
               .agg(F.sort_array(F.collect_list(F.struct(*order_cols, *value_cols))).alias("_l")))
     return packed.select(*keys, F.posexplode("_l").alias("pos", "_e")).select(
-        *keys, (F.col("pos") + 1).alias("pos"), *[F.col("_e." + c).alias(c) for c in order_cols + value_cols])
+        *keys, (F.col("pos") + 1).cast("long").alias("pos"), *[F.col("_e." + c).alias(c) for c in order_cols + value_cols])

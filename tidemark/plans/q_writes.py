@@ -111,7 +111,7 @@ def q_versioned_update(spark, sf):
 
 
 @register("bulk_subtasks", with_views(f"""
-select t.id * 10 + s.pos as id, s.prefix || t.task as task, t.project_id, null as date,
+select t.id * 10 + s.pos as id, s.prefix || t.task as task, t.project_id, null::varchar as date,
        case when s.pos = 1 then 'low' else 'high' end as priority, false as archived, t.user_id,
        true as ai_enhanced,
        '{{"parentTask":' || to_json(t.task) || ',"type":"subtask","aiGenerated":true}}' as metadata,
@@ -166,7 +166,7 @@ def q_pending_overlay(spark, sf):
 
 
 @register("confirm_overlay", with_views("""
-select coalesce(o.id, cast(substr(o.temp_id, 6) as bigint) / 1000 + 2000000000) as id,
+select coalesce(o.id, cast(substr(o.temp_id, 6) as bigint) // 1000 + 2000000000) as id,
        null::varchar as temp_id, task, archived, user_id, created_at, updated_at, false as _optimistic,
        overlay_pos, case when archived then 'archived' else 'active' end as list
 from overlay o
