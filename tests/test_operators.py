@@ -110,3 +110,49 @@ def test_search_stemming_and_stop_words(spark):
     assert list(got) == [1] and got[1] > 0
     q2 = spark.createDataFrame([("u1", "the and")], "user_id string, query string")
     assert S.search_match(t, q2).count() == 0
+
+
+def test_user_analytics_record_matches_long_forms(spark):
+    """The one-scan grouping-sets record equals the oracle-checked long forms."""
+    from tidemark.sources.tables import load_views
+    t, p = load_views(spark, "/root/testdata/sf0.001")
+    as_of = "2024-05-15 00:00:00"
+    rec = {r.user_id: r for r in A.user_analytics(t, p, as_of=as_of).collect()}
+    sc = {r.user_id: r for r in A.user_analytics_scalars(t).collect()}
+    assert set(rec) == set(sc)
+    pr, pj, tr = {}, {}, {}
+    for r in A.tasks_by_priority(t).collect():
+        pr.setdefault(r.user_id, {})[r.priority] = r.task_count
+    for r in A.tasks_by_project(t, p).collect():
+        pj.setdefault(r.user_id, {})[r.project_name] = r.task_count
+    for r in A.productivity_trend(t, as_of=as_of).collect():
+        tr.setdefault(r.user_id, []).append((r.date, r.completed, r.created))
+    for u, r in rec.items():
+        s = sc[u]
+        assert (r.total_tasks, r.completed_tasks, r.completion_rate, r.ai_enhanced_percentage) == \
+            (s.total_tasks, s.completed_tasks, s.completion_rate, s.ai_enhanced_percentage)
+        assert r.average_completion_time_days == s.average_completion_time_days
+        assert dict(r.tasks_by_priority) == pr.get(u, {})
+        assert dict(r.tasks_by_project) == pj.get(u, {})
+        assert [tuple(x) for x in r.productivity_trend] == sorted(tr.get(u, []))
+
+
+def test_productivity_insights_record_matches_long_forms(spark):
+    from tidemark.sources.tables import load_views
+    t, p = load_views(spark, "/root/testdata/sf0.01")
+    as_of = "2024-05-15 00:00:00"
+    rec = {r.user_id: r for r in A.productivity_insights(t, p, as_of=as_of).collect()}
+    sc = {r.user_id: r for r in A.insight_scalars(t, as_of=as_of).collect()}
+    assert set(rec) == set(sc)
+    daily, perf = {}, {}
+    for r in A.daily_completions(t, as_of=as_of).collect():
+        daily.setdefault(r.user_id, []).append((r.date, r.completed, r.avg_completion_time_hours,
+                                                r.ai_enhanced_completed))
+    for r in A.project_performance(t, p, as_of=as_of).collect():
+        perf.setdefault(r.user_id, set()).add((r.project_name, r.completion_rate, r.avg_completion_time))
+    for u, r in rec.items():
+        s = sc[u]
+        assert (r.peak_productivity_day, r.peak_productivity_hour, r.completion_velocity, r.ai_task_success_rate) == \
+            (s.peak_productivity_day, s.peak_productivity_hour, s.completion_velocity, s.ai_task_success_rate)
+        assert [tuple(x) for x in (r.daily_completions or [])] == sorted(daily.get(u, []))
+        assert {tuple(x) for x in (r.project_performance or [])} == perf.get(u, set())

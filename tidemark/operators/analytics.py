@@ -123,23 +123,52 @@ def user_analytics(tasks: DataFrame, projects: DataFrame, *, as_of=None,
                    user_id: str | None = None) -> DataFrame:
     """The full analytics record per user (flagship of the reference).
 
-    Scalars come from one aggregation; the priority/project maps and the
-    ordered trend list are per-user aggregates joined on user_id (a join of
-    aggregates, sized by the number of users, not tasks). With an explicit
-    ``user_id`` that has no tasks, one zero row is returned.
+    One scan of ``tasks``: the four groupings of the record (per user, per
+    user and priority, per user and project name, per user and creation day
+    in the trend window) are grouping sets of a single aggregation (an
+    Expand before the partial aggregation), followed by one small per-user
+    aggregation that builds the maps and the ordered trend list. The maps
+    have one entry per distinct key (priority domain, project names of the
+    user's tasks) and the trend list at most one entry per day of the window.
+    With an explicit ``user_id`` that has no tasks, one zero row is returned.
     """
-    scal = user_analytics_scalars(tasks, user_id)
-    prio = (tasks_by_priority(tasks, user_id).groupBy("user_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("priority", "task_count")))
-                 .alias("tasks_by_priority")))
-    proj = (tasks_by_project(tasks, projects, user_id).groupBy("user_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("project_name", "task_count")))
-                 .alias("tasks_by_project")))
-    trend = (productivity_trend(tasks, as_of=as_of, user_id=user_id).groupBy("user_id")
-             .agg(F.sort_array(F.collect_list(F.struct("date", "completed", "created")))
-                  .alias("productivity_trend")))
-    out = (scal.join(prio, "user_id", "left").join(proj, "user_id", "left")
-           .join(trend, "user_id", "left"))
+    t = with_project_name(
+        scope_user(tasks, user_id).select("user_id", "priority", "project_id", "archived", "ai_enhanced",
+                                          "created_at", "updated_at"), projects)
+    in_trend = F.col("created_at") >= days_before(as_of, 30)
+    t = t.select("user_id", "priority", "project_name", "archived", "ai_enhanced",
+                 F.when(in_trend, F.to_date("created_at")).alias("trend_day"),
+                 _completion_secs().alias("_secs"))
+    sets = [["user_id"], ["user_id", "priority"], ["user_id", "project_name"], ["user_id", "trend_day"]]
+    gs = (t.groupingSets(sets, "user_id", "priority", "project_name", "trend_day")
+          .agg(F.grouping_id().alias("_gid"), F.count("*").alias("_n"), F.count_if(_arch()).alias("_done"),
+               F.count_if(_ai()).alias("_ai"), F.sum("_secs").alias("_sum_us"), F.count("_secs").alias("_n_us")))
+    # grouping_id bits follow the column list (user_id, priority, project_name, trend_day): 1 = not grouped
+    g_user, g_prio, g_proj, g_day = 0b0111, 0b0011, 0b0101, 0b0110
+    gid = F.col("_gid")
+    per_user = gs.groupBy("user_id").agg(
+        F.max(F.when(gid == g_user, F.col("_n"))).alias("total_tasks"),
+        F.max(F.when(gid == g_user, F.col("_done"))).alias("completed_tasks"),
+        F.max(F.when(gid == g_user, F.col("_ai"))).alias("_ai_n"),
+        F.max(F.when(gid == g_user, F.col("_sum_us"))).alias("_sum_us"),
+        F.max(F.when(gid == g_user, F.col("_n_us"))).alias("_n_us"),
+        F.map_from_entries(F.collect_list(F.when((gid == g_prio) & F.col("priority").isNotNull(),
+                                                 F.struct("priority", F.col("_n").alias("task_count")))))
+        .alias("tasks_by_priority"),
+        F.map_from_entries(F.collect_list(F.when(gid == g_proj,
+                                                 F.struct("project_name", F.col("_n").alias("task_count")))))
+        .alias("tasks_by_project"),
+        F.sort_array(F.collect_list(F.when((gid == g_day) & F.col("trend_day").isNotNull(),
+                                           F.struct(F.col("trend_day").alias("date"), F.col("_done").alias("completed"),
+                                                    F.col("_n").alias("created")))))
+        .alias("productivity_trend"))
+    out = per_user.select(
+        "user_id", "total_tasks", "completed_tasks",
+        percent(F.col("completed_tasks"), F.col("total_tasks")).alias("completion_rate"),
+        percent(F.col("_ai_n"), F.col("total_tasks")).alias("ai_enhanced_percentage"),
+        F.when(F.col("_n_us") > 0, F.col("_sum_us").cast("double") / (F.col("_n_us") * F.lit(DAY * 1e6)))
+        .alias("average_completion_time_days"),
+        "tasks_by_priority", "tasks_by_project", "productivity_trend")
     if user_id is not None:
         spark = tasks.sparkSession
         one = spark.createDataFrame([(user_id,)], "user_id string")
@@ -246,17 +275,76 @@ def ai_success_rate(tasks: DataFrame, **kw) -> DataFrame:
 
 def productivity_insights(tasks: DataFrame, projects: DataFrame, *, as_of=None, days_back: int = 30,
                           user_id: str | None = None) -> DataFrame:
-    """The insights record per user: scalars + ordered daily list + project list."""
-    kw = dict(as_of=as_of, days_back=days_back, user_id=user_id)
-    scal = insight_scalars(tasks, **kw)
-    daily = (daily_completions(tasks, **kw).groupBy("user_id")
-             .agg(F.sort_array(F.collect_list(F.struct(
-                 "date", "completed", "avg_completion_time_hours", "ai_enhanced_completed")))
-                 .alias("daily_completions")))
-    perf = (project_performance(tasks, projects, **kw).groupBy("user_id")
-            .agg(F.collect_list(F.struct("project_name", "completion_rate", "avg_completion_time"))
-                 .alias("project_performance")))
-    return scal.join(daily, "user_id", "left").join(perf, "user_id", "left")
+    """The insights record per user: scalars + ordered daily list + project list.
+
+    One scan of ``tasks``: the scalar fields, the daily completions (by day
+    of the last update) and the project performance (tasks created in the
+    window, by project name) are grouping sets of one aggregation, then one
+    small per-user aggregation assembles the lists (bounded by the days of
+    the window and the user's project names).
+    """
+    now = ts_lit(as_of)
+    start = days_before(as_of, days_back)
+    upd = F.col("updated_at")
+    t = with_project_name(
+        scope_user(tasks, user_id).select("user_id", "project_id", "archived", "ai_enhanced",
+                                          "created_at", "updated_at"), projects)
+    in_win = _arch() & (upd >= start)
+    created_in = F.col("created_at") >= start
+    t = t.select(
+        "user_id", "archived", "ai_enhanced", "created_at", "updated_at",
+        F.when(in_win, F.to_date(upd)).alias("done_day"),
+        F.when(created_in, F.col("project_name")).alias("win_project"),
+        F.when(in_win, F.dayofweek(upd) - 1).alias("_dow"), F.when(in_win, F.hour(upd)).alias("_hour"),
+        _completion_secs().alias("_secs"),
+        (_arch() & (upd >= now - F.make_dt_interval(F.lit(7)))).alias("_w7"),
+        (_arch() & (upd >= now - F.make_dt_interval(F.lit(14))) & (upd < now - F.make_dt_interval(F.lit(7))))
+        .alias("_w14"),
+        created_in.alias("_created_in"))
+    sets = [["user_id"], ["user_id", "done_day"], ["user_id", "win_project"], ["user_id", "_dow"],
+            ["user_id", "_hour"]]
+    gs = (t.groupingSets(sets, "user_id", "done_day", "win_project", "_dow", "_hour")
+          .agg(F.grouping_id().alias("_gid"),
+               F.count_if(_arch()).alias("_n_arch"), F.count_if("_w7").alias("_c7"), F.count_if("_w14").alias("_c14"),
+               F.count_if(_ai() & F.col("_created_in")).alias("_ai"),
+               F.count_if(_ai() & _arch() & F.col("_created_in")).alias("_ai_done"),
+               F.count("*").alias("_n"), F.count_if(_ai()).alias("_ai_all"),
+               F.sum("_secs").alias("_sum_us"), F.count("_secs").alias("_n_us"),
+               F.sum(F.when(F.col("done_day").isNotNull(), micros_between("created_at", "updated_at")))
+               .alias("_day_sum_us")))
+    # grouping_id bits follow (user_id, done_day, win_project, _dow, _hour): 1 = not grouped
+    g_user, g_day, g_proj, g_dow, g_hour = 0b01111, 0b00111, 0b01011, 0b01101, 0b01110
+    gid = F.col("_gid")
+    hours = lambda s, n: F.when(n > 0, s.cast("double") / (n * F.lit(HOUR * 1e6)))
+    daily = F.struct(F.col("done_day").alias("date"), F.col("_n").alias("completed"),
+                     hours(F.col("_day_sum_us"), F.col("_n")).alias("avg_completion_time_hours"),
+                     F.col("_ai_all").alias("ai_enhanced_completed"))
+    perf = F.struct(F.col("win_project").alias("project_name"),
+                    percent(F.col("_n_arch"), F.col("_n"), zero_when_empty=False).alias("completion_rate"),
+                    hours(F.col("_sum_us"), F.col("_n_us")).alias("avg_completion_time"))
+
+    def mode_of(g, col):
+        # most frequent value, lowest value on ties: max of (count, -value)
+        best = F.max(F.when((gid == g) & F.col(col).isNotNull(), F.struct(F.col("_n").alias("n"), (-F.col(col)).alias("v"))))
+        return (-best["v"]).cast("int")
+
+    per_user = gs.groupBy("user_id").agg(
+        *[F.max(F.when(gid == g_user, F.col(c))).alias(c)
+          for c in ["_n_arch", "_c7", "_c14", "_ai", "_ai_done"]],
+        mode_of(g_dow, "_dow").alias("_peak_day"), mode_of(g_hour, "_hour").alias("_peak_hour"),
+        F.sort_array(F.collect_list(F.when((gid == g_day) & F.col("done_day").isNotNull(), daily)))
+        .alias("daily_completions"),
+        F.collect_list(F.when((gid == g_proj) & F.col("win_project").isNotNull(), perf)).alias("project_performance"))
+    velocity = F.when(F.col("_n_arch") > 7,
+                      round_decimal2((F.col("_c7") - F.col("_c14")) / F.lit(7.0).cast("decimal(2,1)"))
+                      ).otherwise(F.lit(0).cast("decimal(10,2)"))
+    return per_user.select(
+        "user_id", F.col("_peak_day").cast("int").alias("peak_productivity_day"),
+        F.col("_peak_hour").cast("int").alias("peak_productivity_hour"),
+        velocity.alias("completion_velocity"),
+        percent(F.col("_ai_done"), F.col("_ai")).alias("ai_task_success_rate"),
+        F.when(F.size("daily_completions") > 0, F.col("daily_completions")).alias("daily_completions"),
+        F.when(F.size("project_performance") > 0, F.col("project_performance")).alias("project_performance"))
 
 
 def insights_single_scope(tasks: DataFrame, *, as_of=None, days_back: int = 30,
