@@ -94,7 +94,11 @@ def spread(df):
     round-robin so the expression work runs on every core.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

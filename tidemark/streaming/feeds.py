@@ -9,7 +9,7 @@ set-based batch job over the touched keys only.
 
 The response cache (J6) needs an ordered fold per key; in streaming it is
 ``applyInPandasWithState`` with one timestamp of state per key, and in
-batch the fold runs per independent segment (see ``ttl_dedup``).
+batch the fold streams over independent segments (see ``ttl_dedup``).
 """
 
 from __future__ import annotations
@@ -190,9 +190,12 @@ def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "ev
     If bucket b-1 of a key holds no request, every earlier request is more
     than a TTL before bucket b, so the first request of b is a miss whatever
     came before. Runs of consecutive non-empty buckets are therefore
-    independent segments; the fold runs per (key, segment) with
-    ``applyInPandas``. Segment ids come from per-bucket summaries (a few
-    rows per key and TTL of time), not from the requests themselves.
+    independent segments. Segment ids come from per-bucket summaries (a few
+    rows per key and TTL of time), not from the requests themselves. Rows are
+    hash-partitioned by (key, segment), sorted within partitions, and folded
+    by ``mapInPandas`` one Arrow batch at a time with the fold state carried
+    across batches: no group is ever materialised, so a long segment of a
+    hot key streams through one task in bounded memory.
     """
     ttl_us = int(ttl_seconds * 1_000_000)
     us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts_col))
