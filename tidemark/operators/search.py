@@ -93,20 +93,25 @@ def query_terms(queries: DataFrame, query_col: str = "query", keys: list[str] |
     return tokens(queries, F.col(query_col), keys, spread_rows=False).select(*keys, "lexeme").distinct()
 
 
-def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Positions of query terms in the querying user's documents: (keys, id, lexeme, pos, n_terms).
+def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
+                payload: list[str] | None = None) -> DataFrame:
+    """Positions of query terms in the querying user's documents: (keys, id, lexeme, pos, n_terms, payload).
 
     The query side (terms with their count per query) is bounded by the
-    query texts and broadcast; the documents are tokenized once.
+    query texts and broadcast; the documents are tokenized once. ``payload``
+    columns of the document ride along; only occurrences of query terms
+    survive the broadcast join, so only those carry them into a shuffle.
     """
     keys = keys or ["user_id"]
+    payload = payload or []
     terms = query_terms(queries, keys=keys)
     qt = terms.join(terms.groupBy(*keys).agg(F.count("*").alias("n_terms")), keys)
-    toks = tokens(tasks, document(tasks), [*keys, "id"])
+    toks = tokens(tasks, document(tasks), [*keys, "id", *payload])
     return toks.join(F.broadcast(qt), [*keys, "lexeme"])
 
 
-def doc_hits(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def doc_hits(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
+             payload: list[str] | None = None) -> DataFrame:
     """Per matching document: (keys, id, n_terms, n_pos, occs).
 
     One shuffle by document: the occurrences of query terms in a document
@@ -114,8 +119,10 @@ def doc_hits(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None
     the row's own text. ``occs`` is sorted by position.
     """
     keys = keys or ["user_id"]
-    occ = occurrences(tasks, queries, keys)
+    payload = payload or []
+    occ = occurrences(tasks, queries, keys, payload)
     per_doc = occ.groupBy(*keys, "id").agg(
+        *[F.max(c).alias(c) for c in payload],
         F.max("n_terms").alias("n_terms"), F.size(F.collect_set("lexeme")).alias("n_found"),
         F.count("*").alias("n_pos"), F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("occs"))
     return per_doc.where(F.col("n_found") == F.col("n_terms")).drop("n_found")
@@ -173,8 +180,9 @@ def search_tasks(tasks: DataFrame, projects: DataFrame, queries: DataFrame, k: i
     """I5 + F3: each user's active matching tasks with project name, best ``k`` by
     relevance desc, created_at desc (id desc breaks the remaining ties)."""
     active = tasks.where(F.col("archived") == F.lit(False))
-    r = search_rank(active, queries)
-    rows = (r.join(active.select("user_id", "id", "task", "project_id", "priority", "created_at"), ["user_id", "id"]))
+    h = doc_hits(active, queries, payload=["task", "project_id", "priority", "created_at"])
+    rows = h.select("user_id", "id", "task", "project_id", "priority", "created_at",
+                    rank_expr(F.col("n_terms"), F.col("n_pos"), F.col("occs")).alias("relevance_score"))
     rows = with_project_name(rows, projects)
     top = top_n(rows, ["user_id"], [F.col("relevance_score").desc(), F.col("created_at").desc(),
                                     F.col("id").desc()], k, "result_pos")
