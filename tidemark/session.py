@@ -102,3 +102,28 @@ def spread(df):
     if have >= want:
         return df
     return df.repartition(want)
+
+
+def cluster_conf(input_bytes: int, executor_cores_total: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes`` on ``executor_cores_total`` cores.
+
+    Shuffle partitions are chosen so that a shuffle of the full input lands
+    near ``target_partition_bytes`` per partition (and at least two waves of
+    the cluster's cores); AQE then coalesces small ones to the advisory size
+    and splits skewed ones (a partition over 5x the median and over the
+    threshold). Scan splits use the same target. Example: 100 TB on 1000
+    executors x 8 cores -> 400,000 shuffle partitions of ~256 MB.
+    """
+    parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
