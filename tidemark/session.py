@@ -113,7 +113,7 @@ def cluster_conf(input_bytes: int, executor_cores_total: int,
     the cluster's cores); AQE then coalesces small ones to the advisory size
     and splits skewed ones (a partition over 5x the median and over the
     threshold). Scan splits use the same target. Example: 100 TB on 1000
-    executors x 8 cores -> 400,000 shuffle partitions of ~256 MB.
+    executors x 8 cores -> 409,600 shuffle partitions of 256 MB.
     """
     parts = max(2 * executor_cores_total, -(-input_bytes // target_partition_bytes))
     return {
