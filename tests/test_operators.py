@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from tidemark.operators import analytics as A
 from tidemark.operators import mutations as M

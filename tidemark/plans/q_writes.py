@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import analytics as A
 from tidemark.operators import mutations as M
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import LIST_AS_OF, register
