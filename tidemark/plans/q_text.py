@@ -366,12 +366,12 @@ select b.id as parent_task_id, s.step - 1 as pos, s.task, coalesce(nullif(b.proj
        '{{"parentTask":' || to_json(b.task) || ',"type":"subtask","aiGenerated":true,"estimatedTime":'
          || to_json(s.estimated_time) || '}}' as metadata
 from bkp b join ({BREAKDOWN_SQL}) s on s.id = b.id
-where b.id % 10 = 0 and (s.step - 1) % 2 = 0""",
+where (s.step - 1) % 2 = 0""",
           f"bk as (select id, t, {d_breakdown_key('t')} as key from (select id, {d_trim('task')} as t from tasks) a)",
           f"tmpl(key, step, task, priority, estimated_time) as ({d_steps_values()})",
           "bkp as (select id, task, project_id from tasks)"))
 def q_suggestions_to_subtasks(spark, sf):
-    t = _tasks(spark, sf).where(F.col("id") % 10 == 0)
+    t = _tasks(spark, sf)
     parents = t.select("id", "task", "project_id", E.breakdown_steps(E.js_trim(F.col("task"))).alias("steps"))
     return X.suggestions_to_subtasks(parents, "steps", selected=(F.col("pos") % 2 == 0))
 

@@ -34,11 +34,11 @@ select {ALL} from tasks
 union all
 select id + 1000000000, 'Copy of ' || task, coalesce(nullif(case when id % 20 = 0 then '' else project_id end, ''), '1'),
        nullif(date, ''), 'medium', false, user_id, false, '{{}}', null, {NOW}, {NOW}
-from tasks where id % 10 = 0"""))
+from tasks"""))
 def q_insert_tasks(spark, sf):
     t, _ = load_views(spark, sf)
     i = F.col("id")
-    new = t.where(i % 10 == 0).select(
+    new = t.select(
         (i + 1_000_000_000).alias("id"), F.concat(F.lit("Copy of "), F.col("task")).alias("task"),
         F.when(i % 20 == 0, F.lit("")).otherwise(F.col("project_id")).alias("project_id"), "date",
         F.lit(None).cast("string").alias("priority"), "user_id",
@@ -93,16 +93,16 @@ def q_delete_projects(spark, sf):
 
 
 @register("versioned_update", with_views("""
-select id, 'applied' as status, task || ' (edited)' as task from tasks where id % 40 in (1, 3)
+select id, 'applied' as status, task || ' (edited)' as task from tasks where id % 3 in (0, 1)
 union all
-select id, 'conflict', task from tasks where id % 40 = 2"""))
+select id, 'conflict', task from tasks where id % 3 = 2"""))
 def q_versioned_update(spark, sf):
     t, _ = load_views(spark, sf)
     i = F.col("id")
-    patches = t.where((i % 40).isin(1, 2, 3)).select(
+    patches = t.select(
         "id", F.concat(F.col("task"), F.lit(" (edited)")).alias("task"),
-        F.when(i % 40 == 1, F.col("updated_at"))
-         .when(i % 40 == 2, F.col("updated_at") - F.expr("interval 1 minute")).alias("expected_version"))
+        F.when(i % 3 == 1, F.col("updated_at"))
+         .when(i % 3 == 2, F.col("updated_at") - F.expr("interval 1 minute")).alias("expected_version"))
     table, conflicts = M.versioned_update(t, patches, as_of=LIST_AS_OF)
     applied = table.join(patches.select("id", "expected_version"), "id").join(conflicts.select("id"), "id", "left_anti")
     return (applied.select("id", F.lit("applied").alias("status"), "task")
@@ -115,13 +115,12 @@ select t.id * 10 + s.pos as id, s.prefix || t.task as task, t.project_id, null::
        true as ai_enhanced,
        '{{"parentTask":' || to_json(t.task) || ',"type":"subtask","aiGenerated":true}}' as metadata,
        t.id as parent_task_id, {NOW} as created_at, {NOW} as updated_at
-from tasks t, (values (1, 'Research: '), (2, 'Execute: ')) s(pos, prefix)
-where t.id % 25 = 0"""))
+from tasks t, (values (1, 'Research: '), (2, 'Execute: ')) s(pos, prefix)"""))
 def q_bulk_subtasks(spark, sf):
     t, _ = load_views(spark, sf)
     steps = F.array(F.struct(F.lit(1).alias("pos"), F.lit("Research: ").alias("prefix"), F.lit("").alias("prio")),
                     F.struct(F.lit(2).alias("pos"), F.lit("Execute: ").alias("prefix"), F.lit("high").alias("prio")))
-    s = (t.where(F.col("id") % 25 == 0).select("id", "task", "project_id", "user_id", F.explode(steps).alias("s"))
+    s = (t.select("id", "task", "project_id", "user_id", F.explode(steps).alias("s"))
          .select((F.col("id") * 10 + F.col("s.pos")).alias("id"),
                  F.concat(F.col("s.prefix"), F.col("task")).alias("task"), "project_id",
                  F.lit(None).cast("string").alias("date"), F.col("s.prio").alias("priority"), "user_id",
