@@ -54,9 +54,9 @@ def read_event_stream(spark: SparkSession, sf_dir: str, max_files: int | None =
     return r.parquet(sf_dir)
 
 
-def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """A9/J5 source: the task change feed as a stream."""
-    return change_feed_from_events(read_event_stream(spark, sf_dir))
+    return change_feed_from_events(read_event_stream(spark, sf_dir, max_files))
 
 
 def run_to_completion(stream: DataFrame, batch_fn, name: str) -> None:
@@ -91,7 +91,8 @@ def apply_updates(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
                       else F.col(c) for c in snapshot.columns])
 
 
-def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str, **filters) -> DataFrame:
+def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
+                   max_files: int | None = None, **filters) -> DataFrame:
     """Keep a filtered task list current from the change stream.
 
     Each micro-batch applies its changes to the stored snapshot (a new
@@ -109,7 +110,7 @@ def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path:
         state["version"] = nxt
         task_list(spark.read.parquet(nxt), order=False, **filters).write.mode("overwrite").parquet(out_path)
 
-    run_to_completion(change_stream(spark, sf_dir), batch, "live-list")
+    run_to_completion(change_stream(spark, sf_dir, max_files), batch, "live-list")
     return spark.read.parquet(out_path)
 
 
@@ -130,7 +131,8 @@ def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out
     return spark.read.parquet(state["version"])
 
 
-def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str) -> DataFrame:
+def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
+                           max_files: int | None = None) -> DataFrame:
     """Keep the stored statistics current; each batch recomputes only the touched users.
 
     Archive flips and maxima are not insert-only, so touched users are
@@ -154,7 +156,7 @@ def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, o
         kept.unionByName(fresh).write.mode("overwrite").parquet(nstats)
         state.update(snap=nsnap, stats=nstats)
 
-    run_to_completion(change_stream(spark, sf_dir), batch, "stats")
+    run_to_completion(change_stream(spark, sf_dir, max_files), batch, "stats")
     return spark.read.parquet(state["stats"])
 
 
@@ -255,10 +257,11 @@ def ttl_dedup_stream(events: DataFrame, key: str, ts_col: str = "ts", id_col: st
     return ev.groupBy("key").applyInPandasWithState(step, TTL_OUT, TTL_STATE, "append", "NoTimeout")
 
 
-def ttl_dedup_streaming_run(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
+def ttl_dedup_streaming_run(spark: SparkSession, sf_dir: str, key: str = "event_type",
+                            max_files: int | None = None) -> DataFrame:
     """Run the streaming cache fold over the event log into a parquet sink and read it back."""
     out = scratch_path(spark, "ttl-out")
-    stream = ttl_dedup_stream(read_event_stream(spark, sf_dir), key)
+    stream = ttl_dedup_stream(read_event_stream(spark, sf_dir, max_files), key)
     q = (stream.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ttl-ckpt"))
          .outputMode("append").trigger(availableNow=True).start())
