@@ -6,7 +6,7 @@ from __future__ import annotations
 from tidemark.operators import search as S
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.q_search import SEARCH_CTES
-from tidemark.plans.q_writes import FEED_SQL
+from tidemark.plans.q_writes import FEED_SQL, NOTIFY_SQL
 from tidemark.plans.registry import register
 from tidemark.sources.tables import load_views, read_table
 from tidemark.streaming import feeds as FD
@@ -80,4 +80,10 @@ def q_stream_user_statistics(spark, sf):
     return FD.stream_user_statistics(spark, sf, t, out)
 
 
+@register("change_notifications_stream", NOTIFY_SQL)
+def q_change_notifications_stream(spark, sf):
+    t, _ = load_views(spark, sf)
+    return FD.notification_stream(spark, sf, t, FD.scratch_path(spark, "notify-out"))
+
+
 _ = S  # search module is used through the stream job

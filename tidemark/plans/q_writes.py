@@ -243,12 +243,15 @@ def q_touch_projects(spark, sf):
     return M.touch_projects(p, t, feed).select("id", "updated_at")
 
 
-@register("change_notifications", with_views("""
+NOTIFY_SQL = with_views("""
 select f.event_id, json_object('operation', f.operation,
         'user_id', coalesce(case when f.operation <> 'DELETE' then f.user_id end, t.user_id),
         'task_id', f.task_id, 'task_name', t.task,
         'timestamp', strftime(f.ts, '%Y-%m-%dT%H:%M:%S.%f'))::varchar as payload
-from feed f left join tasks t on t.id = f.task_id""", FEED_SQL))
+from feed f left join tasks t on t.id = f.task_id""", FEED_SQL)
+
+
+@register("change_notifications", NOTIFY_SQL)
 def q_change_notifications(spark, sf):
     t, _ = load_views(spark, sf)
     feed = M.change_feed_from_events(read_table(spark, sf, "events"))

@@ -27,7 +27,7 @@ from pyspark.sql.streaming.state import GroupState
 from tidemark.functions.rules import CACHE_TTL_SECONDS
 from tidemark.operators.analytics import user_statistics
 from tidemark.operators.lists import task_list
-from tidemark.operators.mutations import change_feed_from_events
+from tidemark.operators.mutations import change_feed_from_events, change_notifications
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
 
@@ -160,6 +160,20 @@ def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, o
     return spark.read.parquet(state["stats"])
 
 
+def notification_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
+                        max_files: int | None = None) -> DataFrame:
+    """A10/J4 as a stream: change stream joined with the stored tasks (a
+    stream-static join, the old row), one JSON payload per change, appended
+    to a JSON file sink (a message bus sink is a one-line format change).
+    Returns what the sink holds after all available changes."""
+    payloads = change_notifications(change_stream(spark, sf_dir, max_files), tasks)
+    q = (payloads.writeStream.format("json").option("path", out_path)
+         .option("checkpointLocation", scratch_path(spark, "notify-ckpt"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("event_id long, payload string").json(out_path)
+
+
 # --------------------------------------------------------------------------
 # Response cache with a fixed time-to-live
 # --------------------------------------------------------------------------
