@@ -453,7 +453,27 @@ def q_request_key(spark, sf):
     return t.select("id", E.request_key(_feature(F.col("id")), F.col("task")).alias("request_key"))
 
 
-@register("feature_dispatch", None)
+def _dispatch_sql() -> str:
+    t = d_trim("task")
+    feats = ", ".join(q(f) for f in R.FEATURES)
+    first_step = " ".join(f"when {d_breakdown_key('tt.t')} = {q(k)} then {q(rows[0][0])}"
+                          for k, rows in R.BREAKDOWN_TEMPLATES)
+    first_sug = " ".join(f"when {d_topic('tt.t')} = {q(tp)} then {q(sug[0])}" for tp, sug in R.TOPIC_SUGGESTIONS)
+    prio, _ = d_priority_pairs("lower(coalesce(tasks.task, ''))")
+    routed = f"(case when {d_feature('tasks.id')} in ({feats}) then {d_feature('tasks.id')} else {q(R.DEFAULT_FEATURE)} end)"
+    return with_views(f"""
+select tasks.id, {routed} as feature_used,
+       case {routed}
+         when 'task-breakdown' then (case {first_step} else {q(R.GENERIC_BREAKDOWN[0][0])} || tt.t end)
+         when 'smart-prioritize' then {prio}
+         when 'contextual-suggestions' then (case {first_sug} else {q(R.GENERIC_TOPIC_SUGGESTIONS[0])} end)
+         when 'smart-scheduling' then {d_choice('tt.t', R.BEST_TIME_RULES, R.BEST_TIME_DEFAULT)}
+         else p.task_name end as answer
+from tasks join (select id, {t} as t from tasks) tt on tt.id = tasks.id
+join parsed p on p.id = tasks.id""", parse_cte("tasks"))
+
+
+@register("feature_dispatch", _dispatch_sql())
 def q_feature_dispatch(spark, sf):
     t = _tasks(spark, sf)
     req = t.select("id", _feature(F.col("id")).alias("feature"), F.col("task").alias("text"))
