@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import with_project_name
@@ -105,7 +105,8 @@ def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = N
     keys = keys or ["user_id"]
     payload = payload or []
     terms = query_terms(queries, keys=keys)
-    qt = terms.join(terms.groupBy(*keys).agg(F.count("*").alias("n_terms")), keys)
+    # the terms table is bounded by the query texts, so a window over it is cheap
+    qt = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy(*keys)))
     toks = tokens(tasks, document(tasks), [*keys, "id", *payload])
     return toks.join(F.broadcast(qt), [*keys, "lexeme"])
 
