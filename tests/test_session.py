@@ -1,6 +1,8 @@
-"""Session helpers: sizing, spreading small inputs, shipping the package once."""
+"""Session helpers: sizing, the checkpoint folder, shipping the package once."""
 
-from tidemark.session import cluster_conf, ensure_checkpoint_dir, ship_package, spread
+import pytest
+
+from tidemark.session import cluster_conf, ensure_checkpoint_dir, ship_package
 
 
 def test_cluster_conf_sizes_partitions():
@@ -11,11 +13,37 @@ def test_cluster_conf_sizes_partitions():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_spread_only_when_too_few_partitions(spark):
-    one = spark.range(0, 1000, numPartitions=1)
-    many = spark.range(0, 1000, numPartitions=64)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(many) is many
+def test_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("name", [
+    "smart_parse", "quick_parse", "parsed_to_task", "feature_dispatch", "task_breakdown", "contextual_suggestions",
+    "search_postings", "search_match", "search_rank", "search_tasks", "search_top50"])
+def test_plans_are_built_without_jobs(spark, name):
+    from tidemark.plans.registry import load_all
+    build, sc = load_all()[name].build, spark.sparkContext
+    build(spark, "/root/testdata/sf0.001")  # reads the files' schemas once
+    sc.setJobGroup(f"plan-{name}", "")
+    build(spark, "/root/testdata/sf0.001")
+    # reading a parquet schema is Spark's own job, one for each table
+    jobs = [j for j in sc.statusTracker().getJobIdsForGroup(f"plan-{name}")]
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all("parquet" in s.name for s in stages)
 
 
 def test_checkpoint_dir_and_shipping_are_idempotent(spark):

@@ -53,6 +53,45 @@ def test_stats_stream_matches_batch(spark, split_events):
     out = FD.scratch_path(spark, "stats")
     streamed = FD.stream_user_statistics(spark, split_events, t, out, max_files=1)
     feed = change_feed_from_events(read_table(spark, SF, "events"))
-    expected = user_statistics(FD.apply_updates(t, feed))
+    expected = user_statistics(FD.apply_changes(t, feed))
     cols = expected.columns
     assert sorted(map(tuple, streamed.select(*cols).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_changes_insert_update_delete(spark):
+    import datetime as dt
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    t = spark.createDataFrame([(i, f"t{i}", False, "u1", at(0), at(0)) for i in range(1, 6)],
+                              "id long, task string, archived boolean, user_id string, created_at timestamp_ntz, "
+                              "updated_at timestamp_ntz")
+    feed = spark.createDataFrame(
+        [(1, at(1), "UPDATE", 1, "u1", True), (2, at(2), "UPDATE", 1, "u1", False), (3, at(3), "DELETE", 2, "u1", False),
+         (4, at(4), "INSERT", 9, "u2", False), (5, at(5), "INSERT", 3, "u2", False), (6, at(6), "DELETE", 77, "u1", False),
+         (7, at(7), "UPDATE", 4, "u1", True), (8, at(8), "DELETE", 4, "u1", False)],
+        "event_id long, ts timestamp_ntz, operation string, task_id long, user_id string, archived boolean")
+    got = {r.id: r for r in FD.apply_changes(t, feed).collect()}
+    assert sorted(got) == [1, 3, 5, 9]
+    assert (got[1].archived, got[1].updated_at) == (False, at(2))
+    assert got[3] == t.where("id = 3").first() and got[9].user_id == "u2" and got[9].created_at == at(4)
+
+
+def test_stream_goes_on_after_a_restart(spark, split_events):
+    """Stop after the first two files, start again on the same folder: only the new file is applied."""
+    t, _ = load_views(spark, SF)
+    folder, root = FD.scratch_path(spark, "events-late"), FD.scratch_path(spark, "restart")
+    strip = lambda p: p[len("file:"):] if p.startswith("file:") else p
+    os.makedirs(strip(folder))
+
+    def arrive(i):
+        with open(f"{strip(split_events)}/events-{i}.parquet", "rb") as src, open(f"{strip(folder)}/events-{i}.parquet", "wb") as dst:
+            dst.write(src.read())
+    arrive(0)
+    FD.live_task_list(spark, folder, t, root, archived=False)
+    arrive(1)
+    FD.live_task_list(spark, folder, t, root, archived=False)
+    arrive(2)
+    got = FD.live_task_list(spark, folder, t.limit(0), root, archived=False)  # the start table is not read again
+    feed = change_feed_from_events(read_table(spark, SF, "events"))
+    want = FD.apply_changes(t, feed).where("not archived")
+    assert {(r.id, r.updated_at) for r in got.collect()} == {(r.id, r.updated_at) for r in want.collect()}
+    assert sorted(x for x in os.listdir(strip(root)) if x.startswith("v")) == ["v0", "v1", "v2", "v3"]

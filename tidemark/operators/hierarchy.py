@@ -2,16 +2,15 @@
 
 Iterative breadth-first expansion with joins: each level joins the frontier
 with the (id, parent) edge list and anti-joins the ids already reached, so
-parent cycles terminate. With broadcast sides a level needs no shuffle at
-all (a child has one parent, so ids are de-duplicated once at the end). The edge list is checkpointed once and each
+parent cycles terminate (a child has one parent, so ids are de-duplicated once at
+the end). The edge list is checkpointed once and each
 frontier is checkpointed as it is produced (reliable checkpoints in the
 session's ``spark.checkpoint.dir``), so no level recomputes the lineage of
 the previous ones and a lost executor only re-runs the current level.
 The loop runs one small action per level (the frontier's row count, which
-is also the termination test); no data goes through the driver. The count
-is the size check for the join strategy: a frontier (or visited set) under
-``BROADCAST_ROWS`` ids is broadcast, so the edge list is streamed in place;
-a larger one is joined with a shuffle.
+is also the termination test); no data goes through the driver. Every level
+reaches new ids or ends the loop, so there is no limit on the depth. Join
+strategies are left to the planner and AQE.
 """
 
 from __future__ import annotations
@@ -32,46 +31,33 @@ def _materialize(df: DataFrame, level: int) -> DataFrame:
     return df.persist()
 
 
-# Broadcast a frontier or visited set only below this many rows (ids are
-# 8-byte longs, so the hash relation stays in the tens of MB); above it the
-# level runs as a shuffle join.
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _edges(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("parent_task_id").isNotNull()).select("id", "parent_task_id").checkpoint()
 
 
-def descendants(tasks: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def descendants(tasks: DataFrame, seeds: DataFrame) -> DataFrame:
     """All ids reachable from ``seeds.id`` through child links, with their level.
 
     Returns (id, level); seeds have level 0. Each level counts its rows (the
-    termination test); that count decides whether the next join broadcasts
-    the frontier and the visited set or shuffles them.
+    termination test).
     """
     ensure_checkpoint_dir(tasks.sparkSession)
     edges = _edges(tasks)
     frontier = seeds.select("id").distinct().withColumn("level", F.lit(0)).checkpoint()
     n_front = frontier.count()
-    n_seen = n_front
     reached = [frontier]
     visited = frontier.select("id")
     level = 0
-    while n_front > 0 and level < max_levels:
+    while n_front > 0:
         level += 1
-        par = _small(frontier.select(F.col("id").alias("parent_task_id")), n_front)
+        par = frontier.select(F.col("id").alias("parent_task_id"))
         nxt = (edges.join(par, "parent_task_id").select("id")
-               .join(_small(visited, n_seen), "id", "left_anti")
+               .join(visited, "id", "left_anti")
                .withColumn("level", F.lit(level)))
         nxt = _materialize(nxt, level)
         n_front = nxt.count()
         if n_front == 0:
             break
-        n_seen += n_front
         reached.append(nxt)
         visited = visited.unionByName(nxt.select("id"))
         if level % CHECKPOINT_EVERY == 0:
@@ -85,39 +71,37 @@ def descendants(tasks: DataFrame, seeds: DataFrame, max_levels: int = 10_000) ->
     return out.dropDuplicates(["id"])
 
 
-def state_cascade(tasks: DataFrame, changes: DataFrame, state_col: str = "archived",
-                  max_levels: int = 10_000) -> DataFrame:
+def state_cascade(tasks: DataFrame, changes: DataFrame, state_col: str = "archived") -> DataFrame:
     """Propagate a boolean state change down the tree, through differing rows only.
 
     ``changes`` = (id, new_state). A change that flips the row seeds the
     cascade; a child whose current state differs from the parent's new state
     takes it and passes it on; a child already in that state stops the
-    cascade below it. Rows named in ``changes`` keep their explicit value.
+    cascade below it. Rows named in ``changes`` keep their explicit value; an
+    id named with both states is set.
     Returns (id, new_state, level) for every changed row (level 0 = explicit).
     """
     ensure_checkpoint_dir(tasks.sparkSession)
     nodes = tasks.select("id", "parent_task_id", F.col(state_col).alias("_state")).checkpoint()
-    ch = changes.select("id", F.col("new_state").cast("boolean").alias("new_state"))
+    ch = changes.groupBy("id").agg(F.max(F.col("new_state").cast("boolean")).alias("new_state"))
     explicit = ch.join(nodes.select("id", "_state"), "id").withColumn("level", F.lit(0)).checkpoint()
     frontier = explicit.where(F.col("new_state") != F.col("_state")).select("id", "new_state")
     n_front = frontier.count()
-    n_seen = explicit.count()
     reached = [explicit.select("id", "new_state", "level")]
     visited = explicit.select("id")
     level = 0
-    while n_front > 0 and level < max_levels:
+    while n_front > 0:
         level += 1
-        par = _small(frontier.select(F.col("id").alias("parent_task_id"), "new_state"), n_front)
+        par = frontier.select(F.col("id").alias("parent_task_id"), "new_state")
         nxt = (nodes.join(par, "parent_task_id")
                .where(F.col("_state") != F.col("new_state"))
                .select("id", "new_state")
-               .join(_small(visited, n_seen), "id", "left_anti")
+               .join(visited, "id", "left_anti")
                .withColumn("level", F.lit(level)))
         nxt = _materialize(nxt, level)
         n_front = nxt.count()
         if n_front == 0:
             break
-        n_seen += n_front
         reached.append(nxt)
         visited = visited.unionByName(nxt.select("id"))
         if level % CHECKPOINT_EVERY == 0:
@@ -128,4 +112,5 @@ def state_cascade(tasks: DataFrame, changes: DataFrame, state_col: str = "archiv
         out = out.unionByName(r)
     # a child has one parent, so a level holds each id once unless the
     # table repeats rows; one final de-duplication covers that case
-    return out.dropDuplicates(["id"])
+    return out.groupBy("id").agg(F.min_by("new_state", F.struct("level", "new_state")).alias("new_state"),
+                                 F.min("level").alias("level"))

@@ -114,15 +114,18 @@ def rename_case(df: DataFrame, to: str = "camel") -> DataFrame:
 
 
 def expect_single(df: DataFrame) -> DataFrame:
-    """Return ``df`` if it has exactly one row, else raise.
+    """``df`` if it has exactly one row; else its action raises.
 
-    Counts at most two rows (``limit(2)``), so the check is cheap whatever
-    the input size.
+    The count of at most two rows is part of the same plan, so the input runs
+    once and nothing runs while the plan is built.
     """
-    n = df.limit(2).count()
-    if n != 1:
-        raise ValueError(f"expected exactly one row, got {'none' if n == 0 else 'several'}")
-    return df
+    rows = F.collect_list(F.struct(*[F.col(c) for c in df.columns]))
+    ok = F.assert_true(F.size("_rows") == 1, F.concat(
+        F.lit("expected exactly one row, got "), F.when(F.size("_rows") == 0, "none").otherwise("several")))
+    one = df.limit(2).agg(rows.alias("_rows"))
+    # assert_true gives null; the row is kept through its value so that the check is not pruned
+    return (one.select(F.coalesce(ok.cast("boolean"), F.lit(True)).alias("_ok"), "_rows").where("_ok")
+            .select(F.inline("_rows")))
 
 
 # --------------------------------------------------------------------------

@@ -10,12 +10,13 @@ directory, then swap) is the caller's sink.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import ts_lit
 from tidemark.operators.hierarchy import descendants, state_cascade
 from tidemark.operators.lists import apply_defaults, conform_schema
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.tables import TASK_SCHEMA
 
 PATCHABLE = ["task", "project_id", "date", "priority", "archived", "ai_enhanced", "metadata",
@@ -26,18 +27,37 @@ def insert_rows(base: DataFrame, new_rows: DataFrame, *, as_of=None, schema=TASK
                 defaults: bool = True) -> DataFrame:
     """A5: append a batch (defaults applied, timestamps = as_of) and return the table.
 
-    Rows without an ``id`` get fresh ids above the current maximum: unique
-    and increasing, not dense (a SERIAL sequence has gaps as well). Only the
-    maximum (one scalar) reaches the driver.
+    Rows without an ``id`` get the ids after the current maximum, in the order
+    of their values: the ids depend on the batch alone, not on its
+    partitions. Only the maximum (one scalar) reaches the driver.
     """
     rows = apply_defaults(new_rows) if defaults else new_rows
     if "id" not in rows.columns:
         top = base.agg(F.max("id")).first()[0] or 0
-        rows = rows.withColumn("id", F.lit(int(top) + 1) + F.monotonically_increasing_id())
+        rows = numbered(rows, int(top) + 1)
     rows = conform_schema(rows, schema, now=ts_lit(as_of))
     return conform_schema(base, schema).unionByName(rows)
 
 
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """Add ``id`` = ``first``, ``first`` + 1, ... in the order of all columns.
+
+    Range partitions are written with their number, and each starts after the
+    row counts of those before it, so no task sees more than its partition.
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    order = list(rows.columns)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (placed.withColumn("_nth", nth).join(F.broadcast(starts), "_part")
+            .withColumn("id", F.lit(first) + F.col("_start") + F.col("_nth") - 1).drop("_part", "_nth", "_start"))
+
+
 def inserted_rows(new_rows: DataFrame, *, as_of=None, schema=TASK_SCHEMA) -> DataFrame:
     """A5 returning form: the stored rows of the batch (what ``.select()`` returns)."""
     return conform_schema(apply_defaults(new_rows), schema, now=ts_lit(as_of))
@@ -106,58 +126,91 @@ def bulk_subtasks(subtasks: DataFrame, *, as_of=None) -> DataFrame:
 # G: optimistic overlays and chat messages
 # --------------------------------------------------------------------------
 
+OVERLAY_FIELDS = ["task", "project_id", "date", "priority", "archived", "ai_enhanced", "metadata", "parent_task_id"]
+
+
 def pending_overlay(base: DataFrame, pending: DataFrame, *, as_of=None) -> DataFrame:
     """G1: the snapshot with pending operations overlaid, flagged ``_optimistic``.
 
-    ``pending`` = (op, id, temp_id, task, ...) with op in add / update /
-    delete / archive. Adds come first (``overlay_pos`` 0) with a temporary
-    id, updates merge the given non-NULL fields and touch updated_at,
-    deletes drop the row, archives set ``archived``. ``list`` tells the
-    active and archived lists apart.
+    ``pending`` = (seq, op, id, temp_id, user_id and any fields of the table)
+    with op in add / update / delete / archive; ``seq`` orders the operations.
+    Adds come first (``overlay_pos`` 0) with a temporary id; an update merges
+    the fields it gives (non-NULL), the last one in ``seq`` order per field,
+    and touches updated_at; an archive sets ``archived``; a delete drops the
+    row, whatever else is pending for it. ``list`` tells the active and
+    archived lists apart. The row as stored rides along in ``_before``, so
+    that confirm_overlay() can bring it back.
     """
-    b = base.withColumn("temp_id", F.lit(None).cast("string"))
-    ops = pending.select("op", "id", "task")
-    deleted = ops.where(F.col("op") == "delete").select("id")
-    b = b.join(deleted, "id", "left_anti")
-    upd = ops.where(F.col("op").isin("update", "archive")).groupBy("id").agg(
-        F.max(F.when(F.col("op") == "update", F.col("task"))).alias("_new_task"),
-        F.max(F.col("op") == "archive").alias("_arch"),
-        F.lit(True).alias("_touched"))
-    j = b.join(upd, "id", "left")
-    touched = F.coalesce(F.col("_touched"), F.lit(False))
-    merged = j.select(
-        "id", "temp_id",
-        F.coalesce(F.col("_new_task"), F.col("task")).alias("task"),
-        (F.col("archived") | F.coalesce(F.col("_arch"), F.lit(False))).alias("archived"),
-        "user_id", "created_at",
-        F.when(F.col("_new_task").isNotNull(), ts_lit(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
-        touched.alias("_optimistic"), F.lit(1).alias("overlay_pos"))
+    fields = [c for c in OVERLAY_FIELDS if c in base.columns and c in pending.columns]
+    b = base.withColumn("_before", F.struct(*base.columns)).withColumn("temp_id", F.lit(None).cast("string"))
+    ops = pending.where(F.col("op") != "add")
+    is_upd = F.col("op") == "update"
+    # the last value given per field: max_by skips no NULL value, so only rows that give one are ordered
+    last = [F.max_by(c, F.when(is_upd & F.col(c).isNotNull(), F.col("seq"))).alias("_new_" + c) for c in fields]
+    upd = ops.groupBy("id").agg(
+        *last, F.max(is_upd).alias("_edited"), F.max(F.col("op") == "archive").alias("_arch"),
+        F.max(F.col("op") == "delete").alias("_gone"), F.lit(True).alias("_touched"))
+    no = F.lit(False)
+    j = b.join(upd, "id", "left").where(~F.coalesce(F.col("_gone"), no))
+    own = {c: F.coalesce(F.col("_new_" + c), F.col(c)) if c in fields else F.col(c) for c in base.columns}
+    own["archived"] = own["archived"] | F.coalesce(F.col("_arch"), no)
+    own["updated_at"] = F.when(F.coalesce(F.col("_edited"), no), ts_lit(as_of)).otherwise(F.col("updated_at"))
+    merged = j.select(*[v.alias(c) for c, v in own.items()], "temp_id", "_before",
+                      F.coalesce(F.col("_touched"), no).alias("_optimistic"), F.lit(1).alias("overlay_pos"))
+    new = {c: F.col(c) if c in pending.columns else F.lit(None).cast(base.schema[c].dataType) for c in base.columns}
+    new |= {"id": F.lit(None).cast(base.schema["id"].dataType), "archived": F.lit(False),
+            "created_at": ts_lit(as_of), "updated_at": ts_lit(as_of)}
     adds = pending.where(F.col("op") == "add").select(
-        F.lit(None).cast("long").alias("id"), "temp_id", "task", F.lit(False).alias("archived"),
-        "user_id", ts_lit(as_of).alias("created_at"), ts_lit(as_of).alias("updated_at"),
+        *[v.alias(c) for c, v in new.items()], "temp_id",
+        F.lit(None).cast(merged.schema["_before"].dataType).alias("_before"),
         F.lit(True).alias("_optimistic"), F.lit(0).alias("overlay_pos"))
-    out = adds.unionByName(merged)
-    return out.withColumn("list", F.when(F.col("archived"), "archived").otherwise("active"))
+    return _listed(adds.unionByName(merged))
+
+
+def _listed(overlay: DataFrame) -> DataFrame:
+    return overlay.withColumn("list", F.when(F.col("archived"), "archived").otherwise("active"))
 
 
-def confirm_overlay(overlay: DataFrame, results: DataFrame) -> DataFrame:
-    """Replace temporary ids by stored ids and clear the flag.
+def confirm_overlay(overlay: DataFrame, results: DataFrame, base: DataFrame | None = None,
+                    failed: DataFrame | None = None) -> DataFrame:
+    """Settle the overlay: stored ids for temporary ones, originals for what failed.
 
     ``results`` = (temp_id, stored_id); a temporary row without a stored id
-    failed and is dropped (the original list comes back).
+    failed and is dropped. ``failed`` = (id) names the rows whose update,
+    archive or delete failed: the row of ``base`` (the original list) comes
+    back. All other rows keep the change and lose the flag.
     """
     r = results.select(F.col("temp_id").alias("_tid"), "stored_id")
     j = overlay.join(r, overlay["temp_id"] == r["_tid"], "left")
     j = j.where(F.col("temp_id").isNull() | F.col("stored_id").isNotNull())
-    return (j.withColumn("id", F.coalesce(F.col("id"), F.col("stored_id")))
-            .withColumn("temp_id", F.lit(None).cast("string"))
-            .withColumn("_optimistic", F.lit(False)).drop("_tid", "stored_id"))
+    out = (j.withColumn("id", F.coalesce(F.col("id"), F.col("stored_id")))
+           .withColumn("temp_id", F.lit(None).cast("string"))
+           .withColumn("_optimistic", F.lit(False)).drop("_tid", "stored_id"))
+    if failed is None:
+        return out.drop("_before")
+    bad = failed.select("id").distinct()
+    fields = overlay.schema["_before"].dataType.names
+    hit = F.col("_failed") & F.col("_before").isNotNull()
+    out = out.join(bad.withColumn("_failed", F.lit(True)), "id", "left").withColumn(
+        "_failed", F.coalesce("_failed", F.lit(False)))
+    back = out.select(*[F.when(hit, F.col("_before")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+                        for c in out.columns if c not in ("_failed", "_before", "list")])
+    # a failed delete has no row in the overlay: its original is read from the table
+    lost = (base.join(bad, "id", "left_semi").join(out.select("id"), "id", "left_anti")
+            .withColumn("temp_id", F.lit(None).cast("string")).withColumn("_optimistic", F.lit(False))
+            .withColumn("overlay_pos", F.lit(1)))
+    return _listed(back.unionByName(lost))
 
 
 def with_system_message(conv: DataFrame, text: Column | str, turn: int = -1) -> DataFrame:
     """A system message in front of each conversation's messages."""
-    t = F.lit(text) if isinstance(text, str) else text
-    firsts = conv.select("conv_id").distinct()
+    return with_context_message(conv, conv.select("conv_id").distinct(),
+                                F.lit(text) if isinstance(text, str) else text, turn)
+
+
+def with_context_message(conv: DataFrame, firsts: DataFrame, text: Column, turn: int = -1) -> DataFrame:
+    """G3 with context: ``firsts`` has one row per conversation, ``text`` is an expression over it."""
+    t = text
     sys_rows = firsts.select("conv_id", F.lit(turn).cast(conv.schema["turn"].dataType).alias("turn"),
                              F.lit("system").alias("role"), t.alias("text"))
     return sys_rows.unionByName(conv.select("conv_id", "turn", "role", "text"))
@@ -252,15 +305,18 @@ def change_notifications(feed: DataFrame, tasks: DataFrame) -> DataFrame:
     return j.select("event_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def user_change_stream(feed: DataFrame, tasks: DataFrame, either_side: bool = True) -> DataFrame:
+def user_change_stream(feed: DataFrame, tasks: DataFrame, either_side: bool = True,
+                       user: str | None = None) -> DataFrame:
     """Each change delivered to its subscribers.
 
     The fixed client listens on the new row's user; the older client also
     passes a change if the old row belongs to the user (``either_side``).
+    ``feed`` may be a stream; ``user`` keeps one subscriber's changes.
     """
     old = tasks.select(F.col("id").alias("task_id"), F.col("user_id").alias("_old_user"))
     j = feed.join(old, "task_id", "left")
     new_user = F.when(F.col("operation") != "DELETE", F.col("user_id"))
     subs = F.array_distinct(F.array_compact(F.array(new_user, F.col("_old_user")))) if either_side \
         else F.array_compact(F.array(new_user))
-    return j.select(F.explode(subs).alias("subscriber"), "event_id", "operation", "task_id")
+    out = j.select(F.explode(subs).alias("subscriber"), "event_id", "operation", "task_id")
+    return out if user is None else out.where(F.col("subscriber") == user)

@@ -59,6 +59,6 @@ def key_violations(tasks: DataFrame, projects: DataFrame, statistics: DataFrame
 
 def parent_fk_violations(tasks: DataFrame) -> DataFrame:
     """Tasks whose parent id does not exist."""
-    ids = tasks.select(F.col("id").alias("_pid")).distinct()
+    ids = tasks.select(F.col("id").alias("_pid"))
     kids = tasks.where(F.col("parent_task_id").isNotNull()).select("id", "parent_task_id")
     return kids.join(ids, kids["parent_task_id"] == ids["_pid"], "left_anti")

@@ -7,15 +7,14 @@ every token (stop words too), stop words dropped, then the S-stemmer
 are not reduced.
 
 Plan shape: the postings (doc, lexeme, position) are built with
-``regexp_extract_all`` + ``posexplode`` (no UDF). Query terms are tiny and
-bounded by the query text, so they are broadcast. The occurrences of query
+``regexp_extract_all`` + ``posexplode`` (no UDF). Query terms are one row
+per user and term, joined without a hint. The occurrences of query
 terms are then gathered per document in one shuffle (they come from a
 single row, so the per-document list is bounded by that row's text), and
 matching (all terms present) and relevance are expressions over that
-list. Relevance needs position pairs of different query terms; only pairs
-at most 100 tokens apart weigh anything (farther pairs weigh 1e-16, which
-does not change a REAL), so each occurrence is paired with at most the next
-100 occurrences instead of all pairs. Top-k per user uses
+list. Relevance needs position pairs of different query terms: pairs at most
+100 tokens apart are visited (each occurrence has at most the next 100 as
+partners), and all farther pairs weigh the same, so they are only counted. Top-k per user uses
 ``row_number() <= k``, which Spark limits per map task before the shuffle.
 """
 
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import with_project_name
 from tidemark.operators.lists import top_n
-from tidemark.session import spread
 
 # English stop words (the common Snowball list), in its order.
 STOP_WORDS = [
@@ -72,10 +70,10 @@ def stem(w: Column) -> Column:
             .otherwise(w))
 
 
-def tokens(df: DataFrame, text: Column, keys: list[str], spread_rows: bool = True) -> DataFrame:
+def tokens(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
     """(keys, pos, lexeme): positions count all tokens; stop words are dropped after."""
     stops = F.array(*[F.lit(s) for s in STOP_WORDS])
-    t = (spread(df) if spread_rows else df).select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
+    t = df.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     return (t.where(~F.array_contains(stops, F.col("tok")))
             .select(*keys, (F.col("pos") + 1).alias("pos"), stem(F.col("tok")).alias("lexeme")))
 
@@ -90,25 +88,24 @@ def search_postings(tasks: DataFrame, keys: list[str] | None = None) -> DataFram
 def query_terms(queries: DataFrame, query_col: str = "query", keys: list[str] | None = None) -> DataFrame:
     """Distinct normalised terms of each query (an all-stop-word query has none)."""
     keys = keys or ["user_id"]
-    return tokens(queries, F.col(query_col), keys, spread_rows=False).select(*keys, "lexeme").distinct()
+    return tokens(queries, F.col(query_col), keys).select(*keys, "lexeme").distinct()
 
 
 def occurrences(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
                 payload: list[str] | None = None) -> DataFrame:
     """Positions of query terms in the querying user's documents: (keys, id, lexeme, pos, n_terms, payload).
 
-    The query side (terms with their count per query) is bounded by the
-    query texts and broadcast; the documents are tokenized once. ``payload``
-    columns of the document ride along; only occurrences of query terms
-    survive the broadcast join, so only those carry them into a shuffle.
+    The query side has one row per user and term, so it grows with the users
+    and gets no broadcast hint; the documents are tokenized once. ``payload``
+    columns of the document ride along.
     """
     keys = keys or ["user_id"]
     payload = payload or []
     terms = query_terms(queries, keys=keys)
-    # the terms table is bounded by the query texts, so a window over it is cheap
+    # a user's terms are bounded by the text of their query
     qt = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy(*keys)))
     toks = tokens(tasks, document(tasks), [*keys, "id", *payload])
-    return toks.join(F.broadcast(qt), [*keys, "lexeme"])
+    return toks.join(qt, [*keys, "lexeme"])
 
 
 def doc_hits(tasks: DataFrame, queries: DataFrame, keys: list[str] | None = None,
@@ -136,8 +133,8 @@ def search_match(tasks: DataFrame, queries: DataFrame, keys: list[str] | None =
 
 
 def _word_distance(d: Column) -> Column:
-    return F.when(d > MAX_DIST, F.lit(FAR_WEIGHT)).otherwise(
-        F.lit(1.0) / (F.lit(1.005) + F.lit(0.05) * F.exp(d / F.lit(1.5) - F.lit(2.0))))
+    """wd of a near pair; pairs beyond MAX_DIST have FAR_WEIGHT."""
+    return F.lit(1.0) / (F.lit(1.005) + F.lit(0.05) * F.exp(d / F.lit(1.5) - F.lit(2.0)))
 
 
 def rank_expr(n_terms: Column, n_pos: Column, occs: Column) -> Column:
@@ -148,8 +145,8 @@ def rank_expr(n_terms: Column, n_pos: Column, occs: Column) -> Column:
     position pairs of different terms, wd(d) = 1/(1.005 + 0.05 exp(d/1.5 - 2)).
     Positions are distinct and sorted, so every partner within MAX_DIST of
     element i lies in the next MAX_DIST elements: the pair scan is bounded
-    by MAX_DIST per occurrence. Farther pairs weigh 1e-16, which leaves a
-    REAL unchanged, and are skipped.
+    by MAX_DIST per occurrence. All farther pairs have wd = 1e-30: their
+    number (pairs of different terms less the near ones) times one logarithm.
     """
     single = F.lit(WEIGHT) * F.aggregate(
         F.sequence(F.lit(1), n_pos.cast("int")), F.lit(0.0),
@@ -161,10 +158,18 @@ def rank_expr(n_terms: Column, n_pos: Column, occs: Column) -> Column:
                        lambda o: (o["lexeme"] != me["lexeme"]) & (o["pos"] - me["pos"] <= MAX_DIST))
         part = F.aggregate(nxt, F.lit(0.0), lambda a, o: a + F.log1p(
             -F.sqrt(F.lit(WEIGHT * WEIGHT) * _word_distance((o["pos"] - me["pos"]).cast("double")))))
-        return acc + part
-
-    log_keep = F.aggregate(F.sequence(F.lit(1), F.size(occs)), F.lit(0.0), near_sum)
-    multi = F.when(log_keep < 0, F.lit(1.0) - F.exp(log_keep))
+        return F.struct((acc["log"] + part).alias("log"), (acc["pairs"] + F.size(nxt)).alias("pairs"))
+
+    near = F.aggregate(F.sequence(F.lit(1), F.size(occs)),
+                       F.struct(F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("pairs")), near_sum)
+    # pairs of different terms: half of (all ordered pairs less those of one term)
+    lexemes = F.transform(occs, lambda o: o["lexeme"])
+    same = F.aggregate(F.array_distinct(lexemes), F.lit(0).cast("long"),
+                       lambda a, x: a + F.pow(F.size(F.filter(lexemes, lambda y: y == x)), F.lit(2)).cast("long"))
+    pairs = (F.size(occs).cast("long") * F.size(occs) - same) / 2
+    far = math.log1p(-math.sqrt(WEIGHT * WEIGHT * FAR_WEIGHT))
+    log_keep = near["log"] + (pairs - near["pairs"]) * F.lit(far)
+    multi = F.when(log_keep < 0, -F.expm1(log_keep))
     r = F.when(n_terms == 1, single).otherwise(multi)
     r = F.coalesce(r, F.lit(EMPTY_RANK))
     return F.when(r <= 0, F.lit(EMPTY_RANK)).otherwise(r).cast("float")

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from tidemark.functions import enrich as E
 from tidemark.functions import rules as R
 from tidemark.functions.text import js_trim
-from tidemark.session import spread
 
 
 def smart_parse(df: DataFrame, text_col: str = "task", out: str = "parsed") -> DataFrame:
@@ -37,7 +36,6 @@ def smart_parse_flat(df: DataFrame, text_col: str = "task", key: str = "id") ->
 
 def breakdown(df: DataFrame, text_col: str = "task", key: str = "id") -> DataFrame:
     """H12 + H13: one row per step: (key, step, task, priority, estimated_time, total)."""
-    df = spread(df)
     t = js_trim(F.col(text_col))
     steps = df.select(key, E.breakdown_steps(t).alias("_s"), E.breakdown_total_time(t).alias("total_estimated_time"),
                       F.when(E.breakdown_key(t).isNull(), F.lit(R.GENERIC_BREAKDOWN_NOTE)).alias("suggestion"))
@@ -57,22 +55,21 @@ def prioritize(tasks: DataFrame, text_col: str = "task", title_col: str | None =
 
 def suggestions(df: DataFrame, text_col: str = "task", key: str = "id") -> DataFrame:
     """H15 long form: (key, category, kind, pos, text) for suggestions and related actions."""
-    df = spread(df)
     t = js_trim(F.col(text_col))
-    base = df.select(key, F.coalesce(E.suggestion_topic(t), F.lit(R.DEFAULT_CATEGORY)).alias("category"),
-                     E.contextual_suggestions(t).alias("_sug"))
-    sug = base.select(key, "category", F.lit("suggestion").alias("kind"), F.posexplode("_sug").alias("pos", "text"))
-    rel = base.select(key, "category", F.lit("related_action").alias("kind"),
-                      F.posexplode(F.array(*[F.lit(a) for a in R.RELATED_ACTIONS])).alias("pos", "text"))
-    return sug.unionByName(rel)
+    def listed(kind: str, texts: Column) -> Column:
+        return F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("text")))
+    both = F.concat(listed("suggestion", E.contextual_suggestions(t)),
+                    listed("related_action", F.array(*[F.lit(a) for a in R.RELATED_ACTIONS])))
+    return df.select(key, F.coalesce(E.suggestion_topic(t), F.lit(R.DEFAULT_CATEGORY)).alias("category"),
+                     F.inline(both))
 
 
 def schedule(df: DataFrame, text_col: str = "task", key: str = "id",
-             existing_count: Column | None = None) -> DataFrame:
-    """Scheduling recommendations; H17 conflicts from ``existing_count``."""
+             existing_count: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Scheduling recommendations; H17 conflicts from ``existing_count``; ``carry`` columns ride along."""
     t = js_trim(F.col(text_col))
     return df.select(
-        key, E.best_time(t).alias("best_time"), E.estimate_duration(t).alias("duration"),
+        key, *carry, E.best_time(t).alias("best_time"), E.estimate_duration(t).alias("duration"),
         E.preparation_time(t).alias("preparation"),
         F.array_join(F.array(*[F.lit(r) for r in R.REMINDERS]), " | ").alias("reminders"),
         E.schedule_conflicts(existing_count if existing_count is not None else F.lit(0)).alias("conflicts"),
@@ -85,8 +82,7 @@ def schedule_with_conflicts(tasks: DataFrame, text_col: str = "task") -> DataFra
     counts = (tasks.where(F.col("archived") == F.lit(False)).groupBy(F.col("user_id").alias("_u"))
               .agg(F.count("*").alias("_existing")))
     j = tasks.join(counts, tasks["user_id"] == counts["_u"], "left")
-    return schedule(j, text_col, existing_count=F.col("_existing")).join(
-        tasks.select("id", "user_id"), "id")
+    return schedule(j, text_col, existing_count=F.col("_existing"), carry=("user_id",))
 
 
 def suggestions_to_subtasks(parents: DataFrame, steps_col: str, selected: Column | None = None,

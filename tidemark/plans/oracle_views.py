@@ -5,6 +5,8 @@ independent side of the correctness check, so they are written by hand from
 FIXTURES.md rather than generated from the Spark code.
 """
 
+from tidemark.functions import rules as R
+
 from tidemark.sources.tables import TASK_TEMPLATES
 
 _BASE = ("(timestamp '2024-01-01 00:00:00' + "
@@ -48,6 +50,24 @@ DIRTY_SQL = """dirty0 as (
 dirty as (select * from dirty0 union all select * from dirty0 where id % 19 = 0)"""
 
 
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SYSTEM_SQL = _text(R.SYSTEM_PROMPT)
+
+# the chat context block per user
+CONTEXT_SQL = f"""select user_id, count(*) filter (where not archived) as active_tasks,
+       {_text(R.CONTEXT_HEADER.split('{n}')[0])} || cast(count(*) filter (where not archived) as varchar)
+       || {_text(R.CONTEXT_HEADER.split('{n}')[1])}
+       || coalesce(string_agg(case when not archived then '- ' || task || ' (Priority: ' || coalesce(priority, 'null')
+            || case when coalesce(date, '') <> '' then ', Due: ' || date else '' end || ')' end, chr(10)
+            order by list_pos), '')
+       || {_text(R.CONTEXT_FOOTER)} as context_text
+from (select *, row_number() over (partition by user_id order by created_at desc, id desc) as list_pos from tasks) x
+where list_pos <= 20 group by user_id"""
+
+
 def with_views(body: str, *extra_ctes: str) -> str:
     """Prefix ``body`` with the tasks/projects CTEs (and any extra CTEs)."""
     ctes = [f"tasks as (\n{TASKS_SQL}\n)", f"projects as (\n{PROJECTS_SQL}\n)"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import analytics as A
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import REPORT_AS_OF, register
@@ -296,3 +298,68 @@ from tasks t left join projects p on t.project_id = p.id"""))
 def q_project_window_count(spark, sf):
     t, p = _views(spark, sf)
     return A.project_window_count(t, p)
+
+
+# The full records, one row per scalar set, map entry and listed day.
+@register("user_analytics_record", with_views(f"""
+select user_id, 'totals' as section, '' as entry, completed_tasks as completed, total_tasks as total,
+       cast(completion_rate as double) as rate, cast(ai_enhanced_percentage as double) as ai_rate,
+       average_completion_time_days as avg_time
+from ({_SCALARS}) s
+union all
+select user_id, 'priority', priority, null, count(*), null, null, null from tasks
+where priority is not null group by user_id, priority
+union all
+select t.user_id, 'project', coalesce(p.name, 'Unknown Project'), null, count(*), null, null, null
+from tasks t left join projects p on t.project_id = p.id group by t.user_id, coalesce(p.name, 'Unknown Project')
+union all
+select user_id, 'day', strftime(created_at, '%Y-%m-%d'), count(*) filter (where archived), count(*), null, null, null
+from tasks where created_at >= {NOW} - interval 30 day group by user_id, strftime(created_at, '%Y-%m-%d')"""))
+def q_user_analytics_record(spark, sf):
+    t, p = _views(spark, sf)
+    rec = A.user_analytics(t, p, as_of=REPORT_AS_OF)
+    none, no_n = F.lit(None).cast("double"), F.lit(None).cast("long")
+
+    def row(section, entry, completed, total, rate=none, ai=none, avg=none):
+        return F.struct(F.lit(section).alias("section"), entry.cast("string").alias("entry"),
+                        completed.alias("completed"), total.alias("total"), rate.cast("double").alias("rate"),
+                        ai.cast("double").alias("ai_rate"), avg.alias("avg_time"))
+    totals = F.array(row("totals", F.lit(""), F.col("completed_tasks"), F.col("total_tasks"), F.col("completion_rate"),
+                         F.col("ai_enhanced_percentage"), F.col("average_completion_time_days")))
+
+    def entries(section):
+        return F.transform(F.map_entries(f"tasks_by_{section}"), lambda e: row(section, e["key"], no_n, e["value"]))
+    maps = [entries("priority"), entries("project")]
+    days = F.transform("productivity_trend", lambda d: row("day", d["date"], d["completed"], d["created"]))
+    return rec.select("user_id", F.inline(F.concat(totals, *maps, days)))
+
+
+@register("productivity_insights_record", with_views(f"""
+select user_id, 'scalars' as section, '' as entry, cast(peak_productivity_day as bigint) as n1,
+       cast(peak_productivity_hour as bigint) as n2, cast(completion_velocity as double) as x1,
+       cast(ai_task_success_rate as double) as x2
+from ({_INSIGHTS}) s
+union all
+select user_id, 'day', strftime(updated_at, '%Y-%m-%d'), count(*), count(*) filter (where ai_enhanced),
+       {avg_sql(SECS, 3600000000.0)}, null
+from tasks where archived and updated_at >= {NOW} - interval 30 day
+group by user_id, strftime(updated_at, '%Y-%m-%d')
+union all
+select user_id, 'project', project_name, null, null, cast(completion_rate as double), avg_completion_time
+from ({_PERF.format(name="coalesce(p.name, 'Unknown Project')")}) q"""))
+def q_productivity_insights_record(spark, sf):
+    t, p = _views(spark, sf)
+    rec = A.productivity_insights(t, p, as_of=REPORT_AS_OF)
+    none, no_n = F.lit(None).cast("double"), F.lit(None).cast("long")
+
+    def row(section, entry, n1=no_n, n2=no_n, x1=none, x2=none):
+        return F.struct(F.lit(section).alias("section"), entry.cast("string").alias("entry"), n1.cast("long").alias("n1"),
+                        n2.cast("long").alias("n2"), x1.cast("double").alias("x1"), x2.cast("double").alias("x2"))
+    scalars = F.array(row("scalars", F.lit(""), F.col("peak_productivity_day"), F.col("peak_productivity_hour"),
+                          F.col("completion_velocity"), F.col("ai_task_success_rate")))
+    empty = F.array().cast("array<" + "struct<section:string,entry:string,n1:bigint,n2:bigint,x1:double,x2:double>>")
+    days = F.transform("daily_completions", lambda d: row("day", d["date"], d["completed"], d["ai_enhanced_completed"],
+                                                          d["avg_completion_time_hours"]))
+    perf = F.transform("project_performance", lambda d: row("project", d["project_name"], x1=d["completion_rate"],
+                                                            x2=d["avg_completion_time"]))
+    return rec.select("user_id", F.inline(F.concat(scalars, F.coalesce(days, empty), F.coalesce(perf, empty))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import search as S
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import register
-from tidemark.sources.tables import load_views
+from tidemark.sources.tables import dealt, load_views
 
 # Query texts for the fixture users (user uN runs QUERY_POOL[N % 8]); one of
 # them is only stop words and must match nothing.
@@ -63,12 +63,13 @@ RANK_CTES = [
     """single as (select user_id, id, 0.1::double * list_sum(list_transform(range(1, count(*) + 1),
          lambda k: 1.0::double / (k * k)::double)) / 1.64493406685::double as r
        from occ where n_terms = 1 group by user_id, id)""",
-    """multi as (select a.user_id, a.id, 1.0::double - exp(sum(ln(1.0::double - sqrt(0.01::double *
-         (1.0::double / (1.005::double + 0.05::double * exp(abs(a.pos - b.pos)::double / 1.5::double - 2.0::double)))))))
-         as r
+    # a far pair keeps 1 - 1e-16; 1 - exp(s) as a series where s is too small for the difference
+    """multi as (select user_id, id, case when s > -1e-6 then -s * (1 + s / 2) else 1.0::double - exp(s) end as r
+       from (select a.user_id, a.id, sum(case when abs(a.pos - b.pos) > 100 then -1e-16::double
+           else ln(1.0::double - sqrt(0.01::double * (1.0::double / (1.005::double + 0.05::double
+             * exp(abs(a.pos - b.pos)::double / 1.5::double - 2.0::double))))) end) as s
        from occ a join occ b on a.user_id = b.user_id and a.id = b.id and a.lexeme < b.lexeme
-         and abs(a.pos - b.pos) <= 100
-       where a.n_terms > 1 group by a.user_id, a.id)""",
+       where a.n_terms > 1 group by a.user_id, a.id) x)""",
     """ranked as (select m.user_id, m.id, cast(case when coalesce(s.r, mu.r, 1e-20) <= 0 then 1e-20
          else coalesce(s.r, mu.r, 1e-20) end as float) as relevance_score
        from matched m left join single s on s.user_id = m.user_id and s.id = m.id
@@ -90,7 +91,7 @@ select user_id, id, lexeme, array_to_string(list_sort(list(pos)), ',') as positi
 from toks group by user_id, id, lexeme""", *SEARCH_CTES[:3]))
 def q_search_postings(spark, sf):
     t, _ = load_views(spark, sf)
-    p = S.search_postings(t)
+    p = S.search_postings(dealt(t))
     return p.select("user_id", "id", "lexeme", F.array_join("positions", ",").alias("positions"))
 
 
@@ -103,13 +104,13 @@ def q_search_query_terms(spark, sf):
 @register("search_match", with_views("select user_id, id, n_terms from matched", *_ctes(False)[:6]))
 def q_search_match(spark, sf):
     t, _ = load_views(spark, sf)
-    return S.search_match(t, user_queries(t))
+    return S.search_match(dealt(t), user_queries(t))
 
 
 @register("search_rank", with_views("select user_id, id, relevance_score from ranked", *_ctes(False)))
 def q_search_rank(spark, sf):
     t, _ = load_views(spark, sf)
-    return S.search_rank(t, user_queries(t))
+    return S.search_rank(dealt(t), user_queries(t))
 
 
 _TOP = """select * from (
@@ -123,10 +124,10 @@ _TOP = """select * from (
 @register("search_tasks", with_views(_TOP, *_ctes(True)))
 def q_search_tasks(spark, sf):
     t, p = load_views(spark, sf)
-    return S.search_tasks(t, p, user_queries(t), k=50)
+    return S.search_tasks(dealt(t), p, user_queries(t), k=50)
 
 
 @register("search_top50", with_views("select user_id, result_pos, id from (" + _TOP + ") y", *_ctes(True)))
 def q_search_top50(spark, sf):
     t, p = load_views(spark, sf)
-    return S.search_tasks(t, p, user_queries(t), k=50).select("user_id", "result_pos", "id")
+    return S.search_tasks(dealt(t), p, user_queries(t), k=50).select("user_id", "result_pos", "id")

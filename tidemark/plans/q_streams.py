@@ -3,12 +3,11 @@ with an availableNow trigger and returns what its sink holds."""
 
 from __future__ import annotations
 
-from tidemark.operators import search as S
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.q_search import SEARCH_CTES
-from tidemark.plans.q_writes import FEED_SQL, NOTIFY_SQL
+from tidemark.plans.q_writes import FEED_SQL, NOTIFY_SQL, SUBSCRIBER_SQL
 from tidemark.plans.registry import register
-from tidemark.sources.tables import load_views, read_table
+from tidemark.sources.tables import dealt, load_views, read_table
 from tidemark.streaming import feeds as FD
 
 TTL_SQL = """with recursive ev as (
@@ -39,9 +38,14 @@ FINAL_CTES = [
     """lastupd as (select task_id, archived, ts from (
         select *, row_number() over (partition by task_id order by ts desc, event_id desc) as rn
         from feed where operation = 'UPDATE') x where rn = 1)""",
+    # inserts name stored ids only, which stay as they are
+    """gone as (select task_id from (
+        select *, row_number() over (partition by task_id order by ts desc, event_id desc) as rn
+        from feed) x where rn = 1 and operation = 'DELETE')""",
     """final as (select t.* replace (coalesce(l.archived, t.archived) as archived,
                                     coalesce(l.ts, t.updated_at) as updated_at)
-        from tasks t left join lastupd l on l.task_id = t.id)""",
+        from tasks t left join lastupd l on l.task_id = t.id
+        where t.id not in (select task_id from gone))""",
 ]
 
 
@@ -57,12 +61,12 @@ def q_live_task_list(spark, sf):
 
 @register("search_vector_stream", with_views("""
 select user_id, id, lexeme, array_to_string(list_sort(list(pos)), ',') as positions
-from toks group by user_id, id, lexeme""", *SEARCH_CTES[:3]))
+from toks where id not in (select task_id from gone) group by user_id, id, lexeme""", *SEARCH_CTES[:3], *FINAL_CTES))
 def q_search_vector_stream(spark, sf):
     from pyspark.sql import functions as F
     t, _ = load_views(spark, sf)
     out = FD.scratch_path(spark, "postings")
-    p = FD.search_vector_stream(spark, sf, t, out)
+    p = FD.search_vector_stream(spark, sf, dealt(t), out)
     return p.select("user_id", "id", "lexeme", F.array_join("positions", ",").alias("positions"))
 
 
@@ -86,4 +90,7 @@ def q_change_notifications_stream(spark, sf):
     return FD.notification_stream(spark, sf, t, FD.scratch_path(spark, "notify-out"))
 
 
-_ = S  # search module is used through the stream job
+@register("user_change_stream", SUBSCRIBER_SQL)
+def q_user_change_stream(spark, sf):
+    t, _ = load_views(spark, sf)
+    return FD.subscription_stream(spark, sf, t, FD.scratch_path(spark, "subscriptions"))

@@ -14,9 +14,9 @@ from tidemark.functions import rules as R
 from tidemark.functions.text import JS_WS, TRIM_RE
 from tidemark.operators import lists as L
 from tidemark.operators import textrules as X
-from tidemark.plans.oracle_views import with_views
+from tidemark.plans.oracle_views import CONTEXT_SQL, with_views
 from tidemark.plans.registry import register
-from tidemark.sources.tables import load_views, read_table
+from tidemark.sources.tables import dealt, load_views, read_table
 
 
 # ---------------------------------------------------------------------------
@@ -199,7 +199,7 @@ def d_choice(x, rules, default):
 
 def _tasks(spark, sf):
     t, _ = load_views(spark, sf)
-    return t
+    return dealt(t)
 
 
 def _single(name: str, spark_expr, sql_expr: str, trim: bool = True):
@@ -404,16 +404,7 @@ def q_embedded_json(spark, sf):
     return X.embedded_json(ev.unionByName(pg), "txt", "id")
 
 
-@register("task_context_text", with_views(f"""
-select user_id, count(*) filter (where not archived) as active_tasks,
-       {q(R.CONTEXT_HEADER.split('{n}')[0])} || cast(count(*) filter (where not archived) as varchar)
-       || {q(R.CONTEXT_HEADER.split('{n}')[1])}
-       || coalesce(string_agg(case when not archived then '- ' || task || ' (Priority: ' || coalesce(priority, 'null')
-            || case when coalesce(date, '') <> '' then ', Due: ' || date else '' end || ')' end, chr(10)
-            order by list_pos), '')
-       || {q(R.CONTEXT_FOOTER)} as context_text
-from (select *, row_number() over (partition by user_id order by created_at desc, id desc) as list_pos from tasks) x
-where list_pos <= 20 group by user_id"""))
+@register("task_context_text", with_views(CONTEXT_SQL))
 def q_task_context_text(spark, sf):
     return X.task_context_text(L.context_tasks(_tasks(spark, sf), n=20))
 
@@ -480,18 +471,29 @@ def q_feature_dispatch(spark, sf):
     return X.feature_dispatch(req)
 
 
-def _prompt_sql(feature: str, text: str) -> str:
+def _prompt_sql(feature: str, text: str, tasks_json: str) -> str:
     def fill(tmpl, val):
         head, tail = tmpl.split("{text}")
         un = lambda s: s.replace("{{", "{").replace("}}", "}")
         return f"({q(un(head))} || {val} || {q(un(tail))})"
     arms = " ".join(f"when {feature} = {q(f)} then "
-                    f"{fill(R.PROMPTS[f], f'to_json([{text}])::varchar' if f == 'smart-prioritize' else text)}"
+                    f"{fill(R.PROMPTS[f], tasks_json if f == 'smart-prioritize' else text)}"
                     for f in R.FEATURES)
     return f"(case {arms} else {fill(R.PROMPTS[R.DEFAULT_FEATURE], text)} end)"
 
 
-@register("build_prompt", with_views(f"select id, {_prompt_sql(d_feature('id'), 'task')} as prompt from tasks"))
+# Users u0-u9 send their context tasks to be prioritised, the others only the text.
+@register("build_prompt", with_views(f"""
+select t.id, {_prompt_sql(d_feature('t.id'), 't.task', "coalesce(c.tasks_json, to_json([t.task])::varchar)")} as prompt
+from tasks t left join (
+  select user_id, to_json(list(task order by list_pos))::varchar as tasks_json
+  from (select *, row_number() over (partition by user_id order by created_at desc, id desc) as list_pos from tasks) x
+  where list_pos <= 20 and length(user_id) = 2 group by user_id) c on c.user_id = t.user_id"""))
 def q_build_prompt(spark, sf):
     t = _tasks(spark, sf)
-    return t.select("id", E.build_prompt(_feature(F.col("id")), F.col("task")).alias("prompt"))
+    listed = (L.context_tasks(t, n=20).where(F.length("user_id") == 2).groupBy("user_id")
+              .agg(F.array_sort(F.collect_list(F.struct("list_pos", "task"))).alias("l"))
+              .select("user_id", F.to_json("l.task").alias("tasks_json")))
+    own = F.coalesce("tasks_json", F.to_json(F.array("task")))
+    return t.join(listed, "user_id", "left").select(
+        "id", E.build_prompt(_feature(F.col("id")), F.col("task"), own).alias("prompt"))

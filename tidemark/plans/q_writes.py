@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.rules import SYSTEM_PROMPT
 from tidemark.operators import mutations as M
-from tidemark.plans.oracle_views import with_views
+from tidemark.operators.lists import context_tasks
+from tidemark.operators.textrules import task_context_text
+from tidemark.plans.oracle_views import CONTEXT_SQL, SYSTEM_SQL, with_views
 from tidemark.plans.registry import LIST_AS_OF, register
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.tables import load_views, read_table
@@ -130,68 +133,92 @@ def q_bulk_subtasks(spark, sf):
     return M.bulk_subtasks(s, as_of=LIST_AS_OF)
 
 
+OVERLAY_COLS = ["id", "task", "project_id", "priority", "archived", "user_id", "created_at", "updated_at"]
+
+
 def _pending(t):
+    """Pending operations with their order: two edits of a task (the later one sorts first as text),
+    a priority change between them, archives, deletes and adds."""
     i = F.col("id")
-    op = (F.when(i % 97 == 0, "delete").when(i % 89 == 0, "archive").when(i % 83 == 0, "update"))
-    ops = t.where(op.isNotNull()).select(op.alias("op"), "id", F.lit(None).cast("string").alias("temp_id"),
-                                          F.when(op == "update", F.concat(F.col("task"), F.lit("!"))).alias("task"),
-                                          "user_id")
-    adds = t.where(i % 101 == 0).select(F.lit("add").alias("op"), F.lit(None).cast("long").alias("id"),
-                                         F.concat(F.lit("temp-"), (i * 1000).cast("string")).alias("temp_id"),
-                                         F.concat(F.lit("Follow up: "), F.col("task")).alias("task"), "user_id")
-    return ops.unionByName(adds)
+    none = F.lit(None).cast("string")
+
+    def ops(seq, op, rows, task=none, priority=none):
+        return t.where(rows).select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), "id", none.alias("temp_id"),
+                                    task.alias("task"), priority.alias("priority"), "user_id")
+    edits = (ops(1, "update", i % 83 == 0, F.concat(F.lit("zzz "), F.col("task")))
+             .unionByName(ops(2, "update", i % 166 == 0, priority=F.lit("high")))
+             .unionByName(ops(3, "update", i % 83 == 0, F.concat(F.lit("aaa "), F.col("task")))))
+    adds = t.where(i % 101 == 0).select(
+        F.lit(9).alias("seq"), F.lit("add").alias("op"), F.lit(None).cast("long").alias("id"),
+        F.concat(F.lit("temp-"), (i * 1000).cast("string")).alias("temp_id"),
+        F.concat(F.lit("Follow up: "), F.col("task")).alias("task"), none.alias("priority"), "user_id")
+    return (edits.unionByName(ops(4, "archive", i % 89 == 0)).unionByName(ops(5, "delete", i % 97 == 0))
+            .unionByName(adds))
 
 
 OVERLAY_SQL = f"""overlay as (
   select null::bigint as id, 'temp-' || cast(id * 1000 as varchar) as temp_id, 'Follow up: ' || task as task,
+         null::varchar as project_id, null::varchar as priority,
          false as archived, user_id, {NOW} as created_at, {NOW} as updated_at, true as _optimistic,
          0 as overlay_pos
   from tasks where id % 101 = 0
   union all
-  select id, null, case when id % 89 <> 0 and id % 83 = 0 then task || '!' else task end,
+  select id, null, case when id % 83 = 0 then 'aaa ' || task else task end, project_id,
+         case when id % 166 = 0 then 'high' else priority end,
          archived or (id % 89 = 0), user_id, created_at,
-         case when id % 89 <> 0 and id % 83 = 0 then {NOW} else updated_at end,
+         case when id % 83 = 0 then {NOW} else updated_at end,
          id % 89 = 0 or id % 83 = 0, 1
   from tasks where id % 97 <> 0)"""
 
 
+def _overlay(t):
+    return M.pending_overlay(t.select(*OVERLAY_COLS), _pending(t), as_of=LIST_AS_OF)
+
+
 @register("pending_overlay", with_views("""
 select *, case when archived then 'archived' else 'active' end as list from overlay""", OVERLAY_SQL))
 def q_pending_overlay(spark, sf):
     t, _ = load_views(spark, sf)
-    return M.pending_overlay(t.select("id", "task", "archived", "user_id", "created_at", "updated_at"),
-                             _pending(t), as_of=LIST_AS_OF)
+    return _overlay(t).drop("_before")
 
 
 @register("confirm_overlay", with_views("""
-select coalesce(o.id, cast(substr(o.temp_id, 6) as bigint) // 1000 + 2000000000) as id,
-       null::varchar as temp_id, task, archived, user_id, created_at, updated_at, false as _optimistic,
-       overlay_pos, case when archived then 'archived' else 'active' end as list
-from overlay o
-where o.temp_id is null or cast(substr(o.temp_id, 6) as bigint) % 2000 = 0""", OVERLAY_SQL))
+select id, temp_id, task, project_id, priority, archived, user_id, created_at, updated_at, _optimistic, overlay_pos,
+       case when archived then 'archived' else 'active' end as list
+from (
+  select coalesce(o.id, cast(substr(o.temp_id, 6) as bigint) // 1000 + 2000000000) as id,
+         null::varchar as temp_id, task, project_id, priority, archived, user_id, created_at, updated_at,
+         false as _optimistic, overlay_pos
+  from overlay o
+  where (o.temp_id is null or cast(substr(o.temp_id, 6) as bigint) % 2000 = 0) and (o.id is null or o.id % 4 <> 1)
+  union all
+  select id, null, task, project_id, priority, archived, user_id, created_at, updated_at, false, 1
+  from tasks where id % 4 = 1) x""", OVERLAY_SQL))
 def q_confirm_overlay(spark, sf):
     t, _ = load_views(spark, sf)
-    ov = M.pending_overlay(t.select("id", "task", "archived", "user_id", "created_at", "updated_at"),
-                           _pending(t), as_of=LIST_AS_OF)
+    ov = _overlay(t)
     tid = F.substring("temp_id", 6, 40).cast("long")
     results = (ov.where(F.col("temp_id").isNotNull() & (tid % 2000 == 0))
                .select("temp_id", (tid / 1000 + 2_000_000_000).cast("long").alias("stored_id")))
-    return M.confirm_overlay(ov, results)
+    failed = _pending(t).where("op <> 'add' and id % 4 = 1").select("id")
+    return M.confirm_overlay(ov, results, t.select(*OVERLAY_COLS), failed)
 
 
-# The opening of the chat assistant's system message.
-SYSTEM_PROMPT = ("You are a helpful AI assistant integrated into a todo/productivity app. "
-                 "Help users with task planning and organization, productivity tips and strategies, "
-                 "time management advice, breaking down complex projects, research and information "
-                 "for their tasks, and general questions and assistance.")
-
-
-@register("prepend_system_message", f"""
+# The fixture's conversation N belongs to user u(N % 20).
+@register("prepend_system_message", with_views(f"""
 select conv_id, turn, role, text from conversations
 union all
-select distinct conv_id, -1, 'system', '{SYSTEM_PROMPT}' from conversations""")
+select c.conv_id, -1, 'system', {SYSTEM_SQL} || coalesce(x.context_text, '')
+from (select distinct conv_id from conversations) c
+left join ({CONTEXT_SQL}) x on x.user_id = 'u' || cast(c.conv_id % 20 as varchar)"""))
 def q_prepend_system_message(spark, sf):
-    return M.with_system_message(read_table(spark, sf, "conversations"), SYSTEM_PROMPT)
+    t, _ = load_views(spark, sf)
+    conv = read_table(spark, sf, "conversations")
+    context = task_context_text(context_tasks(t, n=20)).select("user_id", "context_text")
+    owner = F.concat(F.lit("u"), (F.col("conv_id") % 20).cast("string"))
+    firsts = conv.select("conv_id").distinct().join(context, owner == F.col("user_id"), "left")
+    return M.with_context_message(
+        conv, firsts, F.concat(F.lit(SYSTEM_PROMPT), F.coalesce("context_text", F.lit(""))))
 
 
 @register("change_feed", "with " + FEED_SQL + " select * from feed")
@@ -258,17 +285,20 @@ def q_change_notifications(spark, sf):
     return M.change_notifications(feed, t)
 
 
-@register("user_change_stream", with_views("""
+SUBSCRIBER_SQL = with_views("""
 select distinct subscriber, event_id, operation, task_id from (
   select case when f.operation <> 'DELETE' then f.user_id end as subscriber, f.event_id, f.operation, f.task_id
   from feed f
   union all
   select t.user_id, f.event_id, f.operation, f.task_id from feed f join tasks t on t.id = f.task_id) x
-where subscriber is not null""", FEED_SQL))
-def q_user_change_stream(spark, sf):
+where subscriber is not null""", FEED_SQL)
+
+
+@register("user_change_feed", SUBSCRIBER_SQL + " and subscriber = 'u7'")
+def q_user_change_feed(spark, sf):
     t, _ = load_views(spark, sf)
     feed = M.change_feed_from_events(read_table(spark, sf, "events"))
-    return M.user_change_stream(feed, t)
+    return M.user_change_stream(feed, t, user="u7")
 
 
 @register("mv_user_statistics", with_views("""

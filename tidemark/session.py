@@ -65,10 +65,10 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` is used as is. Only when it is
-    unset (local tests, the correctness driver) do we pick a folder: the
-    warehouse dir if it is a shared file system, else a fresh local scratch
-    folder, which is only acceptable in local mode.
+    The cluster's ``spark.checkpoint.dir`` is used as is. Only in local mode
+    (tests, the correctness driver) an unset folder is replaced by a fresh
+    scratch folder; on a cluster that would be a different disk per machine,
+    so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -77,33 +77,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         master = sc.master or ""
-        if master.startswith("local"):
-            conf_dir = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir="/tmp")
-        else:
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            conf_dir = os.path.join(wh, "_tidemark_checkpoints")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def spread(df):
-    """Give CPU-heavy row-wise work at least one partition per core.
-
-    A large table already arrives in many file splits and is returned as is;
-    a small input that lands in one or two splits (one row group) is spread
-    round-robin so the expression work runs on every core.
-    """
-    spark = df.sparkSession
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)
-
-
 def cluster_conf(input_bytes: int, executor_cores_total: int,
                  target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for a job reading ``input_bytes`` on ``executor_cores_total`` cores.

@@ -138,6 +138,15 @@ def load_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tasks, derive_projects(read_table(spark, sf_dir, "nation"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the session's shuffle partitions.
+
+    For callers that run CPU-heavy expressions on a table of few file splits
+    (each test table is one row group, which Spark cannot split).
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dirty_tasks(tasks: DataFrame) -> DataFrame:
     """Dirty copy for the data-quality checks (FIXTURES.md §2 notes)."""
     i = F.col("id")

@@ -1,11 +1,12 @@
 """Change-feed streams and stateful jobs.
 
 Sources are Structured Streaming reads of the event log; each job is
-``readStream -> transformations -> writeStream`` with a checkpoint in the
-session's shared checkpoint folder, so a restarted job resumes where it
-stopped. Jobs that must update stored tables (live lists, postings,
-statistics) use ``foreachBatch``: every micro-batch is applied as a
-set-based batch job over the touched keys only.
+``readStream -> transformations -> writeStream``. A job lives in one folder
+that its caller names: stream checkpoint, stored versions and the pointer to
+the current one. Micro-batch ``n`` reads version ``n`` and writes version
+``n + 1``, so a batch that runs again writes the same version again, and a job
+started again on its folder goes on where it stopped. Jobs that update stored
+tables (live lists, postings, statistics) use ``foreachBatch``.
 
 The response cache (J6) needs an ordered fold per key; in streaming it is
 ``applyInPandasWithState`` with one timestamp of state per key, and in
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ from pyspark.sql.streaming.state import GroupState
 from tidemark.functions.rules import CACHE_TTL_SECONDS
 from tidemark.operators.analytics import user_statistics
 from tidemark.operators.lists import task_list
-from tidemark.operators.mutations import change_feed_from_events, change_notifications
+from tidemark.operators.mutations import change_feed_from_events, change_notifications, user_change_stream
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
 
@@ -59,13 +61,42 @@ def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return change_feed_from_events(read_event_stream(spark, sf_dir, max_files))
 
 
-def run_to_completion(stream: DataFrame, batch_fn, name: str) -> None:
-    """Run a ``foreachBatch`` job over everything available now, then stop."""
+def run_versions(stream: DataFrame, root: str, tables: dict[str, DataFrame], step) -> dict[str, DataFrame]:
+    """Run a versioned ``foreachBatch`` job in folder ``root`` over everything available, then stop.
+
+    ``tables`` are the start versions (written once); ``step(stored, changes)``
+    returns the next version of each. The pointer is written after the
+    version it names, so readers never see a version in the making.
+    """
     spark = stream.sparkSession
-    q = (stream.writeStream.foreachBatch(batch_fn)
-         .option("checkpointLocation", scratch_path(spark, name + "-ckpt"))
+
+    def stored(n: int) -> dict[str, DataFrame]:
+        return {name: spark.read.parquet(f"{root}/v{n}/{name}") for name in tables}
+
+    def write(n: int, frames: dict[str, DataFrame]) -> None:
+        for name, df in frames.items():
+            df.write.mode("overwrite").parquet(f"{root}/v{n}/{name}")
+        spark.range(1).select(F.lit(n).alias("version")).write.mode("overwrite").parquet(f"{root}/current-{n % 2}")
+
+    def current() -> int:
+        found = []
+        for k in (0, 1):  # two pointers in turn: one is whole while the other is written
+            try:
+                found += [r["version"] for r in spark.read.parquet(f"{root}/current-{k}").collect()]
+            except AnalysisException:  # not written yet
+                pass
+        return max(found, default=-1)
+
+    if current() < 0:
+        write(0, tables)
+
+    def batch(changes: DataFrame, epoch: int) -> None:
+        write(epoch + 1, step(stored(epoch), changes))
+
+    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return stored(current())
 
 
 def refresh_user_statistics(tasks: DataFrame, path: str) -> DataFrame:
@@ -79,85 +110,82 @@ def refresh_user_statistics(tasks: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def apply_updates(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply the latest UPDATE of each task in ``changes`` (archived flag, updated_at)."""
-    upd = changes.where(F.col("operation") == "UPDATE")
-    last = (upd.groupBy(F.col("task_id").alias("_tid"))
-            .agg(F.max_by(F.struct("archived", "ts"), F.struct("ts", "event_id")).alias("_l")))
-    j = snapshot.join(last, snapshot["id"] == last["_tid"], "left")
-    hit = F.col("_tid").isNotNull()
-    return j.select(*[F.when(hit, F.col("_l.archived")).otherwise(F.col(c)).alias(c) if c == "archived"
-                      else F.when(hit, F.col("_l.ts")).otherwise(F.col(c)).alias(c) if c == "updated_at"
-                      else F.col(c) for c in snapshot.columns])
-
-
-def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The last change of each task in ``changes`` by (ts, event_id)."""
+    return (changes.groupBy(F.col("task_id").alias("_tid"))
+            .agg(F.max_by(F.struct("operation", "archived", "user_id", "ts"), F.struct("ts", "event_id")).alias("_l")))
+
+
+def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """Apply the last change of each task: UPDATE sets archived and updated_at, DELETE drops the
+    row, INSERT appends one (a stored id stays as it is)."""
+    j = snapshot.join(last_changes(changes), F.col("id") == F.col("_tid"), "full")
+    op = F.col("_l.operation")
+    known = F.col("id").isNotNull()
+    keep = known & ~F.coalesce(op == "DELETE", F.lit(False)) | ~known & (op == "INSERT")
+    upd = known & F.coalesce(op == "UPDATE", F.lit(False))
+    new = {"id": F.col("_tid"), "user_id": F.col("_l.user_id"), "archived": F.lit(False),
+           "created_at": F.col("_l.ts"), "updated_at": F.col("_l.ts")}
+    cols = []
+    for c in snapshot.columns:
+        value = F.col(c)
+        if c in ("archived", "updated_at"):
+            value = F.when(upd, F.col("_l.archived" if c == "archived" else "_l.ts")).otherwise(value)
+        if c in new:
+            value = F.when(known, value).otherwise(new[c].cast(snapshot.schema[c].dataType))
+        cols.append(value.alias(c))
+    return j.where(keep).select(*cols)
+
+
+def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                    max_files: int | None = None, **filters) -> DataFrame:
-    """Keep a filtered task list current from the change stream.
-
-    Each micro-batch applies its changes to the stored snapshot (a new
-    version folder per batch; the last one is the current list) and
-    recomputes the list with ``task_list(**filters)``.
-    """
-    state = {"snapshot": scratch_path(spark, "live-snapshot")}
-    tasks.write.mode("overwrite").parquet(state["snapshot"] + "/v0")
-    state["version"] = f"{state['snapshot']}/v0"
-
-    def batch(changes: DataFrame, epoch: int) -> None:
-        snap = spark.read.parquet(state["version"])
-        nxt = f"{state['snapshot']}/v{epoch + 1}"
-        apply_updates(snap, changes).write.mode("overwrite").parquet(nxt)
-        state["version"] = nxt
-        task_list(spark.read.parquet(nxt), order=False, **filters).write.mode("overwrite").parquet(out_path)
-
-    run_to_completion(change_stream(spark, sf_dir, max_files), batch, "live-list")
-    return spark.read.parquet(out_path)
-
-
-def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str) -> DataFrame:
-    """Re-index the tasks touched by each micro-batch (postings replaced per task)."""
-    search_postings(tasks).write.mode("overwrite").parquet(out_path + "/v0")
-    state = {"version": out_path + "/v0"}
-
-    def batch(changes: DataFrame, epoch: int) -> None:
+    """Keep a filtered task list current from the change stream (folder ``root``)."""
+    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+        return {"tasks": apply_changes(stored["tasks"], changes)}
+    got = run_versions(change_stream(spark, sf_dir, max_files), root, {"tasks": tasks}, step)
+    return task_list(got["tasks"], order=False, **filters)
+
+
+def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
+                         max_files: int | None = None) -> DataFrame:
+    """Keep the postings current: those of the tasks that a micro-batch names are dropped and
+    built again from the changed tasks; deleted tasks keep none."""
+    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
         touched = changes.select(F.col("task_id").alias("id")).distinct()
-        fresh = search_postings(tasks.join(touched, "id"))
-        old = spark.read.parquet(state["version"]).join(touched, "id", "left_anti")
-        nxt = f"{out_path}/v{epoch + 1}"
-        old.unionByName(fresh).write.mode("overwrite").parquet(nxt)
-        state["version"] = nxt
-
-    run_to_completion(change_stream(spark, sf_dir), batch, "search-vector")
-    return spark.read.parquet(state["version"])
+        now = apply_changes(stored["tasks"], changes)
+        fresh = search_postings(now.join(touched, "id", "left_semi"))
+        return {"tasks": now, "postings": stored["postings"].join(touched, "id", "left_anti").unionByName(fresh)}
+    return run_versions(change_stream(spark, sf_dir, max_files), root,
+                        {"tasks": tasks, "postings": search_postings(tasks)}, step)["postings"]
 
 
-def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
+def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                            max_files: int | None = None) -> DataFrame:
     """Keep the stored statistics current; each batch recomputes only the touched users.
 
-    Archive flips and maxima are not insert-only, so touched users are
-    recomputed from their current rows rather than incremented.
+    Archive flips, deletes and maxima are not insert-only, so touched users
+    (before or after the batch) are recomputed from their current rows.
     """
-    snap_root = scratch_path(spark, "stats-snapshot")
-    tasks.write.mode("overwrite").parquet(snap_root + "/v0")
-    user_statistics(tasks).write.mode("overwrite").parquet(out_path + "/v0")
-    state = {"snap": snap_root + "/v0", "stats": out_path + "/v0"}
-
-    def batch(changes: DataFrame, epoch: int) -> None:
-        snap = apply_updates(spark.read.parquet(state["snap"]), changes)
-        nsnap = f"{snap_root}/v{epoch + 1}"
-        snap.write.mode("overwrite").parquet(nsnap)
-        snap = spark.read.parquet(nsnap)
-        ids = changes.where(F.col("operation") == "UPDATE").select(F.col("task_id").alias("id")).distinct()
-        users = snap.join(ids, "id").select("user_id").distinct()
-        fresh = user_statistics(snap.join(users, "user_id"))
-        kept = spark.read.parquet(state["stats"]).join(users, "user_id", "left_anti")
-        nstats = f"{out_path}/v{epoch + 1}"
-        kept.unionByName(fresh).write.mode("overwrite").parquet(nstats)
-        state.update(snap=nsnap, stats=nstats)
-
-    run_to_completion(change_stream(spark, sf_dir, max_files), batch, "stats")
-    return spark.read.parquet(state["stats"])
+    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+        ids = changes.select(F.col("task_id").alias("id")).distinct()
+        now = apply_changes(stored["tasks"], changes)
+        users = (stored["tasks"].join(ids, "id", "left_semi").select("user_id")
+                 .unionByName(now.join(ids, "id", "left_semi").select("user_id")).distinct())
+        fresh = user_statistics(now.join(users, "user_id", "left_semi"))
+        return {"tasks": now, "statistics": stored["statistics"].join(users, "user_id", "left_anti").unionByName(fresh)}
+    return run_versions(change_stream(spark, sf_dir, max_files), root,
+                        {"tasks": tasks, "statistics": user_statistics(tasks)}, step)["statistics"]
+
+
+def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
+                        max_files: int | None = None, user: str | None = None) -> DataFrame:
+    """A9/J5 as a stream: each change to its subscribers (or one ``user``'s), appended to a parquet sink."""
+    out = user_change_stream(change_stream(spark, sf_dir, max_files), tasks, user=user)
+    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def notification_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
@@ -168,7 +196,7 @@ def notification_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_
     Returns what the sink holds after all available changes."""
     payloads = change_notifications(change_stream(spark, sf_dir, max_files), tasks)
     q = (payloads.writeStream.format("json").option("path", out_path)
-         .option("checkpointLocation", scratch_path(spark, "notify-ckpt"))
+         .option("checkpointLocation", f"{out_path}-checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema("event_id long, payload string").json(out_path)
@@ -183,14 +211,17 @@ TTL_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 
 
 def _fold(ts_us: np.ndarray, ttl_us: int, last_miss: int | None) -> tuple[np.ndarray, int | None]:
-    """Sequential cache fold over sorted times: a miss starts a new TTL window."""
+    """Cache fold over sorted times: a miss starts a new TTL window.
+
+    Goes from miss to miss by binary search, so its steps are the misses and
+    not the requests.
+    """
     out = np.zeros(len(ts_us), dtype=bool)
-    m = last_miss
-    for i, t in enumerate(ts_us):
-        if m is None or t - m >= ttl_us:
-            m = int(t)
-            out[i] = True
-    return out, m
+    at = 0 if last_miss is None else int(np.searchsorted(ts_us, last_miss + ttl_us))
+    while at < len(ts_us):
+        out[at], last_miss = True, int(ts_us[at])
+        at += int(np.searchsorted(ts_us[at:], last_miss + ttl_us))
+    return out, last_miss
 
 
 def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "event_id",
@@ -233,13 +264,12 @@ def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "ev
             segs_ = pdf["segment"].to_numpy(np.int64)
             ts = pdf["ts_us"].to_numpy(np.int64)
             miss = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                g = (keys[i], segs_[i])
-                if g != cur:
-                    cur, last = g, None
-                if last is None or ts[i] - last >= ttl_us:
-                    last = int(ts[i])
-                    miss[i] = True
+            new = np.append(True, (segs_[1:] != segs_[:-1]) | (keys[1:] != keys[:-1])) if len(pdf) else []
+            starts = [*np.flatnonzero(new), len(pdf)]
+            for s, e in zip(starts, starts[1:]):
+                if (keys[s], segs_[s]) != cur:
+                    cur, last = (keys[s], segs_[s]), None
+                miss[s:e], last = _fold(ts[s:e], ttl_us, last)
             yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": keys, "is_miss": miss})
 
     ordered = (tagged.repartition("key", "segment")
@@ -272,12 +302,15 @@ def ttl_dedup_stream(events: DataFrame, key: str, ts_col: str = "ts", id_col: st
 
 
 def ttl_dedup_streaming_run(spark: SparkSession, sf_dir: str, key: str = "event_type",
-                            max_files: int | None = None) -> DataFrame:
-    """Run the streaming cache fold over the event log into a parquet sink and read it back."""
-    out = scratch_path(spark, "ttl-out")
+                            max_files: int | None = None, out: str | None = None) -> DataFrame:
+    """Run the streaming cache fold over the event log into a parquet sink and read it back.
+
+    ``out`` names the sink of a job that is started again; without it the job is a new one.
+    """
+    out = out or scratch_path(spark, "ttl-out")
     stream = ttl_dedup_stream(read_event_stream(spark, sf_dir, max_files), key)
     q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ttl-ckpt"))
+         .option("checkpointLocation", f"{out}-checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(TTL_OUT).parquet(out)
