@@ -21,8 +21,8 @@ from tidemark.session import local_session  # noqa: E402
 
 HEADLINE = {
     # name -> builder(spark, sf_dir) -> DataFrame
-    "user_analytics": "user_analytics_full",
-    "productivity_insights": "productivity_insights_full",
+    "user_analytics": "user_analytics_record",
+    "productivity_insights": "productivity_insights_record",
     "productivity_analytics": "productivity_analytics",
     "smart_parse": "smart_parse",
     "search_tasks": "search_tasks",
@@ -32,21 +32,6 @@ HEADLINE = {
 }
 
 
-def _full_builders():
-    from tidemark.operators.analytics import productivity_insights, user_analytics
-    from tidemark.plans.registry import REPORT_AS_OF
-    from tidemark.sources.tables import load_views
-
-    def ua(spark, sf):
-        t, p = load_views(spark, sf)
-        return user_analytics(t, p, as_of=REPORT_AS_OF)
-
-    def pi(spark, sf):
-        t, p = load_views(spark, sf)
-        return productivity_insights(t, p, as_of=REPORT_AS_OF)
-    return {"user_analytics_full": ua, "productivity_insights_full": pi}
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -54,7 +39,6 @@ def main() -> None:
                           app="tidemark-bench")
     from tidemark.plans.registry import load_all
     reg = {k: q.build for k, q in load_all().items()}
-    reg.update(_full_builders())
 
     # warm-up: JVM, parquet reader, Python workers
     reg["user_totals"](spark, sf_dir).write.format("noop").mode("overwrite").save()
