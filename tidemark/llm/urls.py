@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 FAR = "9999-12-31 00:00:00"
 
 
@@ -70,7 +72,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, path_levels: int = 2) -> D
     own = ["capture_id", "url", "fetched"]
     rows = captures.groupBy(*own).agg(F.count("*").alias("copies"))
     keyed = rows.select(*own, "copies", F.explode_outer(lookup_keys(F.col("url"), path_levels)).alias("at"))
-    valid = intervals(entries)
+    # written out, so that both sides of the join are plain shuffles and a busy key can be split
+    valid = cut(intervals(entries))
     active = keyed.join(valid, (F.col("at") == F.col("key")) & (F.col("fetched") >= F.col("valid_from"))
                         & (F.col("fetched") < F.col("valid_to")), "left")
     rule = F.struct((-F.char_length("key")).alias("short"), "key", "action", "list_name")
