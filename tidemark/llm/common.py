@@ -111,7 +111,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour moves to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written out: both sides of the join are then plain shuffles, and a hub's rows can be split
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = (both.join(low, "a").filter("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: smaller neighbours and the node itself move to the smallest
