@@ -92,6 +92,27 @@ def test_packing_round_trip(spark, odd_texts):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_groups_stay_bounded(spark):
+    """Gaps in every bin release nearly all pieces: groups stop growing, and the packing is whole."""
+    rng = random.Random(3)
+    n = 4000
+    pieces = spark.createDataFrame([(i, 0, 0, rng.randint(26, 33), 0) for i in range(n)],
+                                   "id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces, 100, group_pieces=8, fan_in=2).collect()
+    assert sorted(r["id"] for r in rows) == list(range(n))
+    seqs, groups = {}, {}
+    for r in rows:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        groups[r["sequence_id"] >> 20] = groups.get(r["sequence_id"] >> 20, 0) + 1
+    for own in seqs.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert max(groups.values()) < 200  # 16 pieces a group on average, merged by hash
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(0)
     for _ in range(30):

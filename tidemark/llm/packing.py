@@ -212,7 +212,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     (id, piece), so no key decides their size; a released bin goes on whole as
     the pieces it holds. The number of rounds is the logarithm (base
     ``fan_in``) of the number of groups; each writes only the rows that are
-    still open. Equal pieces are packed like any others; no pieces give no rows.
+    still open. Lengths that leave gaps everywhere release nearly all pieces:
+    then groups are merged only as far as they hold ``group_pieces * fan_in``
+    pieces on average, and the packing stands when they no longer get fewer,
+    so no task's work grows with the table. Equal pieces are packed like any
+    others; no pieces give no rows.
     """
     pieces = cut(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -235,14 +239,16 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     for level in range(64):
         packed = cut(by_parts(todo, "grp").sortWithinPartitions("grp", "id", "piece", "length", "ids_crc32")
                      .select(*own, "grp").mapInArrow(run, schema))
-        last = groups == 1
+        released = 0 if groups == 1 else packed.filter("released").count()
+        merged = max(-(-groups // fan_in), -(-released // (group_pieces * fan_in)))
+        last = merged >= groups
         closed = packed if last else packed.filter("not released")
         closed = closed.select(*own, (F.lit(level << 56) + F.shiftleft("grp", 20) + F.col("bin")).alias("sequence_id"),
                                "offset")
         done = closed if done is None else done.unionByName(closed)
         if last:
             return done
-        groups = -(-groups // fan_in)
+        groups = merged
         todo = packed.filter("released").select(*own, F.pmod(F.xxhash64("grp"), F.lit(groups)).alias("grp"))
     raise RuntimeError("pack: groups did not shrink")
 
