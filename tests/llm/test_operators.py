@@ -207,6 +207,25 @@ def test_embedding_tiles(spark, monkeypatch):
     assert got == {i: len(x) for i, x in enumerate(brute_links(vecs))}
 
 
+def test_embedding_single_precision(spark):
+    """Float vectors of extreme size give the links of the same values in double precision."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    size = [1e37, 1.0, 1e-37, 1e-44]
+    vecs = [list(map(float, np.float32(size[k % 4] * (base[k % 30] + 0.1 * rng.normal(size=8))))) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>")
+    links = brute_links(vecs)
+    for own in (df, df.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(own).collect()}
+        assert got == {i: (len(links[i]), c) for i, c in enumerate(reach(links))}
+
+
+def test_embedding_passes_grow():
+    few, many = neardup.needed_passes(10**4, 0.95), neardup.needed_passes(10**9, 0.95)
+    assert few == neardup.PASSES < 40 < many < 100
+    assert neardup.needed_passes(0, 0.95) == neardup.needed_passes(10**9, 1.0) == neardup.PASSES
+
+
 # ---- 4 sharding ---------------------------------------------------------------------------------
 
 def test_shards(spark, odd_texts):

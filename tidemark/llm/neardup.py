@@ -9,21 +9,37 @@ tiles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import components, cut, forest, partitions, per_key
 
-PASSES, BITS, WINDOW = 12, 62, 24
+PASSES, BITS, WINDOW = 12, 62, 24  # fewest passes; needed_passes() adds more as the table grows
+RECALL = 0.99  # chance that a lone pair right at the threshold meets in some window
 TILE = 512  # vectors of a component compared at a time
 
 
-def _unit(raw: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<f8") / np.linalg.norm(np.frombuffer(x, "<f8")) for x in raw]
+def needed_passes(n: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes after which a pair at ``threshold`` has met with probability ``recall`` among ``n`` vectors.
+
+    Two such vectors agree on a sign with probability p = 1 - acos(threshold) / pi.
+    They stand within a window once their codes share the log2(n / window)
+    leading bits that split the table into window-sized runs.
+    """
+    p = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    meet = p ** math.log2(max(n / window, 1))
+    return PASSES if meet >= recall else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+
+
+def _unit(raw: list[bytes], fmt: str) -> list[np.ndarray]:
+    wide = [np.frombuffer(x, fmt).astype("<f8") for x in raw]
+    return [x / np.linalg.norm(x) for x in wide]
 
 
 def _same_width(raw: list[bytes]) -> Iterator[np.ndarray]:
@@ -33,7 +49,7 @@ def _same_width(raw: list[bytes]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(width == w)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float, fmt: str) -> Iterator[pa.RecordBatch]:
     """Verified links of rows in (pass, code) order with the ``window`` rows after them, as forests of each slice."""
     tail: list[pa.RecordBatch] = []
     for batch in batches:
@@ -42,7 +58,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -
         part, rep = np.array(part), np.array(rep, np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own in _same_width(raw):
-            x = np.stack(_unit([raw[i] for i in own]))
+            x = np.stack(_unit([raw[i] for i in own], fmt))
             for d in range(1, min(window, len(own) - 1) + 1):
                 near = (np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold) & (part[own][:-d] == part[own][d:])
                 a.append(own[:-d][near])
@@ -53,8 +69,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -
         tail = table.slice(max(0, table.num_rows - window)).to_batches()
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = PASSES, bits: int = BITS,
-                    window: int = WINDOW, seed: int = 11, id_col: str = "vec_id",
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | None = None,
+                    bits: int = BITS, window: int = WINDOW, seed: int = 11, id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -68,21 +84,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = P
     Two vectors at the threshold agree on a projection's sign with
     probability 0.9 (0.97 at cosine 0.995), and every pass is a new order, so a
     pair that one pass keeps apart meets in another; windows bound the work to
-    passes * window comparisons a vector. Inside a found component all pairs
+    passes * window comparisons a vector. Without ``passes`` their number
+    follows from the count of different vectors (``needed_passes``), so that a
+    larger table does not find a smaller share of its links. Inside a found component all pairs
     are counted exactly, in tiles of TILE vectors: groups larger than any
     window lose no link, and no task holds more than two tiles.
     """
+    kind = vectors.schema[vec_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    fmt = "<f4" if single else "<f8"  # on the way through the passes; cosines are in double precision either way
     x = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
     big = F.array_max(F.transform("x", F.abs))
     ok = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall(
         "x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (big > 0)
-    # scaled by a power of two, so that no square overflows or vanishes and the cosine is unchanged
-    scaled = F.transform("x", lambda v: v / F.pow(F.lit(2.0), F.floor(F.log2(big))))
+    # scaled by a power of two, so that no square overflows or vanishes and the cosine is unchanged;
+    # squares of single-precision values never do
+    scaled = F.col("x") if single else F.transform("x", lambda v: v / F.pow(F.lit(2.0), F.floor(F.log2(big))))
     rows = cut(rows.select("id", F.when(F.coalesce(ok, F.lit(False)), scaled).alias("x")))
     nodes = cut(rows.filter("x is not null and id is not null").groupBy("x")
                 .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
+    passes = passes or needed_passes(nodes.count(), threshold, window)
+
     def code(batches: Iterator[pa.RecordBatch]):
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype=np.int64)[::-1]
@@ -94,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = P
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(passes * bits, len(v)))
                 got[i] = ((planes[len(v)] @ v).reshape(passes, bits) > 0) @ weights
-            data = [v.tobytes() for v in raw]
+            data = [v.astype(fmt).tobytes() for v in raw]
             for p in range(passes):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(raw), p, np.int32)), pa.array(got[:, p]), rep, pa.array(data, pa.binary())],
@@ -103,7 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = P
     coded = nodes.select("rep", "x").mapInArrow(code, "part int, code long, rep long, vec binary")
     edges = (coded.repartitionByRange(partitions(vectors), "part", "code", "rep")
              .sortWithinPartitions("part", "code", "rep")
-             .mapInArrow(lambda batches: _windows(batches, window, threshold), "a long, b long"))
+             .mapInArrow(lambda batches: _windows(batches, window, threshold, fmt), "a long, b long"))
     found = cut(components(edges))
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
 
