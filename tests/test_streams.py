@@ -48,6 +48,37 @@ def test_ttl_stream_state_across_batches(spark, split_events):
     assert streamed == batch
 
 
+def test_ttl_busy_key_is_folded_in_many_tasks(spark, monkeypatch):
+    """A key with requests in every window, one with pauses and one with a single request, over several levels."""
+    import datetime as dt
+    import random
+    monkeypatch.setattr(FD, "BLOCK_TTLS", 2)
+    monkeypatch.setattr(FD, "FAN", 3)
+    rng = random.Random(5)
+    busy = [(f"busy{k}", rng.randrange(300 * 90)) for k in (0, 1) for _ in range(2000)]
+    even = [("even", 100 * i) for i in range(300)]
+    slow = [("slow", rng.randrange(300 * 90)) for _ in range(25)]
+    rows = [(i, k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s))
+            for i, (k, s) in enumerate([*busy, *even, *slow, ("once", 300 * 89), ("once", 300 * 89)])]
+    rows += [(10**6, None, dt.datetime(2024, 1, 1)), (10**6 + 1, "busy0", None)]
+    ev = spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz")
+    last, want = {}, {}
+    for i, k, t in sorted((r for r in rows[:-2]), key=lambda r: (r[2], r[0])):
+        want[i] = k not in last or t >= last[k] + dt.timedelta(minutes=5)
+        if want[i]:
+            last[k] = t
+    out = FD.ttl_dedup(ev, "event_type")
+    assert {r.event_id: r.is_miss for r in out.collect()} == want
+    tasks = out.where("key = 'busy0'").select(F.spark_partition_id()).distinct()
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # AQE would join these few rows into one task
+    try:
+        assert tasks.count() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    assert FD.ttl_dedup(ev.limit(0), "event_type").count() == 0
+
+
 def test_stats_stream_matches_batch(spark, split_events):
     t, _ = load_views(spark, SF)
     out = FD.scratch_path(spark, "stats")

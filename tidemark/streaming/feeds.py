@@ -10,7 +10,7 @@ tables (live lists, postings, statistics) use ``foreachBatch``.
 
 The response cache (J6) needs an ordered fold per key; in streaming it is
 ``applyInPandasWithState`` with one timestamp of state per key, and in
-batch the fold streams over independent segments (see ``ttl_dedup``).
+batch all blocks of time are folded at once (see ``ttl_dedup``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
@@ -224,6 +224,136 @@ def _fold(ts_us: np.ndarray, ttl_us: int, last_miss: int | None) -> tuple[np.nda
     return out, last_miss
 
 
+BLOCK_TTLS = 16       # time-to-live spans in one block of a key's requests
+FAN = 32              # neighbouring blocks that make one block of the next level
+NEVER = -(1 << 62)    # last miss of a key without one
+EXITS = "key string, block long, start_us long, exit_us long"
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Key-sorted batches regrouped so that no key spans two chunks: (rows, first row of each key and the end)."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        if all(pdf[k].iloc[-1] == held[0][k].iloc[0] for k in keys):  # one key so far
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        starts = _first_rows(rows, keys)
+        yield rows.iloc[:starts[-2]], starts[:-1]
+        held = [rows.iloc[starts[-2]:]]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, _first_rows(rows, keys)
+
+
+def _first_rows(pdf: pd.DataFrame, keys: list[str]) -> list[int]:
+    new = np.ones(len(pdf), dtype=bool)
+    new[1:] = False
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return [*np.flatnonzero(new), len(pdf)]
+
+
+def _block_exits(ts_us: np.ndarray, begin: int, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first miss, last miss) of a block for every first miss that an earlier window can force.
+
+    A window from before the block ends within its first span, so the first
+    miss is a request of that span or the one after it.
+    """
+    start = ts_us[:np.searchsorted(ts_us, begin + ttl_us) + 1]
+    at = start.copy()
+    while True:
+        nxt = np.searchsorted(ts_us, at + ttl_us)
+        go = nxt < len(ts_us)
+        if not go.any():
+            return start, at
+        at[go] = ts_us[nxt[go]]
+
+
+def _pass(start: np.ndarray, exit_: np.ndarray, miss: np.ndarray, ttl_us: int) -> np.ndarray:
+    """Last misses after a block, from the last misses before it."""
+    at = np.searchsorted(start, miss + ttl_us)
+    inside = at < len(start)  # others: the window covers the whole block
+    out = miss.copy()
+    out[inside] = exit_[at[inside]]
+    return out
+
+
+def _steps(start: np.ndarray, exit_: np.ndarray) -> np.ndarray:
+    """Rows that say the same: of neighbouring first misses with one exit only the last is needed."""
+    return np.flatnonzero(np.append(exit_[1:] != exit_[:-1], True)) if len(start) else np.zeros(0, int)
+
+
+def _last_miss_before_blocks(ev: DataFrame, begin: int, blocks: int, ttl_us: int) -> DataFrame:
+    """(key, block, miss): the last miss of the key before each of its blocks (NEVER if there is none)."""
+    ensure_checkpoint_dir(ev.sparkSession)
+    one = span = BLOCK_TTLS * ttl_us
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(batches, ["key", "block"]):
+            key, block, ts = (pdf[c].to_numpy() for c in ("key", "block", "ts_us"))
+            got = [_block_exits(ts[s:e], begin + int(block[s]) * one, ttl_us)
+                   for s, e in zip(starts, starts[1:])]
+            yield exit_rows(key, block, starts, got)
+
+    def exit_rows(key, block, starts, got) -> pd.DataFrame:
+        kept = [_steps(*g) for g in got]
+        n, first = [len(k) for k in kept], starts[:-1]
+        return pd.DataFrame({"key": np.repeat(key[first], n), "block": np.repeat(block[first], n),
+                             "start_us": np.concatenate([g[0][k] for g, k in zip(got, kept)]),
+                             "exit_us": np.concatenate([g[1][k] for g, k in zip(got, kept)])})
+
+    # the way up: one table of steps for each block of each level
+    levels = [ev.select("key", "block", "ts_us").repartition("key", "block")
+              .sortWithinPartitions("key", "block", "ts_us").mapInPandas(exits, EXITS).checkpoint()]
+    while blocks > 1:
+        span, blocks = span * FAN, -(-blocks // FAN)
+
+        def merge(batches: Iterator[pd.DataFrame], span=span) -> Iterator[pd.DataFrame]:
+            for pdf, starts in _whole_groups(batches, ["key", "parent"]):
+                key, parent, block, start, end = (
+                    pdf[c].to_numpy() for c in ("key", "parent", "block", "start_us", "exit_us"))
+                got = []
+                for s, e in zip(starts, starts[1:]):
+                    lead = start[s:e][:np.searchsorted(start[s:e], begin + int(parent[s]) * span + ttl_us) + 1]
+                    miss = lead - ttl_us
+                    parts = s + np.append(np.flatnonzero(np.append(True, block[s + 1:e] != block[s:e - 1])), e - s)
+                    for a, b in zip(parts, parts[1:]):
+                        miss = _pass(start[a:b], end[a:b], miss, ttl_us)
+                    got.append((lead, miss))
+                yield exit_rows(key, parent, starts, got)
+
+        levels.append(levels[-1].withColumn("parent", F.floor(F.col("block") / FAN)).repartition("key", "parent")
+                      .sortWithinPartitions("key", "parent", "block", "start_us")
+                      .mapInPandas(merge, EXITS).checkpoint())
+
+    # the way down: a block's last miss is that of its parent, passed through the blocks before it
+    before = levels.pop().select("key", "block").distinct().withColumn("miss", F.lit(NEVER).cast("long"))
+    while levels:
+        def hand_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf, starts in _whole_groups(batches, ["key", "parent"]):
+                key, block, start, end, given = (
+                    pdf[c].to_numpy() for c in ("key", "block", "start_us", "exit_us", "miss"))
+                rows, misses = [], []
+                for s, e in zip(starts, starts[1:]):
+                    miss = given[s:s + 1].astype(np.int64)
+                    parts = s + np.append(np.flatnonzero(np.append(True, block[s + 1:e] != block[s:e - 1])), e - s)
+                    for a, b in zip(parts, parts[1:]):
+                        rows.append(a)
+                        misses.append(int(miss[0]))
+                        miss = _pass(start[a:b], end[a:b], miss, ttl_us)
+                yield pd.DataFrame({"key": key[rows], "block": block[rows], "miss": np.array(misses, np.int64)})
+
+        steps = levels.pop().withColumn("parent", F.floor(F.col("block") / FAN))
+        before = (steps.join(before.withColumnRenamed("block", "parent"), ["key", "parent"])
+                  .repartition("key", "parent").sortWithinPartitions("key", "parent", "block", "start_us")
+                  .mapInPandas(hand_on, "key string, block long, miss long"))
+    return before
+
+
 def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "event_id",
               ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """J6 (batch): mark each request as a cache miss or hit.
@@ -231,49 +361,46 @@ def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "ev
     A request whose key was answered less than ``ttl_seconds`` after the
     *first* (missing) request of the current window is a hit; hits do not
     extend the window; the first request at or after it expires is a new
-    miss. Order is (ts, id).
-
-    Exact split into independent parts: time is cut into buckets of one TTL.
-    If bucket b-1 of a key holds no request, every earlier request is more
-    than a TTL before bucket b, so the first request of b is a miss whatever
-    came before. Runs of consecutive non-empty buckets are therefore
-    independent segments. Segment ids come from per-bucket summaries (a few
-    rows per key and TTL of time), not from the requests themselves. Rows are
-    hash-partitioned by (key, segment), sorted within partitions, and folded
-    by ``mapInPandas`` one Arrow batch at a time with the fold state carried
-    across batches: no group is ever materialised, so a long segment of a
-    hot key streams through one task in bounded memory.
+    miss. Order is (ts, id). Requests without key or time are left out.
+
+    Exact and parallel in time: a key's requests are cut into blocks of
+    ``BLOCK_TTLS`` windows. All that a block needs to know of the past is the
+    last miss, and all that it hands on is its own last miss, which depends
+    only on its first miss: a table of steps with at most the requests of one
+    window. ``FAN`` neighbouring tables make one of the next level, up to one
+    block for all time; on the way down every block learns the last miss
+    before it. Then all blocks are folded at once: a key that is busy in every
+    window is many tasks' work, and a task holds one block's times (or FAN
+    tables) while the fold itself goes batch by batch.
     """
     ttl_us = int(ttl_seconds * 1_000_000)
     us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts_col))
-    ev = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("string").alias("key"),
-                       us.alias("ts_us")).withColumn("bucket", F.floor(F.col("ts_us") / F.lit(ttl_us)))
-    w = Window.partitionBy("key").orderBy("bucket")
-    buckets = ev.groupBy("key", "bucket").agg(F.count("*").alias("_n"))
-    starts = F.when(F.lag("bucket").over(w).isNull() | (F.lag("bucket").over(w) < F.col("bucket") - 1), 1).otherwise(0)
-    segs = (buckets.withColumn("_start", starts)
-            .withColumn("segment", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .select("key", "bucket", "segment"))
-    tagged = ev.join(segs, ["key", "bucket"])
+    ev = (events.select(F.col(id_col).alias("event_id"), F.col(key).cast("string").alias("key"), us.alias("ts_us"))
+          .where(F.col("key").isNotNull() & F.col("ts_us").isNotNull()))
+    begin, end = ev.agg(F.min("ts_us"), F.max("ts_us")).first()
+    begin, end = begin or 0, end or 0
+    span = BLOCK_TTLS * ttl_us
+    ev = ev.withColumn("block", F.expr(f"(ts_us - {begin}) div {span}"))
+    before = _last_miss_before_blocks(ev, begin, (end - begin) // span + 1, ttl_us)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by (key, segment, ts, id); state is carried across batches
-        cur, last = None, None
+        # rows arrive sorted, each block led by its last miss; state is carried across batches
+        last = None
         for pdf in batches:
-            keys = pdf["key"].to_numpy()
-            segs_ = pdf["segment"].to_numpy(np.int64)
-            ts = pdf["ts_us"].to_numpy(np.int64)
+            lead, ts = pdf["lead"].to_numpy(bool), pdf["ts_us"].to_numpy(np.int64)
             miss = np.zeros(len(pdf), dtype=bool)
-            new = np.append(True, (segs_[1:] != segs_[:-1]) | (keys[1:] != keys[:-1])) if len(pdf) else []
-            starts = [*np.flatnonzero(new), len(pdf)]
+            starts = [0, *np.flatnonzero(lead), len(pdf)]
             for s, e in zip(starts, starts[1:]):
-                if (keys[s], segs_[s]) != cur:
-                    cur, last = (keys[s], segs_[s]), None
-                miss[s:e], last = _fold(ts[s:e], ttl_us, last)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": keys, "is_miss": miss})
-
-    ordered = (tagged.repartition("key", "segment")
-               .sortWithinPartitions("key", "segment", "ts_us", "event_id"))
+                if e > s and lead[s]:
+                    last, s = int(ts[s]), s + 1
+                if e > s:
+                    miss[s:e], last = _fold(ts[s:e], ttl_us, last)
+            yield pdf.assign(is_miss=miss).loc[~lead, ["event_id", "key", "is_miss"]]
+
+    leads = before.select(F.lit(0).cast("long").alias("event_id"), "key", F.col("miss").alias("ts_us"), "block",
+                          F.lit(True).alias("lead"))
+    ordered = (ev.withColumn("lead", F.lit(False)).unionByName(leads).repartition("key", "block")
+               .sortWithinPartitions("key", "block", F.desc("lead"), "ts_us", "event_id"))
     return ordered.mapInPandas(fold, TTL_OUT)
 
 
