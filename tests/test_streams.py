@@ -89,6 +89,17 @@ def test_stats_stream_matches_batch(spark, split_events):
     assert sorted(map(tuple, streamed.select(*cols).collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_search_reads_the_postings_that_the_stream_keeps(spark, split_events):
+    from tidemark.operators import search as S
+    from tidemark.plans.q_search import user_queries
+    t, p = load_views(spark, SF)
+    stored = FD.search_vector_stream(spark, split_events, t, FD.scratch_path(spark, "postings"), max_files=1)
+    now = FD.apply_changes(t, change_feed_from_events(read_table(spark, SF, "events")))
+    got = S.search_stored(stored, now, p, user_queries(t)).collect()
+    want = S.search_tasks(now, p, user_queries(t)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
 def test_changes_insert_update_delete(spark):
     import datetime as dt
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)

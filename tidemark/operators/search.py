@@ -196,6 +196,50 @@ def search_tasks(tasks: DataFrame, projects: DataFrame, queries: DataFrame, k: i
                       "relevance_score")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int")
+
+
+def store_postings(postings: DataFrame, path: str, buckets: int = 16) -> DataFrame:
+    """Write postings (I1) to the folder ``path``, one subfolder per hash bucket of the lexeme.
+
+    A folder per lexeme would be one per word of the language; ``buckets``
+    bounds their number, and a search opens only the buckets of its terms.
+    """
+    (postings.withColumn("bucket", _bucket(buckets)).repartition("bucket", "user_id")
+     .write.partitionBy("bucket").parquet(path))
+    return postings.sparkSession.read.parquet(path)
+
+
+def search_stored(postings: DataFrame, tasks: DataFrame, projects: DataFrame, queries: DataFrame, k: int = 50,
+                  buckets: int = 16) -> DataFrame:
+    """I5 + F3 over stored postings (of ``store_postings`` or the stream J7): the rows of ``search_tasks``.
+
+    No text is tokenized but the queries'. Terms meet postings on (user,
+    lexeme), and the bucket if they are stored by it; a document's positions
+    come from that one document. Only ids and dates of the tasks take part in
+    the ranking; whole rows are read for the best ``k`` of a user.
+    """
+    on = ["user_id", "lexeme"]
+    terms = query_terms(queries).withColumn("n_terms", F.count("*").over(Window.partitionBy("user_id")))
+    if "bucket" in postings.columns:
+        terms, on = terms.withColumn("bucket", _bucket(buckets)), [*on, "bucket"]
+    occs = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("lexeme").alias("lexeme")))
+    found = (postings.join(terms, on).groupBy("user_id", "id")
+             .agg(F.max("n_terms").alias("n_terms"), F.count("*").alias("n_found"),
+                  F.sort_array(F.flatten(F.collect_list(occs))).alias("occs"))
+             .where(F.col("n_found") == F.col("n_terms")))
+    active = tasks.where(F.col("archived") == F.lit(False)).select("user_id", "id", "created_at")
+    ranked = (found.join(active, ["user_id", "id"])
+              .select("user_id", "id", "created_at",
+                      rank_expr(F.col("n_terms"), F.size("occs"), F.col("occs")).alias("relevance_score")))
+    best = top_n(ranked, ["user_id"], [F.col("relevance_score").desc(), F.col("created_at").desc(),
+                                       F.col("id").desc()], k, "result_pos")
+    rows = best.join(tasks.select("user_id", "id", "task", "project_id", "priority"), ["user_id", "id"])
+    return with_project_name(rows, projects).select("user_id", "result_pos", "id", "task", "project_name", "priority",
+                                                    "created_at", "relevance_score")
+
+
 def _check_constants():
     assert math.isclose(ZETA2, math.pi ** 2 / 6, rel_tol=1e-10)
 

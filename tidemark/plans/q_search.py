@@ -8,6 +8,7 @@ from tidemark.operators import search as S
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import register
 from tidemark.sources.tables import dealt, load_views
+from tidemark.streaming.feeds import scratch_path
 
 # Query texts for the fixture users (user uN runs QUERY_POOL[N % 8]); one of
 # them is only stop words and must match nothing.
@@ -127,6 +128,13 @@ def q_search_tasks(spark, sf):
     return S.search_tasks(dealt(t), p, user_queries(t), k=50)
 
 
+@register("search_stored", with_views(_TOP, *_ctes(True)))
+def q_search_stored(spark, sf):
+    t, p = load_views(spark, sf)
+    stored = S.store_postings(S.search_postings(dealt(t)), f"{scratch_path(spark, 'postings')}/by-lexeme")
+    return S.search_stored(stored, t, p, user_queries(t), k=50)
+
+
 @register("search_top50", with_views("select user_id, result_pos, id from (" + _TOP + ") y", *_ctes(True)))
 def q_search_top50(spark, sf):
     t, p = load_views(spark, sf)
