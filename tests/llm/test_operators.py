@@ -410,6 +410,18 @@ def test_contamination(spark, odd_texts, limit):
         assert len(none) == len(texts) and not any(r["n_hit"] for r in none)
 
 
+def test_contamination_of_long_documents(spark):
+    rng = random.Random(12)
+    items = [(i, words(rng, n, 9)) for i, n in enumerate((40, 600, 13, 7, 2))] + [(5, "same same " * 20), (6, "same same " * 20)]
+    texts = [" ".join(items[0][1] + f" x{i % 7}" for i in range(60)),  # the same item over and over
+             " ".join([words(rng, 250, 9), items[1][1], "end", items[2][1], items[1][1][:700]]),  # across block borders
+             "same " * 700, items[1][1], words(rng, 900, 9), words(rng, 900, 9) + " " + items[2][1]]
+    bench = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
+    got = decontam.contamination(docs_frame(spark, texts), bench).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got
+            ] == brute_contamination(texts, items)
+
+
 # ---- 9 URLs -------------------------------------------------------------------------------------
 
 def test_url_lists(spark):

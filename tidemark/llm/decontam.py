@@ -19,6 +19,7 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what lies between words, after A-Z a
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
 BROADCAST_ROWS = 100_000  # benchmark shingles up to which the dictionary is broadcast
+BLOCK = 256  # document places that one row of the verification holds
 
 
 def words(text: Column) -> Column:
@@ -55,7 +56,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     each; a null item id is the empty text; an empty table of either kind
     works. Other columns are not read.
 
-    The documents are read once. The dictionary of benchmark shingles is
+    A candidate is verified against the BLOCK-sized pieces of the document that
+    its item would cover, so a long document full of candidates costs their
+    number times the item's size, in many rows. The documents are read once.
+    The dictionary of benchmark shingles is
     broadcast if it has at most ``broadcast_rows`` rows; a larger one is
     joined by shuffling shingles, without a change of the result.
     """
@@ -114,25 +118,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     # a candidate: item word 0 would stand at word `at` of the document; some window of the prefix must fit
     cand = (found.join(prefix, "sid").withColumn("at", F.expr("pos - off"))
             .filter(F.expr("greatest(w_low, -at) <= least(w_high, n_words - wlen - at)"))
-            .select("rid", "iid", "at", "wlen", "need").distinct())
-    # the document's own places, in order: as many as it has words at most
+            .select("rid", "iid", "at", "n_words", "wlen", "need").distinct())
+    # the document's own places, block by block: a candidate meets the blocks that its item would cover
     own = (found.join(cand.select("rid").distinct(), "rid", "left_semi")
-           .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("own")))
-    checked = (cand.join(lists, "iid").join(own, "rid")
+           .groupBy("rid", F.expr(f"pos div {BLOCK}").alias("block"))
+           .agg(F.collect_list(F.struct("pos", "sid")).alias("own")))
+    checked = (cand.join(lists, "iid")
+               .withColumn("block", F.explode(F.expr(
+                   f"sequence(greatest(at, 0) div {BLOCK}, (least(at + size(sids), n_words) - 1) div {BLOCK})")))
+               .join(own, ["rid", "block"])
                .withColumn("run", F.expr("transform(filter(own, o -> get(sids, o.pos - at) = o.sid), o -> o.pos)"))
+               .filter("size(run) > 0")
+               .groupBy("rid", "iid", "at", "wlen", "need")
+               .agg(F.array_sort(F.flatten(F.collect_list("run"))).alias("run"))
                .filter("size(run) >= need")
                .withColumn("starts", F.expr(
                    "filter(run, (p, i) -> coalesce(get(run, i + need - 1), -1) = p + need - 1)"))
                .filter("size(starts) > 0"))
+    checked = cut(checked.select("rid", "iid", "wlen", "starts"))
+    # one span for each place where some window starts, however many items share it
+    covered = (checked.select("rid", F.explode("starts").alias("s"), "wlen")
+               .groupBy("rid", "s").agg(F.max("wlen").alias("wlen"))
+               .groupBy("rid").agg(F.array_sort(F.collect_list(F.expr("struct(s as s, s + wlen as e)"))).alias("spans"))
+               .select("rid", F.expr("""aggregate(spans, struct(0 as far, 0L as hit),
+                   (a, x) -> struct(greatest(a.far, x.e) as far,
+                                    a.hit + greatest(0, x.e - greatest(a.far, x.s)) as hit)).hit""").alias("n_hit")))
     hits = (checked.join(items.select("iid", "item"), "iid")
-            .withColumn("spans", F.expr("transform(starts, s -> struct(s as s, s + wlen as e))"))
-            .groupBy("rid")
-            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                 F.array_sort(F.collect_set("item")).alias("items"))
-            .select("rid", "items",
-                    F.expr("""aggregate(spans, struct(0 as far, 0L as hit),
-                        (a, x) -> struct(greatest(a.far, x.e) as far,
-                                         a.hit + greatest(0, x.e - greatest(a.far, x.s)) as hit)).hit""").alias("n_hit")))
+            .groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items")).join(covered, "rid"))
     rows = seen.filter("sid = -1").select("rid", "id", F.col("n_words").cast("long").alias("n_words"))
     return _result(rows, hits, id_col, share)
 
