@@ -7,7 +7,7 @@ FIXTURES.md rather than generated from the Spark code.
 
 from tidemark.functions import rules as R
 
-from tidemark.sources.tables import TASK_TEMPLATES
+from tidemark.sources.tables import RULE_TEXTS, TASK_TEMPLATES
 
 _BASE = ("(timestamp '2024-01-01 00:00:00' + "
          "to_minutes(cast((o.o_orderkey*7919) % 172800 as bigint)))")
@@ -68,6 +68,25 @@ from (select *, row_number() over (partition by user_id order by created_at desc
 where list_pos <= 20 group by user_id"""
 
 
+RULE_TEXTS_SQL = f"""select * replace (case when (id // 12) % 2 = 0
+    then list_extract([{", ".join(_text(t) for t in RULE_TEXTS)}], cast((id // 24) % {len(RULE_TEXTS)} as int) + 1)
+    else task end as task) from plain_tasks"""
+
+ANSWERS_SQL = """select * replace (case when (event_id // 8) % 4 <> 0 then '{' || concat_ws(',',
+      case when event_id % 2 = 0 then '"taskName":"' || event_type || '"' end,
+      case event_id % 3 when 0 then '"priority":"low"' when 1 then '"priority":""' end,
+      case when event_id % 5 <> 0 then '"category":"work"' end,
+      case when event_id % 7 <> 0 then '"estimatedDuration":"1 hour"' end,
+      case when event_id % 4 <> 0 then '"confidence":0.' || (event_id % 10) end) || '}'
+    else props end as props) from events"""
+
+
+def with_texts(body: str, *extra_ctes: str) -> str:
+    """As ``with_views``, with the tasks whose texts reach every arm of the text rules."""
+    ctes = [f"plain_tasks as (\n{TASKS_SQL}\n)", f"tasks as (\n{RULE_TEXTS_SQL}\n)", *extra_ctes]
+    return "with " + ",\n".join(ctes) + "\n" + body
+
+
 def with_views(body: str, *extra_ctes: str) -> str:
     """Prefix ``body`` with the tasks/projects CTEs (and any extra CTEs)."""
     ctes = [f"tasks as (\n{TASKS_SQL}\n)", f"projects as (\n{PROJECTS_SQL}\n)"]

@@ -10,7 +10,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import lists as L
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import LIST_AS_OF, REPORT_AS_OF, register
-from tidemark.sources.tables import TASK_SCHEMA, load_views, read_table, virtual_projects
+from tidemark.sources.tables import TASK_SCHEMA, load_views, pending_children, read_table, virtual_projects
 
 LNOW = f"timestamp '{LIST_AS_OF}'"
 TASK_COLS = ("id, task, project_id, date, priority, archived, user_id, ai_enhanced, metadata, "
@@ -281,12 +281,18 @@ union all
 select k.user_id, k.id, r.id, r.created_at, 1, k.created_at
 from kids k join roots r on k.user_id = r.user_id and k.parent_task_id is null
   and json_extract_string(k.metadata, '$.parentTask') = r.task""",
-    "a as (select * from tasks where archived = false)",
+    "firsts as (select user_id, min_by(task, id) as text from tasks where archived = false and parent_task_id is null "
+    "group by user_id)",
+    # every fifth child is pending: it names its user's first root by text
+    "a as (select t.* replace (case when f.text is null or t.parent_task_id is null or t.id % 5 <> 0 then t.parent_task_id "
+    "end as parent_task_id, case when f.text is null or t.parent_task_id is null or t.id % 5 <> 0 then t.metadata "
+    "else json_object('parentTask', f.text)::varchar end as metadata) "
+    "from tasks t left join firsts f on f.user_id = t.user_id where t.archived = false)",
     "roots as (select * from a where parent_task_id is null and json_extract_string(metadata, '$.parentTask') is null)",
     "kids as (select * from a where parent_task_id is not null or json_extract_string(metadata, '$.parentTask') is not null)"))
 def q_task_hierarchy(spark, sf):
     t, _ = load_views(spark, sf)
-    return J.task_hierarchy(t.where(F.col("archived") == F.lit(False)))
+    return J.task_hierarchy(pending_children(t).where(F.col("archived") == F.lit(False)))
 
 
 @register("orphan_tasks", with_views("""

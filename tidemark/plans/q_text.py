@@ -14,9 +14,9 @@ from tidemark.functions import rules as R
 from tidemark.functions.text import JS_WS, TRIM_RE
 from tidemark.operators import lists as L
 from tidemark.operators import textrules as X
-from tidemark.plans.oracle_views import CONTEXT_SQL, with_views
+from tidemark.plans.oracle_views import ANSWERS_SQL, CONTEXT_SQL, with_texts
 from tidemark.plans.registry import register
-from tidemark.sources.tables import dealt, load_views, read_table
+from tidemark.sources.tables import dealt, load_views, parsed_answers, read_table, rule_texts
 
 
 # ---------------------------------------------------------------------------
@@ -199,14 +199,14 @@ def d_choice(x, rules, default):
 
 def _tasks(spark, sf):
     t, _ = load_views(spark, sf)
-    return dealt(t)
+    return dealt(rule_texts(t))
 
 
 def _single(name: str, spark_expr, sql_expr: str, trim: bool = True):
     """Register a one-column enrichment over tasks.task."""
     body = f"select id, {sql_expr.replace('__T__', d_trim('task') if trim else 'task')} as {name} from tasks"
 
-    @register(name, with_views(body))
+    @register(name, with_texts(body))
     def build(spark, sf):
         t = _tasks(spark, sf)
         x = E.js_trim(F.col("task")) if trim else F.col("task")
@@ -228,7 +228,7 @@ _single("estimate_duration", E.estimate_duration, d_duration("__T__"))
 _SUG_CTES, _SUG_LAST = d_clean_ctes("tt", "t", "id", "rn", "cln")
 
 
-@register("task_suggestions", with_views(f"""
+@register("task_suggestions", with_texts(f"""
 select id, array_to_string({d_suggestions('rn', d_category('t'))}, ' | ') as suggestions from {_SUG_LAST}""",
     f"tt as (select id, {d_trim('task')} as t from tasks)", *_SUG_CTES))
 def q_task_suggestions(spark, sf):
@@ -238,7 +238,7 @@ def q_task_suggestions(spark, sf):
                     .alias("suggestions"))
 
 
-@register("parse_confidence", with_views(f"""
+@register("parse_confidence", with_texts(f"""
 select id, {d_confidence('t', d_date('t'), d_time('t'), d_people('t'))} as confidence
 from (select id, {d_trim('task')} as t from tasks) a"""))
 def q_parse_confidence(spark, sf):
@@ -248,7 +248,7 @@ def q_parse_confidence(spark, sf):
                     .alias("confidence"))
 
 
-@register("quick_parse", with_views("""
+@register("quick_parse", with_texts("""
 select id, task_name, priority, category, tags, estimated_duration, suggestions, confidence
 from parsed where fast_response""", parse_cte("tasks")))
 def q_quick_parse(spark, sf):
@@ -259,7 +259,7 @@ def q_quick_parse(spark, sf):
                                               "estimated_duration", "suggestions", "confidence")
 
 
-@register("smart_parse", with_views("select * from parsed", parse_cte("tasks")))
+@register("smart_parse", with_texts("select * from parsed", parse_cte("tasks")))
 def q_smart_parse(spark, sf):
     return X.smart_parse_flat(_tasks(spark, sf))
 
@@ -270,9 +270,9 @@ select event_id, coalesce(nullif(json_extract_string(props, '$.taskName'), ''),
        coalesce(nullif(json_extract_string(props, '$.category'), ''), {q(R.DEFAULT_CATEGORY)}) as category,
        coalesce(nullif(json_extract_string(props, '$.estimatedDuration'), ''), {q(R.DEFAULT_DURATION)}) as estimated_duration,
        coalesce(nullif(cast(json_extract(props, '$.confidence') as double), 0.0), {R.CONFIDENCE_BASE}::double) as confidence
-from events""")
+from ({ANSWERS_SQL}) answers""")
 def q_parse_defaults(spark, sf):
-    ev = read_table(spark, sf, "events")
+    ev = parsed_answers(read_table(spark, sf, "events"))
     schema = ("taskName string, date string, time string, priority string, people array<string>, "
               "category string, tags array<string>, estimatedDuration string, suggestions array<string>, "
               "confidence double")
@@ -295,14 +295,14 @@ from bk b, (values {", ".join(f"({i}, {q(pre)}, {q(p)}, {q(e)})" for i, (pre, p,
 where b.key is null"""
 
 
-@register("task_breakdown", with_views(BREAKDOWN_SQL,
+@register("task_breakdown", with_texts(BREAKDOWN_SQL,
           f"bk as (select id, t, {d_breakdown_key('t')} as key from (select id, {d_trim('task')} as t from tasks) a)",
           f"tmpl(key, step, task, priority, estimated_time) as ({d_steps_values()})"))
 def q_task_breakdown(spark, sf):
     return X.breakdown(_tasks(spark, sf))
 
 
-@register("breakdown_total_time", with_views(f"""
+@register("breakdown_total_time", with_texts(f"""
 select id, case when {d_breakdown_key('t')} is not null then {q(R.TOTAL_TIME_LONG)} end as total_estimated_time
 from (select id, {d_trim('task')} as t from tasks) a"""))
 def q_breakdown_total_time(spark, sf):
@@ -313,7 +313,7 @@ def q_breakdown_total_time(spark, sf):
 _PRIO, _WHY = d_priority_pairs("lower(coalesce(task, ''))")
 
 
-@register("smart_prioritize", with_views(f"select id, user_id, {_PRIO} as ai_priority, {_WHY} as reasoning from tasks"))
+@register("smart_prioritize", with_texts(f"select id, user_id, {_PRIO} as ai_priority, {_WHY} as reasoning from tasks"))
 def q_smart_prioritize(spark, sf):
     return X.prioritize(_tasks(spark, sf)).select("id", "user_id", "ai_priority", "reasoning")
 
@@ -326,7 +326,7 @@ def _topic_values():
     return "values " + ", ".join(rows)
 
 
-@register("contextual_suggestions", with_views(f"""
+@register("contextual_suggestions", with_texts(f"""
 select a.id, coalesce(a.topic, {q(R.DEFAULT_CATEGORY)}) as category, 'suggestion' as kind, s.pos, s.text
 from a join sug s on s.topic is not distinct from a.topic
 union all
@@ -347,12 +347,12 @@ def _schedule_sql(conflicts: str) -> str:
        {d_choice(t, R.BUFFER_RULES, R.BUFFER_DEFAULT)} as buffer_time"""
 
 
-@register("smart_schedule", with_views(_schedule_sql(q(R.CONFLICT_FREE)) + " from tasks"))
+@register("smart_schedule", with_texts(_schedule_sql(q(R.CONFLICT_FREE)) + " from tasks"))
 def q_smart_schedule(spark, sf):
     return X.schedule(_tasks(spark, sf))
 
 
-@register("schedule_conflicts", with_views(_schedule_sql(
+@register("schedule_conflicts", with_texts(_schedule_sql(
     f"case when coalesce(c.n, 0) > {R.CONFLICT_OVER} then {q(R.CONFLICT_BUSY)} else {q(R.CONFLICT_FREE)} end")
     + ", tasks.user_id from tasks left join (select user_id, count(*) as n from tasks where archived = false "
       "group by user_id) c on c.user_id = tasks.user_id"))
@@ -360,7 +360,7 @@ def q_schedule_conflicts(spark, sf):
     return X.schedule_with_conflicts(_tasks(spark, sf))
 
 
-@register("suggestions_to_subtasks", with_views(f"""
+@register("suggestions_to_subtasks", with_texts(f"""
 select b.id as parent_task_id, s.step - 1 as pos, s.task, coalesce(nullif(b.project_id, ''), '1') as project_id,
        '' as date, s.priority, true as ai_enhanced,
        '{{"parentTask":' || to_json(b.task) || ',"type":"subtask","aiGenerated":true,"estimatedTime":'
@@ -376,7 +376,7 @@ def q_suggestions_to_subtasks(spark, sf):
     return X.suggestions_to_subtasks(parents, "steps", selected=(F.col("pos") % 2 == 0))
 
 
-@register("parsed_to_task", with_views("""
+@register("parsed_to_task", with_texts("""
 select p.id, case when t.id % 4 = 0 then t.task else coalesce(nullif(p.task_name, ''), t.task) end as task,
        coalesce(nullif(t.project_id, ''), '1') as project_id,
        case when t.id % 4 = 0 then '' else coalesce(nullif(p.date, ''), '') end as date,
@@ -404,12 +404,12 @@ def q_embedded_json(spark, sf):
     return X.embedded_json(ev.unionByName(pg), "txt", "id")
 
 
-@register("task_context_text", with_views(CONTEXT_SQL))
+@register("task_context_text", with_texts(CONTEXT_SQL))
 def q_task_context_text(spark, sf):
     return X.task_context_text(L.context_tasks(_tasks(spark, sf), n=20))
 
 
-@register("push_id", with_views(f"""
+@register("push_id", with_texts(f"""
 select id, {" || ".join(f"substr({q(R.PUSH_CHARS)}, cast(((epoch_ms(created_at) >> {6 * k}) & 63) as int) + 1, 1)"
                          for k in range(7, -1, -1))} || {q(R.PUSH_RANDOM_PART)} as push_id
 from tasks"""))
@@ -419,7 +419,7 @@ def q_push_id(spark, sf):
     return t.select("id", E.push_id(ms).alias("push_id"))
 
 
-@register("due_date_choice", with_views("""
+@register("due_date_choice", with_texts("""
 select id, strftime(cast(created_at as date), '%d/%m/%Y') as today,
        strftime(cast(created_at as date) + interval 1 day, '%d/%m/%Y') as tomorrow,
        strftime(cast(created_at as date) + interval 7 day, '%d/%m/%Y') as next_week from tasks"""))
@@ -436,7 +436,7 @@ def d_feature(col):
     return "list_extract([" + ", ".join(q(f) for f in R.FEATURES) + f", null], cast({col} % 6 as int) + 1)"
 
 
-@register("request_key", with_views(f"""
+@register("request_key", with_texts(f"""
 select id, coalesce(nullif({d_feature('id')}, ''), {q(R.DEFAULT_FEATURE)}) || '_' || {d_trim('lower(task)')} as request_key
 from tasks"""))
 def q_request_key(spark, sf):
@@ -452,7 +452,7 @@ def _dispatch_sql() -> str:
     first_sug = " ".join(f"when {d_topic('tt.t')} = {q(tp)} then {q(sug[0])}" for tp, sug in R.TOPIC_SUGGESTIONS)
     prio, _ = d_priority_pairs("lower(coalesce(tasks.task, ''))")
     routed = f"(case when {d_feature('tasks.id')} in ({feats}) then {d_feature('tasks.id')} else {q(R.DEFAULT_FEATURE)} end)"
-    return with_views(f"""
+    return with_texts(f"""
 select tasks.id, {routed} as feature_used,
        case {routed}
          when 'task-breakdown' then (case {first_step} else {q(R.GENERIC_BREAKDOWN[0][0])} || tt.t end)
@@ -483,7 +483,7 @@ def _prompt_sql(feature: str, text: str, tasks_json: str) -> str:
 
 
 # Users u0-u9 send their context tasks to be prioritised, the others only the text.
-@register("build_prompt", with_views(f"""
+@register("build_prompt", with_texts(f"""
 select t.id, {_prompt_sql(d_feature('t.id'), 't.task', "coalesce(c.tasks_json, to_json([t.task])::varchar)")} as prompt
 from tasks t left join (
   select user_id, to_json(list(task order by list_pos))::varchar as tasks_json

@@ -60,6 +60,33 @@ TASK_TEMPLATES = [
     "Write blog post about",
 ]
 
+# Texts of the derived fixture that reach the arms of the text rules which the templates miss.
+RULE_TEXTS = [
+    "Organize team retreat with Anna Berg before March 5",
+    "team retreat",
+    "Launch product on July 4 asap",
+    "launch",
+    "Water the plants when possible",
+    "Visit family on December 24 in the evening",
+    "Read hobby magazine at home eventually",
+    "quick sync with Tom at 9:15am",
+    "standup on monday",
+    "Clara Jones and me check the budget",
+    "deep work next month",
+    "Join the workshop on 3/4",
+    "project planning low priority",
+    "Purchase a creative design, nice to have",
+    "Book flight for the trip on Saturday night",
+    "Study for the course",
+    "Interview candidate with Eve",
+    "Emergency: tax deadline",
+    "Phone the bank about money",
+    "Take medicine",
+    "do   demo   today",
+    "Schedule workout tomorrow",
+    "Urgent",
+]
+
 _EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
@@ -138,6 +165,37 @@ def load_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tasks, derive_projects(read_table(spark, sf_dir, "nation"))
 
 
+def rule_texts(tasks: DataFrame) -> DataFrame:
+    """``tasks`` with every other dozen of ids saying one of RULE_TEXTS instead."""
+    texts = F.array(*[F.lit(t) for t in RULE_TEXTS])
+    text = F.element_at(texts, (F.floor(F.col("id") / 24) % len(RULE_TEXTS)).cast("int") + 1)
+    return tasks.withColumn("task", F.when(F.floor(F.col("id") / 12) % 2 == 0, text).otherwise(F.col("task")))
+
+
+def pending_children(tasks: DataFrame) -> DataFrame:
+    """``tasks`` with every fifth child pending: no parent id, but the text of its user's first active root."""
+    first = (tasks.where(~F.col("archived") & F.col("parent_task_id").isNull())
+             .groupBy("user_id").agg(F.min_by("task", "id").alias("_text")))
+    pending = F.col("parent_task_id").isNotNull() & (F.col("id") % 5 == 0) & F.col("_text").isNotNull()
+    named = F.to_json(F.struct(F.col("_text").alias("parentTask")))
+    return (tasks.join(first, "user_id", "left").withColumn("_pending", pending)
+            .withColumn("metadata", F.when(F.col("_pending"), named).otherwise(F.col("metadata")))
+            .withColumn("parent_task_id", F.when(~F.col("_pending"), F.col("parent_task_id")))
+            .drop("_text", "_pending"))
+
+
+def parsed_answers(events: DataFrame) -> DataFrame:
+    """``events`` with most ``props`` replaced by the JSON of a parsed task, fields missing, empty or zero in turn."""
+    n = F.col("event_id")
+    parts = [F.when(n % 2 == 0, F.concat(F.lit('"taskName":"'), "event_type", F.lit('"'))),
+             F.when(n % 3 == 0, '"priority":"low"').when(n % 3 == 1, '"priority":""'),
+             F.when(n % 5 != 0, '"category":"work"'),
+             F.when(n % 7 != 0, '"estimatedDuration":"1 hour"'),
+             F.when(n % 4 != 0, F.concat(F.lit('"confidence":0.'), (n % 10).cast("string")))]
+    made = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return events.withColumn("props", F.when(F.floor(n / 8) % 4 != 0, made).otherwise(F.col("props")))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` dealt over the session's shuffle partitions.
 
