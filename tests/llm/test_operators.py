@@ -422,6 +422,20 @@ def test_contamination_of_long_documents(spark):
             ] == brute_contamination(texts, items)
 
 
+def test_extract_runs_cross_blocks(spark):
+    """A menu of one-word items, and a line that the host puts into its articles, go by the host's pages alone."""
+    rng = random.Random(19)
+    menu = "".join(f"<li>{w}</li>" for w in words(rng, 9).split())
+    line = words(rng, 14)
+    own = [[words(rng, 40), words(rng, 25)] for _ in range(12)]
+    pages = [(i, "http://m.example/%d" % i, f"<ul>{menu}</ul><p>{a}</p>") for i, (a, _) in enumerate(own)]
+    pages += [(100 + i, "http://a.example/%d" % i, f"<article><p>{a}</p><p>{line}</p><p>{b}</p></article>")
+              for i, (a, b) in enumerate(own)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {i: a for i, (a, _) in enumerate(own)} | {100 + i: f"{a}\n{b}" for i, (a, b) in enumerate(own)}
+
+
 # ---- 9 URLs -------------------------------------------------------------------------------------
 
 def test_url_lists(spark):

@@ -1,10 +1,9 @@
 """Main-text extraction with host suffix arrays.
 
-A page becomes a row of visible blocks. Markup that says what a block is
-decides at once: blocks of the article are kept, those of menus, headers,
-footers, side bars, forms, adverts and comments go. For all other blocks the
-host decides: the token streams of its pages are concatenated, a suffix array
-finds long runs that distinct pages share, and blocks covered by them go.
+A page becomes a row of visible blocks, each with a kind that its markup
+suggests: article, furniture or open. The token streams of a host's pages are
+concatenated, a suffix array finds long runs that distinct pages share, and a
+block goes if the share of it under such runs reaches what its kind asks for.
 """
 
 from __future__ import annotations
@@ -23,7 +22,10 @@ from tidemark.llm.urls import host_of
 
 MIN_RUN = 6          # tokens of a repeated run
 MIN_PAGES = 2        # distinct pages that share it
-COVERED = 0.5        # share of a block's tokens under repeated runs that makes it boilerplate
+COVERED = 0.5        # share of an open block's tokens under repeated runs that makes it boilerplate
+MAIN_COVERED = 0.75  # the same for a block of the article,
+MAIN_PAGES = 3       # whose runs must stand on so many pages
+MAIN_SHARE = 0.1     # and on so large a share of the pages
 CHUNK_PAGES = 512    # pages of a host in one suffix array, on average
 
 _TOKEN = re.compile(
@@ -148,62 +150,87 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(stream: np.ndarray, page: np.ndarray, min_run: int, min_pages: int) -> np.ndarray:
-    """True for tokens inside a run of ``min_run`` tokens or more that ``min_pages`` distinct pages share.
+def places(stream: np.ndarray, page: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, pages): the run of ``min_run`` tokens that starts at each place, and the distinct pages of each run.
 
-    ``stream`` holds token numbers with a separator of its own (a negative
-    number) after every block, so no run crosses blocks. The suffix array is
+    ``stream`` holds token numbers with separators of their own (negative
+    numbers); runs over a separator are unlike all others. The suffix array is
     sorted by prefix doubling up to ``min_run`` tokens, which is enough:
     suffixes that agree on so many are neighbours, and a longer run is covered
     by the places of its parts.
     """
     n = len(stream)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank, width = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
-    ranks = {1: rank}
     while width < min_run:
         step = min(width, min_run - width)
-        nxt = np.append(ranks[width][step:], np.full(step, -1))
-        pair = ranks[width] * (n + 2) + nxt + 1
+        nxt = np.append(rank[step:], np.full(min(step, n), -1))[:n]
+        rank = np.unique(rank * (n + 2) + nxt + 1, return_inverse=True)[1].astype(np.int64)
         width += step
-        ranks = {width: np.unique(pair, return_inverse=True)[1].astype(np.int64)}
-    rank = ranks[width]
     suffixes = np.argsort(rank, kind="stable")  # neighbours share min_run tokens or more if their ranks are equal
     ordered, owner = rank[suffixes], page[suffixes]
     new_run = np.append(True, ordered[1:] != ordered[:-1])
     # pages stand in order in the stream, and the sort is stable
     new_page = new_run | np.append(True, owner[1:] != owner[:-1])
-    pages = np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))
-    shared = pages[np.cumsum(new_run) - 1] >= min_pages
-    starts = suffixes[shared]
-    edge = np.zeros(n + min_run + 1, np.int64)
+    return rank, np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))
+
+
+def _under(shared: np.ndarray, min_run: int) -> np.ndarray:
+    """True for places under a run that starts where ``shared`` is true."""
+    starts = np.flatnonzero(shared)
+    edge = np.zeros(len(shared) + min_run + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + min_run, -1)
-    return np.cumsum(edge)[:n] > 0
+    return np.cumsum(edge)[:len(shared)] > 0
 
 
-def _host_chunk(pages: list[tuple[list[int], list[str]]], min_run: int, min_pages: int, covered: float) -> list[str]:
-    """Main text of each (kinds, texts) page of one host's chunk."""
+def repeated(stream: np.ndarray, page: np.ndarray, min_run: int, min_pages: int) -> np.ndarray:
+    """True for tokens inside a run of ``min_run`` tokens or more that ``min_pages`` distinct pages share."""
+    rank, pages = places(stream, page, min_run)
+    return _under(pages[rank] >= min_pages, min_run) if len(rank) else np.zeros(0, bool)
+
+
+def _streams(pages: list[tuple[list[int], list[str]]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[str]]:
+    """(stream, page, edges of each page's blocks, tokens): all blocks in order, a separator after every page."""
     ids: dict[str, int] = {}
-    stream, owner, spans = [], [], []
-    for p, (kinds, texts) in enumerate(pages):
-        for i, (kind, text) in enumerate(zip(kinds, texts)):
-            if kind == MAIN:  # the markup says what it is
-                continue
-            own = [ids.setdefault(t, len(ids)) for t in text.split(" ")]
-            spans.append((p, i, len(stream), len(own)))
-            stream += own
-            stream.append(-len(spans))
-            owner += [p] * (len(own) + 1)
-    drop = set()
-    over = repeated(np.array(stream, np.int64), np.array(owner, np.int64), min_run, min_pages)
-    for p, i, at, n in spans:
-        hit = over[at:at + n].sum()
-        # a block shorter than a run cannot hold one: it goes with the markup alone
-        if pages[p][0][i] == CHROME or hit >= covered * n and hit:
-            drop.add((p, i))
-    return ["\n".join(t for i, t in enumerate(texts) if (p, i) not in drop) for p, (_, texts) in enumerate(pages)]
+    stream: list[int] = []
+    size, edges = [], []
+    for p, (_, texts) in enumerate(pages):
+        at = [len(stream)]
+        for text in texts:
+            stream += [ids.setdefault(t, len(ids)) for t in text.split(" ")]
+            at.append(len(stream))
+        stream.append(-p - 1)
+        edges.append(np.array(at))
+        size.append(len(stream) - at[0])
+    return np.array(stream, np.int64), np.repeat(np.arange(len(pages)), size), edges, list(ids)
+
+
+def _main_blocks(kinds: np.ndarray, size: np.ndarray, common: np.ndarray, wide: np.ndarray, covered: float) -> np.ndarray:
+    """True for the blocks that stay. ``common`` and ``wide`` count the tokens under runs that are enough for
+    open blocks and for article blocks."""
+    own = kinds == MAIN
+    # an article of which most stands on other pages is a copy: it is still the page's text
+    copy = common[own].sum() >= covered * size[own].sum()
+    return ~np.select([own, kinds == CHROME], [(wide >= MAIN_COVERED * size) & (not copy), True],
+                      common >= covered * size)
+
+
+def _host_chunk(pages: list[tuple[list[int], list[str]]], min_run: int, min_pages: int, covered: float,
+                host_pages: int) -> list[str]:
+    """Main text of each (kinds, texts) page of one host's chunk."""
+    stream, owner, edges, _ = _streams(pages)
+    rank, found = places(stream, owner, min_run)
+    count = found[rank]
+    wide_pages = max(MAIN_PAGES, min_pages, MAIN_SHARE * host_pages)
+    sums = [np.append(0, np.cumsum(_under(count >= need, min_run))) for need in (min_pages, wide_pages)]
+    out = []
+    for (kinds, texts), at in zip(pages, edges):
+        common, wide = (x[at[1:]] - x[at[:-1]] for x in sums)
+        stay = _main_blocks(np.array(kinds, np.int64), np.diff(at), common, wide, covered)
+        out.append("\n".join(t for t, s in zip(texts, stay) if s))
+    return out
 
 
 def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, covered: float = COVERED,
@@ -216,6 +243,12 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     without an article element keep the blocks that are neither furniture nor
     shared. An empty table gives an empty result. Other columns are not read.
 
+    Runs cross blocks, not pages. An open block goes if ``covered`` of its
+    tokens are under runs that ``min_pages`` pages share; a block of the
+    article if MAIN_COVERED of them are under runs on MAIN_PAGES pages and
+    MAIN_SHARE of the host's, unless most of the article is shared, which makes
+    the page a copy. Furniture elements go by their markup, shared or not.
+
     A host's pages are dealt by hash into chunks of ``chunk_pages`` on average,
     each with its own suffix array, so a busy host is many tasks' work.
     Boilerplate stands on many pages of a host; a run that only a few pages
@@ -233,19 +266,21 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
                 ["page_id", "url", "host", "kinds", "texts"])
 
     def main_text(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        kinds, texts = table.column("kinds").to_pylist(), table.column("texts").to_pylist()
+        kinds, texts, total = (table.column(c).to_pylist() for c in ("kinds", "texts", "in_chunk"))
         out: list[str] = []
         for s, e in zip(starts[:-1], starts[1:]):
-            out += _host_chunk(list(zip(kinds[s:e], texts[s:e])), min_run, min_pages, covered)
+            out += _host_chunk(list(zip(kinds[s:e], texts[s:e])), min_run, min_pages, covered, int(total[s]))
         ids, urls = (table.column(c).combine_chunks() for c in ("page_id", "url"))
         return pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).alias("chunks")))
+    hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).alias("chunks"),
+                                          F.count("*").alias("host_pages")))
     if hosts.count() <= broadcast_hosts:
         hosts = F.broadcast(hosts)
     parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
     chunk = F.pmod(F.xxhash64("page_id", "url"), F.col("chunks"))
     dealt = parsed.join(hosts, "host").withColumn("key", F.xxhash64("host", chunk))
-    return per_key(dealt.select("key", "page_id", "url", "kinds", "texts"), ["key"], main_text,
+    dealt = dealt.withColumn("in_chunk", F.ceil(F.col("host_pages") / F.col("chunks")))
+    return per_key(dealt.select("key", "page_id", "url", "kinds", "texts", "in_chunk"), ["key"], main_text,
                    "page_id long, url string, text string")
