@@ -436,6 +436,21 @@ def test_extract_runs_cross_blocks(spark):
     assert got == {i: a for i, (a, _) in enumerate(own)} | {100 + i: f"{a}\n{b}" for i, (a, b) in enumerate(own)}
 
 
+def test_extract_does_not_depend_on_chunks(spark):
+    """Passages on a few pages of a host are found whichever chunks these fall into."""
+    rng = random.Random(21)
+    rare = [words(rng, 12) for _ in range(20)]
+    pages = []
+    for i in range(120):
+        shared = f"<div>{rare[i // 2 % 20]}</div>" if i < 80 else ""
+        pages.append((i, f"http://h{i % 2}.example/{i}", f"<p>{words(rng, 30)}</p>{shared}<article>{words(rng, 9)}</article>"))
+    df = spark.createDataFrame(pages + [(200, None, None)], "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert not any(x in text for x in rare for text in whole.values()) and len(whole) == 121
+    for n in (1, 7):
+        assert {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=n).collect()} == whole
+
+
 # ---- 9 URLs -------------------------------------------------------------------------------------
 
 def test_url_lists(spark):

@@ -1,15 +1,18 @@
 """Main-text extraction with host suffix arrays.
 
 A page becomes a row of visible blocks, each with a kind that its markup
-suggests: article, furniture or open. The token streams of a host's pages are
-concatenated, a suffix array finds long runs that distinct pages share, and a
-block goes if the share of it under such runs reaches what its kind asks for.
+suggests: article, furniture or open. A host's pages are dealt into chunks,
+whose token streams are concatenated; a suffix array finds the runs of each
+chunk, hashes of the runs are added up over the host's chunks, and a block goes
+if the share of it under runs that enough pages hold reaches what its kind asks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, per_key
+from tidemark.llm.common import by_parts, cut, per_key
 from tidemark.llm.urls import host_of
 
 MIN_RUN = 6          # tokens of a repeated run
@@ -217,20 +220,85 @@ def _main_blocks(kinds: np.ndarray, size: np.ndarray, common: np.ndarray, wide:
                       common >= covered * size)
 
 
-def _host_chunk(pages: list[tuple[list[int], list[str]]], min_run: int, min_pages: int, covered: float,
-                host_pages: int) -> list[str]:
-    """Main text of each (kinds, texts) page of one host's chunk."""
-    stream, owner, edges, _ = _streams(pages)
-    rank, found = places(stream, owner, min_run)
-    count = found[rank]
-    wide_pages = max(MAIN_PAGES, min_pages, MAIN_SHARE * host_pages)
-    sums = [np.append(0, np.cumsum(_under(count >= need, min_run))) for need in (min_pages, wide_pages)]
-    out = []
-    for (kinds, texts), at in zip(pages, edges):
-        common, wide = (x[at[1:]] - x[at[:-1]] for x in sums)
-        stay = _main_blocks(np.array(kinds, np.int64), np.diff(at), common, wide, covered)
-        out.append("\n".join(t for t, s in zip(texts, stay) if s))
-    return out
+def _salts(chunks: int) -> int:
+    """Tasks that add up a host's runs: about eight chunks' runs each, and one for every chunk of smaller hosts."""
+    return 1 if chunks == 1 else max(min(chunks, 64), -(-chunks // 8))
+
+
+class _Chunk:
+    """The runs of one host chunk of (kinds, texts) pages, with a 48-bit hash that is the same in every chunk."""
+
+    def __init__(self, pages: list[tuple[list[int], list[str]]], min_run: int):
+        self.pages, self.min_run = pages, min_run
+        self.stream, owner, self.edges, self.tokens = _streams(pages)
+        self.rank, self.found = places(self.stream, owner, min_run)
+
+    def shares(self, salts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(runs, hashes) of every salt, in the order of the hashes; runs over a page's end are left out."""
+        runs, first = np.unique(self.rank, return_index=True)
+        ends = np.append(0, np.cumsum(self.stream < 0))
+        stop = np.minimum(first + self.min_run, len(self.stream))
+        whole = (first + self.min_run == stop) & (ends[stop] == ends[first])
+        runs, first = runs[whole], first[whole]
+        token = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+                          for t in self.tokens], np.uint64)
+        code = np.zeros(len(runs), np.uint64)
+        for j in range(self.min_run):
+            code = _mix(code + token[self.stream[first + j]])
+        code >>= np.uint64(16)
+        order = np.argsort(code, kind="stable")
+        runs, code = runs[order], code[order]
+        salt = code % np.uint64(salts)
+        return [(runs[salt == i], code[salt == i] // np.uint64(salts)) for i in range(salts)]
+
+    def texts(self, count: np.ndarray, min_pages: int, covered: float, host_pages: int) -> list[str]:
+        """Main text of every page, where ``count`` is the number of pages of the host that hold each run."""
+        at_place = count[self.rank]
+        wide_pages = max(MAIN_PAGES, min_pages, MAIN_SHARE * host_pages)
+        sums = [np.append(0, np.cumsum(_under(at_place >= need, self.min_run))) for need in (min_pages, wide_pages)]
+        out = []
+        for (kinds, texts), at in zip(self.pages, self.edges):
+            common, wide = (x[at[1:]] - x[at[:-1]] for x in sums)
+            stay = _main_blocks(np.array(kinds, np.int64), np.diff(at), common, wide, covered)
+            out.append("\n".join(t for t, s in zip(texts, stay) if s))
+        return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers below 2^48 by bytes of equal weight, so that zeros lie together."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), 1)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(6, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :6] = planes.T
+    return wide.reshape(-1).view("<u8")
+
+
+def _read_pages(table: pa.Table) -> list[tuple[list[int], list[str]]]:
+    """(kinds, texts) of each row; blocks hold no line breaks."""
+    return [(list(k), zlib.decompress(x).decode().split("\n") if k else [])
+            for k, x in zip(table.column("kinds").to_pylist(), table.column("body").to_pylist())]
+
+
+def _add_up(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """For the runs that each chunk sent under one salt of a host, the pages of the host's other chunks that hold them."""
+    codes, counts = table.column("codes").to_pylist(), table.column("counts").to_pylist()
+    more = []
+    for s, e in zip(starts[:-1], starts[1:]):
+        code = [np.cumsum(_unpack(x), dtype=np.uint64) for x in codes[s:e]]
+        own = np.concatenate([_unpack(x) for x in counts[s:e]])
+        run = np.unique(np.concatenate(code), return_inverse=True)[1]
+        other = np.bincount(run, own).astype(np.uint64)[run] - own
+        more += map(_pack, np.split(other, np.cumsum([len(c) for c in code])[:-1]))
+    return pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), table.column("salt").combine_chunks(),
+                                       pa.array(more, pa.binary())], ["key", "salt", "more"])
 
 
 def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, covered: float = COVERED,
@@ -238,10 +306,10 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     """(page_id, url, text) for every row of ``pages(page_id, url, html)``.
 
     Null or empty html and pages without main text give the empty text; null
-    or odd urls share the empty host; equal pages give equal texts when they
-    share a chunk, and their articles are never dropped for being alike; pages
-    without an article element keep the blocks that are neither furniture nor
-    shared. An empty table gives an empty result. Other columns are not read.
+    or odd urls share the empty host; equal pages of a host give equal texts,
+    and their articles are never dropped for being alike; pages without an
+    article element keep the blocks that are neither furniture nor shared. An
+    empty table gives an empty result. Other columns are not read.
 
     Runs cross blocks, not pages. An open block goes if ``covered`` of its
     tokens are under runs that ``min_pages`` pages share; a block of the
@@ -250,37 +318,60 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     the page a copy. Furniture elements go by their markup, shared or not.
 
     A host's pages are dealt by hash into chunks of ``chunk_pages`` on average,
-    each with its own suffix array, so a busy host is many tasks' work.
-    Boilerplate stands on many pages of a host; a run that only a few pages
-    share can fall into different chunks and then counts as unique, which
-    keeps text rather than losing it. Up to ``broadcast_hosts`` hosts, their
-    page counts are broadcast; more are joined by a shuffle.
+    each with its own suffix array, so a busy host is many tasks' work. Every
+    chunk sends the hashes of its runs with their page counts; they are added
+    up by host and hash in ``_salts`` tasks, and each chunk marks its blocks by
+    the sums. The result does not depend on the dealing, but for hashes that
+    are equal by chance (1 in 2^48 for two runs of a host). Up to
+    ``broadcast_hosts`` hosts, their page counts are broadcast; more are joined
+    by a shuffle.
     """
     def parse(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             got = [blocks(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3),
-                 pa.array([[k for k, _ in g] for g in got], pa.list_(pa.int32())),
-                 pa.array([[t for _, t in g] for g in got], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "kinds", "texts"])
+                 pa.array([bytes(k for k, _ in g) for g in got], pa.binary()),
+                 pa.array([zlib.compress("\n".join(t for _, t in g).encode()) for g in got], pa.binary())],
+                ["page_id", "url", "host", "kinds", "body"])
 
-    def main_text(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        kinds, texts, total = (table.column(c).to_pylist() for c in ("kinds", "texts", "in_chunk"))
-        out: list[str] = []
+    def send(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        keys, hosts_of, chunks = (table.column(c).to_pylist() for c in ("key", "host_key", "chunks"))
+        out = []
         for s, e in zip(starts[:-1], starts[1:]):
-            out += _host_chunk(list(zip(kinds[s:e], texts[s:e])), min_run, min_pages, covered, int(total[s]))
-        ids, urls = (table.column(c).combine_chunks() for c in ("page_id", "url"))
-        return pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string())], ["page_id", "url", "text"])
+            if chunks[s] > 1:
+                chunk = _Chunk(_read_pages(table.slice(s, e - s)), min_run)
+                for salt, (runs, code) in enumerate(chunk.shares(_salts(chunks[s]))):
+                    out.append((hosts_of[s], salt, keys[s], _pack(np.diff(code, prepend=np.uint64(0))),
+                                _pack(chunk.found[runs])))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
+                                          ["host_key", "salt", "key", "codes", "counts"])
+
+    def main_text(table: pa.Table, sums: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())], ["page_id", "url", "text"])
+        chunk = _Chunk(_read_pages(table), min_run)
+        count = chunk.found.copy()
+        if sums.num_rows:
+            shares = chunk.shares(_salts(table.column("chunks")[0].as_py()))
+            for salt, more in zip(sums.column("salt").to_pylist(), sums.column("more").to_pylist()):
+                count[shares[salt][0]] += _unpack(more).astype(np.int64)
+        text = chunk.texts(count, min_pages, covered, table.column("host_pages")[0].as_py())
+        return pa.table([table.column("page_id"), table.column("url"), pa.array(text, pa.string())],
+                        ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).alias("chunks"),
                                           F.count("*").alias("host_pages")))
     if hosts.count() <= broadcast_hosts:
         hosts = F.broadcast(hosts)
-    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
+    parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds binary, body binary")
     chunk = F.pmod(F.xxhash64("page_id", "url"), F.col("chunks"))
-    dealt = parsed.join(hosts, "host").withColumn("key", F.xxhash64("host", chunk))
-    dealt = dealt.withColumn("in_chunk", F.ceil(F.col("host_pages") / F.col("chunks")))
-    return per_key(dealt.select("key", "page_id", "url", "kinds", "texts", "in_chunk"), ["key"], main_text,
-                   "page_id long, url string, text string")
+    dealt = by_parts(parsed.join(hosts, "host").select(
+        F.xxhash64("host", chunk).alias("key"), F.xxhash64("host").alias("host_key"), "chunks", "host_pages",
+        "page_id", "url", "kinds", "body"), "key")
+    sent = per_key(dealt, ["key"], send, "host_key long, salt int, key long, codes binary, counts binary")
+    sums = by_parts(per_key(sent, ["host_key", "salt"], _add_up, "key long, salt int, more binary"), "key")
+    return dealt.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(
+        main_text, "page_id long, url string, text string")
