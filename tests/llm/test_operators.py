@@ -451,6 +451,25 @@ def test_extract_does_not_depend_on_chunks(spark):
         assert {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=n).collect()} == whole
 
 
+def test_extract_class_words_are_hints(spark):
+    """Wrappers and headings with a furniture word in their class keep the article; repeated blocks in them go."""
+    rng = random.Random(23)
+    line = words(rng, 10)
+    pages, want = [], {}
+    for i in range(6):
+        a, b, c, d, e = (words(rng, 15) for _ in range(5))
+        pages += [
+            (10 * i, f'<div class="layout with-sidebar"><article><header class="entry-header"><h1>{a}</h1></header>'
+                     f'<div class="article-header">{b}</div><p class="notice">{c}</p><p class="notice">{line}</p></article>'
+                     f'<div class="sidebar">{d}</div></div>'),
+            (10 * i + 1, f'<div id="page" class="header-fixed"><main><p>{e}</p></main></div>'),
+            (10 * i + 2, f'<div class="with-sidebar"><p>{a + b}</p><p>{line}</p></div>')]
+        want |= {10 * i: f"{a}\n{b}\n{c}", 10 * i + 1: e, 10 * i + 2: a + b}
+    df = spark.createDataFrame([(i, f"http://h{i % 10}.example/{i}", h) for i, h in pages],
+                               "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+
+
 # ---- 9 URLs -------------------------------------------------------------------------------------
 
 def test_url_lists(spark):

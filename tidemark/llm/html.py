@@ -25,6 +25,7 @@ from tidemark.llm.urls import host_of
 
 MIN_RUN = 6          # tokens of a repeated run
 MIN_PAGES = 2        # distinct pages that share it
+HINT_COVERED = 0.25  # share of a block with a furniture word in a class or id
 COVERED = 0.5        # share of an open block's tokens under repeated runs that makes it boilerplate
 MAIN_COVERED = 0.75  # the same for a block of the article,
 MAIN_PAGES = 3       # whose runs must stand on so many pages
@@ -44,7 +45,7 @@ _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search
                  "dialog", "alert", "alertdialog", "toolbar"}
 _MAIN = {"article", "main"}
 _MAIN_ROLES = {"main", "article"}
-# words of class and id values that name page furniture
+# words of class and id values that hint at page furniture
 _CHROME_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
     "menu breadcrumb breadcrumbs pagination pager footer header masthead sidebar aside widget related recommended "
@@ -57,14 +58,16 @@ _INLINE = set(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # an opening tag ends an open <p>; these end their own kind
 _SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
-OPEN, MAIN, CHROME = 0, 1, 2
+# a class or id word hints at furniture, outside or inside an article
+OPEN, MAIN, CHROME, HINT, MAIN_HINT = range(5)
 
 
-def _furniture(tag: str, attrs: str) -> int:
-    """CHROME, MAIN or OPEN by tag and attributes alone; -1 for what is not shown."""
+def _furniture(tag: str, attrs: str, inside: int) -> int:
+    """CHROME, MAIN, HINT or OPEN by tag and attributes, and for a header by what it is in; -1 for what is not shown."""
     if tag in _HIDDEN:
         return -1
-    kind = CHROME if tag in _CHROME else MAIN if tag in _MAIN else OPEN
+    heading = tag == "header" and inside in (MAIN, MAIN_HINT)  # an article's own heading
+    kind = CHROME if tag in _CHROME and not heading else MAIN if tag in _MAIN else OPEN
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -74,19 +77,34 @@ def _furniture(tag: str, attrs: str) -> int:
             if name == "role":
                 role = value.strip().lower()
                 kind = CHROME if role in _CHROME_ROLES else MAIN if role in _MAIN_ROLES else kind
-            elif name in ("class", "id") and kind != MAIN and tag not in ("html", "body"):
+            elif name in ("class", "id") and kind == OPEN and tag not in ("html", "body"):
                 if any(w.lower() in _CHROME_WORDS for w in _WORDS.findall(html.unescape(value))):
-                    kind = CHROME
+                    kind = HINT
     return kind
 
 
+def _within(outer: int, own: int) -> int:
+    """The kind in force inside an element of kind ``own`` that stands in ``outer``."""
+    if -1 in (outer, own):
+        return -1
+    if CHROME in (outer, own):
+        return CHROME
+    if own == MAIN:  # also where a wrapper's class word hints at furniture
+        return MAIN
+    if own == HINT:
+        return MAIN_HINT if outer in (MAIN, MAIN_HINT) else HINT
+    return outer
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the page's visible blocks in order.
 
     Character references are decoded once, white space inside a block becomes
-    one space, empty blocks are left out. A block inside furniture is CHROME
-    even within an article; a header of an article with its own headline stays
-    with the article. Unclosed tags end with their parent; unclosed comments
+    one space, empty blocks are left out. A block inside a furniture element is
+    CHROME even within an article; a header of an article stays with the
+    article. A class or id word makes a block HINT or, in an article,
+    MAIN_HINT, up to the next article or main element inside. Unclosed tags end
+    with their parent; unclosed comments
     and scripts run to the end of the page.
     """
     page = page or ""
@@ -141,10 +159,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag in _SELF_CLOSING and stack and stack[-1][0] == tag:
             stack.pop()
-        own = _furniture(tag, m[4] or "")
-        if tag == "header" and own == CHROME and kind == MAIN and not (m[4] or "").strip():
-            own = MAIN  # an article's own heading
-        new = -1 if -1 in (own, kind) else CHROME if CHROME in (own, kind) else MAIN if MAIN in (own, kind) else OPEN
+        new = _within(kind, _furniture(tag, m[4] or "", kind))
         if new != kind:
             flush()
             kind = new
@@ -213,10 +228,14 @@ def _streams(pages: list[tuple[list[int], list[str]]]) -> tuple[np.ndarray, np.n
 def _main_blocks(kinds: np.ndarray, size: np.ndarray, common: np.ndarray, wide: np.ndarray, covered: float) -> np.ndarray:
     """True for the blocks that stay. ``common`` and ``wide`` count the tokens under runs that are enough for
     open blocks and for article blocks."""
-    own = kinds == MAIN
+    own, hint = kinds == MAIN, kinds == MAIN_HINT
+    article = own | hint
     # an article of which most stands on other pages is a copy: it is still the page's text
-    copy = common[own].sum() >= covered * size[own].sum()
-    return ~np.select([own, kinds == CHROME], [(wide >= MAIN_COVERED * size) & (not copy), True],
+    copy = common[article].sum() >= covered * size[article].sum()
+    # outside the article that a page marks, a class word is the second sign of furniture
+    gone = (kinds == CHROME) | ((kinds == HINT) & article.any())
+    return ~np.select([article & copy, gone, own, hint | (kinds == HINT)],
+                      [False, True, wide >= MAIN_COVERED * size, common >= HINT_COVERED * size],
                       common >= covered * size)
 
 
@@ -315,7 +334,9 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     tokens are under runs that ``min_pages`` pages share; a block of the
     article if MAIN_COVERED of them are under runs on MAIN_PAGES pages and
     MAIN_SHARE of the host's, unless most of the article is shared, which makes
-    the page a copy. Furniture elements go by their markup, shared or not.
+    the page a copy. A class or id word lowers an open block's share to
+    HINT_COVERED; it decides alone only beside an article or main element.
+    Furniture elements go by their markup, shared or not.
 
     A host's pages are dealt by hash into chunks of ``chunk_pages`` on average,
     each with its own suffix array, so a busy host is many tasks' work. Every
