@@ -226,6 +226,24 @@ def test_embedding_passes_grow():
     assert neardup.needed_passes(0, 0.95) == neardup.needed_passes(10**9, 1.0) == neardup.PASSES
 
 
+def test_embedding_links_in_a_cone(spark):
+    """Lone pairs in a cone that a third of the vectors share are found like in brute force."""
+    rng = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, dim, pairs = 9000, 64, 200
+    free = unit(rng.normal(size=(n * 2 // 3, dim)))
+    cone = unit(np.sqrt(0.85) * unit(rng.normal(size=dim)) + np.sqrt(0.15) * unit(rng.normal(size=(n // 3, dim))))
+    base = cone[:pairs]
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([cone, free, 0.955 * base + np.sqrt(1 - 0.955 ** 2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in neardup.near_duplicates(df).filter("n_links > 0").collect()}
+    near = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    assert len(near) >= pairs
+    assert np.mean([got.get(int(a), -1) == got.get(int(b), -2) for a, b in near]) >= 0.97
+
+
 # ---- 4 sharding ---------------------------------------------------------------------------------
 
 def test_shards(spark, odd_texts):

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass orders the vectors by the concatenated signs of its own random
-projections and compares every vector with a bounded window of its
+Each pass orders the vectors, less their mean direction, by the concatenated
+signs of its own random projections and compares every vector with a bounded window of its
 neighbours in that order. Verified pairs of all passes are united into
 components; inside a component the exact number of links is then counted in
 tiles.
@@ -22,6 +22,8 @@ from tidemark.llm.common import components, cut, forest, partitions, per_key
 
 PASSES, BITS, WINDOW = 12, 62, 24  # fewest passes; needed_passes() adds more as the table grows
 RECALL = 0.99  # chance that a lone pair right at the threshold meets in some window
+PROBES = 2  # passes over which the runs of equal code prefixes are measured first
+STEPS, STEP = 400, 0.05  # classes of the measure, in natural logarithms of the chance to meet
 TILE = 512  # vectors of a component compared at a time
 
 
@@ -37,6 +39,57 @@ def needed_passes(n: int, threshold: float, window: int = WINDOW, recall: float
     return PASSES if meet >= recall else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
+def passes_for(classes: np.ndarray, recall: float = RECALL) -> int:
+    """Passes after which lone pairs of the measured rows have met.
+
+    ``classes[k]`` rows meet a partner at the threshold with a chance of
+    exp(-k * STEP) a pass. On average over the rows a share of ``recall`` has
+    met, and of the rows at the 99th percentile of k 0.95.
+    """
+    if not classes.sum():
+        return PASSES
+    share, meet = classes / classes.sum(), np.exp(-STEP * np.arange(len(classes)))
+    meet[0] = np.exp(-STEP / 2)
+    worst = meet[np.searchsorted(np.cumsum(share), 0.99)]
+    need = max(PASSES, math.ceil(math.log(0.05) / math.log1p(-worst)))
+    while share @ (1 - meet) ** need > 1 - recall and need < 1 << 24:
+        need = math.ceil(need * 1.05)
+    return need
+
+
+def _chances(batches: Iterator[pa.RecordBatch], window: int, threshold: float, fmt: str,
+             means: dict[int, np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """(class, rows): the chance that a row in code order meets a partner at the threshold in a window.
+
+    A partner is met if it shares the prefix that splits the row from the one
+    ``window`` places on. Rows that are linked with most of their window are
+    left out: a group of near copies is united by these links.
+    """
+    classes = np.zeros(STEPS, np.int64)
+    tail: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*tail, batch]).combine_chunks()
+        part, code = (table.column(c).to_numpy() for c in ("part", "code"))
+        raw = table.column("vec").to_pylist()
+        for own in _same_width(raw):
+            if len(own) <= window:
+                continue
+            x = np.stack(_unit([raw[i] for i in own], fmt))
+            at, to = own[:-window], own[window:]
+            links = sum(np.einsum("ij,ij->i", x[:-window], x[d:len(x) - window + d]) >= threshold
+                        for d in range(1, window + 1))
+            low = np.frexp((code[at] ^ code[to]).astype(np.float64))[1]  # bits from the first that differs
+            depth = np.minimum(bits, bits - low + 1)
+            radius = ((x[:-window] - means[x.shape[1]]) ** 2).sum(axis=1)
+            agree = 1 - np.arccos(np.clip(1 - (1 - threshold) / np.maximum(radius, 1e-9), -1, 1)) / np.pi
+            lost = -depth * np.log(np.maximum(agree, 1e-9))
+            lone = (part[at] == part[to]) & (links * 2 < window)
+            classes += np.bincount(np.minimum(lost[lone] / STEP, STEPS - 1).astype(int), minlength=STEPS)
+        tail = table.slice(max(0, table.num_rows - window)).to_batches()
+    k = np.flatnonzero(classes)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(classes[k])], ["class", "rows"])
+
+
 def _unit(raw: list[bytes], fmt: str) -> list[np.ndarray]:
     wide = [np.frombuffer(x, fmt).astype("<f8") for x in raw]
     return [x / np.linalg.norm(x) for x in wide]
@@ -85,8 +138,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     probability 0.9 (0.97 at cosine 0.995), and every pass is a new order, so a
     pair that one pass keeps apart meets in another; windows bound the work to
     passes * window comparisons a vector. Without ``passes`` their number
-    follows from the count of different vectors (``needed_passes``), so that a
-    larger table does not find a smaller share of its links. Inside a found component all pairs
+    follows from the count of different vectors (``needed_passes``) and, where
+    many of them share long code prefixes, from the runs measured in PROBES
+    passes (``passes_for``), up to the count divided by the window: so many
+    passes are as much work as all pairs. Inside a found component all pairs
     are counted exactly, in tiles of TILE vectors: groups larger than any
     window lose no link, and no task holds more than two tiles.
     """
@@ -105,9 +160,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     nodes = cut(rows.filter("x is not null and id is not null").groupBy("x")
                 .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
-    passes = passes or needed_passes(nodes.count(), threshold, window)
-
-    def code(batches: Iterator[pa.RecordBatch]):
+    def totals(batches: Iterator[pa.RecordBatch]):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for v in batch.column(0):
+                x = np.asarray(v.as_py(), "<f8")
+                x = np.append(x / np.linalg.norm(x), 1.0)
+                sums[len(x) - 1] = sums.get(len(x) - 1, 0) + x
+        for width, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(width + 1, width, np.int32)),
+                                              pa.array(np.arange(width + 1, dtype=np.int32)), pa.array(x)],
+                                             ["width", "at", "total"])
+
+    # the driver gets one number a dimension
+    summed = (nodes.select("x").mapInArrow(totals, "width int, at int, total double")
+              .groupBy("width", "at").agg(F.sum("total").alias("total")).orderBy("width", "at").collect())
+    means: dict[int, np.ndarray] = {}
+    for width in {r["width"] for r in summed}:
+        x = np.array([r["total"] for r in summed if r["width"] == width])
+        means[width] = x[:-1] / x[-1]
+
+    def code(batches: Iterator[pa.RecordBatch], passes: int):
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype=np.int64)[::-1]
         for batch in batches:
@@ -117,17 +190,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
             for i, v in enumerate(raw):
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(passes * bits, len(v)))
-                got[i] = ((planes[len(v)] @ v).reshape(passes, bits) > 0) @ weights
+                own = v / np.linalg.norm(v) - means[len(v)]
+                got[i] = ((planes[len(v)] @ own).reshape(passes, bits) > 0) @ weights
             data = [v.astype(fmt).tobytes() for v in raw]
             for p in range(passes):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(raw), p, np.int32)), pa.array(got[:, p]), rep, pa.array(data, pa.binary())],
                     ["part", "code", "rep", "vec"])
 
-    coded = nodes.select("rep", "x").mapInArrow(code, "part int, code long, rep long, vec binary")
-    edges = (coded.repartitionByRange(partitions(vectors), "part", "code", "rep")
-             .sortWithinPartitions("part", "code", "rep")
-             .mapInArrow(lambda batches: _windows(batches, window, threshold, fmt), "a long, b long"))
+    def ordered(passes: int) -> DataFrame:
+        coded = nodes.select("rep", "x").mapInArrow(lambda batches: code(batches, passes),
+                                                    "part int, code long, rep long, vec binary")
+        return (coded.repartitionByRange(partitions(vectors), "part", "code", "rep")
+                .sortWithinPartitions("part", "code", "rep"))
+
+    if not passes:
+        n = nodes.count()
+        passes, most = needed_passes(n, threshold, window), math.ceil(n / window)
+        if most > passes:
+            found = (ordered(PROBES).mapInArrow(lambda batches: _chances(batches, window, threshold, fmt, means, bits),
+                                                "class long, rows long")
+                     .groupBy("class").agg(F.sum("rows").alias("rows")).collect())
+            classes = np.zeros(STEPS, np.int64)
+            for r in found:
+                classes[r["class"]] = r["rows"]
+            passes = max(passes, min(passes_for(classes), most))
+
+    edges = ordered(passes).mapInArrow(lambda batches: _windows(batches, window, threshold, fmt), "a long, b long")
     found = cut(components(edges))
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
 
