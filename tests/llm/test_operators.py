@@ -517,6 +517,21 @@ def test_url_lists(spark):
     assert {r["verdict"] for r in urls.evaluate(c, e.limit(0)).collect()} == {"pass"}
 
 
+def test_url_lists_of_deep_paths_and_odd_keys(spark):
+    import datetime as dt
+    since = dt.datetime(2024, 1, 1)
+    keys = ["deep.example/a/b/c", "https://www.Page.example/x/y/z/?q=1#top", "WWW.host.example", "zip", "p.example/a//b/c/d/"]
+    urls_of = ["http://deep.example/a/b/c/d.html", "http://deep.example/a/b/x", "http://page.example/x/y/z?q=1",
+               "http://page.example/x/y/z?q=2", "http://www.host.example/1", "http://a.zip/", "http://www.p.example/a/b/c/d"]
+    e = spark.createDataFrame([("l", k, "block", since) for k in keys],
+                              "list_name string, key string, action string, since timestamp_ntz")
+    c = spark.createDataFrame([(i, u, since + dt.timedelta(days=1)) for i, u in enumerate(urls_of)],
+                              "capture_id long, url string, fetched timestamp_ntz")
+    got = {r["capture_id"]: r["rule_key"] for r in urls.evaluate(c, e).collect()}
+    assert got == {0: "deep.example/a/b/c", 1: None, 2: "page.example/x/y/z?q=1", 3: None, 4: "host.example", 5: "zip",
+                   6: "p.example/a/b/c/d"}
+
+
 # ---- 10 quality ---------------------------------------------------------------------------------
 
 def test_quality(spark):

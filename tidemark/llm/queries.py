@@ -194,12 +194,12 @@ def _hash(text: str, at: int):
 
 
 def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated entries for every key of the pages' urls (hosts, parent domains, path prefixes).
+    """Dated entries for the pages' hosts, parent domains and path prefixes of two steps or fewer, as in ``OP9``.
 
     Two lists with four changes each per key; an md5 of list, key and number
     gives the day and the action, and half the changes are left out.
     """
-    keys = (table(spark, sf_dir, "pages").select(F.explode(urls.lookup_keys(F.col("url"))).alias("key")).distinct())
+    keys = (table(spark, sf_dir, "pages").select(F.explode(urls.lookup_keys(F.col("url"), 2, 2)).alias("key")).distinct())
     changes = keys.select("key", F.explode(F.array(F.lit("malware"), F.lit("spam"))).alias("list_name")).select(
         "key", "list_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("nth"))
     tag = "concat(list_name, '|', key, '|', nth)"
