@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html, langid, neardup, packing, quality, sharding, simhash, urls
+from tidemark.llm import (audit, chat, decontam, html, langid, neardup, packing, phrases, pieces, quality, sharding,
+                          simhash, urls)
 from tidemark.llm.common import in_split
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,7 @@ QUERIES: dict[str, Build] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SPECIAL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -31,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 @query("op1_best_fit_packing")
@@ -266,3 +268,93 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), split=(5, 0)), 0.3)
     return got.select("doc_id", in_split("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+# DuckDB: every occurrence of 1 to 5 words, counted; then the cuts of the frequent ones.
+OP11 = r"""
+with p as (
+  select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+nn as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as (select lang, m, w, unnest(range(1, len(w) - m + 2)) as i from w, range(1, 6) t(m) where len(w) >= m),
+f as (select lang, cast(m as int) as m, w[i:i + m - 1] as ws, count(*) as a from g group by all having count(*) >= 100),
+c as (select lang, m, ws, a, unnest(range(1, m)) as k from f where m > 1),
+s as (
+  select c.lang, c.m, c.ws, c.a, k, x.a as l, y.a as r, n,
+    cast((cast(c.a as hugeint) * n * 1000) // (cast(x.a as hugeint) * y.a) as bigint) as score
+  from c join f x on x.lang = c.lang and x.ws = c.ws[1:k] join f y on y.lang = c.lang and y.ws = c.ws[k + 1:c.m]
+    join nn on nn.lang = c.lang),
+b as (select * from s qualify row_number() over (partition by lang, ws order by score, k) = 1),
+sub as (
+  select distinct lang, ws[i:j] as ws, a
+  from (select *, unnest(range(i + 1, m + 1)) as j from (select *, unnest(range(1, m)) as i from f where m > 2))
+  where j - i + 1 < m),
+o as (
+  select b.lang, array_to_string(b.ws, ' ') as phrase, b.a, l, r, n, score
+  from b where not exists (select 1 from sub where sub.lang = b.lang and sub.ws = b.ws and 100 * sub.a >= 100 * b.a))
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+where rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to five words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), 100, 5, 2000)
+
+
+@query("op12_piece_encoding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids and what they decode to."""
+    got = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+    return got.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+# DuckDB: the filters each text fails, then every step of every order over the counts of the 32 combinations.
+OP13 = r"""
+with t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (
+  select part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+      100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) over (partition by text), false)] as f,
+    coalesce(q, false) as good, coalesce(x, false) as toxic
+  from t left join (select doc_id, bool_or(quality = 1) as q, bool_or(toxic = 1) as x from labels group by doc_id)
+    using (doc_id)),
+c as (
+  select part, f, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from x group by part, f),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+s as (select filter_order, step, ascii(filter_order[step]) - 64 as own,
+        [ascii(filter_order[i]) - 64 for i in range(1, step)] as earlier
+      from o, range(1, 6) r(step)),
+y as (
+  select part, filter_order, step, own, n, good, toxic, f[own] as fails,
+    len([i for i in earlier if f[i]]) > 0 as gone, len([b for b in f if b]) as failed
+  from c, s),
+z as (
+  select part, filter_order, cast(step as int) as step, any_value(own) as own,
+    coalesce(sum(n) filter (where not gone and not fails), 0)::bigint as kept,
+    coalesce(sum(n) filter (where not gone and fails), 0)::bigint as removed,
+    coalesce(sum(n) filter (where gone and fails), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails and failed = 1), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where not gone and fails), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where not gone and fails), 0)::bigint as toxic_lost
+  from y group by part, filter_order, step)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from z
+"""
+
+
+@query("op13_filter_audit", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in every order."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
