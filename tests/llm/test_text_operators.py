@@ -135,11 +135,23 @@ def test_a_forgetful_encoder_gives_the_same_ids(monkeypatch):
 def test_unused_pieces_fall_back_and_unknown_ones_join():
     """A vocabulary with unused pieces and no bytes, set up by hand."""
     enc = pieces.Encoder(tokenizer_path(PIECES))
-    enc.pieces = {"a": (1, 0.0), "b": (2, 0.0), "c": (3, 0.0), "ab": (4, -1.0), "abc": (5, -2.0), "bc": (6, -0.5)}
-    enc.unused, enc.unknown, enc.bytes = {"abc", "bc"}, 0, None
+    enc.learn({"a": (1, 0.0), "b": (2, 0.0), "c": (3, 0.0), "ab": (4, -1.0), "abc": (5, -2.0), "bc": (6, -0.5)}, {"abc", "bc"})
+    enc.unknown, enc.bytes = 0, None
+    # bc is merged first, then abc: both are unused and fall back to single pieces
     assert enc.merge("abc") == ["a", "b", "c"] and enc.merge("abab") == ["ab", "ab"]
-    enc.segments, enc.seen = re.compile(".", re.S).findall, {}
-    assert enc.ids("zzab").tolist()[-3:] == [0, 1, 2]
+    assert enc.ids("zzabz z").tolist() == [0, 4, 0]  # runs of unknown pieces are one
+
+
+def test_cuts_are_safe_for_any_vocabulary():
+    """Vocabularies with spaces inside pieces, letters before other characters, and neither."""
+    rng = random.Random(7)
+    for extra in ([], ["a▁b"], ["b,"], ["a▁b", "b,", ",a"]):
+        enc = pieces.Encoder(tokenizer_path(PIECES))
+        made = [*"▁ab,c", "ab", "▁a", "▁▁", ",,", ",a", "▁ab", "bb", *extra]
+        enc.learn({p: (i, float(-len(p) if i % 3 else -2)) for i, p in enumerate(dict.fromkeys(made))}, set())
+        for _ in range(300):
+            text = "".join(rng.choice("▁▁ab,cz") for _ in range(rng.randrange(1, 30)))
+            assert [p for s in enc.segments(text) for p in enc.merge(s)] == enc.merge(text), (extra, text)
 
 
 def test_other_kinds_of_models_are_refused(monkeypatch):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_parts, cut
 
-SHARD_WORDS = 6_000_000    # words of one shard: bounds a task's memory
+SHARD_WORDS = 3_000_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
 BITS = 26                  # the set of phrases has 2^26 bits: 8 MB, whatever the table's size
 CHUNK = 16                 # and travels to the driver in rows of 2^16 bits
 
@@ -107,10 +107,18 @@ class _Shard:
         self.piece = int(piece[-1]) + 1
         numbers = [self.names.setdefault("und" if g is None else g, len(self.names)) for g in langs.to_pylist()]
         self.words.append(words.dictionary_encode())
-        self.pieces.append(piece)
+        self.pieces.append(piece.astype(np.int32))
         self.langs.append(np.array(numbers, np.int32)[doc])
         self.n += len(begin)
 
+    def join(self, other: _Shard) -> None:
+        """Take the words of ``other`` too."""
+        number = np.array([self.names.setdefault(g, len(self.names)) for g in other.names], np.int32)
+        self.words += other.words
+        self.pieces += [p + np.int32(self.piece) for p in other.pieces]
+        self.langs += [number[g] for g in other.langs]
+        self.n, self.piece = self.n + other.n, self.piece + other.piece
+
     def levels(self, max_words: int, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]):
         """(words, languages, phrases, counts, hashes) for the phrases of 1, 2, ... words that ``keep`` takes.
 
@@ -122,16 +130,18 @@ class _Shard:
             return
         words = pa.chunked_array(self.words).unify_dictionaries()
         vocab = words.chunk(0).dictionary
-        code = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
-        piece = np.concatenate(self.pieces)
-        size = len(vocab)
+        code = np.concatenate([c.indices.to_numpy() for c in words.chunks])
+        piece, lang_of = np.concatenate(self.pieces), np.concatenate(self.langs)
+        self.words, self.pieces, self.langs, words = [], [], [], None  # a shard is mined once
+        size = np.int64(len(vocab))
         word_hash, names = _hash(vocab.to_pylist()), list(self.names)
         before_hash, before_lang = _hash([g.encode() for g in names]), np.arange(len(names))
         before_text, row = None, None
-        at, key = np.arange(len(code)), np.concatenate(self.langs).astype(np.int64) * size + code
+        at, key = np.arange(len(code), dtype=np.int32), lang_of * size + code
         for k in range(1, max_words + 1):
             got = pa.array(key).dictionary_encode()
             ids, (prefix, word) = got.indices.to_numpy(), np.divmod(got.dictionary.to_numpy(), size)
+            del got, key
             counts = np.bincount(ids, minlength=len(prefix))
             h, lang = _mix(before_hash[prefix], word_hash[word]), before_lang[prefix]
             ok = keep(k, counts, h)
@@ -146,20 +156,28 @@ class _Shard:
             at = at[pair]
             if not len(at):
                 return
-            key = ids[pair].astype(np.int64) * size + code[at + k]
+            key = ids[pair] * size + code[at + k]
             before_hash, before_lang, before_text, row = h, lang, text, np.cumsum(ok) - 1
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Shard]:
-    shard = _Shard()
+    """Shards of about ``shard_words`` words; a short rest joins the shard before it, for its support would be low."""
+    shard, ready = _Shard(), None
     for batch in batches:
         step = max(1, batch.num_rows // 8)
         for at in range(0, batch.num_rows, step):
             shard.add(batch.column(0).slice(at, step), batch.column(1).slice(at, step))
             if shard.n >= shard_words:
-                yield shard
-                shard = _Shard()
-    yield shard
+                if ready is not None:
+                    yield ready
+                shard, ready = _Shard(), shard
+    if ready is not None and shard.n < shard_words // 2:
+        ready.join(shard)
+    else:
+        if ready is not None:
+            yield ready
+        ready = shard
+    yield ready
 
 
 def _bit_set(spark, parts: DataFrame) -> np.ndarray:

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,38 @@ SPACE = "▁"  # how the vocabulary writes a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 
+POSITIONS = 40  # bits of a position in an agenda entry
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _cutter(pieces: dict) -> Callable[[str], list[str]]:
+    """A function that cuts a text where no piece can join the two sides.
+
+    Such cuts are safe beside a character that no piece of several characters
+    holds, before a space if no piece holds one inside, and between a letter
+    and another character if no piece holds such a pair.
+    """
+    longer = [p for p in pieces if len(p) > 1]
+    joined = {c for p in longer for c in p} - {SPACE}
+    inner = any(SPACE in p.lstrip(SPACE) for p in longer)
+    after_letter = any(a.isalpha() and not b.isalpha() for p in longer for a, b in zip(p, p[1:]))
+    chars = lambda own: "".join(map(re.escape, sorted(own)))
+    if inner:
+        parts = [f"[{chars(joined)}{SPACE}]+"]
+    elif after_letter:
+        parts = [f"{SPACE}*[{chars(joined)}]+", f"{SPACE}+"]
+    else:
+        letters = {c for c in joined if c.isalpha()}
+        other = f"[{chars(joined - letters)}]" if joined - letters else "(?!)"
+        parts = [*([f"{SPACE}*{other}*[{chars(letters)}]+"] if letters else []), f"{SPACE}*{other}+", f"{SPACE}+"]
+    return re.compile("|".join([*parts, "."]), re.S).findall
+
+
 class Encoder:
     """Ids of a text by the agenda; segments that were met before are kept."""
 
-    KEEP = 200_000  # segments kept per worker
+    KEEP = 200_000  # segments in each of the two generations kept per worker
     SHORT = 64      # characters of a segment that is kept
 
     def __init__(self, path: str):
@@ -42,51 +68,60 @@ class Encoder:
             raise ValueError(f"{path}: not a vocabulary of merges")
         if any(p.type == USER_DEFINED for p in model.pieces):
             raise ValueError(f"{path}: pieces defined by the user are not known here")
-        self.pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type in (NORMAL, UNUSED)}
-        self.unused = {p.piece for p in model.pieces if p.type == UNUSED}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         of_byte = {p.piece: i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.bytes = [of_byte[f"<0x{b:02X}>"] for b in range(256)] if model.trainer_spec.byte_fallback else None
-        # A cut is safe beside a character that no longer piece holds, and before a space that no piece holds inside.
-        joined = sorted({c for p in self.pieces if len(p) > 1 for c in p} - {SPACE})
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
-        letters = "".join(map(re.escape, joined)) + (SPACE if inner else "")
-        parts = [f"[{letters}]+" if inner else f"{SPACE}*[{letters}]+"] if letters else []
-        self.segments = re.compile("|".join([*parts, *([] if inner else [f"{SPACE}+"]), "."]), re.S).findall
+        self.learn({p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type in (NORMAL, UNUSED)},
+                   {p.piece for p in model.pieces if p.type == UNUSED})
+
+    def learn(self, pieces: dict[str, tuple[int, float]], unused: set[str]) -> None:
+        """Take a vocabulary (piece: id and score); pieces of equal scores share their place on the agenda."""
+        by_score = sorted({score for _, score in pieces.values()}, reverse=True)
+        place = {score: i << POSITIONS for i, score in enumerate(by_score)}
+        self.place = {p: place[score] for p, (_, score) in pieces.items()}
+        self.pieces, self.unused, self.segments = pieces, unused, _cutter(pieces)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
-        """Pieces of ``text`` by the agenda of adjacent pairs."""
+        """Pieces of ``text`` by the agenda of adjacent pairs.
+
+        An entry is the place of the pair's score among all scores and the
+        position of its left side, in one number, so the smallest entry is the
+        best and leftmost pair. It is out of date if the two symbols that stand
+        there by then are not a pair of that score.
+        """
         sym: list[str | None] = list(text)
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple] = []
+        place, position = self.place.get, (1 << POSITIONS) - 1
+        agenda = [at + i for i, at in enumerate(map(place, map(str.__add__, sym, sym[1:]))) if at is not None]
+        heapq.heapify(agenda)
         made_of: dict[str, tuple[str, str]] = {}
-        pieces = self.pieces
-
-        def propose(a: int, b: int) -> None:
-            if a >= 0 and b < n:
-                pair = sym[a] + sym[b]
-                known = pieces.get(pair)
-                if known is not None:
-                    heapq.heappush(agenda, (-known[1], a, b, len(pair)))
-                    if pair in self.unused:
-                        made_of[pair] = (sym[a], sym[b])
-        for i in range(n - 1):
-            propose(i, i + 1)
         while agenda:
-            _, a, b, size = heapq.heappop(agenda)
-            if sym[a] is None or sym[b] is None or len(sym[a]) + len(sym[b]) != size:
-                continue  # a side was merged with another neighbour since
-            sym[a] += sym[b]
-            sym[b] = None
-            right[a] = right[b]
-            if right[b] < n:
-                left[right[b]] = a
-            propose(left[a], a)
-            propose(a, right[a])
-        out: list[str] = []
-        rest = [s for s in reversed(sym) if s is not None]
+            entry = heappop(agenda)
+            a = entry & position
+            own, b = sym[a], right[a]
+            if own is None or b == n or place(pair := own + sym[b]) != entry - a:
+                continue
+            if self.unused and pair in self.unused:
+                made_of[pair] = (own, sym[b])
+            sym[a], sym[b] = pair, None
+            right[a] = after = right[b]
+            before = left[a]
+            if after < n:
+                left[after] = a
+                at = place(pair + sym[after])
+                if at is not None:
+                    heappush(agenda, at + a)
+            if before >= 0:
+                at = place(sym[before] + pair)
+                if at is not None:
+                    heappush(agenda, at + before)
+        out = [s for s in sym if s is not None]
+        if not made_of:
+            return out
+        rest, out = out[::-1], []
         while rest:  # pieces marked as unused fall back to the two they were merged from
             s = rest.pop()
             if s in made_of:
@@ -106,16 +141,23 @@ class Encoder:
             else:
                 ids.append(self.unknown)
         out = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _met(self, s: str) -> bytes:
+        """Ids of a segment that is not among the latest: from the generation before, or by the agenda."""
+        out = self.older.get(s)
+        if out is None:
+            out = self._segment(s)
         if len(s) <= self.SHORT:
             if len(self.seen) >= self.KEEP:
-                self.seen.clear()
+                self.older, self.seen = self.seen, {}
             self.seen[s] = out
         return out
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text, normalised as the model says."""
-        seen, make = self.seen, self._segment
-        parts = [seen.get(s) or make(s) for s in self.segments(self.library.normalize(text))]
+        met = self._met
+        parts = [self.seen.get(s) or met(s) for s in self.segments(self.library.normalize(text))]
         ids = np.frombuffer(b"".join(parts), "<u4")
         if not self.bytes and len(ids):  # neighbouring unknown pieces are one
             again = (ids == self.unknown) & np.append(False, ids[:-1] == self.unknown)
