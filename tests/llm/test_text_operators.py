@@ -87,7 +87,7 @@ def test_a_shard_counts_whole_pieces_over_slices():
     """Documents cut into slices and words at the edges of documents and batches."""
     import pyarrow as pa
     shard = phrases._Shard()
-    shard.SLICE = 5
+    shard.SLICE, shard.TURN = 5, 2
     texts = ["ab cd", "cd", None, "", "ab", " cd ab", "ab.cd ef"]
     shard.add(pa.array(["x"] * 7), pa.array(texts))
     got = {}

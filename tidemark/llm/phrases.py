@@ -57,15 +57,20 @@ def _places(h: np.ndarray) -> np.ndarray:
 
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _places(h)
-    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return hit[:len(h)] & hit[len(h):]
+    hit = np.ones(len(h), bool)
+    for s in range(0, len(h), 1 << 16):  # a slice at a time: the bits of a phrase are spread over 8 MB
+        own = h[s:s + (1 << 16)]
+        at = _places(own)
+        got = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        hit[s:s + len(own)] = got[:len(own)] & got[len(own):]
+    return hit
 
 
 class _Shard:
     """Words of whole documents as numbers, with the piece and language of each."""
 
     SLICE = 4 << 20  # bytes of text that are split at a time
+    TURN = 1 << 20   # occurrences whose phrases are numbered at a time
 
     def __init__(self):
         self.words: list[pa.DictionaryArray] = []
@@ -135,29 +140,39 @@ class _Shard:
         self.words, self.pieces, self.langs, words = [], [], [], None  # a shard is mined once
         size = np.int64(len(vocab))
         word_hash, names = _hash(vocab.to_pylist()), list(self.names)
-        before_hash, before_lang = _hash([g.encode() for g in names]), np.arange(len(names))
-        before_text, row = None, None
+        before_hash, before_lang = _hash([g.encode() for g in names]), np.arange(len(names), dtype=np.int32)
+        before_text = None
         at, key = np.arange(len(code), dtype=np.int32), lang_of * size + code
         for k in range(1, max_words + 1):
-            got = pa.array(key).dictionary_encode()
-            ids, (prefix, word) = got.indices.to_numpy(), np.divmod(got.dictionary.to_numpy(), size)
-            del got, key
-            counts = np.bincount(ids, minlength=len(prefix))
-            h, lang = _mix(before_hash[prefix], word_hash[word]), before_lang[prefix]
-            ok = keep(k, counts, h)
-            last = vocab.take(pa.array(word[ok]))
-            text = last if k == 1 else pc.binary_join_element_wise(
-                before_text.take(pa.array(row[prefix[ok]])), last, pa.scalar(b" "))
-            yield k, pa.array(names).take(pa.array(lang[ok])), text, counts[ok], h[ok]
-            live = ok[ids]
-            at, ids = at[live], ids[live]
+            # the keys in turns, dealt by their value: only phrases that are kept outlive their turn
+            turns = 1 + len(key) // self.TURN
+            ids, first, kept = np.full(len(key), -1, np.int32), 0, []
+            for turn in range(turns):
+                own = np.flatnonzero(key % turns == turn) if turns > 1 else slice(None)
+                got = pa.array(key[own]).dictionary_encode()
+                uniq, row = got.dictionary.to_numpy(), got.indices.to_numpy()
+                counts = np.bincount(row, minlength=len(uniq))
+                prefix = uniq // size
+                word = (uniq - prefix * size).astype(np.int32)
+                h = _mix(before_hash[prefix], word_hash[word])
+                ok = keep(k, counts, h)
+                ids[own] = np.where(ok, first + np.cumsum(ok) - 1, -1).astype(np.int32)[row]
+                kept.append((prefix[ok].astype(np.int32), word[ok], counts[ok], h[ok]))
+                first += len(kept[-1][0])
+            del got, uniq, row, h, key
+            prefix, word, counts, before_hash = (np.concatenate(x) for x in zip(*kept))
+            last = vocab.take(pa.array(word))
+            before_text = last if k == 1 else pc.binary_join_element_wise(
+                before_text.take(pa.array(prefix)), last, pa.scalar(b" "))
+            before_lang = before_lang[prefix]
+            yield k, pa.array(names).take(pa.array(before_lang)), before_text, counts, before_hash
+            at, ids = at[ids >= 0], ids[ids >= 0]
             pair = np.flatnonzero(at[1:] == at[:-1] + 1)
             pair = pair[piece[at[pair]] == piece[at[pair] + k]]
             at = at[pair]
             if not len(at):
                 return
             key = ids[pair] * size + code[at + k]
-            before_hash, before_lang, before_text, row = h, lang, text, np.cumsum(ok) - 1
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Shard]:

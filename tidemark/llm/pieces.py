@@ -55,7 +55,7 @@ def _cutter(pieces: dict) -> Callable[[str], list[str]]:
 class Encoder:
     """Ids of a text by the agenda; segments that were met before are kept."""
 
-    KEEP = 200_000  # segments in each of the two generations kept per worker
+    KEEP = 400_000  # segments in each of the two generations kept per worker
     SHORT = 64      # characters of a segment that is kept
 
     def __init__(self, path: str):
@@ -145,7 +145,7 @@ class Encoder:
 
     def _met(self, s: str) -> bytes:
         """Ids of a segment that is not among the latest: from the generation before, or by the agenda."""
-        out = self.older.get(s)
+        out = self.seen.get(s) or self.older.get(s)
         if out is None:
             out = self._segment(s)
         if len(s) <= self.SHORT:
@@ -156,8 +156,8 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text, normalised as the model says."""
-        met = self._met
-        parts = [self.seen.get(s) or met(s) for s in self.segments(self.library.normalize(text))]
+        latest, met = self.seen.get, self._met
+        parts = [latest(s) or met(s) for s in self.segments(self.library.normalize(text))]
         ids = np.frombuffer(b"".join(parts), "<u4")
         if not self.bytes and len(ids):  # neighbouring unknown pieces are one
             again = (ids == self.unknown) & np.append(False, ids[:-1] == self.unknown)
@@ -165,7 +165,7 @@ class Encoder:
         return ids
 
     def library_ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_bos=False, add_eos=False, enable_sampling=False), "<u4")
+        return self.library.encode_as_numpy(text, add_bos=False, add_eos=False).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist()) if len(ids) else ""
