@@ -9,13 +9,12 @@ piece of the vocabulary could ever join the two sides.
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +24,11 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 
 POSITIONS = 40  # bits of a position in an agenda entry
+SLICE = 4 << 20  # bytes of text that are cut into segments at a time
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-def _cutter(pieces: dict) -> Callable[[str], list[str]]:
-    """A function that cuts a text where no piece can join the two sides.
-
-    Such cuts are safe beside a character that no piece of several characters
-    holds, before a space if no piece holds one inside, and between a letter
-    and another character if no piece holds such a pair.
-    """
-    longer = [p for p in pieces if len(p) > 1]
-    joined = {c for p in longer for c in p} - {SPACE}
-    inner = any(SPACE in p.lstrip(SPACE) for p in longer)
-    after_letter = any(a.isalpha() and not b.isalpha() for p in longer for a, b in zip(p, p[1:]))
-    chars = lambda own: "".join(map(re.escape, sorted(own)))
-    if inner:
-        parts = [f"[{chars(joined)}{SPACE}]+"]
-    elif after_letter:
-        parts = [f"{SPACE}*[{chars(joined)}]+", f"{SPACE}+"]
-    else:
-        letters = {c for c in joined if c.isalpha()}
-        other = f"[{chars(joined - letters)}]" if joined - letters else "(?!)"
-        parts = [*([f"{SPACE}*{other}*[{chars(letters)}]+"] if letters else []), f"{SPACE}*{other}+", f"{SPACE}+"]
-    return re.compile("|".join([*parts, "."]), re.S).findall
-
-
 class Encoder:
     """Ids of a text by the agenda; segments that were met before are kept."""
 
@@ -79,46 +56,83 @@ class Encoder:
         by_score = sorted({score for _, score in pieces.values()}, reverse=True)
         place = {score: i << POSITIONS for i, score in enumerate(by_score)}
         self.place = {p: place[score] for p, (_, score) in pieces.items()}
-        self.pieces, self.unused, self.segments = pieces, unused, _cutter(pieces)
+        self.unused, self.coded = unused, {p: np.uint32(i).tobytes() for p, (i, _) in pieces.items()}
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # Kinds of characters: in no longer piece, letter, other, space. A text is cut between two
+        # neighbours if no piece holds a pair of their kinds, so no merge is lost.
+        longer = [p for p in pieces if len(p) > 1]
+        self.kind = np.zeros(0x110000, np.uint8)
+        for c in {c for p in longer for c in p}:
+            self.kind[ord(c)] = 3 if c == SPACE else 1 if c.isalpha() else 2
+        self.cut = np.ones((4, 4), bool)
+        for p in longer:
+            k = self.kind[[ord(c) for c in p]]
+            self.cut[k[:-1], k[1:]] = False
+
+    def segments(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """(segments of all texts, the first segment of each text and their number)."""
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        kind = self.kind[chars]
+        start = np.ones(len(chars), bool)
+        start[1:] = self.cut[kind[:-1], kind[1:]]
+        ends = np.cumsum([0, *map(len, texts)])
+        start[ends[ends < len(chars)]] = True
+        first = np.append(0, np.cumsum(start))[ends]
+        width = 1 + (chars > 0x7F).astype(np.int8) + (chars > 0x7FF) + (chars > 0xFFFF)
+        at = np.append(np.append(0, np.cumsum(width, dtype=np.int32))[:-1][start], width.sum(dtype=np.int32))
+        data = pa.py_buffer("".join(texts).encode())
+        return pa.StringArray.from_buffers(int(start.sum()), pa.py_buffer(at.astype(np.int32)), data), first
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by the agenda of adjacent pairs.
 
         An entry is the place of the pair's score among all scores and the
         position of its left side, in one number, so the smallest entry is the
-        best and leftmost pair. It is out of date if the two symbols that stand
-        there by then are not a pair of that score.
+        best and leftmost pair; ``now`` holds the entry that stands at a position.
         """
-        sym: list[str | None] = list(text)
-        n = len(sym)
+        sym, n = list(text), len(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         place, position = self.place.get, (1 << POSITIONS) - 1
-        agenda = [at + i for i, at in enumerate(map(place, map(str.__add__, sym, sym[1:]))) if at is not None]
-        heapq.heapify(agenda)
+        now: list[int] = [-1] * n
+        agenda = []
+        for i in range(n - 1):
+            at = place(text[i:i + 2])
+            if at is not None:
+                now[i] = at = at + i
+                agenda.append(at)
+        heapify(agenda)
         made_of: dict[str, tuple[str, str]] = {}
         while agenda:
             entry = heappop(agenda)
             a = entry & position
-            own, b = sym[a], right[a]
-            if own is None or b == n or place(pair := own + sym[b]) != entry - a:
-                continue
-            if self.unused and pair in self.unused:
-                made_of[pair] = (own, sym[b])
-            sym[a], sym[b] = pair, None
+            if now[a] != entry:
+                continue  # a side was merged with another neighbour since
+            b = right[a]
+            pair = sym[a] + sym[b]
+            if pair in self.unused:
+                made_of[pair] = (sym[a], sym[b])
+            sym[a] = pair
             right[a] = after = right[b]
-            before = left[a]
+            now[a] = now[b] = -1
             if after < n:
                 left[after] = a
                 at = place(pair + sym[after])
                 if at is not None:
-                    heappush(agenda, at + a)
+                    now[a] = at = at + a
+                    heappush(agenda, at)
+            before = left[a]
             if before >= 0:
                 at = place(sym[before] + pair)
-                if at is not None:
-                    heappush(agenda, at + before)
-        out = [s for s in sym if s is not None]
+                if at is None:
+                    now[before] = -1
+                else:
+                    now[before] = at = at + before
+                    heappush(agenda, at)
+        out, i = [], 0
+        while i < n:
+            out.append(sym[i])
+            i = right[i]
         if not made_of:
             return out
         rest, out = out[::-1], []
@@ -131,38 +145,36 @@ class Encoder:
         return out
 
     def _segment(self, s: str) -> bytes:
-        ids: list[int] = []
-        for p in self.merge(s):
-            known = self.pieces.get(p)
-            if known is not None:
-                ids.append(known[0])
-            elif self.bytes:
-                ids += [self.bytes[b] for b in p.encode()]
-            else:
-                ids.append(self.unknown)
-        out = np.array(ids, "<u4").tobytes()
-        return out
-
-    def _met(self, s: str) -> bytes:
-        """Ids of a segment that is not among the latest: from the generation before, or by the agenda."""
+        """Ids of a segment: kept ones of two generations, or by the agenda."""
         out = self.seen.get(s) or self.older.get(s)
         if out is None:
-            out = self._segment(s)
+            known = self.coded.get
+            out = b"".join([known(p) or self._unknown(p) for p in self.merge(s)])
         if len(s) <= self.SHORT:
             if len(self.seen) >= self.KEEP:
                 self.older, self.seen = self.seen, {}
             self.seen[s] = out
         return out
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a whole text, normalised as the model says."""
-        latest, met = self.seen.get, self._met
-        parts = [latest(s) or met(s) for s in self.segments(self.library.normalize(text))]
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        if not self.bytes and len(ids):  # neighbouring unknown pieces are one
-            again = (ids == self.unknown) & np.append(False, ids[:-1] == self.unknown)
-            ids = ids[~again]
-        return ids
+    def _unknown(self, piece: str) -> bytes:
+        return np.array([self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown], "<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, normalised as the model says; each different segment is looked up once."""
+        parts, first = self.segments([self.library.normalize(t) for t in texts])
+        if not len(parts):
+            return [np.zeros(0, "<u4") for _ in texts]
+        parts = parts.dictionary_encode()
+        latest, look = self.seen.get, self._segment
+        own = [latest(s) or look(s) for s in parts.dictionary.to_pylist()]
+        ends = np.cumsum([0, *map(len, own)]) >> 2
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(own), "<u4")))
+        got = lists.take(parts.indices)
+        at = got.offsets.to_numpy()[first]
+        out = [got.values.to_numpy()[s:e] for s, e in zip(at, at[1:])]
+        if not self.bytes:  # neighbouring unknown pieces are one
+            out = [x[~((x == self.unknown) & np.append(False, x[:-1] == self.unknown)[:len(x)])] for x in out]
+        return out
 
     def library_ids(self, text: str) -> np.ndarray:
         return self.library.encode_as_numpy(text, add_bos=False, add_eos=False).astype("<u4")
@@ -189,25 +201,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(model_path)
         for batch in batches:
-            at, bytes_left = 0, 0
-            ids, decoded, agrees = [], [], []
-
-            def rows(to):
-                flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # a slice of bounded bytes at a time, one text at least
+                to = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE)), at + 1)
+                texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
+                ids = enc.ids(texts)
+                agrees = [np.array_equal(own, enc.library_ids(t)) for own, t in zip(ids, texts)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                return pa.RecordBatch.from_arrays(
+                flat = np.concatenate(ids).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                     pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["id", "ids", "decoded", "agrees"])
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                ids.append(enc.ids(text))
-                decoded.append(enc.decode(ids[-1]))
-                agrees.append(bool(np.array_equal(ids[-1], enc.library_ids(text))))
-                bytes_left += len(text)
-                if bytes_left > 4 << 20:
-                    yield rows(i + 1)
-                    at, bytes_left = i + 1, 0
-                    ids, decoded, agrees = [], [], []
-            yield rows(batch.num_rows)
+                     pa.array([enc.decode(own) for own in ids], pa.string()), pa.array(agrees, pa.bool_())],
+                    ["id", "ids", "decoded", "agrees"])
+                at = to
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id long, ids array<int>, decoded string, agrees boolean")
