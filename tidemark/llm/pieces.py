@@ -23,7 +23,7 @@ SPACE = "▁"  # how the vocabulary writes a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 
-POSITIONS = 40  # bits of a position in an agenda entry
+POSITIONS = (6, 40)  # bits of a position in an agenda entry: for short texts, so that entries stay small numbers, and for all
 SLICE = 4 << 20  # bytes of text that are cut into segments at a time
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -54,8 +54,8 @@ class Encoder:
     def learn(self, pieces: dict[str, tuple[int, float]], unused: set[str]) -> None:
         """Take a vocabulary (piece: id and score); pieces of equal scores share their place on the agenda."""
         by_score = sorted({score for _, score in pieces.values()}, reverse=True)
-        place = {score: i << POSITIONS for i, score in enumerate(by_score)}
-        self.place = {p: place[score] for p, (_, score) in pieces.items()}
+        rank = {score: i for i, score in enumerate(by_score)}
+        self.place = {bits: {p: rank[score] << bits for p, (_, score) in pieces.items()} for bits in POSITIONS}
         self.unused, self.coded = unused, {p: np.uint32(i).tobytes() for p, (i, _) in pieces.items()}
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -93,7 +93,8 @@ class Encoder:
         """
         sym, n = list(text), len(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        place, position = self.place.get, (1 << POSITIONS) - 1
+        bits = POSITIONS[n > 1 << POSITIONS[0]]
+        place, position = self.place[bits].get, (1 << bits) - 1
         now: list[int] = [-1] * n
         agenda = []
         for i in range(n - 1):
@@ -112,7 +113,7 @@ class Encoder:
             pair = sym[a] + sym[b]
             if pair in self.unused:
                 made_of[pair] = (sym[a], sym[b])
-            sym[a] = pair
+            sym[a], sym[b] = pair, ""
             right[a] = after = right[b]
             now[a] = now[b] = -1
             if after < n:
@@ -129,10 +130,7 @@ class Encoder:
                 else:
                     now[before] = at = at + before
                     heappush(agenda, at)
-        out, i = [], 0
-        while i < n:
-            out.append(sym[i])
-            i = right[i]
+        out = [s for s in sym if s]
         if not made_of:
             return out
         rest, out = out[::-1], []
