@@ -50,8 +50,8 @@ def phrase_texts(rng):
     return [None, "", "...", " \n\t", "one", make(4000), hot, hot, hot, *texts]
 
 
-@pytest.mark.parametrize("min_count,shard_words", [(3, 400), (25, 10**6), (25, 700), (1, 10**6)])
-def test_collocations_match_brute_force(spark, min_count, shard_words):
+@pytest.mark.parametrize("min_count,shard_words,shards", [(3, 400, 1), (25, 10**6, 3), (25, 700, 1), (40, 10**6, 32), (1, 10**6, 1)])
+def test_collocations_match_brute_force(spark, min_count, shard_words, shards):
     """Supports of many and of fractional occurrences per shard: one round for all lengths, and a round for each."""
     rng = random.Random(min_count)
     texts = phrase_texts(rng)
@@ -63,7 +63,7 @@ def test_collocations_match_brute_force(spark, min_count, shard_words):
     rows = list(zip(langs, texts))
     docs = clash(spark.createDataFrame([(0, t, g) for g, t in rows], "doc_id long, text string, lang string"))
     for top in (2000, 4):
-        got = phrases.collocations(docs, min_count, 5, top, shard_words=shard_words).collect()
+        got = phrases.collocations(docs, min_count, 5, top, shard_words=shard_words, shards=shards).collect()
         assert {tuple(r) for r in got} == brute_collocations(rows, min_count, 5, top) and len(got) == len({tuple(r) for r in got})
         assert got
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_parts, cut
 
 SHARD_WORDS = 3_000_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
+SHARDS = 32                # shards at least: small tables have small shards at the same support
 BITS = 26                  # the set of phrases has 2^26 bits: 8 MB, whatever the table's size
 CHUNK = 16                 # and travels to the driver in rows of 2^16 bits
 
@@ -270,13 +271,14 @@ def _phrase_bits(phrases: DataFrame) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, text_col: str = "text",
-                     lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+                     lang_col: str = "lang", shard_words: int = SHARD_WORDS,
+                     shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, m, a), (lang, n)): all phrases of 1 to ``max_words`` words met ``min_count`` times or more.
 
     Words are lower-cased (A-Z) and phrases stay inside pieces; n counts the
-    words of a language. There are as many shards as the words ask for, at
-    least one per core. While a shard's support is 2 or more, all lengths are
-    mined in one round of two passes. With so many shards that a single
+    words of a language. There are ``shards`` shards, or as many as keep a
+    shard near ``shard_words`` words. While a shard's support is 2 or more, all
+    lengths are mined in one round of two passes. With so many shards that a single
     occurrence is locally frequent, the union would be every phrase: then each
     length is a round of its own, and its phrases are those whose two parts of
     one word less were counted and found frequent. Both ways give the same rows.
@@ -285,9 +287,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     per_lang = cut(own.groupBy(F.coalesce("lang", F.lit("und")).alias("lang"))
                    .agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")), F.lit(0)).alias("n")))
     total = int(per_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shards = max(-(-total // shard_words), own.sparkSession.sparkContext.defaultParallelism)
-    own = own.coalesce(shards)
-    if min_count * min(shard_words, -(-total // shards)) > total or total == 0:
+    own = own.coalesce(max(-(-total // shard_words), own.sparkSession.sparkContext.defaultParallelism))
+    shard_words = max(1, min(shard_words, -(-total // shards)))
+    if total == 0 or min_count * shard_words > total:
         bits = _local_union(own, max(total, 1), min_count, max_words, shard_words)
         return _exact(own, bits, (1, max_words), min_count, shard_words), per_lang
     bits, done = np.zeros(1 << BITS - 3, np.uint8), None
@@ -300,7 +302,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
 
 
 def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top: int = 2000, text_col: str = "text",
-                 lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
+                 lang_col: str = "lang", shard_words: int = SHARD_WORDS, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``max_words`` words.
 
     A phrase's score is that of its weakest cut, floor(1000 * a * n / (l * r))
@@ -312,7 +314,7 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top:
     rows count each time; empty tables and tables without frequent phrases give
     no rows; other columns are not read.
     """
-    phrases, per_lang = frequent_phrases(docs, min_count, max_words, text_col, lang_col, shard_words)
+    phrases, per_lang = frequent_phrases(docs, min_count, max_words, text_col, lang_col, shard_words, shards)
     known = phrases.select("lang", "phrase", "a")
     long = phrases.filter("m > 1").withColumn("w", F.split("phrase", " "))
     cuts = (long.select("lang", "phrase", "a", "w", "m", F.explode(F.expr("sequence(1, m - 1)")).alias("k"))
