@@ -1,9 +1,9 @@
 """Phrase collocation mining by SON partitioning (Savasere, Omiecinski and Navathe, 1995).
 
 A shard is a run of whole documents that fits a task. Each shard is mined
-completely at the support lowered in proportion to its share of all words: a
-phrase that reaches ``min_count`` in the whole table reaches the lowered
-support in at least one shard. The union of the locally frequent phrases
+completely at a support lowered in proportion to its share of all words, so
+that a phrase that reaches ``min_count`` in the whole table is locally frequent
+in at least one shard. The union of the locally frequent phrases
 travels as a bit set of fixed size (no member is missed, a stray hit is only
 counted for nothing), and a second pass counts every phrase that it holds in
 all shards exactly, by its text.
@@ -23,6 +23,7 @@ from tidemark.llm.common import by_parts, cut
 
 SHARD_WORDS = 3_000_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
 SHARDS = 32                # shards at least: small tables have small shards at the same support
+LOWERED = (3, 4)           # part of the support that is shared out over the shards
 BITS = 26                  # the set of phrases has 2^26 bits: 8 MB, whatever the table's size
 CHUNK = 16                 # and travels to the driver in rows of 2^16 bits
 
@@ -222,13 +223,28 @@ def _bit_rows(h: np.ndarray) -> pa.RecordBatch:
 
 
 def _local_union(docs: DataFrame, total: int, min_count: int, max_words: int, shard_words: int) -> np.ndarray:
-    """First pass: every shard mined at its share of ``min_count``; the union as a bit set."""
+    """First pass: every shard mined at its share of three quarters of ``min_count``; the union as a bit set.
+
+    A shard that does not name a phrase holds it fewer times than its support,
+    and what all shards can hide this way is at most three quarters of
+    ``min_count``. So a phrase can only be frequent if the counts above the
+    supports add up to the last quarter: the others leave the union.
+    """
     def mine(batches):
         for shard in _shards(batches, shard_words):
-            support = -(-min_count * shard.n // total)
-            for _, _, _, _, h in shard.levels(max_words, lambda k, counts, h: counts >= support):
-                yield _bit_rows(h)
-    return _bit_set(docs.sparkSession, docs.mapInArrow(mine, "chunk int, bit int"))
+            hidden = LOWERED[0] * min_count * shard.n // (LOWERED[1] * total)
+            for _, _, _, counts, h in shard.levels(max_words, lambda k, counts, h: counts > hidden):
+                for s in range(0, len(h), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s:s + 100_000].view(np.int64)),
+                                                      pa.array(counts[s:s + 100_000] - hidden)], ["h", "above"])
+
+    def places(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _bit_rows(batch.column(0).to_numpy().view(np.uint64))
+    sums = docs.mapInArrow(mine, "h long, above long").groupBy("h").agg(F.sum("above").alias("above"))
+    union = sums.filter(F.col("above") * LOWERED[1] >= min_count * (LOWERED[1] - LOWERED[0]))
+    return _bit_set(docs.sparkSession, union.select("h").mapInArrow(places, "chunk int, bit int"))
 
 
 def _exact(docs: DataFrame, bits: np.ndarray, lengths: tuple[int, int], min_count: int, shard_words: int) -> DataFrame:
@@ -289,7 +305,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     total = int(per_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     own = own.coalesce(max(-(-total // shard_words), own.sparkSession.sparkContext.defaultParallelism))
     shard_words = max(1, min(shard_words, -(-total // shards)))
-    if total == 0 or min_count * shard_words > total:
+    if total == 0 or LOWERED[0] * min_count * shard_words >= LOWERED[1] * total:
         bits = _local_union(own, max(total, 1), min_count, max_words, shard_words)
         return _exact(own, bits, (1, max_words), min_count, shard_words), per_lang
     bits, done = np.zeros(1 << BITS - 3, np.uint8), None
