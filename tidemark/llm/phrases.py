@@ -303,7 +303,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     per_lang = cut(own.groupBy(F.coalesce("lang", F.lit("und")).alias("lang"))
                    .agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")), F.lit(0)).alias("n")))
     total = int(per_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    own = own.coalesce(max(-(-total // shard_words), own.sparkSession.sparkContext.defaultParallelism))
+    # two tasks a core: a task goes through many shards, and their counts are added up before the shuffle
+    own = own.coalesce(2 * own.sparkSession.sparkContext.defaultParallelism)
     shard_words = max(1, min(shard_words, -(-total // shards)))
     if total == 0 or LOWERED[0] * min_count * shard_words >= LOWERED[1] * total:
         bits = _local_union(own, max(total, 1), min_count, max_words, shard_words)
