@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_parts, cut
 
-SHARD_WORDS = 3_000_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
+SHARD_WORDS = 2_250_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
 SHARDS = 32                # shards at least: small tables have small shards at the same support
 LOWERED = (3, 4)           # part of the support that is shared out over the shards
 BITS = 26                  # the set of phrases has 2^26 bits: 8 MB, whatever the table's size
@@ -71,7 +71,7 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 class _Shard:
     """Words of whole documents as numbers, with the piece and language of each."""
 
-    SLICE = 4 << 20  # bytes of text that are split at a time
+    SLICE = 1 << 20  # bytes of text that are split at a time
     TURN = 1 << 20   # occurrences whose phrases are numbered at a time
 
     def __init__(self):
@@ -187,6 +187,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Sh
             if shard.n >= shard_words:
                 if ready is not None:
                     yield ready
+                    pa.default_memory_pool().release_unused()  # what mining the last one took
                 shard, ready = _Shard(), shard
     if ready is not None and shard.n < shard_words // 2:
         ready.join(shard)
