@@ -220,17 +220,18 @@ def with_context_message(conv: DataFrame, firsts: DataFrame, text: Column, turn:
 # J: change-feed effects (batch form; the streaming jobs call these per batch)
 # --------------------------------------------------------------------------
 
-def change_feed_from_events(events: DataFrame) -> DataFrame:
+def change_feed_from_events(events: DataFrame, per_task: int = 1) -> DataFrame:
     """The task change feed derived from ``events`` (FIXTURES: events = change feed).
 
     signup -> INSERT, error -> DELETE, others -> UPDATE; task id = event_id + 1;
-    a purchase archives the task, other updates un-archive it.
+    a purchase archives the task, other updates un-archive it. With
+    ``per_task`` > 1 so many neighbouring events are changes of one task.
     """
     op = (F.when(F.col("event_type") == "signup", "INSERT")
           .when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE"))
     return events.select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), op.alias("operation"),
-        (F.col("event_id") + 1).alias("task_id"),
+        (F.floor(F.col("event_id") / per_task) + 1).cast("long").alias("task_id"),
         F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("user_id"),
         (F.col("event_type") == "purchase").alias("archived"))
 
@@ -286,23 +287,77 @@ def touch_projects(projects: DataFrame, tasks: DataFrame, feed: DataFrame) -> Da
 TS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def change_notifications(feed: DataFrame, tasks: DataFrame) -> DataFrame:
-    """One JSON payload per change; NEW values, else OLD (deletes).
+def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``feed`` with ``old_user`` and ``old_task``: the task's row before each change.
 
-    The old row is the stored task; the new row is the feed's values for
-    INSERT/UPDATE and absent for DELETE.
+    The row before a change is what the change before it left: nothing after
+    a DELETE, else its user, and the text last given; before a task's first change
+    it is the row of ``tasks`` (of repeated ids the smallest row). Changes are ordered by (ts, event_id) in range
+    partitions; a task's changes that lie in several partitions get what the
+    partitions before theirs left from one small row per task and partition,
+    so a busy task is many tasks' work.
     """
-    old = tasks.select(F.col("id").alias("task_id"), F.col("user_id").alias("_old_user"),
-                       F.col("task").alias("_old_task"))
-    j = feed.join(old, "task_id", "left")
+    spark = feed.sparkSession
+    ensure_checkpoint_dir(spark)
+    text = F.col("task") if "task" in feed.columns else F.lit(None).cast("string")
+    gone = F.col("operation") == "DELETE"
+    marked = feed.withColumns({
+        "_user": F.struct(F.when(~gone, F.col("user_id")).alias("v")),
+        "_text": F.when(gone, F.struct(F.lit(None).cast("string").alias("v")))
+        .when(text.isNotNull(), F.struct(text.alias("v")))})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (marked.repartitionByRange(n, "task_id", "ts", "event_id")
+              .withColumn("_part", F.spark_partition_id()).checkpoint())
+    here = (Window.partitionBy("_part", "task_id").orderBy("ts", "event_id")
+            .rowsBetween(Window.unboundedPreceding, -1))
+    order = F.struct("ts", "event_id")
+    left = placed.groupBy("task_id", "_part").agg(
+        F.max_by("_user", order).alias("_user"),
+        F.max_by("_text", F.when(F.col("_text").isNotNull(), order)).alias("_text"))
+    earlier = Window.partitionBy("task_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select("task_id", "_part", F.last("_user", True).over(earlier).alias("_user_in"),
+                       F.last("_text", True).over(earlier).alias("_text_in"))
+    stored = tasks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("task_id")).agg(
+        F.min(F.struct("user_id", "task")).alias("_row"))
+    rows = (placed.withColumns({"_user": F.last("_user", True).over(here), "_text": F.last("_text", True).over(here)})
+            .join(left, ["task_id", "_part"], "left").join(stored, "task_id", "left"))
+
+    def before(own: str, given: str, field: str) -> Column:
+        return F.coalesce(F.col(own), F.col(given), F.struct(F.col(f"_row.{field}").alias("v")))["v"]
+    return rows.select(*feed.columns, before("_user", "_user_in", "user_id").alias("old_user"),
+                       before("_text", "_text_in", "task").alias("old_task"))
+
+
+def notifications(rows: DataFrame) -> DataFrame:
+    """A10/J4 payloads of changes that know the row before them (batch or stream)."""
     is_del = F.col("operation") == "DELETE"
+    text = F.col("task") if "task" in rows.columns else F.lit(None).cast("string")
     payload = F.struct(
         F.col("operation").alias("operation"),
-        F.coalesce(F.when(~is_del, F.col("user_id")), F.col("_old_user")).alias("user_id"),
+        F.coalesce(F.when(~is_del, F.col("user_id")), F.col("old_user")).alias("user_id"),
         F.col("task_id").alias("task_id"),
-        F.col("_old_task").alias("task_name"),
+        F.coalesce(F.when(~is_del, text), F.col("old_task")).alias("task_name"),
         F.date_format("ts", TS_TEXT).alias("timestamp"))
-    return j.select("event_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+    return rows.select("event_id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def change_notifications(feed: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One JSON payload per change; NEW values, else OLD (deletes).
+
+    OLD is the row at the moment of the change: the stored task, or what the
+    changes before it made of it (see previous_rows). NEW has the feed's user
+    and, if the feed gives one, its text.
+    """
+    return notifications(previous_rows(feed, tasks))
+
+
+def subscribers(rows: DataFrame, either_side: bool = True, user: str | None = None) -> DataFrame:
+    """A9/J5 deliveries of changes that know the row before them (batch or stream)."""
+    new_user = F.when(F.col("operation") != "DELETE", F.col("user_id"))
+    subs = F.array_distinct(F.array_compact(F.array(new_user, F.col("old_user")))) if either_side \
+        else F.array_compact(F.array(new_user))
+    out = rows.select(F.explode(subs).alias("subscriber"), "event_id", "operation", "task_id")
+    return out if user is None else out.where(F.col("subscriber") == user)
 
 
 def user_change_stream(feed: DataFrame, tasks: DataFrame, either_side: bool = True,
@@ -310,13 +365,7 @@ def user_change_stream(feed: DataFrame, tasks: DataFrame, either_side: bool = Tr
     """Each change delivered to its subscribers.
 
     The fixed client listens on the new row's user; the older client also
-    passes a change if the old row belongs to the user (``either_side``).
-    ``feed`` may be a stream; ``user`` keeps one subscriber's changes.
+    passes a change if the old row (at that moment) belongs to the user
+    (``either_side``). ``user`` keeps one subscriber's changes.
     """
-    old = tasks.select(F.col("id").alias("task_id"), F.col("user_id").alias("_old_user"))
-    j = feed.join(old, "task_id", "left")
-    new_user = F.when(F.col("operation") != "DELETE", F.col("user_id"))
-    subs = F.array_distinct(F.array_compact(F.array(new_user, F.col("_old_user")))) if either_side \
-        else F.array_compact(F.array(new_user))
-    out = j.select(F.explode(subs).alias("subscriber"), "event_id", "operation", "task_id")
-    return out if user is None else out.where(F.col("subscriber") == user)
+    return subscribers(previous_rows(feed, tasks), either_side, user)

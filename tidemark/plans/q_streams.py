@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.q_search import SEARCH_CTES
-from tidemark.plans.q_writes import FEED_SQL, NOTIFY_SQL, SUBSCRIBER_SQL
+from tidemark.plans.q_writes import FEED_SQL, MOMENT_NOTIFY_SQL, MOMENT_SUBSCRIBER_SQL, NOTIFY_SQL, SUBSCRIBER_SQL
 from tidemark.plans.registry import register
 from tidemark.sources.tables import dealt, load_views, read_table
 from tidemark.streaming import feeds as FD
@@ -94,3 +94,16 @@ def q_change_notifications_stream(spark, sf):
 def q_user_change_stream(spark, sf):
     t, _ = load_views(spark, sf)
     return FD.subscription_stream(spark, sf, t, FD.scratch_path(spark, "subscriptions"))
+
+
+@register("moment_notifications_stream", MOMENT_NOTIFY_SQL)
+def q_moment_notifications_stream(spark, sf):
+    """Several changes of each task: the old row is kept as state."""
+    t, _ = load_views(spark, sf)
+    return FD.notification_stream(spark, sf, t, FD.scratch_path(spark, "moment-out"), per_task=4)
+
+
+@register("moment_subscribers_stream", MOMENT_SUBSCRIBER_SQL)
+def q_moment_subscribers_stream(spark, sf):
+    t, _ = load_views(spark, sf)
+    return FD.subscription_stream(spark, sf, t, FD.scratch_path(spark, "moment-subscribers"), per_task=4)

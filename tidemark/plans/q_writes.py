@@ -301,6 +301,42 @@ def q_user_change_feed(spark, sf):
     return M.user_change_stream(feed, t, user="u7")
 
 
+# several changes of one task: OLD is what the change before left, and a deleted task's text is gone
+MOMENT_CTES = [
+    FEED_SQL.replace("event_id + 1 as task_id", "event_id // 4 + 1 as task_id"),
+    """moment as (
+  select f.*, case when prev is null then t.user_id when prev <> 'DELETE' then prev_user end as old_user,
+         case when deleted = 0 then t.task end as old_task
+  from (select *, lag(operation) over w as prev, lag(user_id) over w as prev_user,
+               count(case when operation = 'DELETE' then 1 end) over (w rows between unbounded preceding and 1 preceding) as deleted
+        from feed window w as (partition by task_id order by ts, event_id)) f
+  left join tasks t on t.id = f.task_id)"""]
+MOMENT_NOTIFY_SQL = with_views("""
+select event_id, json_object('operation', operation,
+        'user_id', coalesce(case when operation <> 'DELETE' then user_id end, old_user),
+        'task_id', task_id, 'task_name', old_task,
+        'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'))::varchar as payload
+from moment""", *MOMENT_CTES)
+MOMENT_SUBSCRIBER_SQL = with_views("""
+select distinct subscriber, event_id, operation, task_id from (
+  select case when operation <> 'DELETE' then user_id end as subscriber, event_id, operation, task_id from moment
+  union all
+  select old_user, event_id, operation, task_id from moment) x
+where subscriber is not null""", *MOMENT_CTES)
+
+
+@register("moment_notifications", MOMENT_NOTIFY_SQL)
+def q_moment_notifications(spark, sf):
+    t, _ = load_views(spark, sf)
+    return M.change_notifications(M.change_feed_from_events(read_table(spark, sf, "events"), 4), t)
+
+
+@register("moment_subscribers", MOMENT_SUBSCRIBER_SQL)
+def q_moment_subscribers(spark, sf):
+    t, _ = load_views(spark, sf)
+    return M.user_change_stream(M.change_feed_from_events(read_table(spark, sf, "events"), 4), t)
+
+
 @register("mv_user_statistics", with_views("""
 select user_id, count(*) as total_tasks, count(*) filter (where archived) as completed_tasks,
        count(*) filter (where ai_enhanced) as ai_enhanced_tasks, count(distinct project_id) as active_projects,

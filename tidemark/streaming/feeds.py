@@ -9,7 +9,7 @@ started again on its folder goes on where it stopped. Jobs that update stored
 tables (live lists, postings, statistics) use ``foreachBatch``.
 
 The response cache (J6) needs an ordered fold per key; in streaming it is
-``applyInPandasWithState`` with one timestamp of state per key, and in
+a keyed state with a timer (``stateful``), and in
 batch all blocks of time are folded at once (see ``ttl_dedup``).
 """
 
@@ -24,14 +24,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from tidemark.functions.rules import CACHE_TTL_SECONDS
 from tidemark.operators.analytics import user_statistics
 from tidemark.operators.lists import task_list
-from tidemark.operators.mutations import change_feed_from_events, change_notifications, user_change_stream
+from tidemark.operators.mutations import change_feed_from_events, notifications, subscribers
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.streaming.stateful import cache_stream, previous_rows_stream
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -56,9 +56,9 @@ def read_event_stream(spark: SparkSession, sf_dir: str, max_files: int | None =
     return r.parquet(sf_dir)
 
 
-def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, per_task: int = 1) -> DataFrame:
     """A9/J5 source: the task change feed as a stream."""
-    return change_feed_from_events(read_event_stream(spark, sf_dir, max_files))
+    return change_feed_from_events(read_event_stream(spark, sf_dir, max_files), per_task)
 
 
 def run_versions(stream: DataFrame, root: str, tables: dict[str, DataFrame], step) -> dict[str, DataFrame]:
@@ -178,9 +178,9 @@ def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, r
 
 
 def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
-                        max_files: int | None = None, user: str | None = None) -> DataFrame:
+                        max_files: int | None = None, user: str | None = None, per_task: int = 1) -> DataFrame:
     """A9/J5 as a stream: each change to its subscribers (or one ``user``'s), appended to a parquet sink."""
-    out = user_change_stream(change_stream(spark, sf_dir, max_files), tasks, user=user)
+    out = subscribers(previous_rows_stream(change_stream(spark, sf_dir, max_files, per_task), tasks), user=user)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
@@ -189,12 +189,13 @@ def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root
 
 
 def notification_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
-                        max_files: int | None = None) -> DataFrame:
-    """A10/J4 as a stream: change stream joined with the stored tasks (a
-    stream-static join, the old row), one JSON payload per change, appended
-    to a JSON file sink (a message bus sink is a one-line format change).
-    Returns what the sink holds after all available changes."""
-    payloads = change_notifications(change_stream(spark, sf_dir, max_files), tasks)
+                        max_files: int | None = None, per_task: int = 1) -> DataFrame:
+    """A10/J4 as a stream: one JSON payload per change, appended to a JSON file
+    sink (a message bus sink is a one-line format change). The old row is kept
+    as state per task that starts with ``tasks``, so changes of one task over
+    several micro-batches see each other. Returns what the sink holds after
+    all available changes."""
+    payloads = notifications(previous_rows_stream(change_stream(spark, sf_dir, max_files, per_task), tasks))
     q = (payloads.writeStream.format("json").option("path", out_path)
          .option("checkpointLocation", f"{out_path}-checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
@@ -404,38 +405,29 @@ def ttl_dedup(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "ev
     return ordered.mapInPandas(fold, TTL_OUT)
 
 
-TTL_STATE = T.StructType([T.StructField("last_miss_us", T.LongType())])
-
-
 def ttl_dedup_stream(events: DataFrame, key: str, ts_col: str = "ts", id_col: str = "event_id",
-                     ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """J6 (stream): the same fold with one timestamp of state per key.
-
-    Requests must arrive in time order per key across micro-batches (a log
-    stream); within a batch they are sorted.
+                     ttl_seconds: int = CACHE_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """J6 (stream): the same fold with one timestamp of state per key that expires.
+
+    The watermark lags the newest request by ``delay``. Requests behind the
+    watermark of the last micro-batch but one come too late: their answers may
+    be gone, and they are left out. All others are folded in time order across
+    micro-batches if the log is in order, and within a micro-batch always. A
+    timer drops a key's state once the watermark has passed its time to live;
+    what comes later would be a miss anyway, so the result is that of ttl_dedup().
     """
-    ttl_us = int(ttl_seconds * 1_000_000)
-    us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts_col))
-    ev = events.select(F.col(id_col).alias("event_id"), F.col(key).cast("string").alias("key"), us.alias("ts_us"))
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="mergesort")
-        last = state.get[0] if state.exists else None
-        miss, last = _fold(pdf["ts_us"].to_numpy(np.int64), ttl_us, last)
-        state.update((last,))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(), "is_miss": miss})
-
-    return ev.groupBy("key").applyInPandasWithState(step, TTL_OUT, TTL_STATE, "append", "NoTimeout")
+    return cache_stream(events, key, ts_col, id_col, int(ttl_seconds * 1_000_000), delay, _fold, TTL_OUT)
 
 
 def ttl_dedup_streaming_run(spark: SparkSession, sf_dir: str, key: str = "event_type",
-                            max_files: int | None = None, out: str | None = None) -> DataFrame:
+                            max_files: int | None = None, out: str | None = None,
+                            delay: str = "10 minutes") -> DataFrame:
     """Run the streaming cache fold over the event log into a parquet sink and read it back.
 
     ``out`` names the sink of a job that is started again; without it the job is a new one.
     """
     out = out or scratch_path(spark, "ttl-out")
-    stream = ttl_dedup_stream(read_event_stream(spark, sf_dir, max_files), key)
+    stream = ttl_dedup_stream(read_event_stream(spark, sf_dir, max_files), key, delay=delay)
     q = (stream.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", f"{out}-checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
