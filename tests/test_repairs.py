@@ -29,6 +29,65 @@ def test_cascades_reach_the_end_of_a_long_chain(spark):
     assert state == {**{i: True for i in range(12)}, 12: False}
 
 
+def walk_down(edges, seeds):
+    """Brute force: level of every id under the seeds, breadth first."""
+    got, front, level = {s: 0 for s in seeds}, set(seeds), 0
+    while front:
+        level += 1
+        front = {i for i, p in edges if p in front and i not in got}
+        got |= dict.fromkeys(front, level)
+    return got
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    n = 10_000
+    t = chain(spark, n)
+    calls, plain = [], type(t).checkpoint
+    monkeypatch.setattr(type(t), "checkpoint", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    got = descendants(t, spark.createDataFrame([(0,)], "id long"))
+    assert len(calls) < 20 and isinstance(got, DataFrame)
+    assert got.count() == n and got.where("id <> level").count() == 0
+    calls.clear()
+    state = state_cascade(t, spark.createDataFrame([(0, True), (7000, False)], "id long, new_state boolean"))
+    assert len(calls) < 22
+    assert state.where("new_state").count() == 7000 and state.count() == 7001
+
+
+def test_closure_of_trees_cycles_and_repeated_rows(spark):
+    import random
+    for seed in range(6):
+        rng = random.Random(seed)
+        n = 60
+        edges = [(i, rng.choice([None, rng.randrange(n), rng.randrange(max(i, 1)), 999, i])) for i in range(n)]
+        edges += [(1, 2), (2, 3), (3, 1)] if seed % 2 else []          # a cycle, and ids of several parents
+        edges += rng.sample(edges, 10) + [(None, 1), (None, None)]     # repeated rows and null ids
+        seeds = rng.sample(range(n), 3) + [999 if seed > 2 else 3]     # 999 has children but no row
+        t = spark.createDataFrame(edges, "id long, parent_task_id long")
+        named = spark.createDataFrame([(s,) for s in [*seeds, seeds[0]]] + [(None,)], "id long")
+        got = descendants(t, named).collect()
+        want = walk_down([e for e in edges if e[0] is not None and e[1] is not None], seeds)
+        assert {r.id: r.level for r in got} == want and len(got) == len(want)
+    assert descendants(t, named.limit(0)).count() == 0 and descendants(t.limit(0), named).count() == 4
+
+
+def test_state_cascade_equals_a_walk(spark):
+    import random
+    for seed in range(5):
+        rng = random.Random(seed)
+        n = 80
+        up = {i: rng.choice([None, rng.randrange(max(i, 1)), rng.randrange(n)]) for i in range(n)}
+        state = {i: rng.choice([True, False, False, None]) if seed else False for i in range(n)}
+        ch = {i: rng.random() < .7 for i in rng.sample(range(n), 9)} | {10**6: True}
+        want, front = {i: s for i, s in ch.items() if i in up}, [i for i, s in ch.items() if i in up and state[i] == (not s)]
+        while front:
+            front = [want.__setitem__(c, want[p]) or c for p in front for c in range(n)
+                     if up[c] == p and c not in want and state[c] == (not want[p])]
+        t = spark.createDataFrame([(i, up[i], state[i]) for i in up], "id long, parent_task_id long, archived boolean")
+        got = state_cascade(t, spark.createDataFrame(list(ch.items()), "id long, new_state boolean"))
+        assert {r.id: r.new_state for r in got.collect()} == want
+
+
 def test_rank_counts_far_pairs(spark):
     far = " ".join(["alpha", *["x"] * 150, "beta"])
     two = " ".join(["alpha", *["x"] * 150, "beta", *["y"] * 150, "alpha"])

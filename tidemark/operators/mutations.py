@@ -292,8 +292,8 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
 
     The row before a change is what the change before it left: nothing after
     a DELETE, else its user, and the text last given; before a task's first change
-    it is the row of ``tasks`` (of repeated ids the smallest row). Changes are ordered by (ts, event_id) in range
-    partitions; a task's changes that lie in several partitions get what the
+    it is the row of ``tasks`` (of repeated ids the smallest row). Changes are ordered by (ts, event_id), or by
+    the id alone if the feed has no time, in range partitions; a task's changes that lie in several partitions get what the
     partitions before theirs left from one small row per task and partition,
     so a busy task is many tasks' work.
     """
@@ -305,12 +305,13 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
         "_user": F.struct(F.when(~gone, F.col("user_id")).alias("v")),
         "_text": F.when(gone, F.struct(F.lit(None).cast("string").alias("v")))
         .when(text.isNotNull(), F.struct(text.alias("v")))})
+    time = [c for c in ("ts", "event_id") if c in feed.columns]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (marked.repartitionByRange(n, "task_id", "ts", "event_id")
+    placed = (marked.repartitionByRange(n, "task_id", *time)
               .withColumn("_part", F.spark_partition_id()).checkpoint())
-    here = (Window.partitionBy("_part", "task_id").orderBy("ts", "event_id")
+    here = (Window.partitionBy("_part", "task_id").orderBy(*time)
             .rowsBetween(Window.unboundedPreceding, -1))
-    order = F.struct("ts", "event_id")
+    order = F.struct(*time)
     left = placed.groupBy("task_id", "_part").agg(
         F.max_by("_user", order).alias("_user"),
         F.max_by("_text", F.when(F.col("_text").isNotNull(), order)).alias("_text"))
