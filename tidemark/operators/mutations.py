@@ -318,8 +318,9 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("task_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     left = left.select("task_id", "_part", F.last("_user", True).over(earlier).alias("_user_in"),
                        F.last("_text", True).over(earlier).alias("_text_in"))
+    named = F.col("task") if "task" in tasks.columns else F.lit(None).cast("string")
     stored = tasks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("task_id")).agg(
-        F.min(F.struct("user_id", "task")).alias("_row"))
+        F.min(F.struct("user_id", named.alias("task"))).alias("_row"))
     rows = (placed.withColumns({"_user": F.last("_user", True).over(here), "_text": F.last("_text", True).over(here)})
             .join(left, ["task_id", "_part"], "left").join(stored, "task_id", "left"))
 
