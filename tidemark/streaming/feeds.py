@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +30,7 @@ from tidemark.operators.lists import task_list
 from tidemark.operators.mutations import change_feed_from_events, notifications, subscribers
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.streaming.buckets import BucketStore
 from tidemark.streaming.stateful import cache_stream, previous_rows_stream
 
 EVENT_SCHEMA = T.StructType([
@@ -61,42 +61,28 @@ def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return change_feed_from_events(read_event_stream(spark, sf_dir, max_files), per_task)
 
 
-def run_versions(stream: DataFrame, root: str, tables: dict[str, DataFrame], step) -> dict[str, DataFrame]:
-    """Run a versioned ``foreachBatch`` job in folder ``root`` over everything available, then stop.
+def run_buckets(stream: DataFrame, root: str, tables: dict[str, tuple[DataFrame, str]], step) -> dict[str, DataFrame]:
+    """Run a ``foreachBatch`` job over bucketed tables in folder ``root`` over everything available, then stop.
 
-    ``tables`` are the start versions (written once); ``step(stored, changes)``
-    returns the next version of each. The pointer is written after the
-    version it names, so readers never see a version in the making.
+    ``tables`` = {name: (start rows, key column)} are written once.
+    ``step(store, changes)`` returns the buckets that a micro-batch changes, as BucketStore.write()
+    takes them: all others stay where they are. The pointer is written after
+    the version it names, so readers never see a version in the making.
     """
     spark = stream.sparkSession
-
-    def stored(n: int) -> dict[str, DataFrame]:
-        return {name: spark.read.parquet(f"{root}/v{n}/{name}") for name in tables}
-
-    def write(n: int, frames: dict[str, DataFrame]) -> None:
-        for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{root}/v{n}/{name}")
-        spark.range(1).select(F.lit(n).alias("version")).write.mode("overwrite").parquet(f"{root}/current-{n % 2}")
-
-    def current() -> int:
-        found = []
-        for k in (0, 1):  # two pointers in turn: one is whole while the other is written
-            try:
-                found += [r["version"] for r in spark.read.parquet(f"{root}/current-{k}").collect()]
-            except AnalysisException:  # not written yet
-                pass
-        return max(found, default=-1)
-
-    if current() < 0:
-        write(0, tables)
+    store = BucketStore(spark, root, {name: key for name, (_, key) in tables.items()})
+    if store.version < 0:
+        store.write(0, {name: (df, None) for name, (df, _) in tables.items()})
 
     def batch(changes: DataFrame, epoch: int) -> None:
-        write(epoch + 1, step(stored(epoch), changes))
+        store.at(epoch)
+        store.write(epoch + 1, step(store, changes))
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return stored(current())
+    done = BucketStore(spark, root, store.keys)
+    return {name: done.read(name, df.schema) for name, (df, _) in tables.items()}
 
 
 def refresh_user_statistics(tasks: DataFrame, path: str) -> DataFrame:
@@ -139,24 +125,33 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
 
 def live_task_list(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                    max_files: int | None = None, **filters) -> DataFrame:
-    """Keep a filtered task list current from the change stream (folder ``root``)."""
-    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
-        return {"tasks": apply_changes(stored["tasks"], changes)}
-    got = run_versions(change_stream(spark, sf_dir, max_files), root, {"tasks": tasks}, step)
+    """Keep a filtered task list current from the change stream (folder ``root``).
+
+    A micro-batch reads and rewrites the buckets of the tasks that it names.
+    """
+    def step(store: BucketStore, changes: DataFrame) -> dict:
+        touched = store.of(changes, "task_id")
+        return {"tasks": (apply_changes(store.read("tasks", tasks.schema, touched), changes), touched)}
+    got = run_buckets(change_stream(spark, sf_dir, max_files), root, {"tasks": (tasks, "id")}, step)
     return task_list(got["tasks"], order=False, **filters)
 
 
 def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                          max_files: int | None = None) -> DataFrame:
     """Keep the postings current: those of the tasks that a micro-batch names are dropped and
-    built again from the changed tasks; deleted tasks keep none."""
-    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
-        touched = changes.select(F.col("task_id").alias("id")).distinct()
-        now = apply_changes(stored["tasks"], changes)
-        fresh = search_postings(now.join(touched, "id", "left_semi"))
-        return {"tasks": now, "postings": stored["postings"].join(touched, "id", "left_anti").unionByName(fresh)}
-    return run_versions(change_stream(spark, sf_dir, max_files), root,
-                        {"tasks": tasks, "postings": search_postings(tasks)}, step)["postings"]
+    built again from the changed tasks; deleted tasks keep none. Postings lie in the buckets of
+    their tasks, so the buckets of the named tasks are all that is read and rewritten."""
+    start = search_postings(tasks)
+
+    def step(store: BucketStore, changes: DataFrame) -> dict:
+        touched = store.of(changes, "task_id")
+        ids = changes.select(F.col("task_id").alias("id")).distinct()
+        now = apply_changes(store.read("tasks", tasks.schema, touched), changes)
+        fresh = search_postings(now.join(ids, "id", "left_semi"))
+        kept = store.read("postings", start.schema, touched).join(ids, "id", "left_anti")
+        return {"tasks": (now, touched), "postings": (kept.select(*start.columns).unionByName(fresh), touched)}
+    return run_buckets(change_stream(spark, sf_dir, max_files), root,
+                       {"tasks": (tasks, "id"), "postings": (start, "id")}, step)["postings"]
 
 
 def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
@@ -164,17 +159,28 @@ def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, r
     """Keep the stored statistics current; each batch recomputes only the touched users.
 
     Archive flips, deletes and maxima are not insert-only, so touched users
-    (before or after the batch) are recomputed from their current rows.
+    (before or after the batch) are recomputed from their current rows: the
+    buckets of the named tasks as the batch leaves them, all others as stored.
+    Only touched buckets of tasks and of users are rewritten.
     """
-    def step(stored: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+    start = user_statistics(tasks)
+
+    def step(store: BucketStore, changes: DataFrame) -> dict:
+        touched = store.of(changes, "task_id")
         ids = changes.select(F.col("task_id").alias("id")).distinct()
-        now = apply_changes(stored["tasks"], changes)
-        users = (stored["tasks"].join(ids, "id", "left_semi").select("user_id")
-                 .unionByName(now.join(ids, "id", "left_semi").select("user_id")).distinct())
-        fresh = user_statistics(now.join(users, "user_id", "left_semi"))
-        return {"tasks": now, "statistics": stored["statistics"].join(users, "user_id", "left_anti").unionByName(fresh)}
-    return run_versions(change_stream(spark, sf_dir, max_files), root,
-                        {"tasks": tasks, "statistics": user_statistics(tasks)}, step)["statistics"]
+        before = store.read("tasks", tasks.schema, touched)
+        now = apply_changes(before, changes).checkpoint()  # read three times
+        users = (before.join(ids, "id", "left_semi").select("user_id")
+                 .unionByName(now.join(ids, "id", "left_semi").select("user_id")).distinct().checkpoint())
+        rest = store.read("tasks", tasks.schema, [b for b in range(store.buckets) if b not in touched])
+        fresh = user_statistics(now.unionByName(rest).join(users, "user_id", "left_semi"))
+        by_user = store.of(users, "user_id")
+        kept = store.read("statistics", start.schema, by_user).join(users, "user_id", "left_anti")
+        return {"tasks": (now, touched),
+                "statistics": (kept.select(*start.columns).unionByName(fresh), by_user)}
+    ensure_checkpoint_dir(spark)
+    return run_buckets(change_stream(spark, sf_dir, max_files), root,
+                       {"tasks": (tasks, "id"), "statistics": (start, "user_id")}, step)["statistics"]
 
 
 def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
