@@ -67,6 +67,39 @@ def test_encoder_matches_the_tokenizer(odd_texts):
         assert enc.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_encoder_matches_on_random_strings():
+    """Marks that join their neighbours, letters that grow in lower case, and 40,000 random strings."""
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(tokenizer_path()), packing._Encoder(tokenizer_path())
+    assert enc.known
+    rng = random.Random(5)
+    odd = "aeinrstABİΣσςéÉ\u0301\u0307\u0345\u0300ﬁßŉǅ\u212a.,!?;:'0½ \n\t中αΑ\u200d"
+    wide = [chr(c) for c in range(0x21, 0x3000) if chr(c).isprintable()] + list(".,!?;: ") * 200
+    texts = ["ALİ.", "TATİLİ!", "ALİ,", "α\u0345.", "Α\u0345,", "ŉ.", "ǅ,", "<|endoftext|>", "a <|startoftext|>b"]
+    texts += ["".join(rng.choice(odd if i % 2 else wide) for _ in range(rng.randrange(1, 14))) for i in range(40_000)]
+    assert [t for t in texts if enc.ids(t).tolist() != tok.encode(t, add_special_tokens=False).ids] == []
+
+
+def test_encoder_of_another_file_takes_whole_texts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = packing._Encoder(path)
+    text = "Two  words, ALİ.\n x"
+    assert not enc.known and enc.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_rows_without_or_of_one_id_are_dealt_over_the_groups(spark):
+    pieces = spark.range(4000).selectExpr("cast(if(id < 2000, null, 7) as long) as id", "0 as piece", "0L as start",
+                                          "cast(id % 90 + 1 as long) as length", "cast(5 as long) as ids_crc32")
+    rows = packing.pack(pieces, 100, group_pieces=100, fan_in=4).collect()
+    assert len(rows) == 4000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4000
+    total = Counter()
+    for r in rows:
+        total[r["sequence_id"]] += r["length"]
+    assert max(total.values()) <= 100 and len({r["sequence_id"] >> 24 for r in rows if r["sequence_id"] < 1 << 57}) > 20
+
+
 def test_packing_round_trip(spark, odd_texts):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())

@@ -26,21 +26,37 @@ GAP_SHARE = 0.95      # share of a group's free space that its released bins hol
 _ENCODERS: dict[str, "_Encoder"] = {}
 
 
+# The normaliser and the splitter of the tokenizer files whose words may be taken one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class _Encoder:
     """Ids of a text by a `tokenizers` file, with the ids of words kept.
 
     The tokenizer's own splitter never joins characters across white space, so
-    a text's ids are those of its space-separated chunks in order; a chunk of
-    letters only (with or without one closing mark) is one pre-token that goes
-    straight to the BPE model, and any other chunk takes the full pipeline.
+    a text's ids are those of its space-separated chunks in order. A chunk of
+    Latin letters that are one character each (with or without one closing
+    mark) is one pre-token that goes straight to the BPE model; any other
+    chunk takes the full pipeline as it is. Files with another normaliser or
+    splitter take the full pipeline for whole texts.
     """
 
     KEEP = 400_000  # chunks kept per worker
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        own = json.loads(self.tok.to_str())
+        self.known = (own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == SPLITTER
+                      and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in own["added_tokens"]))
         self.seen: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, others are moved past 255
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,19 +66,23 @@ class _Encoder:
     def _full(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _plain(c: str) -> bool:
+        """Letters that neither normalising nor lower-casing joins, parts or reorders."""
+        return c.isalpha() and len(c) <= 100 and (c.isascii() or max(c) < "\u0250" and "\u0130" not in c)
+
     def _word(self, w: str) -> bytes:
+        w = w.lower()
         if not w.isascii():
             w = w.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes()
 
     def _chunk(self, c: str) -> bytes:
-        if c.isalpha() and len(c) <= 100 and c == c.lower() and "ς" not in c:
-            out = self._word(c)
-        elif c[-1:] in (",", ".", "!", "?", ";", ":") and c[:-1].isalpha():
-            out = self._get(c[:-1]) + self._full(c[-1])
-        else:
-            out = self._full(c)
-        return out
+        if self._plain(c):
+            return self._word(c)
+        if c[-1:] in (",", ".", "!", "?", ";", ":") and self._plain(c[:-1]):
+            return self._get(c[:-1]) + self._full(c[-1])
+        return self._full(c)
 
     def _get(self, c: str) -> bytes:
         out = self.seen.get(c)
@@ -75,10 +95,9 @@ class _Encoder:
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        import unicodedata
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if "Σ" not in text and "İ" not in text:  # lower case depends on what follows
+        if not self.known:
+            return np.frombuffer(self._full(text), "<u4")
+        if text.isascii():
             text = text.lower()
         seen, get = self.seen, self._get
         chunks = text.replace("\n", " ").split(" ")
@@ -209,7 +228,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     """Add (sequence_id, offset) to ``pieces(id, piece, start, length, ids_crc32)``.
 
     Lengths lie between 1 and ``capacity``. Groups are dealt by a hash of
-    (id, piece), so no key decides their size; a released bin goes on whole as
+    all columns and a number of the row within its partition, which is written before it
+    is used, so no key decides their size, nor rows of one id or of none; a released bin goes on whole as
     the pieces it holds. The number of rounds is the logarithm (base
     ``fan_in``) of the number of groups; each writes only the rows that are
     still open. Lengths that leave gaps everywhere release nearly all pieces:
@@ -218,7 +238,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     so no task's work grows with the table. Equal pieces are packed like any
     others; no pieces give no rows.
     """
-    pieces = cut(pieces)
+    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
     own = ["id", "piece", "start", "length", "ids_crc32"]
     schema = ("id long, piece int, start long, length long, ids_crc32 long, "
@@ -235,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
             yield from pa.Table.from_arrays(done, [*own, "grp", "bin", "offset", "released"]).to_batches()
 
     done = None
-    todo = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    todo = pieces.withColumn("grp", F.pmod(F.xxhash64(*own, "row"), F.lit(groups)))
     for level in range(64):
         packed = cut(by_parts(todo, "grp").sortWithinPartitions("grp", "id", "piece", "length", "ids_crc32")
                      .select(*own, "grp").mapInArrow(run, schema))
@@ -243,8 +263,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
         merged = max(-(-groups // fan_in), -(-released // (group_pieces * fan_in)))
         last = merged >= groups
         closed = packed if last else packed.filter("not released")
-        closed = closed.select(*own, (F.lit(level << 56) + F.shiftleft("grp", 20) + F.col("bin")).alias("sequence_id"),
-                               "offset")
+        # 6 bits of the level, 33 of the group, 24 of the bin, whose number stays below the pieces of a group
+        if groups > 1 << 33:
+            raise ValueError(f"pack: {groups} groups are more than a sequence_id can tell apart")
+        bins = F.when(F.col("bin") < 1 << 24, F.col("bin")).otherwise(F.raise_error(F.lit("pack: a group of over 2^24 bins")))
+        closed = closed.select(*own, (F.lit(level << 57) + F.shiftleft("grp", 24) + bins).alias("sequence_id"), "offset")
         done = closed if done is None else done.unionByName(closed)
         if last:
             return done
