@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next stage's docs. All but the last return the rows
-they keep with the columns of ``documents``; ids are unique there.
+they keep with the columns of ``documents``. Decisions are of rows, not of ids: the
+near-duplicate and benchmark stages number their input rows and work on the
+numbers, so rows without an id or with a repeated one are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -19,8 +21,15 @@ from tidemark.session import ensure_checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written before it is used so that it stays the row's own."""
+    path = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +61,21 @@ def _keep(docs: DataFrame, good) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    got = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    return _without(docs, got.filter("doc_id <> component_id"))
+    """One document of each near-duplicate group: the one with the smallest id, any one if none has an id."""
+    rows = _numbered(spark, docs)
+    got = simhash.near_duplicates(_by_row(rows), shingle=3, max_bits=3)
+    ids = rows.select("row", "doc_id")
+    first = (got.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    got = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, got.filter("contaminated"))
+    rows = _numbered(spark, docs)
+    got = decontam.contamination(_by_row(rows), table(spark, sf_dir, "benchmark"))
+    bad = got.filter("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
