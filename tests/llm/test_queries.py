@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipe
 from tests.harness import compare, duck, duck_rows, spark_rows
 from tests.llm.test_operators import brute_contamination, brute_print, clash, docs_frame, reach, words
+from tidemark.llm import langid, quality
 from tidemark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,7 +62,13 @@ def test_stages(spark, tmp_path):
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             bad = brute_contamination([r["text"] for r in before], items)
             assert kept == {r["doc_id"] for r, b in zip(before, bad) if not b[-1]} and 10**6 + 3 not in kept
+        elif name == "quality classifier":
+            model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), split=(5, 0))
+            scores = quality.score(docs, model, 0.3).collect()
+            assert kept == {r["doc_id"] for r in scores if r["score"] >= 0.3} and len(kept) >= 0.6 * len(before)
         else:
+            found = langid.predict(docs, langid.train(docs, split=(4, 2))).collect()
+            assert kept == {r["doc_id"] for r in found if r["lang_pred"] != "und" and not r["ambiguous"]}
             assert len(kept) >= 0.6 * len(before)
         docs = after
     ids = {r["doc_id"] for r in docs.collect()}
@@ -70,6 +77,21 @@ def test_stages(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
 
 
+def test_stages_judge_rows_without_or_with_repeated_ids(spark):
+    """Rows of one id and rows of none, contaminated, clean and copied: each row by its own text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rng = random.Random(9)
+    a, b, c = (words(rng, 60, 10**6) for _ in range(3))
+    rows = [(None, item), (5, item), (5, a), (None, b), (5, None), (None, c)]
+    docs = docs_frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    kept = pipe.decontamination_stage(spark, docs, SF)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, rows[2:]))
+    rows = [(None, a), (None, a), (7, b), (7, b), (9, c), (8, c), (None, c), (None, None), (3, ""), (None, item)]
+    docs = docs_frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    kept = [(r["doc_id"], r["text"]) for r in pipe.simhash_stage(spark, docs, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, a), (7, b), (8, c), (3, ""), (None, item)]))
+
+
 def test_stages_on_no_documents(spark):
     docs = docs_frame(spark, ["a"]).limit(0)
     for _, stage in pipe.STAGES:
