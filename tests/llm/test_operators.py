@@ -474,7 +474,7 @@ def test_contamination_of_long_documents(spark):
 
 
 def test_extract_runs_cross_blocks(spark):
-    """A menu of one-word items, and a line that the host puts into its articles, go by the host's pages alone."""
+    """A menu of one-word items goes by the host's pages alone; a line that the host puts into its articles is theirs."""
     rng = random.Random(19)
     menu = "".join(f"<li>{w}</li>" for w in words(rng, 9).split())
     line = words(rng, 14)
@@ -484,7 +484,7 @@ def test_extract_runs_cross_blocks(spark):
               for i, (a, b) in enumerate(own)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
-    assert got == {i: a for i, (a, _) in enumerate(own)} | {100 + i: f"{a}\n{b}" for i, (a, b) in enumerate(own)}
+    assert got == {i: a for i, (a, _) in enumerate(own)} | {100 + i: f"{a}\n{line}\n{b}" for i, (a, b) in enumerate(own)}
 
 
 def test_extract_does_not_depend_on_chunks(spark):
@@ -605,3 +605,32 @@ def test_quality_gradient():
             hi[k][i] += 1e-5
             lo[k][i] -= 1e-5
             assert abs((loss(hi) - loss(lo)) / 2e-5 - g[k][i]) < 1e-6
+
+
+def test_extract_keeps_every_article_block_of_the_given_pages(spark):
+    """Whatever a host repeats: all text of plain blocks in article elements is in the result, in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract(pages, chunk_pages=16).collect()}
+    for r in pages.collect():
+        rest = iter(got[r["page_id"]])
+        for kind, text in html.blocks(r["html"]):
+            if kind == html.MAIN:
+                assert text in rest, (r["page_id"], text)
+
+
+def test_extract_does_not_depend_on_chunks_with_hints_and_copies(spark):
+    """Open blocks, hints, copied articles and shared menus: one chunk, or a chunk for every few pages."""
+    rng = random.Random(31)
+    menu, notice = words(rng, 9), words(rng, 12)
+    pages = []
+    for i in range(60):
+        a, b = words(rng, 30, 10**6), words(rng, 30, 10**6)
+        if i % 3 == 0:
+            body = f"<article><p>{a}</p><p class='notice'>{notice}</p><p class='notice'>{b}</p></article><p>{menu}</p>"
+        else:
+            body = f"<div>{menu}</div><p>{a}</p><div class='promo'>{notice} {b if i % 2 else ''}</div>"
+        pages += [(2 * i, "http://c.example/x", body)] * (1 + (i % 4 == 0))
+    pages = [(i, u, h) for i, (_, u, h) in enumerate(pages)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    one = {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=1000).collect()}
+    assert one == {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=5).collect()} and len(set(one.values())) > 50

@@ -27,9 +27,6 @@ MIN_RUN = 6          # tokens of a repeated run
 MIN_PAGES = 2        # distinct pages that share it
 HINT_COVERED = 0.25  # share of a block with a furniture word in a class or id
 COVERED = 0.5        # share of an open block's tokens under repeated runs that makes it boilerplate
-MAIN_COVERED = 0.75  # the same for a block of the article,
-MAIN_PAGES = 3       # whose runs must stand on so many pages
-MAIN_SHARE = 0.1     # and on so large a share of the pages
 CHUNK_PAGES = 512    # pages of a host in one suffix array, on average
 
 _TOKEN = re.compile(
@@ -225,18 +222,14 @@ def _streams(pages: list[tuple[list[int], list[str]]]) -> tuple[np.ndarray, np.n
     return np.array(stream, np.int64), np.repeat(np.arange(len(pages)), size), edges, list(ids)
 
 
-def _main_blocks(kinds: np.ndarray, size: np.ndarray, common: np.ndarray, wide: np.ndarray, covered: float) -> np.ndarray:
-    """True for the blocks that stay. ``common`` and ``wide`` count the tokens under runs that are enough for
-    open blocks and for article blocks."""
+def _main_blocks(kinds: np.ndarray, size: np.ndarray, common: np.ndarray, covered: float, copy: bool) -> np.ndarray:
+    """True for the blocks that stay. ``common`` counts the tokens under runs that enough pages share; ``copy``
+    says that another page has the same article, so that sharing a block with it says nothing."""
     own, hint = kinds == MAIN, kinds == MAIN_HINT
-    article = own | hint
-    # an article of which most stands on other pages is a copy: it is still the page's text
-    copy = common[article].sum() >= covered * size[article].sum()
     # outside the article that a page marks, a class word is the second sign of furniture
-    gone = (kinds == CHROME) | ((kinds == HINT) & article.any())
-    return ~np.select([article & copy, gone, own, hint | (kinds == HINT)],
-                      [False, True, wide >= MAIN_COVERED * size, common >= HINT_COVERED * size],
-                      common >= covered * size)
+    gone = (kinds == CHROME) | ((kinds == HINT) & (own | hint).any())
+    return ~np.select([own, hint & copy, gone, hint | (kinds == HINT)],
+                      [False, False, True, common >= HINT_COVERED * size], common >= covered * size)
 
 
 def _salts(chunks: int) -> int:
@@ -250,11 +243,31 @@ class _Chunk:
     def __init__(self, pages: list[tuple[list[int], list[str]]], min_run: int):
         self.pages, self.min_run = pages, min_run
         self.stream, owner, self.edges, self.tokens = _streams(pages)
-        self.rank, self.found = places(self.stream, owner, min_run)
+        self.rank, found = places(self.stream, owner, min_run)
+        # Plain article blocks always stay, so a run counts on the pages where it touches another block. Runs
+        # inside articles decide nothing and are not sent.
+        other = np.zeros(len(self.stream) + min_run, np.int64)
+        for (kinds, _), at in zip(pages, self.edges):
+            for k, s, e in zip(kinds, at[:-1], at[1:]):
+                if k != MAIN:
+                    other[s:e] = 1
+        sums = np.append(0, np.cumsum(other))
+        touch = sums[min_run:min_run + len(self.stream)] > sums[:len(self.stream)]
+        pair = np.unique(self.rank[touch] * max(len(pages), 1) + owner[touch])
+        found = np.bincount(pair // max(len(pages), 1), minlength=len(found))
+        # an article with class words inside counts, whole, as one more run of its page: copies are known by it
+        article = [hashlib.blake2b("\n".join(t for k, t in zip(*p) if k in (MAIN, MAIN_HINT)).encode(), digest_size=8).digest()
+                   if MAIN_HINT in p[0] else b"" for p in pages]
+        self.articles = sorted(set(article) - {b""})
+        number = {a: len(found) + i for i, a in enumerate(self.articles)}
+        self.article = [number.get(a, -1) for a in article]
+        self.found = np.append(found, [article.count(a) for a in self.articles]).astype(np.int64)
 
     def shares(self, salts: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(runs, hashes) of every salt, in the order of the hashes; runs over a page's end are left out."""
         runs, first = np.unique(self.rank, return_index=True)
+        first = first[self.found[runs] > 0]
+        runs = runs[self.found[runs] > 0]
         ends = np.append(0, np.cumsum(self.stream < 0))
         stop = np.minimum(first + self.min_run, len(self.stream))
         whole = (first + self.min_run == stop) & (ends[stop] == ends[first])
@@ -264,21 +277,21 @@ class _Chunk:
         code = np.zeros(len(runs), np.uint64)
         for j in range(self.min_run):
             code = _mix(code + token[self.stream[first + j]])
-        code >>= np.uint64(16)
+        whole = np.array([int.from_bytes(a, "little") for a in self.articles], np.uint64)
+        runs = np.append(runs, len(self.found) - len(whole) + np.arange(len(whole)))
+        code = np.append(code, _mix(whole)) >> np.uint64(16)
         order = np.argsort(code, kind="stable")
         runs, code = runs[order], code[order]
         salt = code % np.uint64(salts)
         return [(runs[salt == i], code[salt == i] // np.uint64(salts)) for i in range(salts)]
 
-    def texts(self, count: np.ndarray, min_pages: int, covered: float, host_pages: int) -> list[str]:
+    def texts(self, count: np.ndarray, min_pages: int, covered: float) -> list[str]:
         """Main text of every page, where ``count`` is the number of pages of the host that hold each run."""
-        at_place = count[self.rank]
-        wide_pages = max(MAIN_PAGES, min_pages, MAIN_SHARE * host_pages)
-        sums = [np.append(0, np.cumsum(_under(at_place >= need, self.min_run))) for need in (min_pages, wide_pages)]
+        sums = np.append(0, np.cumsum(_under(count[self.rank] >= min_pages, self.min_run)))
         out = []
-        for (kinds, texts), at in zip(self.pages, self.edges):
-            common, wide = (x[at[1:]] - x[at[:-1]] for x in sums)
-            stay = _main_blocks(np.array(kinds, np.int64), np.diff(at), common, wide, covered)
+        for (kinds, texts), at, article in zip(self.pages, self.edges, self.article):
+            copy = article >= 0 and count[article] >= 2
+            stay = _main_blocks(np.array(kinds, np.int64), np.diff(at), sums[at[1:]] - sums[at[:-1]], covered, copy)
             out.append("\n".join(t for t, s in zip(texts, stay) if s))
         return out
 
@@ -331,11 +344,10 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     empty table gives an empty result. Other columns are not read.
 
     Runs cross blocks, not pages. An open block goes if ``covered`` of its
-    tokens are under runs that ``min_pages`` pages share; a block of the
-    article if MAIN_COVERED of them are under runs on MAIN_PAGES pages and
-    MAIN_SHARE of the host's, unless most of the article is shared, which makes
-    the page a copy. A class or id word lowers an open block's share to
-    HINT_COVERED; it decides alone only beside an article or main element.
+    tokens are under runs that ``min_pages`` pages share outside their plain
+    article blocks, which always stay. A class or id word lowers a block's share to
+    HINT_COVERED, inside an article only if no other page of the host has the same
+    article; beside an article or main element it decides alone.
     Furniture elements go by their markup, shared or not.
 
     A host's pages are dealt by hash into chunks of ``chunk_pages`` on average,
@@ -344,7 +356,7 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     up by host and hash in ``_salts`` tasks, and each chunk marks its blocks by
     the sums. The result does not depend on the dealing, but for hashes that
     are equal by chance (1 in 2^48 for two runs of a host). Up to
-    ``broadcast_hosts`` hosts, their page counts are broadcast; more are joined
+    ``broadcast_hosts`` hosts, their chunk counts are broadcast; more are joined
     by a shuffle.
     """
     def parse(batches: Iterator[pa.RecordBatch]):
@@ -378,19 +390,18 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
             shares = chunk.shares(_salts(table.column("chunks")[0].as_py()))
             for salt, more in zip(sums.column("salt").to_pylist(), sums.column("more").to_pylist()):
                 count[shares[salt][0]] += _unpack(more).astype(np.int64)
-        text = chunk.texts(count, min_pages, covered, table.column("host_pages")[0].as_py())
+        text = chunk.texts(count, min_pages, covered)
         return pa.table([table.column("page_id"), table.column("url"), pa.array(text, pa.string())],
                         ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).alias("chunks"),
-                                          F.count("*").alias("host_pages")))
+    hosts = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / chunk_pages).alias("chunks")))
     if hosts.count() <= broadcast_hosts:
         hosts = F.broadcast(hosts)
     parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds binary, body binary")
     chunk = F.pmod(F.xxhash64("page_id", "url"), F.col("chunks"))
     dealt = by_parts(parsed.join(hosts, "host").select(
-        F.xxhash64("host", chunk).alias("key"), F.xxhash64("host").alias("host_key"), "chunks", "host_pages",
+        F.xxhash64("host", chunk).alias("key"), F.xxhash64("host").alias("host_key"), "chunks",
         "page_id", "url", "kinds", "body"), "key")
     sent = per_key(dealt, ["key"], send, "host_key long, salt int, key long, codes binary, counts binary")
     sums = by_parts(per_key(sent, ["host_key", "salt"], _add_up, "key long, salt int, more binary"), "key")
