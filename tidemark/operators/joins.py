@@ -57,6 +57,14 @@ def with_subtasks(tasks: DataFrame) -> DataFrame:
             .withColumn("subtasks", F.coalesce(F.col("subtasks"), empty)))
 
 
+def subtask_list(tasks: DataFrame) -> DataFrame:
+    """C4 in full and flat: (id, child_pos, child_id, child_task), one row per child in the order of the
+    embedded array (id, text); a task without children has one row of NULLs."""
+    out = with_subtasks(tasks).select("id", F.posexplode_outer("subtasks").alias("_pos", "_child"))
+    return out.select("id", (F.col("_pos") + 1).cast("long").alias("child_pos"), F.col("_child.id").alias("child_id"),
+                      F.col("_child.task").alias("child_task"))
+
+
 def subtask_counts(tasks: DataFrame) -> DataFrame:
     """C4 flat form: per task the number of children and the smallest/largest child id."""
     kids = (tasks.where(F.col("parent_task_id").isNotNull())

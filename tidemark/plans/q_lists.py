@@ -11,6 +11,8 @@ from tidemark.operators import lists as L
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import LIST_AS_OF, REPORT_AS_OF, register
 from tidemark.sources.tables import TASK_SCHEMA, load_views, pending_children, read_table, virtual_projects
+from tidemark.sources.versions import read_versions, write_version
+from tidemark.streaming.feeds import scratch_path
 
 LNOW = f"timestamp '{LIST_AS_OF}'"
 TASK_COLS = ("id, task, project_id, date, priority, archived, user_id, ai_enhanced, metadata, "
@@ -43,6 +45,24 @@ def q_conform_schema(spark, sf):
     return L.conform_schema(base, TASK_SCHEMA, now=F.expr(f"timestamp_ntz'{LIST_AS_OF}'"))
 
 
+@register("conform_versions", with_views(f"""
+select id, task, project_id, date, priority, archived, user_id,
+       case when id % 3 = 0 then false else ai_enhanced end as ai_enhanced, metadata,
+       case when id % 3 <> 0 then parent_task_id end as parent_task_id, created_at,
+       case when id % 3 = 2 then updated_at else {LNOW} end as updated_at
+from tasks"""))
+def q_conform_versions(spark, sf):
+    """Three stored versions of the table, the first two with fewer columns and narrower ids, read as one."""
+    t, _ = load_views(spark, sf)
+    root, part = scratch_path(spark, "task-versions"), F.col("id") % 3
+    narrow = F.col("id").cast("int").alias("id")
+    write_version(t.where(part == 0).drop("parent_task_id", "updated_at", "ai_enhanced").withColumn("id", narrow), root, 1)
+    write_version(t.where(part == 1).drop("updated_at").withColumn("parent_task_id", F.col("parent_task_id").cast("int")), root, 2)
+    write_version(t.where(part == 2), root, 3)
+    defaults = {"ai_enhanced": F.lit(False), "updated_at": F.expr(f"timestamp_ntz'{LIST_AS_OF}'")}
+    return read_versions(spark, root, [1, 2, 3], TASK_SCHEMA, defaults)
+
+
 def _raw_inserts(t):
     i = F.col("id")
     return t.select(
@@ -149,6 +169,21 @@ def q_project_tasks(spark, sf):
     return L.project_tasks(t, "3", as_of=LIST_AS_OF)
 
 
+@register("project_tasks_virtual", with_views(f"""
+select 'INBOX' as selected, {TASK_COLS} from tasks
+where project_id = '1' and archived = false and (date is null or date = '')
+union all
+select 'TODAY', {TASK_COLS} from tasks where archived = false and date = strftime({LNOW}, '%d/%m/%Y')
+union all
+select 'NEXT_7', {TASK_COLS} from tasks where archived = false
+  and {PARSED} between cast({LNOW} as date) and cast({LNOW} as date) + interval 7 day"""))
+def q_project_tasks_virtual(spark, sf):
+    """The lists behind the three virtual sidebar entries."""
+    t, _ = load_views(spark, sf)
+    lists = [L.project_tasks(t, v, as_of=LIST_AS_OF).withColumn("selected", F.lit(v)) for v in ("INBOX", "TODAY", "NEXT_7")]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
 @register("active_archived_split", with_views("""
 select user_id, archived, count(*) as n_tasks from tasks group by user_id, archived"""))
 def q_active_archived_split(spark, sf):
@@ -260,6 +295,16 @@ def q_subtasks_nested(spark, sf):
     return J.subtask_counts(t)
 
 
+@register("subtasks_list", with_views("""
+select t.id, case when c.id is not null then row_number() over (partition by t.id order by c.id, c.task) end as child_pos,
+       c.id as child_id, c.task as child_task
+from tasks t left join tasks c on c.parent_task_id = t.id"""))
+def q_subtasks_list(spark, sf):
+    """The nested children, every one of them."""
+    t, _ = load_views(spark, sf)
+    return J.subtask_list(t)
+
+
 @register("project_title", with_views("""
 select t.id, t.project_id, coalesce(v.name, p.name) as title
 from tasks t
