@@ -634,3 +634,18 @@ def test_extract_does_not_depend_on_chunks_with_hints_and_copies(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     one = {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=1000).collect()}
     assert one == {r["page_id"]: r["text"] for r in html.extract(df, chunk_pages=5).collect()} and len(set(one.values())) > 50
+
+
+def test_quality_sample_is_bounded_in_rows_and_passages(spark):
+    """Repeated labels and documents of one id take no more places; long training texts are thinned out."""
+    rng = random.Random(41)
+    rows = [(i, words(rng, 80, 50) if i % 2 else words(rng, 80, 10**6)) for i in range(40)]
+    docs = docs_frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    one = quality.train(docs, labels, per_class=10)
+    more = quality.train(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels), per_class=10)
+    assert all(np.array_equal(one.p[k], more.p[k]) for k in one.p) and one.shift == more.shift
+    long = docs_frame(spark, [words(rng, 20000), *[t for _, t in rows]], ids=[100, *[i for i, _ in rows]])
+    marked = labels.unionByName(spark.createDataFrame([(100, 1)], labels.schema))
+    thin = quality.train(long, marked, max_passages=2)
+    assert np.isfinite(quality.score_text(thin, words(rng, 20000)))

@@ -23,6 +23,7 @@ SURFACE = 13
 FEATURES = SURFACE + HASHED
 HIDDEN, GATE = 24, 12
 SAMPLE_PER_CLASS = 2000  # bound of the training sample: documents of each label
+MAX_PASSAGES = 512   # passages of a training document; scores always take all of them
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.005, 1e-3
 
 _KIND = np.zeros(256, np.uint8)  # 0 other ASCII mark, 1 upper, 2 lower, 3 digit, 4 space, 5 stop or comma, 6 other
@@ -129,17 +130,19 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, shift: float = 0.0, seed: in
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", split: tuple[int, int] = (5, 0),
-          per_class: int = SAMPLE_PER_CLASS) -> Model:
+          per_class: int = SAMPLE_PER_CLASS, max_passages: int = MAX_PASSAGES) -> Model:
     """Fit on labelled rows whose crc32(id) mod ``split[0]`` is not ``split[1]``.
 
     The sample is bounded by ``per_class`` documents of each label, the first
-    by a hash of the id; their whole texts are encoded on the executors and
+    by a hash of the id, and by ``max_passages`` of each, spread evenly over the
+    text. Repeated label rows count once, and of the rows of one id the
+    smallest text is learned from. Texts are encoded on the executors and
     only passage features reach the driver. The score's prior is the share of
     the labels over all training rows. Null labels and ids are not learned
     from; without any label every score is 0.5.
     """
     own = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
-           .filter("id is not null and y in (0, 1)").filter(~in_split("id", *split)))
+           .filter("id is not null and y in (0, 1)").filter(~in_split("id", *split)).distinct())
     share = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
@@ -148,13 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            bags = [passages(t.as_py()) for t in batch.column(2)]
+            # a longer bag is thinned out evenly
+            bags = [x if len(x) <= max_passages else x[np.linspace(0, len(x) - 1, max_passages).astype(int)] for x in bags]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([passages(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())],
-                ["id", "y", "x"])
+                [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in bags], pa.binary())], ["id", "y", "x"])
 
-    # at most 2 * per_class ids: bounded by the parameter
+    # at most 2 * per_class rows of max_passages passages each: bounded by the parameters
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-             .join(F.broadcast(picked), "id").select("id", "y", "text"))
+             .join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
     rows = texts.mapInArrow(run, "id long, y int, x binary").toPandas().sort_values(["id", "y", "x"])
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in rows["x"]]
     both = len(share) == 2
