@@ -17,12 +17,12 @@ BUCKETS = 32
 
 
 class BucketStore:
-    """Versions of bucketed tables under ``root``; ``keys`` names each table's key column.
+    """Versions of bucketed tables under ``root``; ``keys`` names each table's key column, or several.
 
     A store keeps the number of buckets that it was made with.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: dict[str, str], buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, keys: dict[str, str | tuple[str, ...]], buckets: int = BUCKETS):
         self.spark, self.root, self.keys, self.buckets = spark, root, keys, buckets
         self.version = self._current()
         self.places: dict[str, dict[int, int]] = {name: {} for name in keys}
@@ -45,10 +45,10 @@ class BucketStore:
             if r["name"] in self.places and r["bucket"] >= 0:
                 self.places[r["name"]][r["bucket"]] = r["version"]
 
-    def bucket(self, key: Column | str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def bucket(self, key: str | tuple[str, ...]) -> Column:
+        return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(self.buckets)).cast("int")
 
-    def of(self, df: DataFrame, key: str) -> list[int]:
+    def of(self, df: DataFrame, key: str | tuple[str, ...]) -> list[int]:
         """The buckets that hold the values of ``key``: at most their number."""
         return [r["b"] for r in df.select(self.bucket(key).alias("b")).distinct().collect()]
 

@@ -30,6 +30,7 @@ from tidemark.operators.lists import task_list
 from tidemark.operators.mutations import change_feed_from_events, notifications, subscribers
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.streaming import statistics as ST
 from tidemark.streaming.buckets import BucketStore
 from tidemark.streaming.stateful import cache_stream, previous_rows_stream
 
@@ -61,7 +62,7 @@ def change_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return change_feed_from_events(read_event_stream(spark, sf_dir, max_files), per_task)
 
 
-def run_buckets(stream: DataFrame, root: str, tables: dict[str, tuple[DataFrame, str]], step) -> dict[str, DataFrame]:
+def run_buckets(stream: DataFrame, root: str, tables: dict[str, tuple[DataFrame, str | tuple]], step) -> dict[str, DataFrame]:
     """Run a ``foreachBatch`` job over bucketed tables in folder ``root`` over everything available, then stop.
 
     ``tables`` = {name: (start rows, key column)} are written once.
@@ -156,31 +157,25 @@ def search_vector_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, roo
 
 def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                            max_files: int | None = None) -> DataFrame:
-    """Keep the stored statistics current; each batch recomputes only the touched users.
+    """Keep the stored statistics current by signed deltas (``statistics``).
 
-    Archive flips, deletes and maxima are not insert-only, so touched users
-    (before or after the batch) are recomputed from their current rows: the
-    buckets of the named tasks as the batch leaves them, all others as stored.
-    Only touched buckets of tasks and of users are rewritten.
+    A batch takes the named tasks' old contributions away and adds their new ones;
+    no other row of a user is read. Only the buckets of the named tasks, their
+    users and the value slots that change are read and rewritten.
     """
-    start = user_statistics(tasks)
+    start = ST.start_tables(tasks)
+    schemas = {name: df.schema for name, df in start.items()}
 
     def step(store: BucketStore, changes: DataFrame) -> dict:
         touched = store.of(changes, "task_id")
         ids = changes.select(F.col("task_id").alias("id")).distinct()
         before = store.read("tasks", tasks.schema, touched)
-        now = apply_changes(before, changes).checkpoint()  # read three times
-        users = (before.join(ids, "id", "left_semi").select("user_id")
-                 .unionByName(now.join(ids, "id", "left_semi").select("user_id")).distinct().checkpoint())
-        rest = store.read("tasks", tasks.schema, [b for b in range(store.buckets) if b not in touched])
-        fresh = user_statistics(now.unionByName(rest).join(users, "user_id", "left_semi"))
-        by_user = store.of(users, "user_id")
-        kept = store.read("statistics", start.schema, by_user).join(users, "user_id", "left_anti")
-        return {"tasks": (now, touched),
-                "statistics": (kept.select(*start.columns).unionByName(fresh), by_user)}
+        now = apply_changes(before, changes).checkpoint()  # read twice
+        own = ST.apply_deltas(store, schemas, before.join(ids, "id", "left_semi"), now.join(ids, "id", "left_semi"))
+        return {"tasks": (now, touched), **own}
     ensure_checkpoint_dir(spark)
-    return run_buckets(change_stream(spark, sf_dir, max_files), root,
-                       {"tasks": (tasks, "id"), "statistics": (start, "user_id")}, step)["statistics"]
+    return run_buckets(change_stream(spark, sf_dir, max_files), root, {
+        "tasks": (tasks, "id"), **{name: (df, ST.KEYS[name]) for name, df in start.items()}}, step)["statistics"]
 
 
 def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
