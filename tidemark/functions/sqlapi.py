@@ -1,7 +1,5 @@
 """Search and reports as SQL functions of a session (§2.11).
 
-``register()`` names the tables as temporary views and creates
-
 * ``search_tasks(user, query)``, a table function: the rows of I5 + F3 for one user;
 * ``get_user_analytics(user)`` and ``get_productivity_insights(user)``, JSON texts (D7, D14).
 
@@ -62,11 +60,14 @@ def _rank(hits: str) -> str:
 
 
 def _search(k: int) -> str:
-    # the parameters stand in filters and projections only: there a call with LATERAL becomes joins on the user
-    found = f"""SELECT id, max(size(terms)) AS n_terms, count(*) AS n_found, sort_array(flatten(collect_list(
-        transform(positions, x -> named_struct('pos', x, 'lexeme', lexeme))))) AS occs
-      FROM (SELECT *, {_terms('search_query')} AS terms FROM task_postings WHERE user_id = p_user_id)
-      WHERE array_contains(terms, lexeme) GROUP BY id"""
+    # the parameters stand in filters and projections only: there a call with LATERAL becomes joins on user and lexeme
+    terms = f"""SELECT who, n_terms, term FROM (SELECT who, size(terms) AS n_terms, terms
+        FROM (SELECT p_user_id AS who, {_terms('search_query')} AS terms))
+      LATERAL VIEW explode(terms) e AS term"""
+    found = f"""SELECT d.id, max(q.n_terms) AS n_terms, count(*) AS n_found, sort_array(flatten(collect_list(
+        transform(d.positions, x -> named_struct('pos', x, 'lexeme', d.lexeme))))) AS occs
+      FROM (SELECT * FROM task_postings WHERE user_id = p_user_id) d
+      JOIN ({terms}) q ON d.user_id = q.who AND d.lexeme = q.term GROUP BY d.id"""
     hits = f"""SELECT h.n_terms, h.occs, t.id, t.task, t.project_id, t.priority, t.created_at FROM ({found}) h
       JOIN (SELECT * FROM tasks WHERE user_id = p_user_id AND archived = false) t ON t.id = h.id
       WHERE h.n_found = h.n_terms"""
@@ -78,25 +79,31 @@ RETURN SELECT r.id, r.task, coalesce(p.name, {_text(UNKNOWN_PROJECT)}) AS projec
   ORDER BY relevance_score DESC, created_at DESC, id DESC LIMIT {int(k)}"""
 
 
-def register(spark: SparkSession, tasks: DataFrame, projects: DataFrame, postings: DataFrame | None = None, *,
-             as_of=None, days_back: int = 30, k: int = 50) -> None:
-    """Create the views and functions named above in the session; those of the same names are replaced.
+def register_search(spark: SparkSession, tasks: DataFrame, projects: DataFrame, postings: DataFrame | None = None,
+                    k: int = 50) -> None:
+    """Create the views ``tasks``, ``projects``, ``task_postings`` and the function ``search_tasks``.
 
     ``postings`` are stored ones (``search.store_postings`` or the stream J7); without them the tasks are tokenised
-    per call. ``as_of`` and ``days_back`` hold for the reports: their windows are part of the views.
-    A user without tasks, a null user and a null query find nothing; their reports are null.
+    per call. A user without tasks, a null user and a null query find nothing.
     """
     tasks.createOrReplaceTempView("tasks")
     projects.createOrReplaceTempView("projects")
     postings = S.search_postings(tasks) if postings is None else postings
     (postings.select("user_id", "id", "lexeme", F.col("positions").cast("array<int>").alias("positions"))
      .createOrReplaceTempView("task_postings"))
-    A.user_analytics_json(tasks, projects, as_of=as_of).createOrReplaceTempView("user_analytics_reports")
-    insights = A.productivity_insights(tasks, projects, as_of=as_of, days_back=days_back)
-    (insights.select("user_id", F.to_json(F.struct(*[c for c in insights.columns if c != "user_id"])).alias("insights"))
-     .createOrReplaceTempView("productivity_insight_reports"))
     spark.sql(_search(k))
-    for name, view, column in (("get_user_analytics", "user_analytics_reports", "analytics"),
-                               ("get_productivity_insights", "productivity_insight_reports", "insights")):
+
+
+def register_reports(spark: SparkSession, tasks: DataFrame, projects: DataFrame, *, as_of=None, days_back: int = 30) -> None:
+    """Create ``get_user_analytics`` and ``get_productivity_insights``.
+
+    ``as_of`` and ``days_back`` hold for all calls: the reports' windows are part of their views.
+    A user without tasks and a null user have a null report.
+    """
+    reports = {"get_user_analytics": A.user_analytics(tasks, projects, as_of=as_of),
+               "get_productivity_insights": A.productivity_insights(tasks, projects, as_of=as_of, days_back=days_back)}
+    for name, df in reports.items():
+        body = F.struct(*[c for c in df.columns if c != "user_id"])
+        df.select("user_id", F.to_json(body).alias("report")).createOrReplaceTempView(f"{name}_reports")
         spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(p_user_id STRING) RETURNS STRING
-RETURN SELECT max({column}) FROM {view} WHERE user_id = p_user_id""")
+RETURN SELECT max(report) FROM {name}_reports WHERE user_id = p_user_id""")

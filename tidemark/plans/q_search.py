@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqlapi
 from tidemark.operators import search as S
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import register
@@ -139,3 +140,13 @@ def q_search_stored(spark, sf):
 def q_search_top50(spark, sf):
     t, p = load_views(spark, sf)
     return S.search_tasks(dealt(t), p, user_queries(t), k=50).select("user_id", "result_pos", "id")
+
+
+@register("search_function", with_views("select user_id, id, task, project_name, priority, created_at, relevance_score from ("
+                                        + _TOP + ") y", *_ctes(True)))
+def q_search_function(spark, sf):
+    """The SQL table function, called for every user's query."""
+    t, p = load_views(spark, sf)
+    sqlapi.register_search(spark, dealt(t), p)
+    return spark.sql("SELECT u.user_id, s.* FROM {queries} u, LATERAL search_tasks(u.user_id, u.query) s",
+                     queries=user_queries(t))
