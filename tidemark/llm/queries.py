@@ -196,18 +196,23 @@ def _hash(text: str, at: int):
 
 
 def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated entries for the pages' hosts, parent domains and path prefixes of two steps or fewer, as in ``OP9``.
+    """Dated entries for the pages' hosts, all label suffixes, all path prefixes and the pages with their query, as in ``OP9``.
 
     Two lists with four changes each per key; an md5 of list, key and number
-    gives the day and the action, and half the changes are left out.
+    gives the day and the action, and half the changes are left out. Entries are written in different forms (bare,
+    with ``www.``, as a URL with upper-case scheme and a fragment, with an empty path step), which the operator evens out.
     """
-    keys = (table(spark, sf_dir, "pages").select(F.explode(urls.lookup_keys(F.col("url"), 2, 2)).alias("key")).distinct())
+    keys = (table(spark, sf_dir, "pages").select(F.explode(urls.lookup_keys(F.col("url"))).alias("key")).distinct())
     changes = keys.select("key", F.explode(F.array(F.lit("malware"), F.lit("spam"))).alias("list_name")).select(
         "key", "list_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("nth"))
     tag = "concat(list_name, '|', key, '|', nth)"
+    form, whole = _hash(tag, 13) % 4, F.contains("key", F.lit("?"))
+    written = (F.when(form == 1, F.concat(F.lit("www."), F.col("key")))
+               .when(form == 2, F.concat(F.lit("HTTPS://www."), F.col("key"), F.lit("#top")))
+               .when((form == 3) & ~whole, F.concat("key", F.lit("/"))).otherwise(F.col("key")))
     return (changes.withColumn("day", _hash(tag, 1) % 366).withColumn("what", _hash(tag, 7) % 6)
             .filter("what < 3")
-            .select("list_name", "key", F.element_at(F.array(F.lit("block"), F.lit("drop"), F.lit("allow")),
+            .select("list_name", written.alias("key"), F.element_at(F.array(F.lit("block"), F.lit("drop"), F.lit("allow")),
                                                      (F.col("what") + 1).cast("int")).alias("action"),
                     F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(day as int))").alias("since")))
 
@@ -219,14 +224,15 @@ with c as (
     regexp_replace(lower(regexp_extract(coalesce(url, ''),
       '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') as host,
     [x for x in string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')
-      if x <> ''] as steps
+      if x <> ''] as steps,
+    regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*(\?[^#]*)', 1) as ask
   from pages),
 k0 as (
   select capture_id, url, fetched, list_distinct(
-    case when len(steps) >= 1 then [host || '/' || steps[1]] else [] end
-    || case when len(steps) >= 2 then [host || '/' || steps[1] || '/' || steps[2]] else [] end
+    [array_to_string(list_concat([host], steps[1:i]), '/') for i in range(1, len(steps) + 1)]
+    || case when ask <> '' then [array_to_string(list_concat([host], steps), '/') || ask] else [] end
     || [array_to_string(string_split(host, '.')[i:], '.')
-        for i in range(1, greatest(len(string_split(host, '.')), 2))]) as keys
+        for i in range(1, len(string_split(host, '.')) + 1)]) as keys
   from c where host <> ''),
 k as (select capture_id, url, fetched, unnest(keys) as key from k0),
 e0 as (
