@@ -25,6 +25,7 @@ RECALL = 0.99  # chance that a lone pair right at the threshold meets in some wi
 PROBES = 2  # passes over which the runs of equal code prefixes are measured first
 STEPS, STEP = 400, 0.05  # classes of the measure, in natural logarithms of the chance to meet
 TILE = 512  # vectors of a component compared at a time
+SPAN = 64  # windows in a range partition at least: its border cuts off one of them
 
 
 def needed_passes(n: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -141,7 +142,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     follows from the count of different vectors (``needed_passes``) and, where
     many of them share long code prefixes, from the runs measured in PROBES
     passes (``passes_for``), up to the count divided by the window: so many
-    passes are as much work as all pairs. Inside a found component all pairs
+    passes are as much work as all pairs. Windows end where a range partition
+    ends, so a partition holds SPAN windows or more, however many shuffle
+    partitions the session asks for. Inside a found component all pairs
     are counted exactly, in tiles of TILE vectors: groups larger than any
     window lose no link, and no task holds more than two tiles.
     """
@@ -201,11 +204,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int | N
     def ordered(passes: int) -> DataFrame:
         coded = nodes.select("rep", "x").mapInArrow(lambda batches: code(batches, passes),
                                                     "part int, code long, rep long, vec binary")
-        return (coded.repartitionByRange(partitions(vectors), "part", "code", "rep")
+        parts = max(1, min(partitions(vectors), n * passes // (SPAN * window)))
+        return (coded.repartitionByRange(parts, "part", "code", "rep")
                 .sortWithinPartitions("part", "code", "rep"))
 
+    n = nodes.count()
     if not passes:
-        n = nodes.count()
         passes, most = needed_passes(n, threshold, window), math.ceil(n / window)
         if most > passes:
             found = (ordered(PROBES).mapInArrow(lambda batches: _chances(batches, window, threshold, fmt, means, bits),
