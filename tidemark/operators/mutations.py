@@ -293,7 +293,22 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
     The row before a change is what the change before it left: nothing after
     a DELETE, else its user, and the text last given; before a task's first change
     it is the row of ``tasks`` (of repeated ids the smallest row). Changes are ordered by (ts, event_id), or by
-    the id alone if the feed has no time, in range partitions; a task's changes that lie in several partitions get what the
+    the id alone if the feed has no time.
+    """
+    return rows_before(feed, stored_rows(tasks), [c for c in ("ts", "event_id") if c in feed.columns])
+
+
+def stored_rows(tasks: DataFrame) -> DataFrame:
+    """(task_id, user_id, task): one row for each id of ``tasks``, of repeated ids the smallest."""
+    named = F.col("task") if "task" in tasks.columns else F.lit(None).cast("string")
+    return (tasks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("task_id"))
+            .agg(F.min(F.struct("user_id", named.alias("task"))).alias("_row")).select("task_id", "_row.*"))
+
+
+def rows_before(feed: DataFrame, stored: DataFrame, time: list[Column | str]) -> DataFrame:
+    """``previous_rows`` over ``stored`` (task_id, user_id, task; one row a task) and changes in the order of ``time``.
+
+    Changes are ordered in range partitions; a task's changes that lie in several partitions get what the
     partitions before theirs left from one small row per task and partition,
     so a busy task is many tasks' work.
     """
@@ -305,7 +320,6 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
         "_user": F.struct(F.when(~gone, F.col("user_id")).alias("v")),
         "_text": F.when(gone, F.struct(F.lit(None).cast("string").alias("v")))
         .when(text.isNotNull(), F.struct(text.alias("v")))})
-    time = [c for c in ("ts", "event_id") if c in feed.columns]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (marked.repartitionByRange(n, "task_id", *time)
               .withColumn("_part", F.spark_partition_id()).checkpoint())
@@ -316,13 +330,13 @@ def previous_rows(feed: DataFrame, tasks: DataFrame) -> DataFrame:
         F.max_by("_user", order).alias("_user"),
         F.max_by("_text", F.when(F.col("_text").isNotNull(), order)).alias("_text"))
     earlier = Window.partitionBy("task_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    left = left.select("task_id", "_part", F.last("_user", True).over(earlier).alias("_user_in"),
+    left = left.select(F.col("task_id").alias("_left_id"), F.col("_part").alias("_left_part"),
+                       F.last("_user", True).over(earlier).alias("_user_in"),
                        F.last("_text", True).over(earlier).alias("_text_in"))
-    named = F.col("task") if "task" in tasks.columns else F.lit(None).cast("string")
-    stored = tasks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("task_id")).agg(
-        F.min(F.struct("user_id", named.alias("task"))).alias("_row"))
+    stored = stored.select(F.col("task_id").alias("_stored_id"), F.struct("user_id", "task").alias("_row"))
     rows = (placed.withColumns({"_user": F.last("_user", True).over(here), "_text": F.last("_text", True).over(here)})
-            .join(left, ["task_id", "_part"], "left").join(stored, "task_id", "left"))
+            .join(left, F.col("task_id").eqNullSafe(F.col("_left_id")) & (F.col("_part") == F.col("_left_part")), "left")
+            .join(stored, F.col("task_id").eqNullSafe(F.col("_stored_id")), "left"))
 
     def before(own: str, given: str, field: str) -> Column:
         return F.coalesce(F.col(own), F.col(given), F.struct(F.col(f"_row.{field}").alias("v")))["v"]

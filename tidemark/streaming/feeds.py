@@ -6,7 +6,7 @@ that its caller names: stream checkpoint, stored versions and the pointer to
 the current one. Micro-batch ``n`` reads version ``n`` and writes version
 ``n + 1``, so a batch that runs again writes the same version again, and a job
 started again on its folder goes on where it stopped. Jobs that update stored
-tables (live lists, postings, statistics) use ``foreachBatch``.
+tables (live lists, postings, statistics, last rows) use ``foreachBatch``.
 
 The response cache (J6) needs an ordered fold per key; in streaming it is
 a keyed state with a timer (``stateful``), and in
@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 from tidemark.functions.rules import CACHE_TTL_SECONDS
 from tidemark.operators.analytics import user_statistics
 from tidemark.operators.lists import task_list
-from tidemark.operators.mutations import change_feed_from_events, notifications, subscribers
+from tidemark.operators.mutations import change_feed_from_events, notifications, rows_before, stored_rows, subscribers
 from tidemark.operators.search import search_postings
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.streaming import statistics as ST
 from tidemark.streaming.buckets import BucketStore
-from tidemark.streaming.stateful import cache_stream, previous_rows_stream
+from tidemark.streaming.stateful import cache_stream
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -178,30 +178,52 @@ def stream_user_statistics(spark: SparkSession, sf_dir: str, tasks: DataFrame, r
         "tasks": (tasks, "id"), **{name: (df, ST.KEYS[name]) for name, df in start.items()}}, step)["statistics"]
 
 
+def change_deliveries(stream: DataFrame, tasks: DataFrame, root: str, out_path: str, kind: str, deliver) -> DataFrame:
+    """A9/J4/J5 sink: ``deliver`` of the changes, each with the task's row before it, appended to ``out_path``.
+
+    The last row of each task is a bucketed table in folder ``root`` that starts with
+    ``tasks``, so changes of one task over several micro-batches see each other; a deleted task
+    keeps none. A micro-batch sorts out its own changes in one ``rows_before`` and
+    rewrites the buckets of the tasks that it names. Its rows are one folder of the sink, which a
+    batch that runs again writes again. Returns what the sink holds of finished batches.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    start = stored_rows(tasks)
+    # changes without a time come last
+    time = [c for name in ("ts", "event_id") for c in (F.col(name).isNull(), F.col(name))]
+
+    def step(store: BucketStore, changes: DataFrame) -> dict:
+        touched = store.of(changes, "task_id")
+        known = store.read("rows", start.schema, touched)
+        rows = rows_before(changes, known, time).checkpoint()  # read twice
+        deliver(rows).write.mode("overwrite").format(kind).save(f"{out_path}/batch={store.version}")
+        stays = F.col("operation") != "DELETE"
+        text = F.coalesce("task", "old_task") if "task" in rows.columns else F.col("old_task")
+        now = (rows.groupBy("task_id").agg(F.max_by(F.when(stays, F.struct("user_id", text.alias("task"))),
+                                                    F.struct(*time)).alias("_row")))
+        named = now.select(F.col("task_id").alias("_named"))
+        kept = known.join(named, F.col("task_id").eqNullSafe(F.col("_named")), "left_anti")
+        return {"rows": (kept.unionByName(now.where("_row is not null").select("task_id", "_row.*")), touched)}
+    run_buckets(stream, root, {"rows": (start, "task_id")}, step)
+    done = [f"{out_path}/batch={n}" for n in range(BucketStore(spark, root, {"rows": "task_id"}).version)]
+    schema = deliver(stream.withColumns({"old_user": F.col("user_id"), "old_task": F.lit(None).cast("string")})).schema
+    return spark.read.schema(schema).format(kind).load(done) if done else spark.createDataFrame([], schema)
+
+
 def subscription_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, root: str,
                         max_files: int | None = None, user: str | None = None, per_task: int = 1) -> DataFrame:
     """A9/J5 as a stream: each change to its subscribers (or one ``user``'s), appended to a parquet sink."""
-    out = subscribers(previous_rows_stream(change_stream(spark, sf_dir, max_files, per_task), tasks), user=user)
-    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/checkpoint")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    return change_deliveries(change_stream(spark, sf_dir, max_files, per_task), tasks, root, f"{root}/out", "parquet",
+                             lambda rows: subscribers(rows, user=user))
 
 
 def notification_stream(spark: SparkSession, sf_dir: str, tasks: DataFrame, out_path: str,
                         max_files: int | None = None, per_task: int = 1) -> DataFrame:
     """A10/J4 as a stream: one JSON payload per change, appended to a JSON file
-    sink (a message bus sink is a one-line format change). The old row is kept
-    as state per task that starts with ``tasks``, so changes of one task over
-    several micro-batches see each other. Returns what the sink holds after
-    all available changes."""
-    payloads = notifications(previous_rows_stream(change_stream(spark, sf_dir, max_files, per_task), tasks))
-    q = (payloads.writeStream.format("json").option("path", out_path)
-         .option("checkpointLocation", f"{out_path}-checkpoint")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema("event_id long, payload string").json(out_path)
+    sink (a message bus sink is a one-line format change)."""
+    return change_deliveries(change_stream(spark, sf_dir, max_files, per_task), tasks, f"{out_path}-state", out_path, "json",
+                             notifications)
 
 
 # --------------------------------------------------------------------------

@@ -1,6 +1,6 @@
-"""Keyed state of the streams (J4, J5, J6): each task's last row, each cache key's last miss.
+"""Keyed state of the response cache (J6): each cache key's last miss.
 
-Both are ``transformWithState`` processors, whose state lies in the RocksDB
+It is a ``transformWithState`` processor, whose state lies in the RocksDB
 state store and is restored after a restart. The rows of one key in a
 micro-batch arrive unsorted; they are put in (time, id) order a slot of time
 at a time, so a busy key is never held whole.
@@ -65,60 +65,6 @@ def in_order(rows: Iterator[pd.DataFrame], pending, slot_us: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True).sort_values(by_time, kind="mergesort")
 
 
-# --------------------------------------------------------------------------
-# The row before each change
-# --------------------------------------------------------------------------
-
-CHANGE = "event_id long, ts timestamp_ntz, operation string, task_id long, user_id string, archived boolean"
-CHANGE_COLS = ["event_id", "ts", "operation", "task_id", "user_id", "archived"]
-SLOT_US = 60_000_000  # a minute of one task's changes is sorted at a time
-
-
-class LastRow(StatefulProcessor):
-    """A task's last row (user and text): what a change finds as OLD, and hands on as NEW."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "user_id string, task string")
-        self.pending = handle.getMapState("pending", "slot long, part int", "rows binary")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        # a repeated id in the stored table: the smallest row, as in the batch form
-        rows = initialState.sort_values(["user_id", "task"], na_position="first")
-        self.row.update((rows["user_id"].iloc[0], rows["task"].iloc[0]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.row.get() if self.row.exists() else None
-        user, task = old if old is not None else (None, None)
-        for pdf in in_order(rows, self.pending, SLOT_US):
-            users, tasks = [], []
-            for op, by, text in zip(pdf["operation"], pdf["user_id"], pdf["task"]):
-                users.append(user)
-                tasks.append(task)
-                user, task = (None, None) if op == "DELETE" else (by, task if text is None else text)
-            yield pdf.assign(old_user=users, old_task=tasks)[[*CHANGE_COLS, "task", "old_user", "old_task"]]
-        if user is None and task is None:
-            self.row.clear()
-        else:
-            self.row.update((user, task))
-
-    def close(self) -> None:
-        pass
-
-
-def previous_rows_stream(feed: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The streamed change ``feed`` with ``old_user`` and ``old_task``: the task's row before each change.
-
-    The state starts with ``tasks`` and holds one small row per living task; a
-    deleted task keeps none. Changes without a task id have no row before them.
-    """
-    use_rocksdb(feed.sparkSession)
-    text = F.col("task") if "task" in feed.columns else F.lit(None).cast("string")
-    rows = feed.select(*CHANGE_COLS, text.alias("task"), micros("ts").alias("ts_us"))
-    stored = tasks.where(F.col("id").isNotNull()).select(F.col("id").alias("task_id"), "user_id", "task").groupBy("task_id")
-    return rows.groupBy("task_id").transformWithStateInPandas(
-        LastRow(), f"{CHANGE}, task string, old_user string, old_task string", "Append", "None", initialState=stored)
-
-
 # --------------------------------------------------------------------------
 # The response cache with expiry
 # --------------------------------------------------------------------------
