@@ -9,6 +9,8 @@ first-match-wins order is kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,15 +274,19 @@ def suggestion_topic(text: Column) -> Column:
     return out
 
 
-def contextual_suggestions(text: Column) -> Column:
-    """The topic's suggestions, else the generic four."""
-    topic = suggestion_topic(text)
-    out = _strings(R.GENERIC_TOPIC_SUGGESTIONS)
+def by_topic(topic: Column, values: Callable[[list[str]], Column]) -> Column:
+    """``values`` of the topic's suggestions, else of the generic four."""
+    out = values(R.GENERIC_TOPIC_SUGGESTIONS)
     for t, sug in reversed(R.TOPIC_SUGGESTIONS):
-        out = F.when(topic == F.lit(t), _strings(sug)).otherwise(out)
+        out = F.when(topic == F.lit(t), values(sug)).otherwise(out)
     return out
 
 
+def contextual_suggestions(text: Column) -> Column:
+    """The topic's suggestions, else the generic four."""
+    return by_topic(suggestion_topic(text), _strings)
+
+
 def _keyword_choice(text: Column, rules, default: str) -> Column:
     low = F.lower(text)
     out = F.lit(default)

@@ -55,13 +55,16 @@ def prioritize(tasks: DataFrame, text_col: str = "task", title_col: str | None =
 
 def suggestions(df: DataFrame, text_col: str = "task", key: str = "id") -> DataFrame:
     """H15 long form: (key, category, kind, pos, text) for suggestions and related actions."""
-    t = js_trim(F.col(text_col))
-    def listed(kind: str, texts: Column) -> Column:
-        return F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("text")))
-    both = F.concat(listed("suggestion", E.contextual_suggestions(t)),
-                    listed("related_action", F.array(*[F.lit(a) for a in R.RELATED_ACTIONS])))
-    return df.select(key, F.coalesce(E.suggestion_topic(t), F.lit(R.DEFAULT_CATEGORY)).alias("category"),
-                     F.inline(both))
+    def rows(kind: str, texts: list[str]) -> list[Column]:
+        return [F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("pos"), F.lit(x).alias("text")) for i, x in enumerate(texts)]
+
+    def listed(texts: list[str]) -> Column:
+        return F.array(*rows("suggestion", texts), *rows("related_action", R.RELATED_ACTIONS))
+    # the text is trimmed and searched once a row; the rows of each topic are constants
+    found = (df.select(key, js_trim(F.col(text_col)).alias("_text"))
+             .select(key, E.suggestion_topic(F.col("_text")).alias("_topic")))
+    return found.select(key, F.coalesce("_topic", F.lit(R.DEFAULT_CATEGORY)).alias("category"),
+                        F.inline(E.by_topic(F.col("_topic"), listed)))
 
 
 def schedule(df: DataFrame, text_col: str = "task", key: str = "id",
