@@ -180,12 +180,16 @@ def confirm_overlay(overlay: DataFrame, results: DataFrame, base: DataFrame | No
     archive or delete failed: the row of ``base`` (the original list) comes
     back. All other rows keep the change and lose the flag.
     """
-    r = results.select(F.col("temp_id").alias("_tid"), "stored_id")
-    j = overlay.join(r, overlay["temp_id"] == r["_tid"], "left")
+    # stored rows have no temporary id: a second part of the key, of their own id, deals them over the join's partitions
+    deal = F.when(F.col("temp_id").isNull(), F.xxhash64("id")).otherwise(F.lit(0).cast("long"))
+    r = (results.where(F.col("temp_id").isNotNull())
+         .select(F.struct(F.col("temp_id").alias("tid"), F.lit(0).cast("long").alias("deal")).alias("_r_key"), "stored_id"))
+    ov = overlay.withColumn("_key", F.struct(F.col("temp_id").alias("tid"), deal.alias("deal")))
+    j = ov.join(r, ov["_key"] == r["_r_key"], "left")
     j = j.where(F.col("temp_id").isNull() | F.col("stored_id").isNotNull())
     out = (j.withColumn("id", F.coalesce(F.col("id"), F.col("stored_id")))
            .withColumn("temp_id", F.lit(None).cast("string"))
-           .withColumn("_optimistic", F.lit(False)).drop("_tid", "stored_id"))
+           .withColumn("_optimistic", F.lit(False)).drop("_key", "_r_key", "stored_id"))
     if failed is None:
         return out.drop("_before")
     bad = failed.select("id").distinct()
@@ -196,7 +200,9 @@ def confirm_overlay(overlay: DataFrame, results: DataFrame, base: DataFrame | No
     back = out.select(*[F.when(hit, F.col("_before")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
                         for c in out.columns if c not in ("_failed", "_before", "list")])
     # a failed delete has no row in the overlay: its original is read from the table
-    lost = (base.join(bad, "id", "left_semi").join(out.select("id"), "id", "left_anti")
+    # (ids take little room, so adaptive coalescing would join those of all rows into few tasks: dealt by number)
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lost = (base.join(bad, "id", "left_semi").join(out.select("id").repartition(n, "id"), "id", "left_anti")
             .withColumn("temp_id", F.lit(None).cast("string")).withColumn("_optimistic", F.lit(False))
             .withColumn("overlay_pos", F.lit(1)))
     return _listed(back.unionByName(lost))
