@@ -196,6 +196,10 @@ def search_tasks(tasks: DataFrame, projects: DataFrame, queries: DataFrame, k: i
                       "relevance_score")
 
 
+PARTS = 16       # parts of a user's postings in one bucket
+TASKS_TIMES = 4  # tasks that write postings, as a multiple of the session's shuffle partitions
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int")
 
@@ -205,8 +209,12 @@ def store_postings(postings: DataFrame, path: str, buckets: int = 16) -> DataFra
 
     A folder per lexeme would be one per word of the language; ``buckets``
     bounds their number, and a search opens only the buckets of its terms.
+    A user's part of a bucket is ``PARTS`` tasks' work by the id, so a frequent word is not one task's
+    sort, and the number of tasks is given, for adaptive coalescing goes by packed bytes and not by what a task sorts.
     """
-    (postings.withColumn("bucket", _bucket(buckets)).repartition("bucket", "user_id")
+    n = TASKS_TIMES * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (postings.withColumn("bucket", _bucket(buckets))
+     .repartition(n, "bucket", "user_id", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
      .write.partitionBy("bucket").parquet(path))
     return postings.sparkSession.read.parquet(path)
 
