@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 32
+PARTS = 6  # tasks that write one bucket
 
 
 class BucketStore:
@@ -48,6 +49,11 @@ class BucketStore:
     def bucket(self, key: str | tuple[str, ...]) -> Column:
         return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(self.buckets)).cast("int")
 
+    @staticmethod
+    def _part(key: str | tuple[str, ...]) -> Column:
+        # a hash of its own: the key's hash is the same for all rows of a bucket in its last digits
+        return F.pmod(F.xxhash64(F.lit(1), *([key] if isinstance(key, str) else key)), F.lit(PARTS)).cast("int")
+
     def of(self, df: DataFrame, key: str | tuple[str, ...]) -> list[int]:
         """The buckets that hold the values of ``key``: at most their number."""
         return [r["b"] for r in df.select(self.bucket(key).alias("b")).distinct().collect()]
@@ -65,8 +71,11 @@ class BucketStore:
         places = {name: dict(own) for name, own in self.places.items()}
         for name, (df, touched) in frames.items():
             folder = f"{self.root}/v{version}/{name}"
-            # the rows of a bucket are one task's, so a bucket is one file
-            (df.withColumn("bucket", self.bucket(self.keys[name])).repartition(self.buckets, "bucket")
+            # a bucket is PARTS tasks' work and files; each task has one part of one bucket
+            named = sorted(range(self.buckets) if touched is None else touched)
+            place = F.array_position(F.array(*[F.lit(b) for b in named]), F.col("bucket")).cast("int") - 1
+            (df.withColumn("bucket", self.bucket(self.keys[name]))
+             .repartitionById(max(len(named), 1) * PARTS, place * PARTS + self._part(self.keys[name]))
              .write.mode("overwrite").partitionBy("bucket").parquet(folder))
             for b in list(places[name]) if touched is None else touched:
                 places[name].pop(b, None)
