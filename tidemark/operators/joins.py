@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import UNKNOWN_PROJECT
+from tidemark.session import ensure_checkpoint_dir
 
 
 def with_project_name(tasks: DataFrame, projects: DataFrame,
@@ -96,6 +97,44 @@ def orphan_tasks(tasks: DataFrame, projects: DataFrame) -> DataFrame:
     return tasks.join(p, tasks["project_id"] == p["_p_id"], "left_anti")
 
 
+BLOCK_SIDE = 1000        # pending children and roots of one text that meet in a block
+TASK_ROWS = 2_000_000    # matches by text that a task makes, about
+
+
+def _by_text(pending: DataFrame, roots: DataFrame, scope: list[str]) -> DataFrame:
+    """Each pending child with every root of its list that has its parent's text.
+
+    A text with k children and r roots has k * r matches, however few bytes its rows are: they are cut into
+    blocks of about BLOCK_SIDE children by BLOCK_SIDE roots, which are dealt over a number of tasks that is
+    set by the matches. A row is copied once for every BLOCK_SIDE rows of the other side.
+    """
+    kid_key = F.struct(*scope, F.col("_pp").alias("text"))
+    root_key = F.struct(*[F.col("_r_" + c).alias(c) for c in scope], F.col("_r_task").alias("text"))
+    sizes = (pending.groupBy(kid_key.alias("_at")).agg(F.count("*").alias("_k"))
+             .join(roots.groupBy(root_key.alias("_at")).agg(F.count("*").alias("_n")), "_at"))
+    ensure_checkpoint_dir(pending.sparkSession)
+    sizes = sizes.checkpoint()
+    matches = int(sizes.agg(F.coalesce(F.sum(F.col("_k") * F.col("_n")), F.lit(0))).first()[0])
+    tasks = max(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-matches // TASK_ROWS))
+    side = lambda c: F.ceil(F.col(c) / BLOCK_SIDE).cast("int")
+    cuts = sizes.select("_at", side("_k").alias("_rows"), side("_n").alias("_cols"))
+
+    def block(row: Column, col: Column) -> Column:
+        return F.struct("_at", row.alias("row"), col.alias("col")).alias("_block")
+
+    def own(id_col: str, created: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(id_col, created), F.col(n)).cast("int")
+
+    def others(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_other")
+    k = (pending.withColumn("_at", kid_key).join(cuts, "_at").select("*", others("_cols"))
+         .select(*pending.columns, block(own("id", "created_at", "_rows"), F.col("_other"))))
+    n = (roots.withColumn("_at", root_key).join(cuts, "_at").select("*", others("_rows"))
+         .select(*roots.columns, block(F.col("_other"), own("_r_id", "_r_created_at", "_cols"))))
+    # dealt by number: adaptive coalescing would go by the few bytes of the rows
+    return k.repartition(tasks, "_block").join(n.repartition(tasks, "_block"), "_block").drop("_block")
+
+
 def task_hierarchy(tasks: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Roots in list order (newest first), each followed by its children (depth 1).
 
@@ -105,6 +144,8 @@ def task_hierarchy(tasks: DataFrame, scope: list[str] | None = None) -> DataFram
     columns (root_created_at desc, root_id desc, is_child, created_at desc,
     id desc) built with joins only; ``display_order`` applies it with a global
     range-partitioned sort, so one huge list never lands in a single task.
+    Every pending child is under every root of its text, so the rows grow with
+    the product of the two: they are joined in blocks, see ``_by_text``.
     """
     scope = scope or ["user_id"]
     pending_parent = F.get_json_object("metadata", "$.parentTask")
@@ -118,8 +159,7 @@ def task_hierarchy(tasks: DataFrame, scope: list[str] | None = None) -> DataFram
                      F.col("created_at").alias("_r_created_at"))
     same_scope = [kids[c].eqNullSafe(r["_r_" + c]) for c in scope]
     by_id = kids.join(r, same_scope + [kids["parent_task_id"] == r["_r_id"]], "inner")
-    by_text = kids.where(F.col("parent_task_id").isNull()).join(
-        r, same_scope + [kids["_pp"] == r["_r_task"]], "inner")
+    by_text = _by_text(kids.where(F.col("parent_task_id").isNull()), r, scope)
     cols = [*scope, "id", "root_id", "root_created_at", "is_child", "created_at"]
     children = by_id.unionByName(by_text).select(
         *scope, "id", F.col("_r_id").alias("root_id"),
