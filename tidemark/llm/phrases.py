@@ -69,10 +69,10 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    """Words of whole documents as numbers, with the piece and language of each."""
+    """Words of whole documents as numbers, with the piece of each and the language of each piece."""
 
     SLICE = 1 << 20  # bytes of text that are split at a time
-    TURN = 1 << 20   # occurrences whose phrases are numbered at a time
+    TURN = 1 << 19   # occurrences whose phrases are numbered at a time
 
     def __init__(self):
         self.words: list[pa.DictionaryArray] = []
@@ -110,12 +110,14 @@ class _Shard:
         letters = _LOWER[data[inside[1:-1]]]
         words = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
         doc = np.searchsorted(off, begin, "right") - 1
-        piece = np.searchsorted(np.flatnonzero(kind == 2), begin) + doc + self.piece
+        piece = np.searchsorted(np.flatnonzero(kind == 2), begin) + doc
+        first = np.append(True, piece[1:] != piece[:-1])
+        piece = self.piece - 1 + np.cumsum(first)  # pieces without words have no number
         self.piece = int(piece[-1]) + 1
         numbers = [self.names.setdefault("und" if g is None else g, len(self.names)) for g in langs.to_pylist()]
         self.words.append(words.dictionary_encode())
         self.pieces.append(piece.astype(np.int32))
-        self.langs.append(np.array(numbers, np.int32)[doc])
+        self.langs.append(np.array(numbers, np.int32)[doc[first]])
         self.n += len(begin)
 
     def join(self, other: _Shard) -> None:
@@ -144,13 +146,16 @@ class _Shard:
         word_hash, names = _hash(vocab.to_pylist()), list(self.names)
         before_hash, before_lang = _hash([g.encode() for g in names]), np.arange(len(names), dtype=np.int32)
         before_text = None
-        at, key = np.arange(len(code), dtype=np.int32), lang_of * size + code
+        at, key = np.arange(len(code), dtype=np.int32), (lang_of * size)[piece] + code
         for k in range(1, max_words + 1):
             # the keys in turns, dealt by their value: only phrases that are kept outlive their turn
             turns = 1 + len(key) // self.TURN
             ids, first, kept = np.full(len(key), -1, np.int32), 0, []
+            deal = np.empty(len(key), np.uint16)
+            for s in range(0, len(key), self.TURN):
+                deal[s:s + self.TURN] = key[s:s + self.TURN] % turns
             for turn in range(turns):
-                own = np.flatnonzero(key % turns == turn) if turns > 1 else slice(None)
+                own = np.flatnonzero(deal == turn) if turns > 1 else slice(None)
                 got = pa.array(key[own]).dictionary_encode()
                 uniq, row = got.dictionary.to_numpy(), got.indices.to_numpy()
                 counts = np.bincount(row, minlength=len(uniq))
@@ -161,7 +166,7 @@ class _Shard:
                 ids[own] = np.where(ok, first + np.cumsum(ok) - 1, -1).astype(np.int32)[row]
                 kept.append((prefix[ok].astype(np.int32), word[ok], counts[ok], h[ok]))
                 first += len(kept[-1][0])
-            del got, uniq, row, h, key
+            del got, uniq, row, h, key, own, deal
             prefix, word, counts, before_hash = (np.concatenate(x) for x in zip(*kept))
             last = vocab.take(pa.array(word))
             before_text = last if k == 1 else pc.binary_join_element_wise(
@@ -169,7 +174,7 @@ class _Shard:
             before_lang = before_lang[prefix]
             yield k, pa.array(names).take(pa.array(before_lang)), before_text, counts, before_hash
             at, ids = at[ids >= 0], ids[ids >= 0]
-            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1).astype(np.int32)
             pair = pair[piece[at[pair]] == piece[at[pair] + k]]
             at = at[pair]
             if not len(at):
