@@ -80,6 +80,22 @@ def test_encoder_matches_on_random_strings():
     assert [t for t in texts if enc.ids(t).tolist() != tok.encode(t, add_special_tokens=False).ids] == []
 
 
+def test_encoder_parts_marks_and_ascii_without_the_pipeline(monkeypatch):
+    """Closing marks, numbers and joined ASCII words go to the model; chunks dropped and kept again give the same ids."""
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(tokenizer_path()), packing._Encoder(tokenizer_path())
+    texts = ["It's, we'll... 'tis x'sy '' -'s a_b-c $$$ a$$$ 12,5 \u00c9t\u00e9!! \u00e7a\u2026 <| |> <|end <|endoftext|", "A " * 9 + "b2",
+             "\u00e9 DON'T o'Re'Ve ~ [x](y) a<|endoftext|>b, <|endoftext|>", "z" * 300 + "!" * 300 + "7" * 30]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing._Kept, "KEEP", 5)
+    asked, full = [], enc._full
+    monkeypatch.setattr(enc, "_full", lambda c: asked.append(c) or full(c))
+    for _ in range(2):
+        assert [enc.ids(t).tolist() for t in texts] == want
+        assert len(enc.seen) <= 5 and len(enc.seen.old) <= 5
+    assert set(asked) == {"\u00e7a\u2026", "a<|endoftext|>b,", "<|endoftext|>"}
+
+
 def test_encoder_of_another_file_takes_whole_texts(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -9,7 +9,9 @@ groups meet in one group and are packed again, until one group is left.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +37,40 @@ SPLITTER = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
+class _Kept(dict):
+    """Ids of chunks, worked out when first asked for; frequent ones come back from those kept before."""
+
+    KEEP = 200_000  # chunks kept per worker, and as many that were kept before them
+
+    def __init__(self, of):
+        self.of, self.old = of, {}
+
+    def __missing__(self, c: str) -> bytes:
+        out = self.old.get(c)
+        if out is None:
+            out = self.of(c) if c else b""
+        if len(c) <= 64:
+            if len(self) >= self.KEEP:
+                self.old = dict(self)
+                self.clear()
+            self[c] = out
+        return out
+
+
 class _Encoder:
     """Ids of a text by a `tokenizers` file, with the ids of words kept.
 
     The tokenizer's own splitter never joins characters across white space, so
     a text's ids are those of its space-separated chunks in order. A chunk of
-    Latin letters that are one character each (with or without one closing
-    mark) is one pre-token that goes straight to the BPE model; any other
-    chunk takes the full pipeline as it is. Files with another normaliser or
+    Latin letters that are one character each is one pre-token that goes
+    straight to the BPE model; closing ASCII marks are one more, and other
+    printable ASCII chunks are parted as the splitter does. Any other chunk
+    takes the full pipeline as it is. Files with another normaliser or
     splitter take the full pipeline for whole texts.
     """
 
-    KEEP = 400_000  # chunks kept per worker
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the splitter on lower-case printable ASCII
 
     def __init__(self, path: str):
         import json
@@ -56,8 +80,11 @@ class _Encoder:
         self.model = self.tok.model
         own = json.loads(self.tok.to_str())
         self.known = (own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == SPLITTER
-                      and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in own["added_tokens"]))
-        self.seen: dict[str, bytes] = {}
+                      and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in own["added_tokens"])
+                      # such a token lies neither in letters nor in letters with closing marks
+                      and all(re.match(r"\W.*[^\W\d_]", t["content"]) for t in own["added_tokens"]))
+        self.added = [t["content"] for t in own["added_tokens"]]
+        self.seen = _Kept(self._chunk)
         # the byte-level alphabet: printable bytes stand for themselves, others are moved past 255
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: b for b in own} | {
@@ -75,33 +102,28 @@ class _Encoder:
         w = w.lower()
         if not w.isascii():
             w = w.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
 
     def _chunk(self, c: str) -> bytes:
         if self._plain(c):
             return self._word(c)
-        if c[-1:] in (",", ".", "!", "?", ";", ":") and self._plain(c[:-1]):
-            return self._get(c[:-1]) + self._full(c[-1])
+        letters = c.rstrip(self.MARKS)
+        if len(letters) < len(c) and self._plain(letters):
+            return self.seen[letters] + self.seen[c[len(letters):]]
+        if c.isascii() and c.isprintable():
+            words = self.WORDS.findall(c.lower())
+            if len(words) == 1:
+                return self._word(c)
+            if not any(t in c for t in self.added):
+                return b"".join(map(self.seen.__getitem__, words))
         return self._full(c)
 
-    def _get(self, c: str) -> bytes:
-        out = self.seen.get(c)
-        if out is None:
-            out = self._chunk(c)
-            if len(c) <= 64:
-                if len(self.seen) >= self.KEEP:
-                    self.seen.clear()
-                self.seen[c] = out
-        return out
-
     def ids(self, text: str) -> np.ndarray:
         if not self.known:
             return np.frombuffer(self._full(text), "<u4")
         if text.isascii():
             text = text.lower()
-        seen, get = self.seen, self._get
-        chunks = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join([seen.get(c) or get(c) for c in chunks if c]), "<u4")
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
 def _encoder(path: str) -> _Encoder:
