@@ -96,6 +96,33 @@ def test_a_shard_counts_whole_pieces_over_slices():
     assert got == {"ab": 4, "cd": 4, "ef": 1, "ab cd": 1, "cd ab": 1, "cd ef": 1}
 
 
+def test_shards_send_blocks_that_add_up_by_text():
+    """A row per part and language whatever the number of phrases; sums over shards are exact, rare phrases stay behind."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    want, tables, sent = Counter(), [], 0
+    for _ in range(3):
+        shard = phrases._Shard()
+        rows = [(rng.choice(["x", None, ""]), " ".join(rng.choice(["\u00e9", "b|", "it's", "\u4e2d"]) for _ in range(30))) for _ in range(40)]
+        shard.add(pa.array([g for g, _ in rows]), pa.array([t for _, t in rows]))
+        for g, t in rows:
+            w = t.split(" ")
+            want.update(("und" if g is None else g, " ".join(w[i:i + m])) for m in (1, 2, 3) for i in range(len(w) - m + 1))
+        for _, lang, text, counts, h in shard.levels(3, lambda k, c, h: np.ones(len(c), bool)):
+            tables.append(phrases._blocks(lang, text, counts, h, 4))
+            assert tables[-1].num_rows <= 4 * 3
+            sent += len(counts)
+    blocks, got = pa.Table.from_batches(tables), {}
+    assert sent > 5 * blocks.num_rows
+    for part in range(4):
+        for lang in ("x", "und", ""):
+            own = blocks.filter((pa.compute.field("part") == part) & (pa.compute.field("lang") == lang))
+            for r in phrases._add_up(own, lang, 50).to_pylist() if own.num_rows else []:
+                assert (lang, r["phrase"]) not in got and r["m"] == len(r["phrase"].split(" "))
+                got[lang, r["phrase"]] = r["a"]
+    assert got == {p: a for p, a in want.items() if a >= 50} and 0 < len(got) < len(want)
+
+
 # ---- 12 piece encoding ----------------------------------------------------------------------------
 
 def odd_pieces():

@@ -1,16 +1,17 @@
-"""Phrase collocation mining by SON partitioning (Savasere, Omiecinski and Navathe, 1995).
-
-A shard is a run of whole documents that fits a task. Each shard is mined
-completely at a support lowered in proportion to its share of all words, so
-that a phrase that reaches ``min_count`` in the whole table is locally frequent
-in at least one shard. The union of the locally frequent phrases
-travels as a bit set of fixed size (no member is missed, a stray hit is only
-counted for nothing), and a second pass counts every phrase that it holds in
-all shards exactly, by its text.
+"""Phrase collocation mining in shards, level by level (Agrawal and Srikant, 1994; Savasere, Omiecinski and Navathe, 1995).
+
+A shard is a run of whole documents that fits a task. A first pass counts the
+words and pairs of every shard, a second one the longer phrases, looked at
+only where each pair in them is frequent in the whole table. The frequent
+pairs travel as a bit set of fixed size (no member is missed, a stray hit is
+only counted for nothing). No support is shared out over the shards: what a
+shard sends is bounded by its words, whatever the table's size. It goes in
+blocks, dealt by a hash of the phrase, that are added up exactly, by text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_parts, cut
+from tidemark.llm.common import by_parts, cut, key_runs, partitions
 
-SHARD_WORDS = 2_250_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
-SHARDS = 32                # shards at least: small tables have small shards at the same support
-LOWERED = (3, 4)           # part of the support that is shared out over the shards
+SHARD_WORDS = 1_500_000    # words of one shard, half as many to 1.5 times as many: bounds a task's memory
+SHARDS = 32                # shards at least: small tables have small shards
+TASK_SHARDS = 4            # shards of a task, on large tables
+BLOCK_WORDS = 4_000_000    # words of the table whose phrases are added up together: bounds a task's memory
 BITS = 26                  # the set of phrases has 2^26 bits: 8 MB, whatever the table's size
 CHUNK = 16                 # and travels to the driver in rows of 2^16 bits
 
@@ -228,53 +230,74 @@ def _bit_rows(h: np.ndarray) -> pa.RecordBatch:
                                        pa.array((at & (1 << CHUNK) - 1).astype(np.int32))], ["chunk", "bit"])
 
 
-def _local_union(docs: DataFrame, total: int, min_count: int, max_words: int, shard_words: int) -> np.ndarray:
-    """First pass: every shard mined at its share of three quarters of ``min_count``; the union as a bit set.
-
-    A shard that does not name a phrase holds it fewer times than its support,
-    and what all shards can hide this way is at most three quarters of
-    ``min_count``. So a phrase can only be frequent if the counts above the
-    supports add up to the last quarter: the others leave the union.
-    """
-    def mine(batches):
-        for shard in _shards(batches, shard_words):
-            hidden = LOWERED[0] * min_count * shard.n // (LOWERED[1] * total)
-            for _, _, _, counts, h in shard.levels(max_words, lambda k, counts, h: counts > hidden):
-                for s in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s:s + 100_000].view(np.int64)),
-                                                      pa.array(counts[s:s + 100_000] - hidden)], ["h", "above"])
-
-    def places(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _bit_rows(batch.column(0).to_numpy().view(np.uint64))
-    sums = docs.mapInArrow(mine, "h long, above long").groupBy("h").agg(F.sum("above").alias("above"))
-    union = sums.filter(F.col("above") * LOWERED[1] >= min_count * (LOWERED[1] - LOWERED[0]))
-    return _bit_set(docs.sparkSession, union.select("h").mapInArrow(places, "chunk int, bit int"))
-
-
-def _exact(docs: DataFrame, bits: np.ndarray, lengths: tuple[int, int], min_count: int, shard_words: int) -> DataFrame:
-    """Second pass: (lang, phrase, m, a) of all phrases of ``lengths`` words with ``min_count`` occurrences.
-
-    Phrases below the longest length are looked at only where ``bits`` holds
-    them; the longest too if the set covers that length (``lengths`` = 1 to n).
+def _blocks(lang: pa.Array, text: pa.Array, counts: np.ndarray, h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, lang, phrases, counts): the phrases of each part of the hashes and language, a line each, compressed."""
+    langs = lang.dictionary_encode()
+    part = (h >> np.uint64(20)) % np.uint64(parts)
+    key = part.astype(np.int64) * len(langs.dictionary) + langs.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[order].astype("<i8")
+    starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    lists = pa.LargeListArray.from_arrays(pa.array(starts), text.cast(pa.large_binary()).take(pa.array(order)))
+    lines = pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary()))
+    own = key[starts[:-1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array((own // len(langs.dictionary)).astype(np.int32)),
+         langs.dictionary.take(pa.array(own % len(langs.dictionary))),
+         pa.array([zlib.compress(v.as_py(), 1) for v in lines], pa.binary()),
+         pa.array([zlib.compress(counts[s:e].tobytes(), 1) for s, e in zip(starts[:-1], starts[1:])], pa.binary())],
+        ["part", "lang", "phrases", "counts"])
+
+
+def _add_up(table: pa.Table, lang: str, min_count: int) -> pa.RecordBatch:
+    """(lang, phrase, m, a) of the phrases with ``min_count`` occurrences in the blocks of one part and language."""
+    data = np.frombuffer(b"".join(zlib.decompress(v) + b"\n" for v in table.column("phrases").to_pylist()), np.uint8)
+    ends = np.append(0, np.flatnonzero(data == 10) + 1).astype(np.int64)
+    lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(v), "<i8") for v in table.column("counts").to_pylist()])
+    sums = (pa.TableGroupBy(pa.table({"phrase": lines, "a": counts}), "phrase", use_threads=False)
+            .aggregate([("a", "sum")]))
+    often = sums.filter(pc.greater_equal(sums["a_sum"], min_count)).combine_chunks()
+    phrase = pc.utf8_rtrim(often["phrase"].combine_chunks().cast(pa.large_string()), "\n").cast(pa.string())
+    m = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, m, often["a_sum"].combine_chunks()],
+                                      ["lang", "phrase", "m", "a"])
+
+
+def _exact(docs: DataFrame, total: int, bits: np.ndarray | None, lengths: tuple[int, int], min_count: int,
+           shard_words: int) -> DataFrame:
+    """(lang, phrase, m, a) of all phrases of ``lengths`` words with ``min_count`` occurrences.
+
+    With ``bits``, phrases of three words or more are looked at only where it
+    holds all their pairs. A shard's counts go in blocks by a hash of the
+    phrase; there are as many parts as keep the phrases of one within what
+    ``BLOCK_WORDS`` words can hold, and a phrase comes from a shard once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     low, high = lengths
+    parts = max(1, -(-total // BLOCK_WORDS))
 
     def count(batches):
-        held = np.frombuffer(shared.value, np.uint8)
+        held = None if shared is None else np.frombuffer(shared.value, np.uint8)
 
         def keep(k, counts, h):
-            return np.ones(len(h), bool) if k == low == high else _holds(held, h)
+            return _holds(held, h) if k == 2 and held is not None else np.ones(len(h), bool)
         for shard in _shards(batches, shard_words):
-            for k, lang, text, counts, _ in shard.levels(high, keep):
-                if k >= low:
-                    yield from pa.Table.from_arrays(
-                        [lang, text.cast(pa.string()), pa.array(np.full(len(counts), k, np.int32)), pa.array(counts)],
-                        ["lang", "phrase", "m", "a"]).to_batches(max_chunksize=100_000)
-    rows = docs.mapInArrow(count, "lang string, phrase string, m int, a long")
-    return cut(rows.groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count))
+            for k, lang, text, counts, h in shard.levels(high, keep):
+                if k >= low and len(counts):
+                    got = _blocks(lang, text, counts, h, parts)
+                    for s in range(0, got.num_rows, 1000):
+                        yield got.slice(s, 1000)
+
+    def add_up(batches):
+        for table, starts in key_runs(batches, ["part"]):
+            for s, e in zip(starts[:-1], starts[1:]):
+                own = table.slice(s, e - s)
+                for lang in pc.unique(own["lang"]).to_pylist():
+                    yield _add_up(own.filter(pc.equal(own["lang"], lang)), lang, min_count)
+    blocks = docs.mapInArrow(count, "part int, lang string, phrases binary, counts binary")
+    return cut(blocks.repartition(max(parts, partitions(docs)), "part").sortWithinPartitions("part")
+               .mapInArrow(add_up, "lang string, phrase string, m int, a long"))
 
 
 def _phrase_bits(phrases: DataFrame) -> np.ndarray:
@@ -299,29 +322,21 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
 
     Words are lower-cased (A-Z) and phrases stay inside pieces; n counts the
     words of a language. There are ``shards`` shards, or as many as keep a
-    shard near ``shard_words`` words. While a shard's support is 2 or more, all
-    lengths are mined in one round of two passes. With so many shards that a single
-    occurrence is locally frequent, the union would be every phrase: then each
-    length is a round of its own, and its phrases are those whose two parts of
-    one word less were counted and found frequent. Both ways give the same rows.
+    shard near ``shard_words`` words. Two passes: words and pairs, then the
+    longer phrases where all their pairs were counted and found frequent.
     """
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     per_lang = cut(own.groupBy(F.coalesce("lang", F.lit("und")).alias("lang"))
                    .agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")), F.lit(0)).alias("n")))
     total = int(per_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    # two tasks a core: a task goes through many shards, and their counts are added up before the shuffle
-    own = own.coalesce(2 * own.sparkSession.sparkContext.defaultParallelism)
     shard_words = max(1, min(shard_words, -(-total // shards)))
-    if total == 0 or LOWERED[0] * min_count * shard_words >= LOWERED[1] * total:
-        bits = _local_union(own, max(total, 1), min_count, max_words, shard_words)
-        return _exact(own, bits, (1, max_words), min_count, shard_words), per_lang
-    bits, done = np.zeros(1 << BITS - 3, np.uint8), None
-    for k in range(1, max_words + 1):
-        got = _exact(own, bits, (k, k), min_count, shard_words)
-        done = got if done is None else done.unionByName(got)
-        if k < max_words:
-            bits |= _phrase_bits(got)
-    return done, per_lang
+    # two tasks a core, or more where a task would go through many shards: small files make no small shards
+    own = own.coalesce(max(2 * own.sparkSession.sparkContext.defaultParallelism, total // (TASK_SHARDS * shard_words)))
+    short = _exact(own, total, None, (1, min(2, max_words)), min_count, shard_words)
+    if max_words < 3:
+        return short, per_lang
+    bits = _phrase_bits(short.filter("m = 2"))
+    return short.unionByName(_exact(own, total, bits, (3, max_words), min_count, shard_words)), per_lang
 
 
 def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top: int = 2000, text_col: str = "text",
